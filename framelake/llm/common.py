@@ -6,9 +6,10 @@ import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: A word, as the contracts have it: a run of anything but space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,3 +58,21 @@ def order_key(column: str):
 def with_fields(df: DataFrame, ddl: str) -> StructType:
     """The schema of ``df`` and more fields behind it."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+def squeezed(df: DataFrame) -> DataFrame:
+    """``df`` with ``text`` as zstandard frames (null: of nothing), for a shuffle that moves whole texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in rows_of(batches):
+            at = batch.schema.get_field_index("text")
+            frames = pa.array([press.compress(x) for x in text_bytes(batch.column("text"))], pa.binary())
+            yield batch.set_column(at, "text", frames)
+
+    return df.mapInArrow(run, StructType([StructField(f.name, BinaryType()) if f.name == "text" else f for f in df.schema.fields]))
+
+
+def unsqueezed(column: pa.Array) -> list[bytes]:
+    back = zstandard.ZstdDecompressor()
+    return [back.decompress(x) if x else b"" for x in column.to_pylist()]
