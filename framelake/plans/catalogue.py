@@ -767,3 +767,170 @@ def tone_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rgb(spark, sf_dir).select(
         "l_orderkey", "l_linenumber", r6(colour.linear_to_pq(r)).alias("pq"), r6(colour.shoulder(g * 1.5)).alias("rolled"), r6(colour.reinhard(b, 2.0)).alias("reinhard")
     )
+
+
+@query()
+def lut_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A warm 9-cube applied to all pixels."""
+    import numpy as np
+
+    from ..sources import tables
+
+    axis = np.linspace(0, 1, 9)
+    b, g, r = np.meshgrid(axis, axis, axis, indexing="ij")
+    cube = np.stack([np.sqrt(r), g, b * b], axis=-1)
+    graded = tables.apply_lut(_rgb(spark, sf_dir), cube, 0.8)
+    return graded.select("l_orderkey", "l_linenumber", *[r6(c).alias(c) for c in "rgb"])
+
+
+# --- looks --------------------------------------------------------------------------------------
+
+
+@query()
+def link_looks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean looks of small sessions (label, ten vectors each), linked within their label."""
+    rows = read(spark, sf_dir, "embeddings").withColumn("session", F.floor(F.col("vec_id") / 100).cast("long"))
+    looks = similarity.mean_histogram(rows, ["label", "session"], "embedding")
+    return similarity.link_looks(looks, "label", "session", "histogram", 0.20)
+
+
+@query()
+def costume_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").withColumn("e", F.transform("embedding", lambda x: F.abs(x.cast("double"))))
+    total = F.aggregate("e", F.lit(0.0), lambda s, x: s + x)
+    looks = rows.withColumn("look", F.transform("e", lambda x: x / total))
+    return similarity.change_points(looks, "label", "vec_id", "look", 0.30)
+
+
+@query()
+def linkage_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy complete linkage over token-set pairs, within connected pairs of one class head."""
+    pairs = jaccard_pairs(spark, sf_dir).select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), F.col("jaccard").alias("similarity"))
+    return similarity.complete_linkage(similarity.with_components(pairs))
+
+
+# --- names, files, reports ----------------------------------------------------------------------
+
+
+@query("""
+with f as (select event_id, epoch_us(ts) // 1000000 % 200000 s from events)
+select event_id, case when s < 60 then s || 's' when s < 3600 then (s // 60) || 'm' || lpad((s % 60)::varchar, 2, '0') || 's'
+  else (s // 3600) || 'h' || lpad((s % 3600 // 60)::varchar, 2, '0') || 'm' end shown,
+  (case when s < 60 then s when s < 3600 then s else s // 60 * 60 end)::double parsed from f""")
+def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seconds = F.floor(names.micros(F.col("ts")) / 1_000_000).cast("long") % 200_000
+    shown = names.format_duration(seconds)
+    return read(spark, sf_dir, "events").select("event_id", shown.alias("shown"), names.parse_duration(shown).alias("parsed"))
+
+
+@query("""
+with d as (select doc_id, substr(sha256(text), 1, 16) f, lag(substr(sha256(text), 1, 16)) over (partition by source order by doc_id) p from documents)
+select doc_id, bit_count(xor(('0x' || substr(f, 1, 8))::bigint, ('0x' || substr(p, 1, 8))::bigint)) + bit_count(xor(('0x' || substr(f, 9, 8))::bigint, ('0x' || substr(p, 9, 8))::bigint)) distance
+from d where p is not null""")
+def fingerprint_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    prints = read(spark, sf_dir, "documents").select("doc_id", "source", F.substring(F.sha2("text", 256), 1, 16).alias("f"))
+    before = F.lag("f").over(Window.partitionBy("source").orderBy("doc_id"))
+    return prints.withColumn("p", before).where("p is not null").select("doc_id", names.hamming_hex(F.col("f"), F.col("p")).alias("distance"))
+
+
+@query("""
+with f as (select page_id, split_part(split_part(url, '?', 1), '#', 1) u from pages),
+k as (select page_id, u, regexp_replace(u, '[^/]*$', '') || lower(split_part(regexp_extract(u, '[^/]*$'), '.', 1)) shot_key, right(lower(u), 5) = '.html' photo from f)
+select shot_key, count(*) n_files from k group by 1 having bool_or(photo)""")
+def shot_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = read(spark, sf_dir, "pages").select(F.substring_index(F.substring_index("url", "?", 1), "#", 1).alias("path"))
+    return sessions.shots(files, "path", ["html"]).select("shot_key", F.size("files").cast("long").alias("n_files"))
+
+
+@query("select o_custkey, o_orderstatus, count(*) n from orders group by 1, 2")
+def status_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by status, read back from the run documents that the manifest sink writes."""
+    from ..sources import tables
+
+    runs = read(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", F.col("o_orderkey").cast("string").alias("path"))
+    documents = tables.manifest(runs, "o_custkey", "o_orderstatus", "path")
+    parsed = documents.select("o_custkey", F.from_json("document", "schema int, counts map<string,bigint>").alias("d"))
+    return parsed.select("o_custkey", F.explode("d.counts").alias("o_orderstatus", "n"))
+
+
+@query("""
+with n as (select doc_id, source, row_number() over (partition by source order by doc_id) - 1 i from documents)
+select doc_id, (i % 6 * 320)::int x, (i // 6 * 320)::int y from n""")
+def contact_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import tables
+
+    placed = tables.contact_sheet(read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("set_id")), "doc_id", 6, 320)
+    return placed.select("doc_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
+
+
+@query("""
+select p_partkey, sha256('{"p_name":"' || p_name || '","p_partkey":' || p_partkey || ',"p_size":' || p_size || '}') digest from part""")
+def edit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import tables
+
+    return tables.edit_report(read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), ["p_partkey", "p_name", "p_size"]).select("p_partkey", "digest")
+
+
+@query("""
+select p_partkey, case when l is null or r is null then 'uncertain' when least(l, r) < 0.15 then 'no' when least(l, r) >= 0.20 then 'yes' else 'uncertain' end eyes
+from (select p_partkey, case when p_size % 10 = 0 then null else p_size / 100.0 end l, 0.1 + (p_partkey % 13) / 50.0 r from part)""")
+def eye_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = F.when(F.col("p_size") % 10 != 0, F.col("p_size") / 100.0), 0.1 + (F.col("p_partkey") % 13) / 50.0
+    return read(spark, sf_dir, "part").select("p_partkey", ranking.eyes_open(left, right).alias("eyes"))
+
+
+@query("""
+with s as (select c_mktsegment stem, c_custkey "order", c_acctbal a, c_nationkey b from customer),
+x as (select stem, arg_max(a, "order") a, arg_max(b, "order") b from s where "order" % 2 = 0 group by 1), y as (select stem, arg_max(a, "order") a, arg_max(b, "order") b from s where "order" % 2 = 1 group by 1)
+select stem, round(y.a - x.a, 4) a_delta, y.b - x.b b_delta from x join y using (stem)""")
+def style_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("stem"), F.col("c_custkey").alias("order"), F.col("c_acctbal").alias("a"), F.col("c_nationkey").alias("b"))
+    found = robust.style_profile(rows.where("order % 2 = 0"), rows.where("order % 2 = 1"), "stem", ["a", "b"])
+    return found.select("stem", r6("a_delta", 4).alias("a_delta"), "b_delta")
+
+
+# --- streams ------------------------------------------------------------------------------------
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import events
+
+    return events.file_stream(spark, sf_dir, "events", read(spark, sf_dir, "events").schema)
+
+
+@query("select user_id, arg_max(event_type, (ts, event_id)) event_type, count(*) n_events from events group by 1")
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import events
+
+    return events.drain(events.progress(_stream(spark, sf_dir), "user_id", ["ts", "event_id"], ["event_type"]), "complete")
+
+
+@query("""
+with w as (select epoch_us(ts) // 86400000000::bigint * 86400000000::bigint window_us, event_type, count(*) n, round(sum(value), 4) total from events group by 1, 2),
+m as (select max(epoch_us(ts)) - 3600000000 mark from events)
+select window_us, event_type, n, total from w, m where window_us + 86400000000 <= mark""")
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import events
+
+    found = events.drain(events.windowed(_stream(spark, sf_dir), "ts", "1 day", "1 hour", ["event_type"], "value"), "append")
+    return found.withColumn("total", r6("total", 4))
+
+
+@query("select user_id, event_type, count(*) n from (select distinct user_id, event_type from events) group by 1, 2")
+def stream_unique_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import events
+
+    kept = events.drain(events.unique_jobs(_stream(spark, sf_dir), "ts", "400 days", ["user_id", "event_type"]), "append")
+    return kept.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+with m as (select event_id, user_id, ts, case when value > 60 then true when value < 20 then false end m from events),
+s as (select user_id, coalesce(last_value(m ignore nulls) over (partition by user_id order by ts, event_id rows unbounded preceding), false) state, row_number() over (partition by user_id order by ts desc, event_id desc) i from m)
+select user_id, count(*) n, count(*) filter (state) n_on, bool_or(state and i = 1) state from s group by 1""")
+def stream_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import events
+
+    return events.drain(events.hysteresis(_stream(spark, sf_dir), "user_id", "ts", "value", 60, 20), "update")
