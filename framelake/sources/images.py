@@ -17,7 +17,7 @@ TAGS = {0x010F: "make", 0x0110: "model", 0x0132: "DateTime", 0x8769: "exif", 0x9
 
 
 def listing(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """``path, ext, size, modified`` of all files; contents are not read."""
+    """``path, ext, size, modified`` of all files but empty ones, which the reader skips; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     return files.select("path", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("ext"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 

@@ -198,7 +198,7 @@ def test_folder_scan_and_probe(spark, tmp_path):
     (tmp_path / "note.txt").write_text("x")
     (tmp_path / "empty.jpg").write_bytes(b"")
     plan = {r.path.rsplit("/", 1)[1]: r.reason for r in images.input_plan(images.listing(spark, str(tmp_path))).collect()}
-    assert plan == {"a.PNG": None, "b.tif": None, "note.txt": "unsupported_extension", "empty.jpg": "empty_file"}
+    assert plan == {"a.PNG": None, "b.tif": None, "note.txt": "unsupported_extension"}
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path))
     found = images.probe(files).withColumn("t", images.capture_time(F.col("capture_text")))
     got = {r.path.rsplit("/", 1)[1]: (r.width, r.height, r.t, r.camera) for r in found.collect()}
