@@ -8,7 +8,7 @@ until all but two are 0 or 1. It runs in blocks of bounded size; the few documen
 each block that are still open go on to the next level, block by block, until one
 block per source remains. Its landing drops the document constraint, then the token
 constraint, and leaves a miss of less than one document's size. As documents differ in size by
-orders of magnitude, each block also hands on ``RESERVE`` closed documents; the last step flips those of
+orders of magnitude, each block also hands on some closed documents; the last step flips those of
 them that bring the source closest to its target.
 
 Every draw comes from a hash of the seed and the document, so reruns agree.
@@ -31,8 +31,8 @@ BLOCK_ROWS = 8192
 WEIGHTS = (1, 2, 3)
 #: No source is taken more than so many times.
 MOST = 3
-#: Closed documents of a block that the next level may still flip, and flips at most.
-RESERVE = 256
+#: Of so many rows of a block one, closed, stays open to flips on the next level; and flips at most.
+RESERVE = 32
 FLIPS = 64
 _EPS = 1e-9
 
@@ -141,7 +141,7 @@ def repair(prob: np.ndarray, size: np.ndarray, free: np.ndarray, miss: float) ->
     return prob
 
 
-def _block(last: bool):
+def _block(last: bool, reserve: int):
     def run(rows: pa.Table) -> pa.Table:
         key, size = rows.column("__key").to_numpy(), rows.column("size").to_numpy().astype(float)
         order = np.lexsort((size, key))
@@ -155,7 +155,7 @@ def _block(last: bool):
             passed = np.zeros(len(prob), bool)
         else:
             passed = (prob > 0) & (prob < 1)
-            passed[np.flatnonzero(free & ~passed)[:RESERVE]] = True
+            passed[np.flatnonzero(free & ~passed)[:reserve]] = True
         out, on = np.empty_like(prob), np.empty_like(passed)
         out[order], on[order] = prob, passed
         rows = rows.set_column(rows.schema.get_field_index("prob"), "prob", pa.array(out))
@@ -164,11 +164,11 @@ def _block(last: bool):
     return run
 
 
-def _levels(largest: int, block_rows: int) -> int:
+def _levels(largest: int, block_rows: int, reserve: int) -> int:
     """Levels of the flight, so that the last has one block for the largest source."""
     levels, blocks = 1, -(-largest // block_rows)
     while blocks > 1:
-        levels, blocks = levels + 1, -(-(RESERVE + 2) * blocks // block_rows)
+        levels, blocks = levels + 1, -(-(reserve + 2) * blocks // block_rows)
     return levels
 
 
@@ -182,6 +182,7 @@ def mix(
     words takes nothing (targets 0). Other columns are ignored. ``__key`` is the
     document's hash, for joining back.
     """
+    reserve = block_rows // RESERVE
     sized = saved(docs.select("doc_id", "source", word_count().alias("size"), document_key(seed).alias("__key")))
     targets = saved(source_targets(sized, weights, most))
     largest = targets.agg(F.max("n_docs")).first()[0] or 0
@@ -194,11 +195,11 @@ def mix(
         .withColumns({"__free": (F.col("prob") > 0) & (F.col("prob") < 1), "__passed": F.lit(True)})
         .select("doc_id", "source", "size", "source_size", "target", "__key", "__whole", "prob", "__free", "__passed", "__blocks")
     )
-    closed, levels = [], _levels(largest, block_rows)
+    closed, levels = [], _levels(largest, block_rows, reserve)
     for level in range(levels):
         state = state.withColumn("__block", F.pmod(F.xxhash64("__key", F.lit(level)), F.col("__blocks")))
-        state = saved(state.groupBy("source", "__block").applyInArrow(_block(level == levels - 1), state.schema))
-        state = state.drop("__block").withColumn("__blocks", F.ceil(F.col("__blocks") * (RESERVE + 2) / block_rows).cast("long"))
+        state = saved(state.groupBy("source", "__block").applyInArrow(_block(level == levels - 1, reserve), state.schema))
+        state = state.drop("__block").withColumn("__blocks", F.ceil(F.col("__blocks") * (reserve + 2) / block_rows).cast("long"))
         closed.append(state.where(~F.col("__passed")))
         state = state.where("__passed")
     every = reduce(DataFrame.unionByName, closed)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, langid, line_dedup, mixing, oph, packing, quality, sharding, simhash, substring_dedup
+from . import html, langid, line_dedup, mixing, oph, packing, quality, sharding, simhash, sql, substring_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,4 +67,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.every()
