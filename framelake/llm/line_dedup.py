@@ -16,9 +16,11 @@ A line's tokens are its distinct words, A-Z in lower case. A line goes if an ear
    never exceed the symmetric difference. For each line the closest earlier partner is passed on,
    and whether there were more; so a group of mutual near copies gives a row a line, not all pairs.
 4. Verification on the words themselves, in the document of the later line. Lines whose closest
-   partner fails and that had more are tried against all their partners in a second round.
+   partner fails and that had more are tried against all their partners in a second round, for
+   which only the entries go out whose token one of these lines has (told by a bitmap of fixed size).
 
-Documents move as zstandard frames; a bucket holds a bounded number of entries on average.
+Documents are dealt by id and checksum once, as zstandard frames, and saved so; a bucket holds a
+bounded number of entries on average.
 """
 
 from __future__ import annotations
@@ -32,13 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .common import order_key, rows_of, saved, squeezed, text_bytes, unsqueezed, with_fields
+from .common import order_key, partitions, rows_of, saved, squeezed, text_bytes, unsqueezed, with_fields
 from .words import blocks, hashed_words, mix
 
 THRESHOLD = 0.8
 RARITY_BUCKETS = 1 << 18
 BUCKET_ENTRIES = 1 << 19
 SLICE_BYTES = 16 << 20
+#: Slots of the bitmap of tokens that the second round asks for.
+TOKEN_SLOTS = 1 << 22
 #: Entries that a bucket compares at a time.
 _PAIRS = 1 << 21
 _KINDS = ["<u4", "<u4", "<u4", "<u8", "<i8", "<u4", "<u4", "u1"]
@@ -110,12 +114,46 @@ class _Lines:
         self.parity = np.bitwise_xor.reduceat(np.uint64(1) << (mixed & np.uint64(63)), self.first) if base else mixed
 
 
-def _emit(order: np.ndarray, n_buckets: int, threshold: float, probes: bool):
+def _prefixes(lines: _Lines, on: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line, position and token of the prefix tokens of the lines that are ``on``."""
+    count = np.where(on, prefix_length(lines.size, threshold), 0)
+    line = np.repeat(np.arange(len(on)), count)
+    position = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
+    return line, position, mix(lines.token[lines.first[line] + position])
+
+
+def _slot(token: np.ndarray) -> np.ndarray:
+    return (token % np.uint64(TOKEN_SLOTS)).astype(np.int64)
+
+
+def _entries(lines: _Lines, on: np.ndarray, ids: np.ndarray, crc: np.ndarray, number: np.ndarray, probe: int, n_buckets: int, threshold: float, asked: np.ndarray | None):
+    """A blob of entries for each bucket; ``asked``: the slots outside of which no entry goes."""
+    line, position, token = _prefixes(lines, on, threshold)
+    if asked is not None:
+        wanted = np.unpackbits(asked)[_slot(token)] > 0
+        line, position, token = line[wanted], position[wanted], token[wanted]
+    bucket = (mix(token) % np.uint64(n_buckets)).astype(np.int64)
+    turn = np.argsort(bucket, kind="stable")
+    line, position, token, bucket = line[turn], position[turn], token[turn], bucket[turn]
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    found = []
+    for a, b in zip(cut.tolist(), np.append(cut[1:], len(bucket)).tolist(), strict=len(cut) > 0):
+        x = line[a:b]
+        d = lines.doc[x]
+        found.append(blobs.pack([
+            (token[a:b] >> np.uint64(32)).astype("<u4"), lines.size[x].astype("<u4"), position[a:b].astype("<u4"), lines.parity[x],
+            blobs.delta(ids[d]), crc[d].astype("<u4"), number[x].astype("<u4"), np.full(b - a, probe, dtype="u1"),
+        ]))
+    return _rows(bucket[cut], found)
+
+
+def _emit(order: np.ndarray, n_buckets: int, threshold: float, asked: np.ndarray | None = None):
+    """Slices of documents in, blobs of entries out; in the first round (``asked`` is None) also what slices settle."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, SLICE_BYTES):
             ids, crc = batch.column("doc").to_numpy(), batch.column("crc").to_numpy()
             turn = np.argsort(ids, kind="stable")
-            asked = [batch.column("lines")[int(i)].as_py() for i in turn] if probes else None
             texts = text_bytes(batch.column("text").take(pa.array(turn)))
             ids, crc = ids[turn], crc[turn]
             lines = _Lines(texts, order)
@@ -128,36 +166,45 @@ def _emit(order: np.ndarray, n_buckets: int, threshold: float, probes: bool):
             earlier = (ids[lines.doc] != ids[lines.doc[rep]]) | (lines.number != lines.number[rep])
             late = np.flatnonzero((rep != place) & earlier)
             on = (rep == place) | ((rep != place) & ~earlier & (crc[lines.doc] != crc[lines.doc[rep]]))
-            probe = np.ones(len(rep), dtype=np.uint8)
-            if asked is not None:
-                wanted = [set(x or ()) for x in asked]
-                probe = np.fromiter((int(n) in wanted[d] for d, n in zip(lines.doc.tolist(), lines.number.tolist(), strict=True)), dtype=np.uint8, count=len(rep))
-            else:
+            if asked is None:
                 yield _rows(
                     np.array([-1 - int(ids[0]) % n_buckets]),
                     [blobs.pack([ids[lines.doc[late]], crc[lines.doc[late]], lines.number[late], ids[lines.doc[rep[late]]], crc[lines.doc[rep[late]]], lines.number[rep[late]]])],
                 )
-            count = np.where(on, prefix_length(lines.size, threshold), 0)
-            line = np.repeat(place, count)
-            position = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
-            token = mix(lines.token[lines.first[line] + position])
-            bucket = (token % np.uint64(n_buckets)).astype(np.int64)
-            turn = np.argsort(bucket, kind="stable")
-            line, position, token, bucket = line[turn], position[turn], token[turn], bucket[turn]
-            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            found = []
-            for a, b in zip(cut.tolist(), np.append(cut[1:], len(bucket)).tolist(), strict=True):
-                x = line[a:b]
-                d = lines.doc[x]
-                found.append(blobs.pack([
-                    (token[a:b] >> np.uint64(32)).astype("<u4"), lines.size[x].astype("<u4"), position[a:b].astype("<u4"), lines.parity[x],
-                    blobs.delta(ids[d]), crc[d].astype("<u4"), lines.number[x].astype("<u4"), probe[x],
-                ]))
-            yield _rows(bucket[cut], found)
+            yield _entries(lines, on, ids, crc, lines.number, 0, n_buckets, threshold, asked)
 
     return run
 
 
+def _probes(order: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Lines, np.ndarray, pa.RecordBatch]]:
+    """Lines that ask again (one a row), all of them on."""
+    for batch in rows_of(batches):
+        lines = _Lines(text_bytes(batch.column("x_text")), order)
+        if len(lines.size):
+            yield lines, np.ones(len(lines.size), dtype=bool), batch
+
+
+def _ask(order: np.ndarray, n_buckets: int, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lines, on, batch in _probes(order, batches):
+            ids, crc, number = (batch.column(k).to_numpy() for k in ("doc", "crc", "line"))
+            yield _entries(lines, on, ids, crc, number[lines.doc], 1, n_buckets, threshold, None)
+
+    return run
+
+
+def _asked(order: np.ndarray, probes: DataFrame, threshold: float) -> np.ndarray:
+    """Bitmap of the slots of the probes' prefix tokens: of fixed size, so it may go to the driver and to all tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lines, on, _ in _probes(order, batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slot(_prefixes(lines, on, threshold)[2])).astype(np.int32))], ["slot"])
+
+    bits = np.zeros(TOKEN_SLOTS, dtype=bool)
+    bits[probes.mapInArrow(run, "slot int").distinct().toArrow().column("slot").to_numpy()] = True
+    return np.packbits(bits)
+
+
 def _rows(bucket: np.ndarray, found: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(found, pa.binary())], ["bucket", "blob"])
 
@@ -219,9 +266,9 @@ def _match(threshold: float, every: bool):
             for x, y, ok in ((i, j, i_later), (j, i, i_earlier)):
                 x, y, a = x[ok], y[ok], apart[ok]
                 if every:
-                    x, y = x[probe[x] > 0], y[probe[x] > 0]
-                    all_x.append(x)
-                    all_y.append(y)
+                    asks = (probe[x] > 0) & (probe[y] == 0)
+                    all_x.append(x[asks])
+                    all_y.append(y[asks])
                 elif len(x):
                     np.add.at(hits, x, 1)
                     order = np.lexsort((doc[y], a, x))
@@ -269,49 +316,56 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(threshold: float):
+    """``good``: a partner holds; ``x_text``: the line, if none does and there were more."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
-            doc, crc, number, good, more = [], [], [], [], []
+            doc, crc, number, good, again = [], [], [], [], []
             for d, c, pairs, whole in zip(*(batch.column(k).to_pylist() for k in ("doc", "crc", "pairs")), unsqueezed(batch.column("text")), strict=True):
                 lines = whole.split(b"\n")
-                known: dict[int, set[bytes]] = {}
+                partners: dict[int, list[tuple[str, bool]]] = {}
                 for p in pairs:
-                    n = p["x_line"]
-                    own = known.setdefault(n, token_set(lines[n])) if n in known else known.setdefault(n, token_set(lines[n]))
-                    doc.append(d), crc.append(c), number.append(n), more.append(p["more"])
-                    good.append(alike(own, token_set(p["y_text"].encode()), threshold))
-            columns = [pa.array(doc, pa.int64()), pa.array(crc, pa.int64()), pa.array(number, pa.int32()), pa.array(good, pa.bool_()), pa.array(more, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "crc", "line", "good", "more"])
+                    partners.setdefault(p["x_line"], []).append((p["y_text"], p["more"]))
+                for n, others in partners.items():
+                    own = token_set(lines[n])
+                    held = any(alike(own, token_set(text.encode()), threshold) for text, _ in others)
+                    doc.append(d), crc.append(c), number.append(n), good.append(held)
+                    again.append(None if held or not any(more for _, more in others) else lines[n])
+            columns = [pa.array(doc, pa.int64()), pa.array(crc, pa.int64()), pa.array(number, pa.int32()), pa.array(good, pa.bool_()), pa.array(again, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "crc", "line", "good", "x_text"])
 
     return run
 
 
 def _verified(packed: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """``doc, crc, line, good, more`` for each candidate's later line. ``packed``: ``doc, crc, text`` as frames, dealt by document."""
+    """``doc, crc, line, good, x_text`` for each candidate's later line. ``packed``: ``doc, crc, text`` as frames, dealt by document."""
     asked = found.groupBy(F.col("y_doc").alias("doc"), F.col("y_crc").alias("crc")).agg(F.collect_set("y_line").alias("asked"))
     texts = packed.join(asked, ["doc", "crc"]).mapInArrow(_fetch, "doc long, crc long, line int, y_text string").dropDuplicates(["doc", "crc", "line"])
     named = texts.select(F.col("doc").alias("y_doc"), F.col("crc").alias("y_crc"), F.col("line").alias("y_line"), "y_text")
     pairs = found.join(named, ["y_doc", "y_crc", "y_line"]).groupBy(F.col("x_doc").alias("doc"), F.col("x_crc").alias("crc"))
     listed = pairs.agg(F.collect_list(F.struct("x_line", "y_text", "more")).alias("pairs"))
-    checked = packed.join(listed, ["doc", "crc"]).mapInArrow(_verify(threshold), "doc long, crc long, line int, good boolean, more boolean")
-    return checked.groupBy("doc", "crc", "line").agg(F.max("good").alias("good"), F.max("more").alias("more"))
+    checked = packed.join(listed, ["doc", "crc"]).mapInArrow(_verify(threshold), "doc long, crc long, line int, good boolean, x_text string")
+    return checked.dropDuplicates(["doc", "crc", "line"])
 
 
-def near_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc, crc, lines``: the numbers (from 0) of each document's lines that have an earlier match."""
-    keyed = docs.select(order_key("doc_id").alias("doc"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"), F.coalesce("text", F.lit("")).alias("text"))
+def _near_lines(keyed: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
+    """``doc, crc, lines``: the numbers (from 0) of each document's lines that have an earlier match.
+
+    ``keyed`` has ``doc, crc, text``; ``packed`` the same with texts as frames.
+    """
     order, words = rarity(keyed)
     n_buckets = max(16, math.ceil(words * (1 - threshold) / BUCKET_ENTRIES))
-    rows = keyed.mapInArrow(_emit(order, n_buckets, threshold, False), "bucket long, blob binary")
-    found = saved(rows.groupBy("bucket").applyInArrow(_match(threshold, False), _FOUND).groupBy(*[f.split()[0] for f in _FOUND.split(", ")[:-1]]).agg(F.max("more").alias("more")))
-    packed = squeezed(keyed)
+    places = [f.split()[0] for f in _FOUND.split(", ")[:-1]]
+    rows = keyed.mapInArrow(_emit(order, n_buckets, threshold), "bucket long, blob binary")
+    found = saved(rows.groupBy("bucket").applyInArrow(_match(threshold, False), _FOUND).groupBy(*places).agg(F.max("more").alias("more")))
     checked = saved(_verified(packed, found, threshold))
     gone = checked.where("good").select("doc", "crc", "line")
-    again = checked.where("not good and more").groupBy("doc", "crc").agg(F.collect_list("line").alias("lines"))
-    if not again.isEmpty():
-        asked = keyed.join(saved(again), ["doc", "crc"], "left")
-        rows = asked.mapInArrow(_emit(order, n_buckets, threshold, True), "bucket long, blob binary")
-        wider = saved(rows.groupBy("bucket").applyInArrow(_match(threshold, True), _FOUND).dropDuplicates([f.split()[0] for f in _FOUND.split(", ")[:-1]]))
+    probes = checked.where("x_text is not null")
+    if not probes.isEmpty():
+        bitmap = _asked(order, probes, threshold)
+        rows = keyed.mapInArrow(_emit(order, n_buckets, threshold, bitmap), "bucket long, blob binary")
+        rows = rows.unionByName(probes.mapInArrow(_ask(order, n_buckets, threshold), "bucket long, blob binary"))
+        wider = saved(rows.groupBy("bucket").applyInArrow(_match(threshold, True), _FOUND).dropDuplicates(places))
         gone = gone.unionByName(_verified(packed, wider, threshold).where("good").select("doc", "crc", "line"))
     return saved(gone.groupBy("doc", "crc").agg(F.collect_set("line").alias("lines")))
 
@@ -324,15 +378,19 @@ def remove_near_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     document and get the same result; an empty table gives no rows.
     """
     base = docs.drop("n_lines", "n_removed")
-    keys = {"__doc": order_key("doc_id"), "__crc": F.crc32(F.coalesce("text", F.lit("")).cast("binary")), "__null": F.col("text").isNull()}
-    gone = near_lines(docs, threshold)
-    joined = squeezed(base.withColumns(keys)).join(gone, (F.col("__doc") == F.col("doc")) & (F.col("__crc") == F.col("crc")), "left")
+    doc, crc = order_key("doc_id"), F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    keyed = base.select(doc.alias("doc"), crc.alias("crc"), F.coalesce("text", F.lit("")).alias("text"))
+    frames = squeezed(base.withColumns({"__doc": doc, "__crc": crc, "__null": F.col("text").isNull()}))
+    held = saved(frames.repartition(partitions(docs.sparkSession), "__doc", "__crc"))
+    gone = _near_lines(keyed, held.select(F.col("__doc").alias("doc"), F.col("__crc").alias("crc"), "text"), threshold)
+    named = gone.select(F.col("doc").alias("__doc"), F.col("crc").alias("__crc"), F.col("lines").alias("__lines"))
+    joined = held.join(named, ["__doc", "__crc"], "left")
     names = base.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, SLICE_BYTES // 2):
             texts, counts, removed = [], [], []
-            for text, out, null in zip(unsqueezed(batch.column("text")), batch.column("lines").to_pylist(), batch.column("__null").to_pylist(), strict=True):
+            for text, out, null in zip(unsqueezed(batch.column("text")), batch.column("__lines").to_pylist(), batch.column("__null").to_pylist(), strict=True):
                 counts.append(0 if null else text.count(b"\n") + 1)
                 removed.append(len(out or ()))
                 if out:
@@ -342,4 +400,4 @@ def remove_near_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
             columns = [pa.array(texts, pa.binary()).cast(pa.string()) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], [*names, "n_lines", "n_removed"])
 
-    return joined.select(*names, "lines", "__null").mapInArrow(run, with_fields(base, "n_lines long, n_removed long"))
+    return joined.select(*names, "__lines", "__null").mapInArrow(run, with_fields(base, "n_lines long, n_removed long"))

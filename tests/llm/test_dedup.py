@@ -7,7 +7,7 @@ import re
 import pytest
 import xxhash
 
-from framelake.llm import line_dedup, simhash, substring_dedup
+from framelake.llm import automaton, line_dedup, simhash, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 VOCAB = [f"w{i}" for i in range(60)]
@@ -171,6 +171,46 @@ def test_substrings_of_repetitive_text(spark):
     assert got == brute_windows(list(zip([3, 1, 2, 8, 9], texts, strict=True)))
 
 
+def brute_known(words, shards, window):
+    """Words in a run of at least ``window`` words that one of the shards' texts has."""
+    known = {tuple(ref[i : i + window]) for ref in shards for i in range(len(ref) - window + 1)}
+    gone = set()
+    for i in range(len(words) - window + 1):
+        if tuple(words[i : i + window]) in known:
+            gone.update(range(i, i + window))
+    return gone
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_automaton_matches(seed):
+    rng = random.Random(seed)
+    refs = [[rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(0, 60))] for _ in range(6)]
+    words = [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(300)] + refs[0]
+    runs = {tuple(r[i:j]) for r in refs for i in range(len(r)) for j in range(i + 1, len(r) + 1)}
+    longest = [max((n for n in range(1, i + 2) if tuple(words[i + 1 - n : i + 1]) in runs), default=0) for i in range(len(words))]
+    assert automaton.Automaton(refs).matches(words).tolist() == longest
+
+
+def test_known_passages(spark):
+    rng = random.Random(9)
+    words = lambda n: [rng.choice(VOCAB) for _ in range(n)]
+    refs = [words(40) for _ in range(12)]
+    texts = [" ".join(words(8) + r[5 : 5 + n] + words(8)) for r, n in zip(refs, range(15, 27), strict=True)] + [None, "", " ".join(refs[3])]
+    docs = table(spark, texts, list(range(len(texts))))
+    reference = spark.createDataFrame([(" ".join(r),) for r in refs] + [(None,), (" ".join(refs[0]),)], "text string")
+    for shard_words in (50_000, 60):
+        cut = automaton.remove_known(docs, reference, shard_words=shard_words)
+        assert cut.columns == ["doc_id", "text", "fp", "n_words", "n_removed"]
+        for r in cut.collect():
+            own = WORD.findall(texts[r.doc_id] or "")
+            gone = brute_known(own, refs, 20)
+            assert (r.n_words, r.n_removed, r.text) == (len(own), len(gone), " ".join(w for i, w in enumerate(own) if i not in gone))
+    assert {r.n_removed for r in automaton.remove_known(docs, reference.limit(0)).collect()} == {0}
+    assert automaton.remove_known(docs.limit(0), reference).count() == 0
+    with pytest.raises(ValueError, match="substring_dedup"):
+        automaton.automata(reference, most_words=100)
+
+
 def test_substrings_repeated_rows_and_empty(spark):
     text = " ".join(VOCAB[:30])
     docs = table(spark, [text, text, text, "b " + text], [5, 5, 6, 5])
