@@ -15,7 +15,8 @@ A line's tokens are its distinct words, A-Z in lower case. A line goes if an ear
    position, and in its parities: tokens that only one line has toggle bits, so the differing bits
    never exceed the symmetric difference. For each line the closest earlier partner is passed on,
    and whether there were more; so a group of mutual near copies gives a row a line, not all pairs.
-4. Verification on the words themselves, in the document of the later line. Lines whose closest
+   Equal token sets (by a 64-bit sum over full word hashes) also meet in buckets of their own and need no more.
+4. Verification of the others on the words themselves, in the document of the later line. Lines whose closest
    partner fails and that had more are tried against all their partners in a second round, for
    which only the entries go out whose token one of these lines has (told by a bitmap of fixed size).
 
@@ -46,7 +47,8 @@ TOKEN_SLOTS = 1 << 22
 #: Entries that a bucket compares at a time.
 _PAIRS = 1 << 21
 _KINDS = ["<u4", "<u4", "<u4", "<u8", "<i8", "<u4", "<u4", "u1"]
-_FOUND = "x_doc long, x_crc long, x_line int, y_doc long, y_crc long, y_line int, more boolean"
+_FOUND = "x_doc long, x_crc long, x_line int, y_doc long, y_crc long, y_line int, more boolean, sure boolean"
+_SAME = ["<u8", "<i8", "<u4", "<u4"]
 _EPS = 1e-9
 
 
@@ -80,7 +82,7 @@ class _Lines:
     """Token sets of the lines of some texts, in order; lines without words are left out."""
 
     def __init__(self, texts: list[bytes], order: np.ndarray):
-        token, line_of, doc, number = [], [], [], []
+        token, line_of, doc, number, identity = [], [], [], [], []
         base = 0
         for a, b in blocks(texts):
             buf, start, h, first = hashed_words([x.lower() for x in texts[a:b]])
@@ -95,10 +97,12 @@ class _Lines:
             which = np.cumsum(new) - 1
             key = (order[_counter(h)] << np.uint64(40)) | (h & np.uint64((1 << 40) - 1))
             by = np.lexsort((key, which))
-            key, which = key[by], which[by]
+            key, which, h = key[by], which[by], h[by]
             once = np.concatenate([[True], (key[1:] != key[:-1]) | (which[1:] != which[:-1])])
             token.append(key[once])
             line_of.append(which[once] + base)
+            ends = np.flatnonzero(np.concatenate([[True], which[once][1:] != which[once][:-1]]))
+            identity.append(np.add.reduceat(mix(h[once]), ends))
             head = np.flatnonzero(new)
             doc.append(text[head] + a)
             number.append(line[head])
@@ -110,7 +114,7 @@ class _Lines:
         self.size = np.bincount(line_of, minlength=base)
         self.first = np.cumsum(self.size) - self.size
         mixed = mix(self.token)
-        self.identity = np.add.reduceat(mixed, self.first) if base else mixed
+        self.identity = np.concatenate(identity) if identity else mixed
         self.parity = np.bitwise_xor.reduceat(np.uint64(1) << (mixed & np.uint64(63)), self.first) if base else mixed
 
 
@@ -147,6 +151,19 @@ def _entries(lines: _Lines, on: np.ndarray, ids: np.ndarray, crc: np.ndarray, nu
     return _rows(bucket[cut], found)
 
 
+def _same_sets(lines: _Lines, on: np.ndarray, ids: np.ndarray, crc: np.ndarray, n_buckets: int) -> pa.RecordBatch:
+    """One entry a line for the buckets of whole token sets, which stand behind those of tokens."""
+    bucket = (mix(lines.identity[on]) % np.uint64(n_buckets)).astype(np.int64)
+    turn = np.argsort(bucket, kind="stable")
+    on, bucket = on[turn], bucket[turn]
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    found = []
+    for x in np.split(on, cut[1:]):
+        d = lines.doc[x]
+        found.append(blobs.pack([lines.identity[x], blobs.delta(ids[d]), crc[d].astype("<u4"), lines.number[x].astype("<u4")]))
+    return _rows(bucket[cut] + n_buckets, found)
+
+
 def _emit(order: np.ndarray, n_buckets: int, threshold: float, asked: np.ndarray | None = None):
     """Slices of documents in, blobs of entries out; in the first round (``asked`` is None) also what slices settle."""
 
@@ -171,6 +188,7 @@ def _emit(order: np.ndarray, n_buckets: int, threshold: float, asked: np.ndarray
                     np.array([-1 - int(ids[0]) % n_buckets]),
                     [blobs.pack([ids[lines.doc[late]], crc[lines.doc[late]], lines.number[late], ids[lines.doc[rep[late]]], crc[lines.doc[rep[late]]], lines.number[rep[late]]])],
                 )
+                yield _same_sets(lines, np.flatnonzero(on), ids, crc, n_buckets)
             yield _entries(lines, on, ids, crc, lines.number, 0, n_buckets, threshold, asked)
 
     return run
@@ -223,14 +241,29 @@ def _pairs(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndar
         at = stop
 
 
-def _match(threshold: float, every: bool):
+def _match_sets(rows: pa.Table) -> pa.Table:
+    """All lines of equal token sets but the earliest."""
+    parts = [blobs.unpack(x, _SAME) for x in rows.column("blob").to_pylist()]
+    identity, crc, number = (np.concatenate([p[i] for p in parts]) for i in (0, 2, 3))
+    doc = np.concatenate([blobs.undelta(p[1]) for p in parts])
+    by = np.lexsort((number, doc, identity))
+    new = np.concatenate([[True], identity[by][1:] != identity[by][:-1]])
+    first = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
+    late = (doc[by] != doc[first]) | (number[by] != number[first])
+    x, y = by[late], first[late]
+    return _table(doc[x], crc[x], number[x], doc[y], crc[y], number[y], np.zeros(len(x), bool), True)
+
+
+def _match(n_buckets: int, threshold: float, every: bool):
     """Candidates of a bucket: per line the closest earlier partner, or all partners of the probes."""
 
     def run(rows: pa.Table) -> pa.Table:
         if rows.column("bucket")[0].as_py() < 0:
             parts = [blobs.unpack(x, ["<i8"] * 6) for x in rows.column("blob").to_pylist()]
             x_doc, x_crc, x_line, y_doc, y_crc, y_line = (np.concatenate([p[i] for p in parts]) for i in range(6))
-            return _table(x_doc, x_crc, x_line, y_doc, y_crc, y_line, np.zeros(len(x_doc), bool))
+            return _table(x_doc, x_crc, x_line, y_doc, y_crc, y_line, np.zeros(len(x_doc), bool), True)
+        if rows.column("bucket")[0].as_py() >= n_buckets:
+            return _match_sets(rows)
         parts = [blobs.unpack(x, _KINDS) for x in rows.column("blob").to_pylist()]
         token, size, position, parity, _, crc, number, probe = (np.concatenate([p[i] for p in parts]) for i in range(8))
         doc = np.concatenate([blobs.undelta(p[4]) for p in parts])
@@ -288,10 +321,10 @@ def _match(threshold: float, every: bool):
     return run
 
 
-def _table(x_doc, x_crc, x_line, y_doc, y_crc, y_line, more) -> pa.Table:
+def _table(x_doc, x_crc, x_line, y_doc, y_crc, y_line, more, sure: bool = False) -> pa.Table:
     wide = [c.astype(np.int64) for c in (x_doc, x_crc, x_line, y_doc, y_crc, y_line)]
     wide[2], wide[5] = wide[2].astype(np.int32), wide[5].astype(np.int32)
-    return pa.table(dict(zip([f.split()[0] for f in _FOUND.split(", ")], [*wide, more], strict=True)))
+    return pa.table(dict(zip([f.split()[0] for f in _FOUND.split(", ")], [*wide, more, np.full(len(more), sure)], strict=True)))
 
 
 def token_set(line: bytes) -> set[bytes]:
@@ -355,17 +388,20 @@ def _near_lines(keyed: DataFrame, packed: DataFrame, threshold: float) -> DataFr
     """
     order, words = rarity(keyed)
     n_buckets = max(16, math.ceil(words * (1 - threshold) / BUCKET_ENTRIES))
-    places = [f.split()[0] for f in _FOUND.split(", ")[:-1]]
+    own, partner = ["x_doc", "x_crc", "x_line"], F.struct("y_doc", "y_crc", "y_line")
     rows = keyed.mapInArrow(_emit(order, n_buckets, threshold), "bucket long, blob binary")
-    found = saved(rows.groupBy("bucket").applyInArrow(_match(threshold, False), _FOUND).groupBy(*places).agg(F.max("more").alias("more")))
-    checked = saved(_verified(packed, found, threshold))
-    gone = checked.where("good").select("doc", "crc", "line")
+    met = rows.groupBy("bucket").applyInArrow(_match(n_buckets, threshold, False), _FOUND)
+    found = saved(met.groupBy(*own).agg(F.max("sure").alias("sure"), F.max("more").alias("more"), F.collect_set(F.when(~F.col("sure"), partner)).alias("partners")))
+    open_ = found.where("not sure").select(*own, "more", F.explode("partners").alias("y")).select(*own, "y.*", "more")
+    checked = saved(_verified(packed, open_, threshold))
+    gone = found.where("sure").toDF("doc", "crc", "line", "sure", "more", "partners").select("doc", "crc", "line")
+    gone = gone.unionByName(checked.where("good").select("doc", "crc", "line"))
     probes = checked.where("x_text is not null")
     if not probes.isEmpty():
         bitmap = _asked(order, probes, threshold)
         rows = keyed.mapInArrow(_emit(order, n_buckets, threshold, bitmap), "bucket long, blob binary")
         rows = rows.unionByName(probes.mapInArrow(_ask(order, n_buckets, threshold), "bucket long, blob binary"))
-        wider = saved(rows.groupBy("bucket").applyInArrow(_match(threshold, True), _FOUND).dropDuplicates(places))
+        wider = saved(rows.groupBy("bucket").applyInArrow(_match(n_buckets, threshold, True), _FOUND).drop("sure").distinct())
         gone = gone.unionByName(_verified(packed, wider, threshold).where("good").select("doc", "crc", "line"))
     return saved(gone.groupBy("doc", "crc").agg(F.collect_set("line").alias("lines")))
 
