@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import tempfile
-import time
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -28,17 +27,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, its lineage cut: a lost executor costs a reread.
 
-    The shuffle files behind it are of no more use, but Spark frees them only when the driver
-    collects its garbage; so that is asked for here. Python hands over what it let go in the background.
+    The shuffle files behind earlier ones are of no more use, but Spark frees them only when the driver
+    collects its garbage; so that is asked for first.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    kept = df.select("*").checkpoint()  # so the plan that ran is nobody's
     gc.collect()
-    for wait in (0.7, 0.0):
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(wait)
-    return kept
+    spark.sparkContext._jvm.System.gc()
+    return df.select("*").checkpoint()  # a frame of its own, so that nobody keeps the plan that ran
 
 
 def partitions(spark: SparkSession) -> int:
