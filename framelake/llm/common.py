@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -32,8 +33,10 @@ def saved(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what Python lets go reaches the JVM a little later
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.8)
     return df.select("*").checkpoint()  # a frame of its own, so that nobody keeps the plan that ran
 
 

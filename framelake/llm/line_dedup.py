@@ -9,12 +9,12 @@ A line's tokens are its distinct words, A-Z in lower case. A line goes if an ear
    that share a counter only look more frequent; every order gives exact results.
 2. Prefixes. Similar lines share one of the first n - ceil(t n) + 1 tokens. Each slice of documents
    first settles lines whose token sets equal an earlier one in the slice, then sends one
-   compact entry (token, size, position, 64-bit parity of the token set, place) for each
+   compact entry (token, size, position, 64-bit parity of the token set, 128 bits for long lines, place) for each
    prefix token to the bucket of the token.
 3. Candidates. Within a token, a pair must fit in size, in what is left behind the matching
    position, and in its parities: tokens that only one line has toggle bits, so the differing bits
-   never exceed the symmetric difference. For each line the closest earlier partner is passed on,
-   and whether there were more; so a group of mutual near copies gives a row a line, not all pairs.
+   never exceed the symmetric difference. For each line the closest earlier partner is passed on
+   (of a token, then of all tokens), and whether there were more; so a group of mutual near copies gives a row a line, not all pairs.
    Equal token sets (by a 64-bit sum over full word hashes) also meet in buckets of their own and need no more.
 4. Verification of the others on the words themselves, in the document of the later line. Lines whose closest
    partner fails and that had more are tried against all their partners in a second round, for
@@ -44,10 +44,12 @@ BUCKET_ENTRIES = 1 << 19
 SLICE_BYTES = 16 << 20
 #: Slots of the bitmap of tokens that the second round asks for.
 TOKEN_SLOTS = 1 << 22
+#: Tokens from which a line has a second parity word; for others it is 0, which compresses away.
+WIDE_LINE = 48
 #: Entries that a bucket compares at a time.
 _PAIRS = 1 << 21
-_KINDS = ["<u4", "<u4", "<u4", "<u8", "<i8", "<u4", "<u4", "u1"]
-_FOUND = "x_doc long, x_crc long, x_line int, y_doc long, y_crc long, y_line int, more boolean, sure boolean"
+_KINDS = ["<u4", "<u4", "<u4", "<u8", "<u8", "<i8", "<u4", "<u4", "u1"]
+_FOUND = "x_doc long, x_crc long, x_line int, y_doc long, y_crc long, y_line int, more boolean, sure boolean, apart int"
 _SAME = ["<u8", "<i8", "<u4", "<u4"]
 _EPS = 1e-9
 
@@ -115,7 +117,12 @@ class _Lines:
         self.first = np.cumsum(self.size) - self.size
         mixed = mix(self.token)
         self.identity = np.concatenate(identity) if identity else mixed
-        self.parity = np.bitwise_xor.reduceat(np.uint64(1) << (mixed & np.uint64(63)), self.first) if base else mixed
+        # seven bits of a token choose one of 128 bits: the low word's, or the high word's
+        bit, high = np.uint64(1) << (mixed & np.uint64(63)), (mixed & np.uint64(64)) > 0
+        wide = np.repeat(self.size >= WIDE_LINE, self.size)
+        none = np.uint64(0)
+        self.parity = np.bitwise_xor.reduceat(np.where(wide & high, none, bit), self.first) if base else mixed
+        self.parity_high = np.bitwise_xor.reduceat(np.where(wide & high, bit, none), self.first) if base else mixed
 
 
 def _prefixes(lines: _Lines, on: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,7 +152,7 @@ def _entries(lines: _Lines, on: np.ndarray, ids: np.ndarray, crc: np.ndarray, nu
         x = line[a:b]
         d = lines.doc[x]
         found.append(blobs.pack([
-            (token[a:b] >> np.uint64(32)).astype("<u4"), lines.size[x].astype("<u4"), position[a:b].astype("<u4"), lines.parity[x],
+            (token[a:b] >> np.uint64(32)).astype("<u4"), lines.size[x].astype("<u4"), position[a:b].astype("<u4"), lines.parity[x], lines.parity_high[x],
             blobs.delta(ids[d]), crc[d].astype("<u4"), number[x].astype("<u4"), np.full(b - a, probe, dtype="u1"),
         ]))
     return _rows(bucket[cut], found)
@@ -251,7 +258,7 @@ def _match_sets(rows: pa.Table) -> pa.Table:
     first = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
     late = (doc[by] != doc[first]) | (number[by] != number[first])
     x, y = by[late], first[late]
-    return _table(doc[x], crc[x], number[x], doc[y], crc[y], number[y], np.zeros(len(x), bool), True)
+    return _table(doc[x], crc[x], number[x], doc[y], crc[y], number[y], np.zeros(len(x), bool))
 
 
 def _match(n_buckets: int, threshold: float, every: bool):
@@ -261,22 +268,24 @@ def _match(n_buckets: int, threshold: float, every: bool):
         if rows.column("bucket")[0].as_py() < 0:
             parts = [blobs.unpack(x, ["<i8"] * 6) for x in rows.column("blob").to_pylist()]
             x_doc, x_crc, x_line, y_doc, y_crc, y_line = (np.concatenate([p[i] for p in parts]) for i in range(6))
-            return _table(x_doc, x_crc, x_line, y_doc, y_crc, y_line, np.zeros(len(x_doc), bool), True)
+            return _table(x_doc, x_crc, x_line, y_doc, y_crc, y_line, np.zeros(len(x_doc), bool))
         if rows.column("bucket")[0].as_py() >= n_buckets:
             return _match_sets(rows)
         parts = [blobs.unpack(x, _KINDS) for x in rows.column("blob").to_pylist()]
-        token, size, position, parity, _, crc, number, probe = (np.concatenate([p[i] for p in parts]) for i in range(8))
-        doc = np.concatenate([blobs.undelta(p[4]) for p in parts])
+        token, size, position, parity, high, crc, number, probe = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2, 3, 4, 6, 7, 8))
+        doc = np.concatenate([blobs.undelta(p[5]) for p in parts])
         del parts
         # what occurs once has no partner
         by = np.lexsort((size, token))
         t = token[by]
         alike = np.concatenate([[False], t[1:] == t[:-1]])
         by = by[alike | np.append(alike[1:], False)]
-        token, size, position, parity, crc, number, probe, doc = (c[by] for c in (token, size.astype(np.int64), position.astype(np.int64), parity, crc, number, probe, doc))
+        token, size, position, parity, high, crc, number, probe, doc = (
+            c[by] for c in (token, size.astype(np.int64), position.astype(np.int64), parity, high, crc, number, probe, doc)
+        )
         if not len(token):
             none = np.zeros(0, np.int64)
-            return _table(none, none, none, none, none, none, np.zeros(0, bool))
+            return _table(none, none, none, none, none, none, np.zeros(0, bool), none)
         # partners of i stand behind it, in the same token and at most size / threshold large
         joint = (token.astype(np.int64) << 31) | np.minimum(size, (1 << 31) - 1)
         most = (token.astype(np.int64) << 31) | np.minimum((size / threshold + _EPS).astype(np.int64), (1 << 31) - 1)
@@ -291,7 +300,10 @@ def _match(n_buckets: int, threshold: float, every: bool):
             need = np.ceil(both * (threshold / (1 + threshold)) - _EPS)
             ok = 1 + np.minimum(size[i] - position[i], size[j] - position[j]) - 1 >= need
             i, j, both, need = i[ok], j[ok], both[ok], need[ok]
-            apart = np.bitwise_count(parity[i] ^ parity[j]).astype(np.int64)
+            # words of one width only may be compared: the wide line's are folded where the other is not wide
+            wide = (size[i] >= WIDE_LINE) == (size[j] >= WIDE_LINE)
+            low, top = parity[i] ^ parity[j], high[i] ^ high[j]
+            apart = np.where(wide, np.bitwise_count(low) + np.bitwise_count(top), np.bitwise_count(low ^ top)).astype(np.int64)
             ok = apart <= both - 2 * need
             i, j, apart = i[ok], j[ok], apart[ok]
             i_later = (doc[i] > doc[j]) | ((doc[i] == doc[j]) & (number[i] > number[j]))
@@ -312,19 +324,22 @@ def _match(n_buckets: int, threshold: float, every: bool):
                     best[x[closer]], partner[x[closer]] = a[closer], y[closer]
         if every:
             x, y = np.concatenate(all_x), np.concatenate(all_y)
-            more = np.zeros(len(x), bool)
+            more, apart = np.zeros(len(x), bool), np.zeros(len(x), np.int64)
         else:
             x = np.flatnonzero(partner >= 0)
-            y, more = partner[x], hits[x] > 1
-        return _table(doc[x], crc[x], number[x], doc[y], crc[y], number[y], more)
+            y, more, apart = partner[x], hits[x] > 1, best[x]
+        return _table(doc[x], crc[x], number[x], doc[y], crc[y], number[y], more, apart)
 
     return run
 
 
-def _table(x_doc, x_crc, x_line, y_doc, y_crc, y_line, more, sure: bool = False) -> pa.Table:
+def _table(x_doc, x_crc, x_line, y_doc, y_crc, y_line, more, apart=None) -> pa.Table:
+    """``apart``: a lower bound of the symmetric difference; None: the token sets are equal."""
+    sure = np.full(len(more), apart is None)
+    apart = np.zeros(len(more)) if apart is None else apart
     wide = [c.astype(np.int64) for c in (x_doc, x_crc, x_line, y_doc, y_crc, y_line)]
     wide[2], wide[5] = wide[2].astype(np.int32), wide[5].astype(np.int32)
-    return pa.table(dict(zip([f.split()[0] for f in _FOUND.split(", ")], [*wide, more, np.full(len(more), sure)], strict=True)))
+    return pa.table(dict(zip([f.split()[0] for f in _FOUND.split(", ")], [*wide, more, sure, apart.astype(np.int32)], strict=True)))
 
 
 def token_set(line: bytes) -> set[bytes]:
@@ -391,17 +406,19 @@ def _near_lines(keyed: DataFrame, packed: DataFrame, threshold: float) -> DataFr
     own, partner = ["x_doc", "x_crc", "x_line"], F.struct("y_doc", "y_crc", "y_line")
     rows = keyed.mapInArrow(_emit(order, n_buckets, threshold), "bucket long, blob binary")
     met = rows.groupBy("bucket").applyInArrow(_match(n_buckets, threshold, False), _FOUND)
-    found = saved(met.groupBy(*own).agg(F.max("sure").alias("sure"), F.max("more").alias("more"), F.collect_set(F.when(~F.col("sure"), partner)).alias("partners")))
-    open_ = found.where("not sure").select(*own, "more", F.explode("partners").alias("y")).select(*own, "y.*", "more")
+    several = F.max("more") | (F.min(partner) < F.max(partner))
+    closest = F.min(F.struct("apart", "y_doc", "y_crc", "y_line"))
+    found = saved(met.groupBy(*own).agg(F.max("sure").alias("sure"), several.alias("more"), closest.alias("y")))
+    open_ = found.where("not sure").select(*own, "y.*", "more").drop("apart")
     checked = saved(_verified(packed, open_, threshold))
-    gone = found.where("sure").toDF("doc", "crc", "line", "sure", "more", "partners").select("doc", "crc", "line")
+    gone = found.where("sure").toDF("doc", "crc", "line", "sure", "more", "y").select("doc", "crc", "line")
     gone = gone.unionByName(checked.where("good").select("doc", "crc", "line"))
     probes = checked.where("x_text is not null")
     if not probes.isEmpty():
         bitmap = _asked(order, probes, threshold)
         rows = keyed.mapInArrow(_emit(order, n_buckets, threshold, bitmap), "bucket long, blob binary")
         rows = rows.unionByName(probes.mapInArrow(_ask(order, n_buckets, threshold), "bucket long, blob binary"))
-        wider = saved(rows.groupBy("bucket").applyInArrow(_match(n_buckets, threshold, True), _FOUND).drop("sure").distinct())
+        wider = saved(rows.groupBy("bucket").applyInArrow(_match(n_buckets, threshold, True), _FOUND).drop("sure", "apart").distinct())
         gone = gone.unionByName(_verified(packed, wider, threshold).where("good").select("doc", "crc", "line"))
     return saved(gone.groupBy("doc", "crc").agg(F.collect_set("line").alias("lines")))
 
