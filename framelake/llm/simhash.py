@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import order_key, rows_of, saved, text_bytes
+from .common import order_key, rows_of, saved, text_bytes, with_fields
 from .components import connected_components
 
 SHINGLE = 3
@@ -74,15 +74,17 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(set_bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` (a signed long) for every row."""
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """``doc_id``, the columns ``more`` and ``fp`` (a signed long) for every row."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, "text")
+    names = ["doc_id", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
             found = np.array([fingerprint(t) for t in text_bytes(batch.column("text"))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(found.view(np.int64))], [*names, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return slim.mapInArrow(run, with_fields(slim.select(*names), "fp long"))
 
 
 def _signed(x: int) -> int:
@@ -130,6 +132,12 @@ def links(distinct: DataFrame) -> DataFrame:
     return stars.where(near).select(F.greatest("fp", "hub").alias("a"), F.least("fp", "hub").alias("b")).distinct()
 
 
+def _with_components(distinct: DataFrame) -> DataFrame:
+    """``distinct`` (one row a fingerprint) with ``component``, the smallest fingerprint reachable over links."""
+    labels = connected_components(links(distinct), "a", "b")
+    return distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``docs``.
 
@@ -140,8 +148,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     held = saved(fingerprints(docs))
     distinct = saved(held.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    labels = connected_components(links(distinct), "a", "b")
-    node = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    node = _with_components(distinct)
     names = node.groupBy("component").agg(F.min("least").alias("component_id"))
     named = node.join(names, "component").select("fp", "component_id")
     out = held.join(named, "fp")
@@ -149,9 +156,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each component stays: the row with its smallest id (null counts as the smallest; of
-    rows that repeat an id, one); the columns of ``docs``."""
-    found = near_duplicates(docs.withColumn("doc_id", order_key("doc_id")))
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id"))
-    keyed = docs.withColumn("__id", order_key("doc_id"))
-    return keyed.join(first, "__id", "left_semi").dropDuplicates(["__id"]).select(*docs.columns)
+    """One document of each component stays: the row with its smallest id (null counts as the smallest), of several
+    texts under that id the one with the smallest MD5 (null first), of equal rows one; the columns of ``docs``.
+
+    Ids may be null or repeat across components, so a row is known by its id and the MD5 of its text.
+    """
+    keyed = docs.withColumns({"__id": order_key("doc_id"), "__text": F.coalesce(F.unhex(F.md5("text")), F.lit(b""))})
+    held = fingerprints(keyed.select(F.col("__id").alias("doc_id"), "text", "__text"), "__text")
+    distinct = saved(held.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").alias("__id"), "__text")).alias("first")))
+    stay = _with_components(distinct).groupBy("component").agg(F.min("first").alias("first")).select("first.*")
+    return keyed.join(stay, ["__id", "__text"], "left_semi").dropDuplicates(["__id", "__text"]).select(*docs.columns)

@@ -99,6 +99,15 @@ def test_simhash_empty_and_nulls(spark):
     assert kept == {(None, "same words here now"), (9, "other text of mine"), (12, None)}
 
 
+def test_simhash_keeps_one_row_of_each_component(spark):
+    """Null and repeated ids stand in several components; each component keeps a row of its own."""
+    words = [" ".join(random.Random(i).choices(VOCAB, k=40)) for i in range(5)]
+    a, b, c, d, e = words
+    docs = table(spark, [a, a, b, b, c, d, e, d, d], [None, 3, None, 4, 8, 8, 8, 8, 9])
+    kept = [(r.doc_id, r.text) for r in simhash.deduplicated(docs).collect()]
+    assert sorted(kept, key=repr) == sorted([(None, a), (None, b), (8, c), (8, d), (8, e)], key=repr)
+
+
 def brute_lines(rows):
     kept, seen = {}, []
     for doc, text in sorted(rows, key=lambda r: r[0]):
