@@ -5,7 +5,7 @@ grandparent (half) and further ancestors (a third, a quarter, ...): one, one for
 one for each hundred characters up to ``MOST_LENGTH_POINTS``. A container's points are discounted by its
 link density. The best container is kept, with those of its siblings that score a fair share
 of its points or are text-like paragraphs. Boilerplate elements (navigation, headers, footers,
-sidebars, notices, adverts, forms, comments), scripts and styles never enter the tree.
+sidebars, notices, adverts, forms, comments), scripts and styles are parsed, so that the same tags end them, but their text is left out.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-_RAW = frozenset("script style noscript template textarea title svg iframe object canvas".split())
-_SKIP = frozenset("nav header footer aside form button select head menu dialog fieldset".split()) | _RAW
+_RAW = frozenset("script style textarea title iframe".split())
+_SKIP = frozenset("nav header footer aside form button select head menu dialog fieldset noscript template svg object canvas".split()) | _RAW
 _SKIP_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 _SKIP_WORD = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|menus|breadcrumb"
@@ -38,10 +38,22 @@ _SKIP_WORD = re.compile(
 )
 _KEEP_WORD = re.compile(r"(?:^|[\s_-])(?:article|main|content|body|post|entry|story|text)(?:$|[\s_-])", re.I)
 _PARAGRAPH = frozenset("p pre blockquote li td dd dt h1 h2 h3 h4 h5 h6 figcaption".split())
+_SPECIAL = _BLOCK | _SKIP
+#: What the start tag of an element ends, up to the innermost list or table.
 _CLOSED_BY: dict[str, frozenset[str]] = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
     "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]),
+    **dict.fromkeys(["tbody", "thead", "tfoot"], frozenset(["tr", "td", "th", "tbody", "thead", "tfoot"])),
 }
+_LISTS = frozenset("ul ol dl table".split())
+_TABLES = frozenset("table template object svg".split())
+_CELLS = frozenset("td th caption table".split())
+_OF_TABLE = frozenset("table caption td th tr tbody thead tfoot".split())
+#: What the end tag of a block does not lead out of, within skipped elements; others: ``_CELLS``.
+_LIMITS: dict[str, frozenset[str]] = {
+    "body": frozenset(), "html": frozenset(), "li": _CELLS | {"ul", "ol"}, "p": _CELLS | {"button"}, **dict.fromkeys(_OF_TABLE, frozenset(["table"])),
+}
+_OF_HEAD = frozenset("head title base link meta style script noscript template".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(>|\Z)", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -49,10 +61,12 @@ _BLANK = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "points", "chars", "link_chars")
+    __slots__ = ("tag", "parent", "dropped", "items", "points", "chars", "link_chars")
 
-    def __init__(self, tag: str, parent: Node | None):
+    def __init__(self, tag: str, parent: Node | None, skipped: bool = False):
         self.tag, self.parent = tag, parent
+        #: The outermost skipped element that this one is or lies in.
+        self.dropped: Node | None = parent and parent.dropped or (self if skipped else None)
         self.items: list[Node | str] = []
         self.points, self.chars, self.link_chars = 0.0, 0, 0
 
@@ -76,11 +90,53 @@ def _skipped(tag: str, attributes: str) -> bool:
     return False
 
 
+def _ended(node: Node, tag: str) -> Node:
+    """Where an end tag leads to; it ends what is open within its element, and is ignored where none is open.
+
+    Out of a skipped element it leads by the rules of HTML: inline end tags end no block, those of blocks no cell
+    around them, that of an item no list.
+    """
+    limits = _LIMITS.get(tag, _CELLS) if tag in _SPECIAL else _SPECIAL
+    up = node
+    while up.parent is not None and up.tag != tag:
+        if up.dropped and up.tag in limits:
+            return node
+        up = up.parent
+    if up.parent is None:
+        return node.dropped.parent if node.dropped and tag == "body" else node
+    return up.parent
+
+
+def _begun(node: Node, tag: str) -> Node:
+    """Where a start tag opens its element, after the open ones that it ends."""
+    top = node.dropped
+    if top and (tag == "body" or top.tag == "head" and (tag in ("article", "main") or node is top and tag not in _OF_HEAD)):
+        node = top.parent
+    if tag not in _BLOCK:
+        return node
+    up = node  # a block ends an open paragraph, and inline elements left open within it
+    while up.parent is not None and up.tag not in _SPECIAL:
+        up = up.parent
+    if up.tag == "p":
+        node = up.parent
+    closes = _CLOSED_BY.get(tag)
+    if closes:
+        stops = _TABLES if tag in _OF_TABLE else _LISTS
+        up = node
+        while up.parent is not None and up.tag not in stops:
+            if up.tag in closes:
+                node = up.parent
+            elif up.dropped and tag not in _OF_TABLE and up.tag in _SPECIAL and up.tag not in ("address", "div", "p"):
+                break
+            up = up.parent
+    return node
+
+
 def parse(page: str) -> Node:
-    """The tree of a page without boilerplate; tags may be unclosed or crossed."""
+    """The tree of a page; tags may be unclosed or crossed. Skipped elements are parsed like others, so that
+    the same tags end them, but hang in no list of items."""
     root = node = Node("html", None)
     at, end = 0, len(page)
-    dropped: list[str] = []  # open tags within a skipped element
     raw: str | None = None
     while at < end:
         if raw:  # up to the end tag, whatever stands between
@@ -90,7 +146,7 @@ def parse(page: str) -> Node:
             at, raw = close.start(), None
         token = _TOKEN.search(page, at)
         stop = token.start() if token else end
-        if stop > at and not dropped:
+        if stop > at and not node.dropped:
             node.items.append(page[at:stop])
         if not token:
             break
@@ -98,50 +154,23 @@ def parse(page: str) -> Node:
         tag = token[2] and token[2].lower()
         if not tag:
             continue
-        if dropped:
-            if token[1]:
-                if tag in dropped:
-                    del dropped[len(dropped) - 1 - dropped[::-1].index(tag) :]
-                elif tag == "body":
-                    dropped = []
-            elif tag in ("article", "main") and dropped[0] == "head" or tag == "body":
-                dropped = []
-            elif tag not in _VOID and not token[3].endswith("/"):
-                dropped.append(tag)
-                raw = tag if tag in _RAW else None
-            if dropped or token[1]:
-                continue
         if token[1]:
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            node = _ended(node, tag)
             continue
         if tag in _VOID:
-            node.items.append(" " if tag in ("br", "wbr", "img") else Node(tag, node))
-            continue
-        if tag in _BLOCK:  # a block ends an open paragraph, and inline elements left open within it
-            up = node
-            while up is not root and up.tag not in _BLOCK:
-                up = up.parent
-            if up.tag == "p":
-                node = up.parent
-            closes = _CLOSED_BY.get(tag)
-            if closes:
-                up = node
-                while up is not root and up.tag not in closes and up.tag not in ("ul", "ol", "dl", "table"):
-                    up = up.parent
-                if up.tag in closes:
-                    node = up.parent
-        if _skipped(tag, token[3]):
-            if not token[3].endswith("/"):
-                dropped, raw = [tag], tag if tag in _RAW else None
+            if node.dropped:
+                node = _begun(node, tag)
+            if not node.dropped:
+                node.items.append(" " if tag in ("br", "wbr", "img") else Node(tag, node))
             continue
-        child = Node(tag, node)
-        node.items.append(child)
-        if not token[3].endswith("/") or tag in _BLOCK:
+        node = _begun(node, tag)
+        child = Node(tag, node, node.dropped is None and _skipped(tag, token[3]))
+        if not child.dropped:
+            node.items.append(child)
+        closed = token[3].endswith("/")
+        if not closed or tag in _BLOCK and not child.dropped:
             node = child
+            raw = tag if tag in _RAW else None
     return root
 
 

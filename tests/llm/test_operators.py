@@ -238,6 +238,29 @@ def test_broken_pages(page):
     assert isinstance(html.main_text(page), str)
 
 
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        ("<article><p class=notice>Cookies<p>First, one.<p>Second.</article><p>Rest", "First, one.\nSecond."),
+        ("<main><ul><li class=share>Share<li>Item</ul><p>Rest</main>", "Item\nRest"),
+        ("<main><dl><dt class=ad>Buy<dd>Good<dt>Term</dl><p>Rest</main>", "Good\nTerm\nRest"),
+        ("<main><table><tr class=promo><td>Buy<tr><td>One<td class=ad>Two<td>Three</table>Rest</main>", "One\nThree\nRest"),
+        ("<main><div><div class=ad>Buy</div><aside>Near<p>more</div><p>Rest</main>", "Rest"),
+        ("<main><p>One <span class=share>Tweet</p><p>Two</main>", "One\nTwo"),
+        ("<main><p class=notice>Cookies<hr>Bare</main>", "Bare"),
+        ("<main><div class=ad><svg><path d=x></div><p>Rest</main>", "Rest"),
+        ("<main><span>One <nav><b>x</span>y<ul><li>z</ul></li></p></nav>two</span></main>", "One two"),
+        ("<main><table><tr><td>One<template><tr><td>x</td></tr></template> two</table></main>", "One two"),
+        ("<main><ul><li>One <nav><li>x</nav> two</ul></main>", "One two"),
+    ],
+)
+def test_skipped_elements_without_end_tags(body, text):
+    long = "<p>Words, and words, and words, of a paragraph that goes on, for a while.</p>" * 3
+    page = f"<head><title>T</title><meta name=x><body>{body}"
+    got = html.main_text(page.replace("<main>", f"<main>{long}").replace("<article>", f"<article>{long}"))
+    assert got.split("\n")[3:] == text.split("\n")
+
+
 def test_page_without_article_element():
     long = "words, and words, and again words of a real paragraph that goes on for a while. " * 3
     page = f"<body><div class=sidebar><a href=x>{long}</a></div><div class=wrap><div class=post><p>{long}</p><p>{long}</p></div></div><div class=menu>a</div></body>"
