@@ -3,8 +3,8 @@
 A page becomes a tree of elements. Each paragraph passes points to its parent (whole),
 grandparent (half) and further ancestors (a third, a quarter, ...): one, one for each comma and
 one for each hundred characters up to ``MOST_LENGTH_POINTS``. A container's points are discounted by its
-link density. The best container is kept, with those of its siblings that score a fair share
-of its points or are text-like paragraphs. Boilerplate elements (navigation, headers, footers,
+link density. The article or main element around the best container is kept, if the page has one; else
+the container (or its article), and beside it and its ancestors all that is not mostly links. Boilerplate elements (navigation, headers, footers,
 sidebars, notices, adverts, forms, comments), scripts and styles are parsed, so that the same tags end them, but their text is left out.
 """
 
@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import rows_of
 
 MOST_LENGTH_POINTS = 3
-SIBLING_SHARE = 0.2
+MOST_LINKS = 0.5
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form"
@@ -254,30 +256,44 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     nodes = _walk(root)
-    articles = [n for n in nodes if n.tag == "article"]
     _score(nodes)
     final = lambda n: n.points * (1 - n.link_chars / max(1, n.chars)) + (25 if n.tag in ("article", "main") else 0)
     containers = [n for n in nodes if n.points > 0]
     if not containers:
         return "\n".join(blocks(root))
     best = max(containers, key=final)
-    while best.parent is not None and best.parent.tag in ("article", "main") and len(articles) <= 1:
-        best = best.parent
-    parent = best.parent
-    if parent is None or best.tag in ("article", "main") and len(articles) == 1:
-        return "\n".join(blocks(best))
-    limit = max(10.0, SIBLING_SHARE * final(best))
-    kept: list[str] = []
-    for item in parent.items:
-        if item is best:
-            kept += blocks(best)
-        elif not isinstance(item, str) and item.tag in _BLOCK:
-            density = item.link_chars / max(1, item.chars)
-            if final(item) >= limit or item.tag in _PARAGRAPH and (item.chars > 80 and density < 0.25 or item.tag[0] == "h" and item.chars and density == 0):
-                kept += blocks(item)
+    count = Counter(n.tag for n in nodes)
+    around = [best]
+    while around[-1].parent is not None:
+        around.append(around[-1].parent)
+    holders = [n for n in around if n.tag in ("article", "main")]
+    if holders and count["article"] <= 1 and count[holders[-1].tag] == 1:
+        return "\n".join(blocks(holders[-1]))
+    inner = next((n for n in reversed(around) if n.tag == "article"), best)
+    outer = next((n for n in around if n.tag == "main" and count["main"] == 1), root)
+    kept = blocks(inner)
+    while inner is not outer and inner.parent is not None:
+        parent = inner.parent
+        at = next(i for i, x in enumerate(parent.items) if x is inner)
+        kept = _beside(parent.items[:at]) + kept + _beside(parent.items[at + 1 :])
+        inner = parent
     return "\n".join(kept)
 
 
+def _beside(items: list[Node | str]) -> list[str]:
+    """Blocks of the siblings that are not mostly links. Bare text and inline elements in a row are one sibling."""
+    out: list[str] = []
+    for block, group in groupby(items, key=lambda x: not isinstance(x, str) and x.tag in _BLOCK):
+        part = list(group)
+        for run in [[x] for x in part] if block else [part]:
+            chars = sum(len(x) - x.count(" ") // 2 if isinstance(x, str) else x.chars for x in run)
+            if sum(0 if isinstance(x, str) else x.link_chars for x in run) < MOST_LINKS * chars:
+                whole = Node("div", None)
+                whole.items = run
+                out += blocks(whole)
+    return out
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page; repeated rows repeat, other columns are ignored."""
 

@@ -267,6 +267,26 @@ def test_page_without_article_element():
     assert html.main_text(page) == "\n".join([long.strip()] * 2)
 
 
+@pytest.mark.parametrize("n", [2, 30])
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article><h1>Head</h1><div><section>{}</section><section><p>Short, one.</section></div></article>",
+        "<body><h1>Head</h1><div><section>{}</section><section><p>Short, one.</section></div>",
+        "<body><div class=nav>Home</div><h1>Head</h1><section>{}</section><section><p>Short, one.</section>",
+        "<main><article><h1>Head</h1><div><section>{}</section><section><p>Short, one.</section></div></article><article><a href=x>Next</a></article></main>",
+        "<article><h1>Head</h1><div><section>{}</section></div></article><article><p>Short, one.</article>",
+        "<body><h1>Head</h1><div><div>{}</div>Short, <b>one</b>.</div>",
+        "<body><h1>Head</h1><div><div>{}</div><span>Short, <a href=x>one</a></span>.<ul><li><a href=x>Elsewhere</a></ul></div>",
+        "<main><h1>Head</h1><div><article><div>{}</div></article></div><p>Short, one.</main>",
+    ],
+)
+def test_text_beside_the_best_container(page, n):
+    """What is kept does not follow the length of the longest section."""
+    long = "Words, and words, and words, of a real paragraph that goes on, and on, for a while."
+    assert html.main_text(page.format(f"<p>{long}</p>" * n)).split("\n") == ["Head", *[long] * n, "Short, one."]
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (2, None, None, "t")], "page_id int, url string, html string, text string")
     got = sorted(html.extract(pages).collect(), key=lambda r: r.page_id)
