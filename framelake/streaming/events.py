@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -19,27 +19,45 @@ def work_dir(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
+def _status(spark: SparkSession, path: str):
+    """What Spark's file systems say about a path; None where nothing is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store.getFileStatus(at) if store.exists(at) else None
+
+
 def file_stream(spark: SparkSession, folder: str, name: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
-    """A stream of the parquet files of a table; new files are picked up as they appear."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """A stream of the parquet files of a table, a single file or a directory of part files; new files are picked up as they appear."""
+    reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    table = f"{folder.rstrip('/')}/{name}.parquet"
+    status = _status(spark, table)
+    if status is not None and status.isDirectory():
+        return reader.parquet(table)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """All that the stream has now, as a table: appended rows, or the last complete result."""
+def drain(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """All that the stream has now, as a table: appended rows, the last complete result, or (update mode) the last row
+    of each of ``keys``, by default of the first column."""
     spark, at = stream.sparkSession, work_dir(stream.sparkSession)
     out = f"{at}/out"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
     if mode == "append":
-        query = stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+        query = writer.format("parquet").option("path", out).start()
+    elif mode == "update":
+        query = writer.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/__batch={i}")).start()
     else:
-        query = (
-            stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state")
-            .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).trigger(availableNow=True).start()
-        )
+        query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    if _status(spark, out) is None:  # no batch has run
+        return spark.createDataFrame([], stream.schema)
+    if mode != "update":
+        return spark.read.schema(stream.schema).parquet(out)
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("__batch", LongType())])).parquet(out)
+    last = F.max_by(F.struct(*stream.columns), "__batch").alias("last")
+    return rows.groupBy(*(keys or stream.columns[:1])).agg(last).select("last.*")
 
 
 def windowed(events: DataFrame, time: str, width: str, late: str, keys: list[str], value: str) -> DataFrame:

@@ -225,3 +225,23 @@ def test_folder_watch_needs_two_equal_scans(spark, tmp_path):
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "scans.parquet"))
     got = {r.path: r.status for r in events.drain(events.stable_files(stream), "update").collect()}
     assert got == {"a": "ready", "b": "settling"}
+
+
+@pytest.mark.parametrize("files", [None, 1])
+def test_streams_of_part_files(spark, tmp_path, files):
+    """A table of part files is read whole, and keys that the last batch lacks keep their row."""
+    schema = "k string, t int, v double"
+    parts = [[("a", 1, 70.0), ("b", 1, 10.0)], [("a", 2, 50.0)], [("c", 1, 90.0), ("a", 3, 10.0)]]
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    stream = events.file_stream(spark, str(tmp_path), "events", spark.read.parquet(str(tmp_path / "events.parquet")).schema, files)
+    kept = events.drain(stream.where("t < 3"), "append")
+    assert sorted(r.k for r in kept.collect()) == ["a", "a", "b", "c"]
+    got = sorted(map(tuple, events.drain(events.hysteresis(stream.where("t < 3"), "k", "t", "v", 60, 20), "update").collect()))
+    assert got == [("a", 2, 2, True), ("b", 1, 0, False), ("c", 1, 1, True)]
+
+
+def test_stream_without_files(spark, tmp_path):
+    (tmp_path / "events.parquet").mkdir()
+    stream = events.file_stream(spark, str(tmp_path), "events", spark.createDataFrame([], "k string, t int").schema)
+    assert [events.drain(s, m).count() for s, m in ((stream, "append"), (stream, "update"), (stream.groupBy("k").count(), "complete"))] == [0, 0, 0]
