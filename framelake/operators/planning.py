@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .similarity import ensure_checkpoint_dir
+
 LEVELS = ["A0", "A1", "A2", "A3", "A4", "A5"]
 
 
@@ -118,20 +120,27 @@ def blocked(tasks: DataFrame, links: DataFrame, key: str, needs: str, done: Colu
     return links.join(finished, needs, "left_anti").select(key, needs)
 
 
-def inherit(values: DataFrame, parents: DataFrame, most_levels: int = 32) -> DataFrame:
+def inherit(values: DataFrame, parents: DataFrame) -> DataFrame:
     """``name, path, value, level``: own values and those of all ancestors that no nearer one overrides.
 
-    ``parents``: name, parent. A bounded walk: each level joins the parents once; a cycle ends at ``most_levels``.
+    ``parents``: name, parent. Ancestors are found by doubling: those below 2^k levels up, seen from the ones exactly so many
+    levels up, give those below 2^(k+1). Pairs already found are dropped, so a cycle ends when it comes round.
     """
-    walk = parents.select("name", F.col("name").alias("at")).unionByName(parents.select(F.col("parent").alias("name"), F.col("parent").alias("at")))
-    walk = walk.where(F.col("name").isNotNull()).distinct().withColumn("level", F.lit(0))
-    every = step = walk
-    up = parents.where(F.col("parent").isNotNull()).select(F.col("name").alias("at"), F.col("parent").alias("__p"))
-    for level in range(1, most_levels + 1):
-        step = step.join(up, "at").select("name", F.col("__p").alias("at"), F.lit(level).alias("level")).where("at != name")
-        if step.isEmpty():
-            break
-        every = every.unionByName(step)
+    ensure_checkpoint_dir(parents.sparkSession)
+    pair = ["name", "at"]
+    nodes = parents.select("name").unionByName(parents.select(F.col("parent").alias("name"))).where("name is not null").distinct()
+    every = nodes.select("name", F.col("name").alias("at"), F.lit(0).alias("level")).checkpoint()
+    far = parents.where("name is not null and parent is not null and name != parent").select("name", F.col("parent").alias("at")).distinct().withColumn("level", F.lit(1)).checkpoint()
+
+    def beyond(further: DataFrame, found: DataFrame) -> DataFrame:
+        """Pairs by way of ``far`` and then ``further`` that are not in ``found``, by the shortest way."""
+        onward = further.select(F.col("name").alias("at"), F.col("at").alias("__to"), F.col("level").alias("__more"))
+        met = far.join(onward, "at").select("name", F.col("__to").alias("at"), (F.col("level") + F.col("__more")).alias("level"))
+        return met.groupBy(*pair).agg(F.min("level").alias("level")).join(found.select(*pair), pair, "left_anti")
+
+    while not far.isEmpty():
+        wider = every.unionByName(beyond(every, every)).checkpoint()
+        far, every = beyond(far, wider).checkpoint(), wider
     joined = every.join(values.withColumnRenamed("name", "at"), "at")
     w = Window.partitionBy("name", "path").orderBy("level")
     return joined.withColumn("__n", F.row_number().over(w)).where("__n = 1").select("name", "path", "value", "level")

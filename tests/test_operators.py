@@ -162,6 +162,25 @@ def test_inherit_stops_at_cycles(spark):
     assert got == {("a", "x"): "1", ("a", "y"): "3", ("b", "x"): "2", ("b", "y"): "3"}
 
 
+def test_inherit_reaches_every_ancestor(spark):
+    n = 41
+    parents = spark.createDataFrame([(f"n{i}", f"n{i - 1}") for i in range(1, n)] + [("x", "n20"), ("x", "n3"), ("p", "q"), ("q", "r"), ("r", "q")], "name string, parent string")
+    values = spark.createDataFrame([("n0", "far", "0"), ("n7", "near", "7"), ("n30", "near", "30"), ("r", "far", "r")], "name string, path string, value string")
+    got = {(r.name, r.path): (r.value, r.level) for r in planning.inherit(values, parents).collect()}
+    want = {(f"n{i}", "far"): ("0", i) for i in range(n)} | {(f"n{i}", "near"): ("30", i - 30) if i >= 30 else ("7", i - 7) for i in range(7, n)}
+    want |= {("x", "far"): ("0", 4), ("x", "near"): ("7", 14), ("p", "far"): ("r", 2), ("q", "far"): ("r", 1), ("r", "far"): ("r", 0)}
+    assert got == want
+
+
+def test_components_of_a_long_chain(spark):
+    edges = [(i, i + 1, 1.0) for i in range(150)] + [(i + 1, i, 1.0) for i in range(200, 260)] + [(500, 500, 1.0)]
+    got = similarity.with_components(spark.createDataFrame(edges, "a long, b long, similarity double")).collect()
+    assert len(got) == len(edges)
+    assert all(r.component == (0 if r.a <= 150 else 200 if r.a <= 260 else 500) for r in got)
+    with pytest.raises(RuntimeError):
+        similarity.with_components(spark.createDataFrame(edges, "a long, b long, similarity double"), 2)
+
+
 def test_global_rank_with_ties(spark):
     df = spark.createDataFrame([(i, float(i % 3)) for i in range(20)], "id int, s double")
     got = {r.id: r.rank for r in ranking.global_rank(df, "s", "id").collect()}
