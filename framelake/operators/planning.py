@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .similarity import ensure_checkpoint_dir
+from ..storage import saved
 
 LEVELS = ["A0", "A1", "A2", "A3", "A4", "A5"]
 
@@ -126,11 +126,10 @@ def inherit(values: DataFrame, parents: DataFrame) -> DataFrame:
     ``parents``: name, parent. Ancestors are found by doubling: those below 2^k levels up, seen from the ones exactly so many
     levels up, give those below 2^(k+1). Pairs already found are dropped, so a cycle ends when it comes round.
     """
-    ensure_checkpoint_dir(parents.sparkSession)
     pair = ["name", "at"]
     nodes = parents.select("name").unionByName(parents.select(F.col("parent").alias("name"))).where("name is not null").distinct()
-    every = nodes.select("name", F.col("name").alias("at"), F.lit(0).alias("level")).checkpoint()
-    far = parents.where("name is not null and parent is not null and name != parent").select("name", F.col("parent").alias("at")).distinct().withColumn("level", F.lit(1)).checkpoint()
+    every = saved(nodes.select("name", F.col("name").alias("at"), F.lit(0).alias("level")))
+    far = saved(parents.where("name is not null and parent is not null and name != parent").select("name", F.col("parent").alias("at")).distinct().withColumn("level", F.lit(1)))
 
     def beyond(further: DataFrame, found: DataFrame) -> DataFrame:
         """Pairs by way of ``far`` and then ``further`` that are not in ``found``, by the shortest way."""
@@ -139,8 +138,8 @@ def inherit(values: DataFrame, parents: DataFrame) -> DataFrame:
         return met.groupBy(*pair).agg(F.min("level").alias("level")).join(found.select(*pair), pair, "left_anti")
 
     while not far.isEmpty():
-        wider = every.unionByName(beyond(every, every)).checkpoint()
-        far, every = beyond(far, wider).checkpoint(), wider
+        wider = saved(every.unionByName(beyond(every, every)))
+        far, every = saved(beyond(far, wider)), wider
     joined = every.join(values.withColumnRenamed("name", "at"), "at")
     w = Window.partitionBy("name", "path").orderBy("level")
     return joined.withColumn("__n", F.row_number().over(w)).where("__n = 1").select("name", "path", "value", "level")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,11 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..storage import shared_folder
+
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder; only where none is set (tests), a local one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder below the shared checkpoint folder."""
+    return f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def _status(spark: SparkSession, path: str):

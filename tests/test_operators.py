@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framelake.functions import colour, names
-from framelake.operators import planning, ranking, review, robust, sessions, similarity, temporal
+from framelake.operators import graph, planning, ranking, review, robust, sessions, similarity, temporal
 from framelake.sources import images, tables
 from framelake.streaming import events
 
@@ -178,7 +178,7 @@ def test_components_of_a_long_chain(spark):
     assert len(got) == len(edges)
     assert all(r.component == (0 if r.a <= 150 else 200 if r.a <= 260 else 500) for r in got)
     with pytest.raises(RuntimeError):
-        similarity.with_components(spark.createDataFrame(edges, "a long, b long, similarity double"), 2)
+        graph.connected_components(spark.createDataFrame(edges, "a long, b long, similarity double"), "a", "b", 2)
 
 
 def test_global_rank_with_ties(spark):
