@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the
-columns of ``documents``. Between stages the rows are written and read again.
+columns of ``documents``, others with it. Between stages the rows are written and read again. An
+empty table gives no rows in every stage; reruns agree.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language go."""
+    """Documents without a recognised language go: also those with a null text or one without letters. A null id or
+    source changes nothing; a null language is only left out of training; rows that repeat are judged alike."""
     return langid.keep_identified(docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later near-equal lines go; ``n_chars`` follows the text."""
+    """Later near-equal lines go; ``n_chars`` follows the text. Every row stays: an emptied text is empty, a null one null
+    (``n_chars`` too). Null ids come first; rows that repeat id and text are one document."""
     cut = line_dedup.remove_near_lines(docs)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -31,17 +34,20 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each near-duplicate group stays: the smallest id (null first), of equal ids the text with the
+    smallest MD5. Null and wordless texts are one group; ids may be null or repeat across groups."""
     return simhash.deduplicated(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them; null or wordless texts never. A null source is one of its own;
+    rows that agree in id, text and source share their copies."""
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens, one row per piece."""
+    """Sequences of at most 2048 tokens, one row per piece. A null or empty text is the end id alone; null and repeated ids
+    are packed row by row."""
     return packing.pack(docs)
 
 
