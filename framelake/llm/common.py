@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -13,31 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-#: A word, as the contracts have it: a run of anything but space and \x09-\x0D.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The shared folder of ``spark.checkpoint.dir``; only where it is unset (tests), a local one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
-
+from ..storage import release, saved
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, its lineage cut: a lost executor costs a reread.
+__all__ = ["WORD", "order_key", "partitions", "prefix", "release", "rows_of", "saved", "squeezed", "table", "text_bytes", "unsqueezed", "with_fields"]
 
-    The shuffle files behind earlier ones are of no more use, but Spark frees them only when the driver
-    collects its garbage; so that is asked for first.
-    """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    for _ in range(2):  # what Python lets go reaches the JVM a little later
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.8)
-    return df.select("*").checkpoint()  # a frame of its own, so that nobody keeps the plan that ran
+#: A word, as the contracts have it: a run of anything but space and \x09-\x0D.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def partitions(spark: SparkSession) -> int:
@@ -66,6 +44,14 @@ def order_key(column: str):
     return F.coalesce(F.col(column).cast("long"), F.lit(-(2**63)))
 
 
+def prefix(df: DataFrame) -> str:
+    """A prefix for working columns that no column of ``df`` starts with."""
+    found = "__"
+    while any(c.startswith(found) for c in df.columns):
+        found += "_"
+    return found
+
+
 def with_fields(df: DataFrame, ddl: str) -> StructType:
     """The schema of ``df`` and more fields behind it."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])

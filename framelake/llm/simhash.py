@@ -33,8 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import order_key, rows_of, saved, text_bytes, with_fields
-from .components import connected_components
+from ..operators.graph import connected_components
+from .common import order_key, prefix, rows_of, saved, text_bytes, with_fields
 
 SHINGLE = 3
 RADIUS = 3
@@ -161,8 +161,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Ids may be null or repeat across components, so a row is known by its id and the MD5 of its text.
     """
-    keyed = docs.withColumns({"__id": order_key("doc_id"), "__text": F.coalesce(F.unhex(F.md5("text")), F.lit(b""))})
-    held = fingerprints(keyed.select(F.col("__id").alias("doc_id"), "text", "__text"), "__text")
-    distinct = saved(held.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").alias("__id"), "__text")).alias("first")))
+    p = prefix(docs)
+    key = [f"{p}id", f"{p}text"]
+    keyed = docs.withColumns({key[0]: order_key("doc_id"), key[1]: F.coalesce(F.unhex(F.md5("text")), F.lit(b""))})
+    held = fingerprints(keyed.select(F.col(key[0]).alias("doc_id"), "text", key[1]), key[1])
+    distinct = saved(held.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").alias(key[0]), key[1])).alias("first")))
     stay = _with_components(distinct).groupBy("component").agg(F.min("first").alias("first")).select("first.*")
-    return keyed.join(stay, ["__id", "__text"], "left_semi").dropDuplicates(["__id", "__text"]).select(*docs.columns)
+    return keyed.join(stay, key, "left_semi").dropDuplicates(key).select(*docs.columns)
