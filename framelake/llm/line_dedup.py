@@ -15,10 +15,14 @@ A line's tokens are its distinct words, A-Z in lower case. A line goes if an ear
    position, and in its parities: tokens that only one line has toggle bits, so the differing bits
    never exceed the symmetric difference. For each line the closest earlier partner is passed on
    (of a token, then of all tokens), and whether there were more; so a group of mutual near copies gives a row a line, not all pairs.
-   Equal token sets (by a 64-bit sum over full word hashes) also meet in buckets of their own and need no more.
-4. Verification of the others on the words themselves, in the document of the later line. Lines whose closest
-   partner fails and that had more are tried against all their partners in a second round, for
-   which only the entries go out whose token one of these lines has (told by a bitmap of fixed size).
+   In a token of over ``HOT_ENTRIES`` entries each line is held against the ``PIVOTS`` earliest first, and only lines without a
+   partner among these against the others, so a large group of near copies costs a few comparisons a line.
+   Equal token sets (by two 64-bit sums over full word hashes) meet in buckets of their own and need no more;
+   so do lines too short to have a similar one of another set.
+4. Verification of the others on the words themselves: asked lines are fetched from their documents, joined to the pairs
+   as rows, and compared by array functions. Lines whose closest partner fails and that had more are tried against all
+   their partners in a second round, for which only the entries go out whose token one of these lines has (told by a
+   bitmap of fixed size).
 
 Documents are dealt by id and checksum once, as zstandard frames, and saved so; a bucket holds a
 bounded number of entries on average.
@@ -31,27 +35,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .common import order_key, partitions, rows_of, saved, squeezed, text_bytes, unsqueezed, with_fields
+from .common import order_key, partitions, prefix, rows_of, saved, squeezed, text_bytes, unsqueezed, with_fields
 from .words import blocks, hashed_words, mix
 
 THRESHOLD = 0.8
 RARITY_BUCKETS = 1 << 18
-BUCKET_ENTRIES = 1 << 19
+BUCKET_ENTRIES = 1 << 17
 SLICE_BYTES = 16 << 20
 #: Slots of the bitmap of tokens that the second round asks for.
 TOKEN_SLOTS = 1 << 22
 #: Tokens from which a line has a second parity word; for others it is 0, which compresses away.
 WIDE_LINE = 48
+#: Entries from which a token's lines are held against ``PIVOTS`` of them first.
+HOT_ENTRIES = 512
+PIVOTS = 32
 #: Entries that a bucket compares at a time.
 _PAIRS = 1 << 21
 _KINDS = ["<u4", "<u4", "<u4", "<u8", "<u8", "<i8", "<u4", "<u4", "u1"]
 _FOUND = "x_doc long, x_crc long, x_line int, y_doc long, y_crc long, y_line int, more boolean, sure boolean, apart int"
-_SAME = ["<u8", "<i8", "<u4", "<u4"]
+_SAME = ["<u8", "<u8", "<i8", "<u4", "<u4"]
 _EPS = 1e-9
+_SECOND = np.uint64(0xA0761D6478BD642F)
 
 
 def _counter(h: np.ndarray) -> np.ndarray:
@@ -77,14 +85,15 @@ def rarity(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def prefix_length(n: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
-    return n - np.ceil(threshold * n - _EPS).astype(n.dtype) + 1
+    """Tokens of a prefix; none for sizes that only an equal set is similar to (n of n + 1 words in common are too few)."""
+    return np.where(n < threshold * (n + 1) - _EPS, 0, n - np.ceil(threshold * n - _EPS).astype(n.dtype) + 1)
 
 
 class _Lines:
     """Token sets of the lines of some texts, in order; lines without words are left out."""
 
     def __init__(self, texts: list[bytes], order: np.ndarray):
-        token, line_of, doc, number, identity = [], [], [], [], []
+        token, line_of, doc, number, identity, second = [], [], [], [], [], []
         base = 0
         for a, b in blocks(texts):
             buf, start, h, first = hashed_words([x.lower() for x in texts[a:b]])
@@ -97,14 +106,17 @@ class _Lines:
             line = breaks[start] - breaks[begin][text]
             new = np.concatenate([[True], (line[1:] != line[:-1]) | (text[1:] != text[:-1])])
             which = np.cumsum(new) - 1
-            key = (order[_counter(h)] << np.uint64(40)) | (h & np.uint64((1 << 40) - 1))
-            by = np.lexsort((key, which))
-            key, which, h = key[by], which[by], h[by]
-            once = np.concatenate([[True], (key[1:] != key[:-1]) | (which[1:] != which[:-1])])
-            token.append(key[once])
-            line_of.append(which[once] + base)
-            ends = np.flatnonzero(np.concatenate([[True], which[once][1:] != which[once][:-1]]))
-            identity.append(np.add.reduceat(mix(h[once]), ends))
+            place = (which.astype(np.uint64) << np.uint64(24)) | order[_counter(h)]
+            by = np.lexsort((h, place))
+            which, h = which[by], h[by]
+            once = np.concatenate([[True], (h[1:] != h[:-1]) | (which[1:] != which[:-1])])
+            which, h = which[once], h[once]
+            token.append(h)
+            line_of.append(which + base)
+            ends = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+            mixed = mix(h)
+            identity.append(np.add.reduceat(mixed, ends))
+            second.append(np.add.reduceat(mix(mixed ^ _SECOND), ends))
             head = np.flatnonzero(new)
             doc.append(text[head] + a)
             number.append(line[head])
@@ -117,6 +129,7 @@ class _Lines:
         self.first = np.cumsum(self.size) - self.size
         mixed = mix(self.token)
         self.identity = np.concatenate(identity) if identity else mixed
+        self.second = np.concatenate(second) if second else mixed
         # seven bits of a token choose one of 128 bits: the low word's, or the high word's
         bit, high = np.uint64(1) << (mixed & np.uint64(63)), (mixed & np.uint64(64)) > 0
         wide = np.repeat(self.size >= WIDE_LINE, self.size)
@@ -167,10 +180,18 @@ def _same_sets(lines: _Lines, on: np.ndarray, ids: np.ndarray, crc: np.ndarray,
     found = []
     for x in np.split(on, cut[1:]):
         d = lines.doc[x]
-        found.append(blobs.pack([lines.identity[x], blobs.delta(ids[d]), crc[d].astype("<u4"), lines.number[x].astype("<u4")]))
+        found.append(blobs.pack([lines.identity[x], lines.second[x], blobs.delta(ids[d]), crc[d].astype("<u4"), lines.number[x].astype("<u4")]))
     return _rows(bucket[cut] + n_buckets, found)
 
 
+def _firsts(by: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """For each place the first one, in the order ``by``, that has the same keys."""
+    new = np.concatenate([[True], np.any([k[by][1:] != k[by][:-1] for k in keys], axis=0)])
+    out = np.empty(len(by), dtype=np.int64)
+    out[by] = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
+    return out
+
+
 def _emit(order: np.ndarray, n_buckets: int, threshold: float, asked: np.ndarray | None = None):
     """Slices of documents in, blobs of entries out; in the first round (``asked`` is None) also what slices settle."""
 
@@ -184,9 +205,8 @@ def _emit(order: np.ndarray, n_buckets: int, threshold: float, asked: np.ndarray
             del texts
             if not len(lines.size):
                 continue
-            _, first, back = np.unique(lines.identity, return_index=True, return_inverse=True)
-            rep = first[back]
-            place = np.arange(len(rep))
+            place = np.arange(len(lines.size))
+            rep = _firsts(np.lexsort((place, lines.second, lines.identity)), lines.identity, lines.second)
             earlier = (ids[lines.doc] != ids[lines.doc[rep]]) | (lines.number != lines.number[rep])
             late = np.flatnonzero((rep != place) & earlier)
             on = (rep == place) | ((rep != place) & ~earlier & (crc[lines.doc] != crc[lines.doc[rep]]))
@@ -251,16 +271,97 @@ def _pairs(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndar
 def _match_sets(rows: pa.Table) -> pa.Table:
     """All lines of equal token sets but the earliest."""
     parts = [blobs.unpack(x, _SAME) for x in rows.column("blob").to_pylist()]
-    identity, crc, number = (np.concatenate([p[i] for p in parts]) for i in (0, 2, 3))
-    doc = np.concatenate([blobs.undelta(p[1]) for p in parts])
-    by = np.lexsort((number, doc, identity))
-    new = np.concatenate([[True], identity[by][1:] != identity[by][:-1]])
-    first = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
-    late = (doc[by] != doc[first]) | (number[by] != number[first])
-    x, y = by[late], first[late]
+    identity, second, crc, number = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 3, 4))
+    doc = np.concatenate([blobs.undelta(p[2]) for p in parts])
+    y = _firsts(np.lexsort((number, doc, second, identity)), identity, second)
+    x = np.flatnonzero((doc != doc[y]) | (number != number[y]))
+    y = y[x]
     return _table(doc[x], crc[x], number[x], doc[y], crc[y], number[y], np.zeros(len(x), bool))
 
 
+class _Bucket:
+    """Entries of a bucket by token and size, less tokens that occur once (they have no partner)."""
+
+    def __init__(self, found: list[bytes]):
+        parts = [blobs.unpack(x, _KINDS) for x in found]
+        token, size, position, parity, high, crc, number, probe = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2, 3, 4, 6, 7, 8))
+        doc = np.concatenate([blobs.undelta(p[5]) for p in parts])
+        by = np.lexsort((size, token))
+        t = token[by]
+        alike = np.concatenate([[False], t[1:] == t[:-1]])
+        by = by[alike | np.append(alike[1:], False)]
+        self.token, self.size, self.position = (c[by].astype(np.int64) for c in (token, size, position))
+        self.parity, self.high, self.crc, self.number, self.probe, self.doc = (c[by] for c in (parity, high, crc, number, probe, doc))
+        self.joint = (self.token << 31) | np.minimum(self.size, (1 << 31) - 1)
+
+    def behind(self, size: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """The place behind the last entry of the token that has at most this size."""
+        return np.searchsorted(self.joint, (token << 31) | np.minimum(size, (1 << 31) - 1), side="right")
+
+    def fit(self, i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs that may be similar by size, position and parity, and a lower bound of their symmetric differences."""
+        size, position = self.size, self.position
+        both = size[i] + size[j]
+        need = np.ceil(both * (threshold / (1 + threshold)) - _EPS)
+        ok = np.minimum(size[i] - position[i], size[j] - position[j]) >= need
+        i, j, both, need = i[ok], j[ok], both[ok], need[ok]
+        # words of one width only may be compared: the wide line's are folded where the other is not wide
+        wide = (size[i] >= WIDE_LINE) == (size[j] >= WIDE_LINE)
+        low, top = self.parity[i] ^ self.parity[j], self.high[i] ^ self.high[j]
+        apart = np.where(wide, np.bitwise_count(low) + np.bitwise_count(top), np.bitwise_count(low ^ top)).astype(np.int64)
+        ok = apart <= both - 2 * need
+        return i[ok], j[ok], apart[ok]
+
+    def earlier(self, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return (self.doc[y] < self.doc[x]) | ((self.doc[y] == self.doc[x]) & (self.number[y] < self.number[x]))
+
+    def similar_sizes(self, x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """For each of the entries ``x`` the range of the entries of its token that fit in size."""
+        least = np.ceil(threshold * self.size[x] - _EPS).astype(np.int64)
+        return self.behind(least - 1, self.token[x]), self.behind((self.size[x] / threshold + _EPS).astype(np.int64), self.token[x])
+
+
+def _closest(b: _Bucket, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines with an earlier partner, the closest one, how far it is at least, and whether there may be more."""
+    n = len(b.token)
+    best, partner, hits = np.full(n, 1 << 60, dtype=np.int64), np.full(n, -1), np.zeros(n, dtype=np.int64)
+
+    def consider(x: np.ndarray, y: np.ndarray, apart: np.ndarray) -> None:
+        ok = b.earlier(y, x)
+        x, y, apart = x[ok], y[ok], apart[ok]
+        if len(x):
+            np.add.at(hits, x, 1)
+            order = np.lexsort((b.doc[y], apart, x))
+            order = order[np.concatenate([[True], x[order][1:] != x[order][:-1]])]
+            order = order[apart[order] < best[x[order]]]
+            best[x[order]], partner[x[order]] = apart[order], y[order]
+
+    start = np.flatnonzero(np.concatenate([[True], b.token[1:] != b.token[:-1]]))
+    entries = np.diff(start, append=n)
+    hot = np.repeat(entries > HOT_ENTRIES, entries)
+    if hot.any():
+        every = np.flatnonzero(hot)
+        by = every[np.lexsort((b.number[every], b.doc[every], b.token[every]))]  # of each token the earliest first, in its own range
+        pivot_at = np.repeat(start, entries)
+        place = np.full(n, -1)
+        place[every] = by
+        for i, k in _pairs(pivot_at[every], pivot_at[every] + PIVOTS):
+            consider(*b.fit(every[i], place[k], threshold))
+        hits[every] *= 2  # the others were not looked at
+        open_ = every[partner[every] < 0]
+        for i, j in _pairs(*b.similar_sizes(open_, threshold)):
+            consider(*b.fit(open_[i], j, threshold))
+    cold = np.flatnonzero(~hot)
+    if len(cold):
+        behind = b.behind((b.size[cold] / threshold + _EPS).astype(np.int64), b.token[cold])
+        for i, j in _pairs(cold + 1, np.maximum(behind, cold + 1)):
+            x, y, apart = b.fit(cold[i], j, threshold)
+            consider(x, y, apart)
+            consider(y, x, apart)
+    x = np.flatnonzero(partner >= 0)
+    return x, partner[x], best[x], hits[x] > 1
+
+
 def _match(n_buckets: int, threshold: float, every: bool):
     """Candidates of a bucket: per line the closest earlier partner, or all partners of the probes."""
 
@@ -271,64 +372,19 @@ def _match(n_buckets: int, threshold: float, every: bool):
             return _table(x_doc, x_crc, x_line, y_doc, y_crc, y_line, np.zeros(len(x_doc), bool))
         if rows.column("bucket")[0].as_py() >= n_buckets:
             return _match_sets(rows)
-        parts = [blobs.unpack(x, _KINDS) for x in rows.column("blob").to_pylist()]
-        token, size, position, parity, high, crc, number, probe = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2, 3, 4, 6, 7, 8))
-        doc = np.concatenate([blobs.undelta(p[5]) for p in parts])
-        del parts
-        # what occurs once has no partner
-        by = np.lexsort((size, token))
-        t = token[by]
-        alike = np.concatenate([[False], t[1:] == t[:-1]])
-        by = by[alike | np.append(alike[1:], False)]
-        token, size, position, parity, high, crc, number, probe, doc = (
-            c[by] for c in (token, size.astype(np.int64), position.astype(np.int64), parity, high, crc, number, probe, doc)
-        )
-        if not len(token):
+        b = _Bucket(rows.column("blob").to_pylist())
+        if not len(b.token):
             none = np.zeros(0, np.int64)
-            return _table(none, none, none, none, none, none, np.zeros(0, bool), none)
-        # partners of i stand behind it, in the same token and at most size / threshold large
-        joint = (token.astype(np.int64) << 31) | np.minimum(size, (1 << 31) - 1)
-        most = (token.astype(np.int64) << 31) | np.minimum((size / threshold + _EPS).astype(np.int64), (1 << 31) - 1)
-        hi = np.searchsorted(joint, most, side="right")
-        lo = np.arange(1, len(joint) + 1)
-        best = np.full(len(token), 1 << 60, dtype=np.int64)
-        partner = np.full(len(token), -1)
-        hits = np.zeros(len(token), dtype=np.int64)
-        all_x, all_y = [], []
-        for i, j in _pairs(lo, np.maximum(hi, lo)):
-            both = size[i] + size[j]
-            need = np.ceil(both * (threshold / (1 + threshold)) - _EPS)
-            ok = 1 + np.minimum(size[i] - position[i], size[j] - position[j]) - 1 >= need
-            i, j, both, need = i[ok], j[ok], both[ok], need[ok]
-            # words of one width only may be compared: the wide line's are folded where the other is not wide
-            wide = (size[i] >= WIDE_LINE) == (size[j] >= WIDE_LINE)
-            low, top = parity[i] ^ parity[j], high[i] ^ high[j]
-            apart = np.where(wide, np.bitwise_count(low) + np.bitwise_count(top), np.bitwise_count(low ^ top)).astype(np.int64)
-            ok = apart <= both - 2 * need
-            i, j, apart = i[ok], j[ok], apart[ok]
-            i_later = (doc[i] > doc[j]) | ((doc[i] == doc[j]) & (number[i] > number[j]))
-            i_earlier = (doc[i] < doc[j]) | ((doc[i] == doc[j]) & (number[i] < number[j]))
-            for x, y, ok in ((i, j, i_later), (j, i, i_earlier)):
-                x, y, a = x[ok], y[ok], apart[ok]
-                if every:
-                    asks = (probe[x] > 0) & (probe[y] == 0)
-                    all_x.append(x[asks])
-                    all_y.append(y[asks])
-                elif len(x):
-                    np.add.at(hits, x, 1)
-                    order = np.lexsort((doc[y], a, x))
-                    x, y, a = x[order], y[order], a[order]
-                    head = np.concatenate([[True], x[1:] != x[:-1]])
-                    x, y, a = x[head], y[head], a[head]
-                    closer = a < best[x]
-                    best[x[closer]], partner[x[closer]] = a[closer], y[closer]
-        if every:
-            x, y = np.concatenate(all_x), np.concatenate(all_y)
-            more, apart = np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+            x, y, apart, more = none, none, none, none > 0
+        elif every:
+            asks = np.flatnonzero(b.probe > 0)
+            met = [b.fit(asks[i], j, threshold) for i, j in _pairs(*b.similar_sizes(asks, threshold))]
+            x, y, apart = (np.concatenate([m[k] for m in met] or [np.zeros(0, np.int64)]) for k in range(3))
+            ok = (b.probe[y] == 0) & b.earlier(y, x)
+            x, y, apart, more = x[ok], y[ok], apart[ok], np.zeros(int(ok.sum()), bool)
         else:
-            x = np.flatnonzero(partner >= 0)
-            y, more, apart = partner[x], hits[x] > 1, best[x]
-        return _table(doc[x], crc[x], number[x], doc[y], crc[y], number[y], more, apart)
+            x, y, apart, more = _closest(b, threshold)
+        return _table(b.doc[x], b.crc[x], b.number[x], b.doc[y], b.crc[y], b.number[y], more, apart)
 
     return run
 
@@ -342,13 +398,13 @@ def _table(x_doc, x_crc, x_line, y_doc, y_crc, y_line, more, apart=None) -> pa.T
     return pa.table(dict(zip([f.split()[0] for f in _FOUND.split(", ")], [*wide, more, sure, apart.astype(np.int32)], strict=True)))
 
 
-def token_set(line: bytes) -> set[bytes]:
-    return set(line.lower().split())
-
-
-def alike(a: set[bytes], b: set[bytes], threshold: float = THRESHOLD) -> bool:
-    both = len(a & b)
-    return both >= threshold * (len(a) + len(b) - both) - _EPS
+def alike(one: Column, other: Column, threshold: float = THRESHOLD) -> Column:
+    """Whether two lines' token sets reach the threshold; only A-Z are folded."""
+    low = "abcdefghijklmnopqrstuvwxyz"
+    tokens = lambda line: F.array_distinct(F.filter(F.split(F.translate(line, low.upper(), low), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    a, b = tokens(one), tokens(other)
+    both = F.size(F.array_intersect(a, b))
+    return both >= threshold * (F.size(a) + F.size(b) - both) - _EPS
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,40 +416,20 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for n in asked:
                 doc.append(d), crc.append(c), number.append(n), text.append(lines[n])
         columns = [pa.array(doc, pa.int64()), pa.array(crc, pa.int64()), pa.array(number, pa.int32()), pa.array(text, pa.binary()).cast(pa.string())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc", "crc", "line", "y_text"])
-
-
-def _verify(threshold: float):
-    """``good``: a partner holds; ``x_text``: the line, if none does and there were more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches):
-            doc, crc, number, good, again = [], [], [], [], []
-            for d, c, pairs, whole in zip(*(batch.column(k).to_pylist() for k in ("doc", "crc", "pairs")), unsqueezed(batch.column("text")), strict=True):
-                lines = whole.split(b"\n")
-                partners: dict[int, list[tuple[str, bool]]] = {}
-                for p in pairs:
-                    partners.setdefault(p["x_line"], []).append((p["y_text"], p["more"]))
-                for n, others in partners.items():
-                    own = token_set(lines[n])
-                    held = any(alike(own, token_set(text.encode()), threshold) for text, _ in others)
-                    doc.append(d), crc.append(c), number.append(n), good.append(held)
-                    again.append(None if held or not any(more for _, more in others) else lines[n])
-            columns = [pa.array(doc, pa.int64()), pa.array(crc, pa.int64()), pa.array(number, pa.int32()), pa.array(good, pa.bool_()), pa.array(again, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "crc", "line", "good", "x_text"])
-
-    return run
+        yield pa.RecordBatch.from_arrays(columns, ["doc", "crc", "line", "line_text"])
 
 
 def _verified(packed: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """``doc, crc, line, good, x_text`` for each candidate's later line. ``packed``: ``doc, crc, text`` as frames, dealt by document."""
-    asked = found.groupBy(F.col("y_doc").alias("doc"), F.col("y_crc").alias("crc")).agg(F.collect_set("y_line").alias("asked"))
-    texts = packed.join(asked, ["doc", "crc"]).mapInArrow(_fetch, "doc long, crc long, line int, y_text string").dropDuplicates(["doc", "crc", "line"])
-    named = texts.select(F.col("doc").alias("y_doc"), F.col("crc").alias("y_crc"), F.col("line").alias("y_line"), "y_text")
-    pairs = found.join(named, ["y_doc", "y_crc", "y_line"]).groupBy(F.col("x_doc").alias("doc"), F.col("x_crc").alias("crc"))
-    listed = pairs.agg(F.collect_list(F.struct("x_line", "y_text", "more")).alias("pairs"))
-    checked = packed.join(listed, ["doc", "crc"]).mapInArrow(_verify(threshold), "doc long, crc long, line int, good boolean, x_text string")
-    return checked.dropDuplicates(["doc", "crc", "line"])
+    """``doc, crc, line, good, more, x_text`` for each candidate's later line: whether a partner holds, whether there are more.
+    ``packed``: ``doc, crc, text`` as frames, dealt by document."""
+    key = ["doc", "crc", "line"]
+    side = lambda s: [F.col(f"{s}_{k}").alias(k) for k in key]
+    asked = found.select(*side("x")).unionByName(found.select(*side("y"))).groupBy("doc", "crc").agg(F.collect_set("line").alias("asked"))
+    lines = packed.join(asked, ["doc", "crc"]).mapInArrow(_fetch, "doc long, crc long, line int, line_text string").dropDuplicates(key)
+    named = lambda s: lines.select(*[F.col(k).alias(f"{s}_{k}") for k in key], F.col("line_text").alias(f"{s}_text"))
+    pairs = found.join(named("y"), [f"y_{k}" for k in key]).join(named("x"), [f"x_{k}" for k in key])
+    judged = pairs.select(*side("x"), alike(F.col("x_text"), F.col("y_text"), threshold).alias("good"), "more", "x_text")
+    return judged.groupBy(*key).agg(F.max("good").alias("good"), F.max("more").alias("more"), F.first("x_text").alias("x_text"))
 
 
 def _near_lines(keyed: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
@@ -409,11 +445,11 @@ def _near_lines(keyed: DataFrame, packed: DataFrame, threshold: float) -> DataFr
     several = F.max("more") | (F.min(partner) < F.max(partner))
     closest = F.min(F.struct("apart", "y_doc", "y_crc", "y_line"))
     found = saved(met.groupBy(*own).agg(F.max("sure").alias("sure"), several.alias("more"), closest.alias("y")))
-    open_ = found.where("not sure").select(*own, "y.*", "more").drop("apart")
+    open_ = found.where("not sure").select(*own, "y.y_doc", "y.y_crc", "y.y_line", "more")
     checked = saved(_verified(packed, open_, threshold))
     gone = found.where("sure").toDF("doc", "crc", "line", "sure", "more", "y").select("doc", "crc", "line")
     gone = gone.unionByName(checked.where("good").select("doc", "crc", "line"))
-    probes = checked.where("x_text is not null")
+    probes = checked.where("more and not good")
     if not probes.isEmpty():
         bitmap = _asked(order, probes, threshold)
         rows = keyed.mapInArrow(_emit(order, n_buckets, threshold, bitmap), "bucket long, blob binary")
@@ -431,19 +467,19 @@ def remove_near_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     document and get the same result; an empty table gives no rows.
     """
     base = docs.drop("n_lines", "n_removed")
+    p = prefix(base)
     doc, crc = order_key("doc_id"), F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
     keyed = base.select(doc.alias("doc"), crc.alias("crc"), F.coalesce("text", F.lit("")).alias("text"))
-    frames = squeezed(base.withColumns({"__doc": doc, "__crc": crc, "__null": F.col("text").isNull()}))
-    held = saved(frames.repartition(partitions(docs.sparkSession), "__doc", "__crc"))
-    gone = _near_lines(keyed, held.select(F.col("__doc").alias("doc"), F.col("__crc").alias("crc"), "text"), threshold)
-    named = gone.select(F.col("doc").alias("__doc"), F.col("crc").alias("__crc"), F.col("lines").alias("__lines"))
-    joined = held.join(named, ["__doc", "__crc"], "left")
+    frames = squeezed(base.withColumns({f"{p}doc": doc, f"{p}crc": crc, f"{p}null": F.col("text").isNull()}))
+    held = saved(frames.repartition(partitions(docs.sparkSession), f"{p}doc", f"{p}crc"))
+    gone = _near_lines(keyed, held.select(F.col(f"{p}doc").alias("doc"), F.col(f"{p}crc").alias("crc"), "text"), threshold)
+    joined = held.join(gone.toDF(f"{p}doc", f"{p}crc", f"{p}lines"), [f"{p}doc", f"{p}crc"], "left")
     names = base.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, SLICE_BYTES // 2):
             texts, counts, removed = [], [], []
-            for text, out, null in zip(unsqueezed(batch.column("text")), batch.column("__lines").to_pylist(), batch.column("__null").to_pylist(), strict=True):
+            for text, out, null in zip(unsqueezed(batch.column("text")), batch.column(f"{p}lines").to_pylist(), batch.column(f"{p}null").to_pylist(), strict=True):
                 counts.append(0 if null else text.count(b"\n") + 1)
                 removed.append(len(out or ()))
                 if out:
@@ -453,4 +489,4 @@ def remove_near_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
             columns = [pa.array(texts, pa.binary()).cast(pa.string()) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], [*names, "n_lines", "n_removed"])
 
-    return joined.select(*names, "__lines", "__null").mapInArrow(run, with_fields(base, "n_lines long, n_removed long"))
+    return joined.select(*names, f"{p}lines", f"{p}null").mapInArrow(run, with_fields(base, "n_lines long, n_removed long"))
