@@ -17,7 +17,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import order_key, partitions, rows_of, text_bytes, with_fields
@@ -83,74 +83,95 @@ def likeness(a: np.ndarray | None, b: np.ndarray | None) -> float:
 
 
 def _bounds(docs: DataFrame, parts: int) -> np.ndarray:
-    """Descending ids that cut the table into about ``parts`` equal ranges (one number per range)."""
+    """Ids in ascending order that cut the table into about ``parts`` equal ranges; a frequent id stands there several times."""
     at = [i / parts for i in range(1, parts)]
     row = docs.agg(F.percentile_approx("__id", at, 20 * parts).alias("q")).first() if at else None
-    return np.unique(np.array((row and row.q) or [], dtype=np.int64))[::-1]
+    return np.sort(np.array((row and row.q) or [], dtype=np.int64))
 
 
-def _bucket(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Bucket 0 holds the largest ids."""
-    return len(bounds) - np.searchsorted(bounds[::-1], ids, side="right")
+def _bucket(ids: np.ndarray, turn: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Bucket 0 holds the largest ids. An id that cuts k times has k buckets, dealt by the rank that its texts' hashes give."""
+    behind, before = np.searchsorted(bounds, ids, side="right"), np.searchsorted(bounds, ids, side="left")
+    rank = (turn.view(np.uint64) ^ np.uint64(1 << 63)).astype(np.float64) / 2.0**64
+    within = np.minimum((rank * (behind - before)).astype(np.int64), np.maximum(behind - before - 1, 0))
+    return len(bounds) - behind + within
+
+
+def _own_partitions(spark: SparkSession, n: int) -> np.ndarray:
+    """For each of ``n`` numbers a key that ``repartition(n, key)`` sends to the partition of that number."""
+    keys = spark.range(0, 40 * n + 400).select(F.pmod(F.hash("id"), F.lit(n)).alias("p"), "id")
+    found = {r["p"]: r["k"] for r in keys.groupBy("p").agg(F.min("id").alias("k")).collect()}
+    return np.array([found.get(i, i) for i in range(n)], dtype=np.int64)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """``__bucket, __tail, __id, text`` in sorted partitions: descending ids, and behind the rows of each
-    bucket, marked as tail, the row that follows them.
+    """``__key, __bucket, __tail, __id, text`` in sorted partitions: descending ids, equal ids by two hashes of the text, and
+    behind the rows of each bucket, marked as tail, the row that follows them.
 
-    The texts are shuffled once. Bounds and the first id of each bucket are one number
-    per bucket. The row after the smallest id is the one with the largest.
+    The texts are shuffled once, one bucket to a partition. Bounds and the first row of each bucket are a few
+    numbers per bucket. The row after the last is the first.
     """
     spark = docs.sparkSession
     parts = partitions(spark)
-    keyed = docs.select(order_key("doc_id").alias("__id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(order_key("doc_id").alias("__id"), F.xxhash64(text, F.lit(1)).alias("__h1"), F.xxhash64(text, F.lit(2)).alias("__h2"), text.alias("text"))
     bounds = _bounds(keyed, parts)
+    own = _own_partitions(spark, parts)
+
+    def order(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        ids, h1, h2 = (batch.column(c).to_numpy() for c in ("__id", "__h1", "__h2"))
+        return _bucket(ids, h1, bounds), ~ids, h1, h2
 
-    def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("__id").to_numpy()
-            bucket = _bucket(ids, bounds)
-            order = np.lexsort((-ids, bucket))
-            first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][first], pa.int64()), pa.array(ids[order][first])], ["b", "first"])
+            bucket, *keys = order(batch)
+            by = np.lexsort((*keys[::-1], bucket))
+            by = by[np.diff(bucket[by], prepend=-1) != 0]
+            yield pa.RecordBatch.from_arrays([pa.array(x[by]) for x in (bucket, *keys)], ["b", "i", "h1", "h2"])
 
-    firsts = {r["b"]: r["first"] for r in keyed.select("__id").mapInArrow(largest, "b long, first long").groupBy("b").agg(F.max("first").alias("first")).collect()}
+    heads = keyed.drop("text").mapInArrow(first, "b long, i long, h1 long, h2 long").groupBy("b").agg(F.min(F.struct("i", "h1", "h2")).alias("first"))
+    firsts = {r["b"]: tuple(r["first"]) for r in heads.collect()}
     there = sorted(firsts)
     before = {b: there[i - 1] for i, b in enumerate(there)}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("__id").to_numpy()
-            bucket = _bucket(ids, bounds)
-            yield _dealt(batch, bucket, np.zeros(len(ids), bool))
-            lead = np.array([firsts[b] for b in bucket.tolist()], dtype=np.int64) == ids
-            if lead.any():
-                yield _dealt(batch.filter(pa.array(lead)), np.array([before[b] for b in bucket[lead].tolist()]), np.ones(int(lead.sum()), bool))
+            bucket, *keys = order(batch)
+            yield _dealt(batch, bucket, False, own)
+            for b in np.unique(bucket).tolist():
+                lead = np.flatnonzero((bucket == b) & np.all([k == v for k, v in zip(keys, firsts[b], strict=True)], axis=0))[:1]
+                if len(lead):
+                    yield _dealt(batch.take(pa.array(lead)), np.array([before[b]]), True, own)
 
-    schema = "__bucket long, __tail boolean, __id long, text string"
-    return keyed.mapInArrow(deal, schema).repartition(parts, "__bucket").sortWithinPartitions("__bucket", "__tail", F.desc("__id"), "text")
+    schema = "__key long, __bucket long, __tail boolean, __id long, __h1 long, __h2 long, text string"
+    dealt = keyed.mapInArrow(deal, schema).repartition(parts, "__key")
+    return dealt.sortWithinPartitions("__bucket", "__tail", F.desc("__id"), "__h1", "__h2").drop("__key", "__h1", "__h2")
 
 
-def _dealt(batch: pa.RecordBatch, bucket: np.ndarray, tail: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(bucket, pa.int64()), pa.array(tail), batch.column("__id"), batch.column("text")], ["__bucket", "__tail", "__id", "text"]
-    )
+def _dealt(batch: pa.RecordBatch, bucket: np.ndarray, tail: bool, own: np.ndarray) -> pa.RecordBatch:
+    marks = [pa.array(own[bucket]), pa.array(bucket), pa.array(np.full(len(bucket), tail))]
+    return pa.RecordBatch.from_arrays([*marks, *map(batch.column, ("__id", "__h1", "__h2", "text"))], ["__key", "__bucket", "__tail", "__id", "__h1", "__h2", "text"])
 
 
 RESULT = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 )
+#: Texts that are compared at a time: so many, or so many bytes.
 _GROUP = 1024
+_GROUP_BYTES = 8 << 20
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fingerprints of each row, its edited text and the likeness to it and to the next row."""
     held: list[tuple[int, int, bool, str]] = []
-    for batch in rows_of(batches):
-        held += zip(*(batch.column(c).to_pylist() for c in ("__bucket", "__id", "__tail", "text")), strict=True)
-        if len(held) > _GROUP or batch.nbytes > 8 << 20:
-            yield _compared(held)
-            held = held[-1:]
+    size = 0
+    for batch in rows_of(batches, _GROUP_BYTES):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("__bucket", "__id", "__tail", "text")), strict=True):
+            held.append(row)
+            size += len(row[3])
+            if len(held) > _GROUP or size > _GROUP_BYTES and len(held) > 1:
+                yield _compared(held)
+                held, size = held[-1:], len(row[3])
     if held:
         yield _compared(held)
 
@@ -181,7 +202,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its edited text (the last half of its code points replaced by as
     many of the next document's first), and its estimated likeness to the edited text and to the next document.
 
-    Next: descending doc_id, equal ids by text, null ids last; after the last the first. A null
+    Next: descending doc_id, equal ids by hashes of their texts, null ids last; after the last the first. A null
     text is empty. A single row is its own successor; an empty table gives no rows; other
     columns are ignored. Repeated rows give equal fingerprints.
     """
