@@ -19,6 +19,7 @@ stretch stay open and go into the next, so memory does not follow the split.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections import deque
@@ -46,25 +47,28 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 @cache
-def encoder(path: str) -> tiktoken.Encoding:
-    """The byte-level BPE whose ranks lie beside ``path`` (the same vocabulary as the tokenizers file)."""
+def encoder(path: str, special: bool = False) -> tiktoken.Encoding:
+    """The byte-level BPE whose ranks lie beside ``path`` (the same vocabulary as the tokenizers file); ``special``: with
+    the added tokens of that file."""
     import public_tokenizers
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path.removesuffix(".json") + ".tiktoken", "rb"))}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    added = {x["content"]: x["id"] for x in json.load(open(path, encoding="utf-8"))["added_tokens"]} if special else {}
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 @cache
-def _sentence_ids(path: str) -> np.ndarray:
+def _sentence_ids(path: str, special: bool = False) -> np.ndarray:
     """Which ids end a sentence: their bytes end in . ! ? or hold a line break."""
-    enc = encoder(path)
+    enc = encoder(path, special)
     ends = re.compile(rb"[.!?][\"')\]]*$|\n")
     return np.array([bool(ends.search(enc.decode_single_token_bytes(i))) for i in range(enc.max_token_value + 1)])
 
 
-def token_ids(text: str | None, path: str) -> np.ndarray:
-    """Ids of a text and the id that ends a document."""
-    ids = encoder(path).encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0, np.uint32)
+def token_ids(text: str | None, path: str, special: bool = False) -> np.ndarray:
+    """Ids of a text and the id that ends a document. The string of an added token within a text is ordinary text (the
+    ``encode_special_tokens = True`` of the tokenizers file's own description), or that token's id where ``special``."""
+    ids = encoder(path, special).encode_to_numpy(text, allowed_special="all", disallowed_special=()) if text else np.zeros(0, np.uint32)
     return np.append(ids, np.uint32(END_ID)).astype(np.uint32)
 
 
@@ -118,8 +122,8 @@ def best_cuts(cuts: np.ndarray, cost: np.ndarray) -> list[int]:
 class _Packer:
     """Packs a stream of documents; holds only what no closed window has taken."""
 
-    def __init__(self, first_sequence: int, path: str):
-        self.sequence, self.sentences = first_sequence, _sentence_ids(path)
+    def __init__(self, first_sequence: int, sentences: np.ndarray):
+        self.sequence, self.sentences = first_sequence, sentences
         self.docs: list[tuple[int | None, np.ndarray, int]] = []  # id, ids not yet in a window, tokens that are
         self.size = 0
 
@@ -157,23 +161,24 @@ class _Packer:
         return pieces
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, stretch: int = STRETCH) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, stretch: int = STRETCH, special: bool = False) -> DataFrame:
     """Pieces of all documents: one row per document and sequence that it lies in.
 
     ``start`` counts the document's ids before the piece, ``offset`` those before it in the
     sequence; ``sequence_id`` names the task and the window. A null or empty text is the end id
-    alone. Rows that repeat a doc_id are packed one by one. Ties in cost take the earlier
-    cut. An empty table gives no rows; other columns are ignored.
+    alone. ``special``: see ``token_ids``. Rows that repeat a doc_id are packed one by one. Ties in cost take the earlier
+    cut. An empty table gives no rows; other columns are ignored. Order, windows and ``sequence_id`` follow the input splits,
+    so files or splits of another size give another packing of the same documents; each split ends on one short sequence.
     """
     import public_tokenizers
 
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = _Packer(TaskContext.get().partitionId() << 40, path)
+        packer = _Packer(TaskContext.get().partitionId() << 40, _sentence_ids(path, special))
         for batch in rows_of(batches, 4 << 20):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                packer.add(doc_id, token_ids(text, path))
+                packer.add(doc_id, token_ids(text, path, special))
                 if packer.size >= stretch:
                     yield _batch(packer.close(False))
         yield _batch(packer.close(True))
