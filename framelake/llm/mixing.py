@@ -7,9 +7,10 @@ along directions in the null space of the balancing constraints (tokens, documen
 until all but two are 0 or 1. It runs in blocks of bounded size; the few documents of
 each block that are still open go on to the next level, block by block, until one
 block per source remains. Its landing drops the document constraint, then the token
-constraint, and leaves a miss of less than one document's size. As documents differ in size by
-orders of magnitude, each block also hands on some closed documents; the last step flips those of
-them that bring the source closest to its target.
+constraint, and leaves a miss of less than one document's size and less than one document. As documents differ in
+size by orders of magnitude, each block also hands on some closed documents; the last step swaps taken ones of
+them for others, one for one, where that brings the source's tokens closer to the target. Of a source's documents at most
+``SWAPS`` pairs differ by that from the draw, whatever its size, so inclusion frequencies stay those of the cube method.
 
 Every draw comes from a hash of the seed and the document, so reruns agree.
 """
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, saved
+from .common import WORD, prefix, saved
 from .words import mix as mix_bits
 
 BLOCK_ROWS = 8192
@@ -31,9 +32,9 @@ BLOCK_ROWS = 8192
 WEIGHTS = (1, 2, 3)
 #: No source is taken more than so many times.
 MOST = 3
-#: Of so many rows of a block one, closed, stays open to flips on the next level; and flips at most.
+#: Of so many rows of a block one, closed, stays open to swaps on the next level; and swaps at most.
 RESERVE = 32
-FLIPS = 64
+SWAPS = 16
 _EPS = 1e-9
 
 
@@ -129,15 +130,22 @@ def _draws(key: np.ndarray) -> np.ndarray:
 
 
 def repair(prob: np.ndarray, size: np.ndarray, free: np.ndarray, miss: float) -> np.ndarray:
-    """Flip closed documents, the best one each time, as long as the miss (tokens wanted less tokens taken) shrinks."""
+    """Swap a taken document for one that is not, the best pair each time, as long as the miss (tokens wanted less tokens
+    taken) shrinks: the number of documents stays as the flight and the landing left it."""
     prob = prob.copy()
-    for _ in range(FLIPS):
-        change = np.where(free, np.where(prob > 0.5, -size, size), np.inf)
-        left = np.abs(miss - change)
-        i = int(np.argmin(left))
-        if not left[i] < abs(miss):
+    for _ in range(SWAPS):
+        taken, left = np.flatnonzero(free & (prob > 0.5)), np.flatnonzero(free & (prob < 0.5))
+        if not len(taken) or not len(left):
             break
-        prob[i], miss = 1 - prob[i], miss - change[i]
+        left = left[np.argsort(size[left], kind="stable")]
+        at = np.searchsorted(size[left], size[taken] + miss)
+        near = np.stack([np.maximum(at - 1, 0), np.minimum(at, len(left) - 1)])
+        after = np.abs(miss - (size[left[near]] - size[taken]))
+        side, i = np.unravel_index(int(np.argmin(after)), after.shape)
+        if not after[side, i] < abs(miss):
+            break
+        x, y = taken[i], left[near[side, i]]
+        prob[x], prob[y], miss = 0.0, 1.0, miss - (size[y] - size[x])
     return prob
 
 
@@ -218,12 +226,13 @@ def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
 
     Rows that agree in id, text and source share their copies: as even as possible, any order.
     """
-    taken = mix(docs, seed).groupBy("__key").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-    same = Window.partitionBy("__key").orderBy(F.monotonically_increasing_id())
-    keyed = docs.withColumn("__key", document_key(seed)).join(taken.where("__copies > 0"), "__key")
-    alone = F.when(F.col("__rows") == 1, F.col("__copies"))
-    share = F.floor(F.col("__copies") / F.col("__rows")) + F.when(F.col("__rn") <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
-    single = keyed.where("__rows = 1").withColumn("__times", alone)
-    several = keyed.where("__rows > 1").withColumn("__rn", F.row_number().over(same)).withColumn("__times", share).drop("__rn")
-    times = single.unionByName(several).where("__times > 0")
-    return times.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times").cast("long")))).select(*docs.columns)
+    p = prefix(docs)
+    key, copies, rows, place, times = (f"{p}{x}" for x in ("key", "copies", "rows", "place", "times"))
+    taken = mix(docs, seed).groupBy("__key").agg(F.sum("copies"), F.count(F.lit(1))).toDF(key, copies, rows)
+    same = Window.partitionBy(key).orderBy(F.monotonically_increasing_id())
+    keyed = docs.withColumn(key, document_key(seed)).join(taken.where(F.col(copies) > 0), key)
+    share = F.floor(F.col(copies) / F.col(rows)) + F.when(F.col(place) <= F.col(copies) % F.col(rows), 1).otherwise(0)
+    single = keyed.where(F.col(rows) == 1).withColumn(times, F.col(copies))
+    several = keyed.where(F.col(rows) > 1).withColumn(place, F.row_number().over(same)).withColumn(times, share).drop(place)
+    taken_rows = single.unionByName(several).where(F.col(times) > 0)
+    return taken_rows.withColumn(place, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times).cast("long")))).select(*docs.columns)
