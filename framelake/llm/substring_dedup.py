@@ -10,9 +10,13 @@ whole corpus is its own reference, and windows meet by content instead:
    each window once.
 2. A window's anchor is the smallest hash of its 16 five-word runs. Equal windows have equal anchors,
    and neighbouring windows mostly share one, so runs of windows travel together to the
-   bucket of their anchor: eight bytes a window and a few a run.
+   bucket of their anchor: eight bytes a window and a few a run. Anchors are counted first, every
+   ``COUNT_STEP``-th window of each text, in counters of a fixed number; a window whose anchor
+   is a hot one goes to a bucket by its own words instead, by a hash that has no part in the next step.
 3. A bucket sorts its windows by their 64-bit hash; of equal ones all but the earliest are
-   removed. Buckets are as many as it takes to hold about ``BUCKET_WINDOWS`` windows each.
+   removed. Buckets are as many as it takes to hold about ``BUCKET_WINDOWS`` windows each. Different windows
+   are taken for equal only if hash and bucket agree: W windows in B buckets, W * W / B / 2**65 of them in
+   all, 0.6 at 2 * 10**13 windows (100 TB).
 4. The removed window starts return to their documents, by (doc_id, checksum of the text).
 """
 
@@ -27,13 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .common import order_key, rows_of, squeezed, text_bytes, unsqueezed, with_fields
+from .common import order_key, prefix, rows_of, squeezed, text_bytes, unsqueezed, with_fields
 from .words import blocks, hashed_words, mix, runs
 
 WINDOW = 20
 ANCHOR = 5
 BUCKET_WINDOWS = 1 << 20
 SLICE_BYTES = 16 << 20
+COUNT_STEP = 64
+COUNTERS = 1 << 22
 _MASK_RUN = 62
 _KINDS = ["<u8", "<i8", "<u4", "<u4", "u1"]
 _SETTLED = "doc long, crc long, start int, mask long"
@@ -48,9 +54,13 @@ def _sliding_min(h: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def _windows(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, anchor, text number and start of all windows of ``texts``, in order."""
-    found: list[list[np.ndarray]] = [[], [], [], []]
+def _counter(anchor: np.ndarray) -> np.ndarray:
+    return (anchor % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def _windows(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, anchor, text number, start and a second hash of all windows of ``texts``, in order."""
+    found: list[list[np.ndarray]] = [[], [], [], [], []]
     for a, b in blocks(texts):
         _, _, h, first = hashed_words(texts[a:b])
         if len(h) < window:
@@ -66,11 +76,12 @@ def _windows(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, n
         inside = doc[:n] == doc[window - 1 :]
         doc = doc[:n][inside]
         found[0].append(w[inside])
+        found[4].append((w5[:n] ^ mix(w5[window // 2 : window // 2 + n] + np.uint64(window)))[inside])
         found[1].append(anchors[inside])
         found[2].append(doc + a)
         found[3].append(np.flatnonzero(inside) - first[doc])
     if not found[0]:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return tuple(np.concatenate(x) for x in found)
 
 
@@ -84,7 +95,40 @@ def _masks(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return doc[first], cell[first] * _MASK_RUN, np.bitwise_or.reduceat(bits, first)
 
 
-def _settle(n_buckets: int, window: int):
+def _count(window: int):
+    """Texts in; the number of their windows (counter -1) and of every ``COUNT_STEP``-th one by anchor out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches, SLICE_BYTES):
+            texts, total, seen = text_bytes(batch.column("text")), 0, []
+            for a, b in blocks(texts):
+                _, _, h, first = hashed_words(texts[a:b])
+                if len(h) < window:
+                    continue
+                anchors = _sliding_min(runs(h, ANCHOR), window - ANCHOR + 1)
+                size = np.maximum(np.diff(first) - window + 1, 0)
+                total += int(size.sum())
+                counted = -(-size // COUNT_STEP)
+                nth = np.arange(counted.sum()) - np.repeat(np.cumsum(counted) - counted, counted)
+                seen.append(_counter(anchors[np.repeat(first[:-1], counted) + nth * COUNT_STEP]))
+            counter, n = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(counter, -1)), pa.array(np.append(n, total))], ["counter", "n"])
+
+    return run
+
+
+def _hot_anchors(keyed: DataFrame, window: int) -> tuple[int, np.ndarray]:
+    """The number of windows, and the counters of the anchors that would fill a bucket: only so many as can be over the limit,
+    an eighth of a bucket or sixteen times a counter's fair share."""
+    counts = keyed.mapInArrow(_count(window), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    least = BUCKET_WINDOWS // 8
+    found = counts.where((F.col("counter") < 0) | (F.col("n") * COUNT_STEP > least)).toArrow()  # COUNTERS rows at most
+    counter, n = (found.column(c).to_numpy() for c in ("counter", "n"))
+    total = int(n[counter < 0].sum())
+    return total, np.sort(counter[(counter >= 0) & (n * COUNT_STEP > max(least, 16 * total // COUNTERS))])
+
+
+def _settle(n_buckets: int, window: int, hot: np.ndarray):
     """Slices of documents in; rows with a blob for a bucket, or with starts already settled, out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,11 +137,12 @@ def _settle(n_buckets: int, window: int):
             order = np.argsort(ids, kind="stable")
             texts = text_bytes(batch.column("text").take(pa.array(order)))
             ids, crc = ids[order], crc[order]
-            w, anchor, doc, start = _windows(texts, window)
+            w, anchor, doc, start, second = _windows(texts, window)
             del texts
             if not len(w):
                 continue
-            by = np.argsort(w, kind="stable")
+            # windows stand by (id, start) but where rows share an id
+            by = np.argsort(w, kind="stable") if (ids[1:] != ids[:-1]).all() else np.lexsort((start, ids[doc], w))
             ws = w[by]
             new = np.concatenate([[True], ws[1:] != ws[:-1]])
             first = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
@@ -107,7 +152,10 @@ def _settle(n_buckets: int, window: int):
             # of rows that repeat an id and its text one goes on for all
             on = np.sort(by[new | (~earlier & (crc[doc[by]] != crc[doc[first]]))])
             yield _rows(np.array([-1 - int(ids[0]) % n_buckets]), [_settled(ids, crc, doc[late], start[late])])
-            w, anchor, doc, start = w[on], anchor[on], doc[on], start[on]
+            w, anchor, doc, start, second = w[on], anchor[on], doc[on], start[on], second[on]
+            if len(hot):
+                apart = np.isin(_counter(anchor), hot)
+                anchor = np.where(apart, second, anchor)
             split = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)])
             head = np.flatnonzero(split)
             size = np.diff(head, append=len(w))
@@ -186,9 +234,9 @@ def _meet(rows: pa.Table) -> pa.Table:
 
 def repeated_windows(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc, crc, start, mask``: the windows of each document that also start earlier."""
-    total = keyed.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_buckets = max(16, math.ceil(total / 6 / BUCKET_WINDOWS))
-    rows = keyed.mapInArrow(_settle(n_buckets, window), "bucket long, blob binary")
+    total, hot = _hot_anchors(keyed, window)
+    n_buckets = max(16, math.ceil(total / BUCKET_WINDOWS))
+    rows = keyed.mapInArrow(_settle(n_buckets, window, hot), "bucket long, blob binary")
     return rows.groupBy("bucket").applyInArrow(_meet, _SETTLED)
 
 
@@ -211,16 +259,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     texts shorter than a window stay whole; an empty table gives no rows.
     """
     base = docs.drop("n_words", "n_removed")
-    keys = {"__doc": order_key("doc_id"), "__crc": F.crc32(F.coalesce("text", F.lit("")).cast("binary"))}
-    keyed = base.select(keys["__doc"].alias("doc"), keys["__crc"].alias("crc"), "text")
-    cuts = repeated_windows(keyed, window).groupBy("doc", "crc").agg(F.collect_list(F.struct("start", "mask")).alias("__cuts"))
-    joined = squeezed(base.withColumns(keys)).join(cuts, (F.col("__doc") == F.col("doc")) & (F.col("__crc") == F.col("crc")), "left")
+    p = prefix(base)
+    keys = {f"{p}doc": order_key("doc_id"), f"{p}crc": F.crc32(F.coalesce("text", F.lit("")).cast("binary"))}
+    keyed = base.select(keys[f"{p}doc"].alias("doc"), keys[f"{p}crc"].alias("crc"), "text")
+    cuts = repeated_windows(keyed, window).groupBy("doc", "crc").agg(F.collect_list(F.struct("start", "mask"))).toDF(*keys, f"{p}cuts")
+    joined = squeezed(base.withColumns(keys)).join(cuts, list(keys), "left")
     names = base.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, SLICE_BYTES // 2):
             texts, counts, gone = [], [], []
-            for text, found in zip(unsqueezed(batch.column("text")), batch.column("__cuts").to_pylist(), strict=True):
+            for text, found in zip(unsqueezed(batch.column("text")), batch.column(f"{p}cuts").to_pylist(), strict=True):
                 words = text.split()
                 counts.append(len(words))
                 if found:
@@ -231,4 +280,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             columns = [pa.array(texts, pa.binary()).cast(pa.string()) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_words", "n_removed"])
 
-    return joined.select(*names, "__cuts").mapInArrow(run, with_fields(base, "n_words long, n_removed long"))
+    return joined.select(*names, f"{p}cuts").mapInArrow(run, with_fields(base, "n_words long, n_removed long"))
