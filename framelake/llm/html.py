@@ -32,13 +32,16 @@ _BLOCK = frozenset(
 _RAW = frozenset("script style textarea title iframe".split())
 _SKIP = frozenset("nav header footer aside form button select head menu dialog fieldset noscript template svg object canvas".split()) | _RAW
 _SKIP_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
-_SKIP_WORD = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|menus|breadcrumb"
-    r"|breadcrumbs|header|masthead|footer|sidebar|side|rail|widget|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe"
-    r"|subscription|signup|share|sharing|social|related|recommended|comment|comments|commentlist|disqus|replies|reply|respond|copyright|legal|pagination|pager|skip|hidden|toolbar)(?:$|[\s_-]|\d)",
-    re.I,
+#: Parts of class names and ids that tell of something other than the article.
+_SKIP_WORD = frozenset(
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu menus breadcrumb breadcrumbs"
+    " header masthead footer sidebar side rail widget cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe"
+    " subscription signup share sharing social related recommended comment comments commentlist disqus replies reply respond copyright legal"
+    " pagination pager skip hidden toolbar".split()
 )
-_KEEP_WORD = re.compile(r"(?:^|[\s_-])(?:article|main|content|body|post|entry|story|text)(?:$|[\s_-])", re.I)
+#: A whole class name or id that names the article's body.
+_BODY_NAME = re.compile(r"(?:(?:main|page|site|post|entry|story|article|news|blog|body)[-_]*)?(?:article|main|content|body|post|entry|story|text)", re.I)
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _PARAGRAPH = frozenset("p pre blockquote li td dd dt h1 h2 h3 h4 h5 h6 figcaption".split())
 _SPECIAL = _BLOCK | _SKIP
 #: What the start tag of an element ends, up to the innermost list or table.
@@ -56,88 +59,129 @@ _LIMITS: dict[str, frozenset[str]] = {
     "body": frozenset(), "html": frozenset(), "li": _CELLS | {"ul", "ol"}, "p": _CELLS | {"button"}, **dict.fromkeys(_OF_TABLE, frozenset(["table"])),
 }
 _OF_HEAD = frozenset("head title base link meta style script noscript template".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(>|\Z)", re.S)
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)(\s*>)?", re.S)
+#: A name and a value in a start tag; a quote that nothing closes is part of an unquoted value.
+_ATTR = re.compile(r"[\s/]*(=?[^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.S)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _BLANK = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "dropped", "items", "points", "chars", "link_chars")
+    __slots__ = ("tag", "parent", "dropped", "special", "items", "points", "chars", "link_chars")
 
     def __init__(self, tag: str, parent: Node | None, skipped: bool = False):
         self.tag, self.parent = tag, parent
         #: The outermost skipped element that this one is or lies in.
         self.dropped: Node | None = parent and parent.dropped or (self if skipped else None)
+        #: The innermost element that is not an inline one: this one or one around it.
+        self.special: Node = self if parent is None or tag in _SPECIAL else parent.special
         self.items: list[Node | str] = []
         self.points, self.chars, self.link_chars = 0.0, 0, 0
 
 
-def _skipped(tag: str, attributes: str) -> bool:
+def _named_otherwise(value: str) -> bool:
+    """Whether a class or id names something other than the article: a name does that has one of the words among its
+    parts, unless another one of the names is a name of the article's body."""
+    names = value.split()
+    parts = [{x.lower() for x in _PART.findall(n)} for n in names]
+    odd = [n for n, p in zip(names, parts, strict=True) if p & _SKIP_WORD]
+    return bool(odd) and (any(n.lower() in _SKIP_WORD for n in odd) or not any(_BODY_NAME.fullmatch(n) for n in names))
+
+
+def _skipped(tag: str, attributes: list[tuple[str, str]]) -> bool:
     if tag in _SKIP:
         return True
-    if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False
-    if re.search(r"(?:^|\s)hidden(?:$|\s|=)", attributes):
-        return True
-    if tag in ("html", "body", "article", "main"):
-        return False
-    for name, *values in _ATTR.findall(attributes):
-        value = "".join(values)
-        name = name.lower()
-        if name in ("class", "id") and _SKIP_WORD.search(value) and not _KEEP_WORD.search(value):
+    for name, value in attributes:
+        if name == "hidden":
+            return True
+        if tag in ("html", "body", "article", "main"):
+            continue
+        if name in ("class", "id") and _named_otherwise(value):
             return True
         if name == "role" and value.lower() in _SKIP_ROLE or name == "style" and _HIDDEN.search(value) or name == "aria-hidden" and value.lower() == "true":
             return True
     return False
 
 
-def _ended(node: Node, tag: str) -> Node:
-    """Where an end tag leads to; it ends what is open within its element, and is ignored where none is open.
-
-    Out of a skipped element it leads by the rules of HTML: inline end tags end no block, those of blocks no cell
-    around them, that of an item no list.
-    """
-    limits = _LIMITS.get(tag, _CELLS) if tag in _SPECIAL else _SPECIAL
-    up = node
-    while up.parent is not None and up.tag != tag:
-        if up.dropped and up.tag in limits:
-            return node
-        up = up.parent
-    if up.parent is None:
-        return node.dropped.parent if node.dropped and tag == "body" else node
-    return up.parent
-
-
-def _begun(node: Node, tag: str) -> Node:
-    """Where a start tag opens its element, after the open ones that it ends."""
-    top = node.dropped
-    if top and (tag == "body" or top.tag == "head" and (tag in ("article", "main") or node is top and tag not in _OF_HEAD)):
-        node = top.parent
-    if tag not in _BLOCK:
-        return node
-    up = node  # a block ends an open paragraph, and inline elements left open within it
-    while up.parent is not None and up.tag not in _SPECIAL:
-        up = up.parent
-    if up.tag == "p":
-        node = up.parent
-    closes = _CLOSED_BY.get(tag)
-    if closes:
-        stops = _TABLES if tag in _OF_TABLE else _LISTS
+def _attributes(page: str, at: int) -> tuple[list[tuple[str, str]], bool, int]:
+    """Names and values from behind a tag's name, whether it closes itself, and where it ends (without an end: the page)."""
+    found: list[tuple[str, str]] = []
+    while at < len(page):
+        part = _ATTR.match(page, at)
+        name, double, single, plain = part.groups()
+        if name:
+            found.append((name.lower(), html.unescape(double or single or plain or "")))
+        at = part.end()
+        if page[at : at + 1] == ">":
+            return found, page[at - 1] == "/" and not plain, at + 1
+        if part.end() == part.start():
+            at += 1
+    return found, False, at
+
+
+class _Tree:
+    """The tree as it grows. ``open`` counts the open elements by tag, so that an end tag without one costs no search."""
+
+    def __init__(self):
+        self.root = self.node = Node("html", None)
+        self.open: Counter[str] = Counter()
+
+    def leave(self, to: Node) -> None:
+        """Close what lies within ``to``."""
+        while self.node is not to:
+            self.open[self.node.tag] -= 1
+            self.node = self.node.parent
+
+    def enter(self, child: Node) -> None:
+        self.open[child.tag] += 1
+        self.node = child
+
+    def end(self, tag: str) -> None:
+        """An end tag ends what is open within its element, and is ignored where none is open.
+
+        Out of a skipped element it leads by the rules of HTML: inline end tags end no block, those of blocks no cell
+        around them, that of an item no list.
+        """
+        node = self.node
+        if not self.open[tag]:
+            if node.dropped and tag == "body":
+                self.leave(node.dropped.parent)
+            return
+        limits = _LIMITS.get(tag, _CELLS) if tag in _SPECIAL else _SPECIAL
         up = node
+        while up.tag != tag or up.parent is None:
+            if up.dropped and up.tag in limits:
+                return
+            up = up.parent
+        self.leave(up.parent)
+
+    def begin(self, tag: str) -> None:
+        """Before an element opens: what its start tag ends."""
+        top = self.node.dropped
+        if top and (tag == "body" or top.tag == "head" and (tag in ("article", "main") or self.node is top and tag not in _OF_HEAD)):
+            self.leave(top.parent)
+        if tag not in _BLOCK:
+            return
+        if self.node.special.tag == "p" and self.node.special.parent is not None:  # with the inline elements left open in it
+            self.leave(self.node.special.parent)
+        closes = _CLOSED_BY.get(tag, frozenset())
+        if not any(self.open[x] for x in closes):
+            return
+        stops = _TABLES if tag in _OF_TABLE else _LISTS
+        up, to = self.node, self.node
         while up.parent is not None and up.tag not in stops:
             if up.tag in closes:
-                node = up.parent
+                to = up.parent
             elif up.dropped and tag not in _OF_TABLE and up.tag in _SPECIAL and up.tag not in ("address", "div", "p"):
                 break
             up = up.parent
-    return node
+        self.leave(to)
 
 
 def parse(page: str) -> Node:
     """The tree of a page; tags may be unclosed or crossed. Skipped elements are parsed like others, so that
     the same tags end them, but hang in no list of items."""
-    root = node = Node("html", None)
+    tree = _Tree()
     at, end = 0, len(page)
     raw: str | None = None
     while at < end:
@@ -148,32 +192,35 @@ def parse(page: str) -> Node:
             at, raw = close.start(), None
         token = _TOKEN.search(page, at)
         stop = token.start() if token else end
-        if stop > at and not node.dropped:
-            node.items.append(page[at:stop])
+        if stop > at and not tree.node.dropped:
+            tree.node.items.append(page[at:stop])
         if not token:
             break
         at = token.end()
         tag = token[2] and token[2].lower()
         if not tag:
             continue
+        attributes, closed = [], False
+        if not token[3]:
+            attributes, closed, at = _attributes(page, at)
         if token[1]:
-            node = _ended(node, tag)
+            tree.end(tag)
             continue
         if tag in _VOID:
-            if node.dropped:
-                node = _begun(node, tag)
-            if not node.dropped:
-                node.items.append(" " if tag in ("br", "wbr", "img") else Node(tag, node))
+            if tree.node.dropped:
+                tree.begin(tag)
+            if not tree.node.dropped:
+                tree.node.items.append(" " if tag in ("br", "wbr", "img") else Node(tag, tree.node))
             continue
-        node = _begun(node, tag)
-        child = Node(tag, node, node.dropped is None and _skipped(tag, token[3]))
+        tree.begin(tag)
+        node = tree.node
+        child = Node(tag, node, node.dropped is None and _skipped(tag, attributes))
         if not child.dropped:
             node.items.append(child)
-        closed = token[3].endswith("/")
         if not closed or tag in _BLOCK and not child.dropped:
-            node = child
+            tree.enter(child)
             raw = tag if tag in _RAW else None
-    return root
+    return tree.root
 
 
 def blocks(node: Node) -> list[str]:
@@ -271,13 +318,15 @@ def main_text(page: str | None) -> str:
         return "\n".join(blocks(holders[-1]))
     inner = next((n for n in reversed(around) if n.tag == "article"), best)
     outer = next((n for n in around if n.tag == "main" and count["main"] == 1), root)
-    kept = blocks(inner)
-    while inner is not outer and inner.parent is not None:
-        parent = inner.parent
-        at = next(i for i, x in enumerate(parent.items) if x is inner)
-        kept = _beside(parent.items[:at]) + kept + _beside(parent.items[at + 1 :])
-        inner = parent
-    return "\n".join(kept)
+    before, behind = [], []
+    node = inner
+    while node is not outer and node.parent is not None:
+        parent = node.parent
+        at = next(i for i, x in enumerate(parent.items) if x is node)
+        before.append(_beside(parent.items[:at]))
+        behind.append(_beside(parent.items[at + 1 :]))
+        node = parent
+    return "\n".join(x for part in (*before[::-1], blocks(inner), *behind) for x in part)
 
 
 def _beside(items: list[Node | str]) -> list[str]:
