@@ -7,33 +7,33 @@ n-grams of the longest length at which at least one of them is known, then to sh
 ones. A document's score is the softmax of its mean score per word, weighted by the
 square root of its words, so that it stays between 0 and 1 for any length.
 
-The model is a dictionary of at most ``max_words`` words and ``max_grams`` n-grams, a
-documented bound, and travels to the tasks as one broadcast.
+The model holds every word and n-gram that the sample has ``LEAST_COUNT`` times or more, so its size follows the
+sample, whose bound is a parameter; it travels to the tasks as one broadcast.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of, with_fields
+from .common import prefix, release, rows_of, saved, with_fields
 
 #: Bound of the training sample: expected documents per language, picked by the hash of the id.
 SAMPLE_DOCS = 1500
-#: Bounds of the model.
-MAX_WORDS = 120_000
-MAX_GRAMS = 120_000
+#: What occurs less often in the whole sample says nothing about a language.
+LEAST_COUNT = 3
 #: n-gram lengths, longest first.
 ORDERS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
-_WORDS = re.compile(r"[^\W\d_]+")
+#: Letters with the marks that combine with them.
+_WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _MEMO = 400_000
 
 
@@ -60,7 +60,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts.setdefault(lang, Counter()).update(_WORDS.findall(text.lower()))
         for lang, words in counts.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(words)), pa.array(list(words)), pa.array(list(words.values()), pa.int64())], ["lang", "token", "n"]
+                [pa.array([lang] * len(words), pa.int32()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["lang", "token", "n"]
             )
 
 
@@ -72,25 +72,28 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for gram in grams_of(word, order):
                     counts[lang, gram] += n
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())],
+            [pa.array([k[0] for k in counts], pa.int32()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())],
             ["lang", "token", "n"],
         )
 
 
-def _logs(counts: DataFrame, langs: list[str], most: int, add: float) -> tuple[dict[str, int], np.ndarray]:
-    """The ``most`` frequent tokens (ties by token) and their smoothed log frequency per language."""
-    wide = counts.groupBy("token").pivot("lang", langs).agg(F.sum("n")).na.fill(0)
-    total = sum((F.col(f"`{x}`") for x in langs), F.lit(0))
-    top = wide.orderBy(total.desc(), "token").limit(most).collect()
-    values = np.array([[r[x] for x in langs] for r in top], dtype=float).reshape(len(top), len(langs))
-    logs = np.log(values + add) - np.log(values.sum(axis=0) + add * (len(top) + 1))
-    return {r["token"]: i for i, r in enumerate(top)}, logs.astype(np.float32)
+def _logs(counts: DataFrame, n_langs: int, add: float) -> tuple[dict[str, int], np.ndarray]:
+    """The tokens of at least ``LEAST_COUNT`` occurrences and their smoothed log frequency per language."""
+    listed = counts.groupBy("token").agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("total"))
+    wide = listed.where(F.col("total") >= LEAST_COUNT).select("token", F.transform("by", lambda x: x["lang"]).alias("lang"), F.transform("by", lambda x: x["n"]).alias("n"))
+    found = wide.toArrow().combine_chunks()
+    values = np.zeros((found.num_rows, n_langs))
+    if found.num_rows:
+        lang, n = (found.column(c).combine_chunks() for c in ("lang", "n"))
+        values[lang.value_parent_indices().to_numpy(), lang.flatten().to_numpy()] = n.flatten().to_numpy()
+    logs = np.log(values + add) - np.log(values.sum(axis=0) + add * (len(values) + 1))
+    return {t: i for i, t in enumerate(found.column("token").to_pylist())}, logs.astype(np.float32)
 
 
-def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
+def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """A model from rows with ``doc_id, lang, text``; counts are made in the tasks, the driver gets the kept tokens.
 
-    Rows with a null language or text are left out. Without any labelled row the model
+    Rows with a null language or text are left out; a language may be any string. Without any labelled row the model
     knows no language and every prediction is ``und``.
     """
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -101,16 +104,15 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, max_words: int =
     share = F.lit(0.0)
     for lang in langs:
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_docs / sizes[lang]))).otherwise(share)
+    number = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = known.where(place < share).select("lang", "text")
-    schema = "lang string, token string, n long"
-    words = sample.mapInArrow(_count_words, schema).groupBy("lang", "token").agg(F.sum("n").alias("n")).persist()
-    try:
-        grams = words.mapInArrow(_count_grams, schema).groupBy("lang", "token").agg(F.sum("n").alias("n"))
-        word_index, word_logs = _logs(words, langs, max_words, 0.1)
-        gram_index, gram_logs = _logs(grams, langs, max_grams, 0.1)
-    finally:
-        words.unpersist()
+    sample = known.where(place < share).select(number.cast("int").alias("lang"), "text")
+    schema = "lang int, token string, n long"
+    words = saved(sample.mapInArrow(_count_words, schema).groupBy("lang", "token").agg(F.sum("n").alias("n")))
+    grams = words.mapInArrow(_count_grams, schema).groupBy("lang", "token").agg(F.sum("n").alias("n"))
+    word_index, word_logs = _logs(words, len(langs), 0.1)
+    gram_index, gram_logs = _logs(grams, len(langs), 0.1)
+    release(words)
     return Model(langs, word_index, word_logs, gram_index, gram_logs)
 
 
@@ -145,7 +147,7 @@ class Scorer:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = _WORDS.findall(text.lower()) if text else []
-        if not self.model.langs or not any(c.isalpha() for w in words for c in w):
+        if not self.model.langs or not words:
             return UNKNOWN, 0.0
         total = np.zeros(len(self.model.langs))
         for at in range(0, len(words), 50_000):
@@ -161,7 +163,7 @@ class Scorer:
         return self.model.langs[best], float(1 / np.exp(score - score[best]).sum())
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
+def identify(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """The rows of ``docs`` with ``lang_pred`` and ``score`` (0 to 1); only ``text`` is read.
 
     A null text or one without letters is ``und`` with score 0. Repeated rows get the
@@ -176,11 +178,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             kept = batch.schema.names
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in kept), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())],
-                [*kept, "lang_pred", "score"],
+                [*kept, lang, score],
             )
 
-    base = docs.drop("lang_pred", "score")
-    schema = with_fields(base, "lang_pred string, score double")
+    base = docs.drop(lang, score)
+    schema = with_fields(base, f"{lang} string, {score} double")
     return base.mapInArrow(run, schema)
 
 
@@ -199,4 +201,6 @@ def identify_documents(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataF
 def keep_identified(docs: DataFrame, least: float = 0.5, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """The documents whose language is found with a score of at least ``least``; the columns of ``docs``."""
     model = train(docs.where(~held_out()).select("doc_id", "lang", "text"), sample_docs)
-    return identify(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    p = prefix(docs)
+    found = identify(docs, model, f"{p}lang", f"{p}score")
+    return found.where((F.col(f"{p}lang") != UNKNOWN) & (F.col(f"{p}score") >= least)).select(*docs.columns)
