@@ -6,8 +6,9 @@ import re
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from framelake.llm import automaton, line_dedup, simhash, substring_dedup
+from framelake.llm import automaton, line_dedup, mixing, simhash, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 VOCAB = [f"w{i}" for i in range(60)]
@@ -130,7 +131,7 @@ def test_lines(spark):
     assert {r.doc_id: r.text for r in cut.collect()} == brute_lines([(7 * i % 1009, t) for i, t in enumerate(texts)])
 
 
-def test_lines_second_round(spark, monkeypatch):
+def test_lines_second_round(spark):
     """A line whose closest partner fails is tried against the others."""
     rng = random.Random(1)
     base = [f"t{i}" for i in range(40)]
@@ -141,11 +142,40 @@ def test_lines_second_round(spark, monkeypatch):
             line[j] = f"v{i}_{j}"
         texts.append(" ".join(line))
     docs = table(spark, texts, list(range(60)))
-    monkeypatch.setattr(line_dedup, "alike", lambda a, b, t=0.8: 5 * len(a & b) >= 4 * len(a | b))
+
     got = {r.doc_id: r.text for r in line_dedup.remove_near_lines(docs).collect()}
     assert got == brute_lines(list(enumerate(texts)))
 
 
+def test_lines_large_family(spark):
+    """A word of over HOT_ENTRIES lines: near copies, far copies, and a second family under the same rare word."""
+    rng = random.Random(2)
+    one, two = ([f"{k}{i}" for i in range(30)] for k in "pq")
+    texts = []
+    for i in range(line_dedup.HOT_ENTRIES + 200):
+        line = list(one if i % 3 else two)
+        for j in rng.sample(range(30), rng.choice([1, 2, 3, 9])):
+            line[j] = f"v{i}_{j}"
+        texts.append(" ".join([*line, "rare"]))
+    got = {r.doc_id: r.text for r in line_dedup.remove_near_lines(table(spark, texts, list(range(len(texts))))).collect()}
+    assert got == brute_lines(list(enumerate(texts)))
+
+
+def test_clashing_names(spark):
+    """Columns named like the operators' own working columns come through as they are."""
+    names = ["doc", "crc", "lines", "__doc", "__crc", "__id", "__text", "__key", "__rows", "bucket", "n_lines_"]
+    long_text = " ".join(VOCAB)
+    rows = [(i, long_text if i < 2 else f"{long_text} {i}", "en", *[f"{n}{i}" for n in names]) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    for run in (line_dedup.remove_near_lines, substring_dedup.remove_repeats, simhash.deduplicated, mixing.mixed_documents):
+        found = run(docs)
+        assert found.columns[: len(docs.columns)] == docs.columns
+        got = found.collect()
+        assert got
+        for r in got:
+            assert [r[n] for n in names] == [f"{n}{r.doc_id}" for n in names]
+
+
 def test_lines_repeated_rows_and_empty(spark):
     docs = table(spark, ["one two three", "one two three", "one two three"], [5, 5, 6])
     got = sorted((r.doc_id, r.text) for r in line_dedup.remove_near_lines(docs).collect())
@@ -224,6 +254,30 @@ def test_substrings_repeated_rows_and_empty(spark):
     text = " ".join(VOCAB[:30])
     docs = table(spark, [text, text, text, "b " + text], [5, 5, 6, 5])
     got = sorted((r.doc_id, r.n_removed) for r in substring_dedup.remove_repeats(docs).collect())
-    assert got[-1] == (6, 30) and got[:2] == [(5, 0), (5, 0)]
+    assert got == [(5, 0), (5, 0), (5, 30), (6, 30)]
     assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
     assert collections.Counter(r.doc_id for r in substring_dedup.remove_repeats(docs).collect()) == {5: 3, 6: 1}
+
+
+@pytest.mark.parametrize("parts", [1, 2, 4])
+def test_substrings_of_one_id_in_order_of_start(spark, parts):
+    """Of rows that share an id the window that starts earlier stays, however the rows are dealt."""
+    run = " ".join(VOCAB[:20])
+    docs = table(spark, [f"x y z {run}", run, f"x {run}"], [5, 5, 5]).repartition(parts)
+    got = {r.text for r in substring_dedup.remove_repeats(docs).collect()}
+    assert got == {"x y z", run, "x"}
+
+
+def test_substrings_hot_anchor(spark, monkeypatch):
+    """Windows of a common five-word run meet by their own words when the run is hot."""
+    monkeypatch.setattr(substring_dedup, "BUCKET_WINDOWS", 8)  # read on the driver
+    rng = random.Random(5)
+    words = lambda n: [rng.choice(VOCAB) for _ in range(n)]
+    hot, near = words(5), words(12)
+    texts = [" ".join([*words(14), *hot, *(near if i % 2 else []), *words(14), *(hot if i % 3 else []), *near, *hot]) for i in range(300)]
+    texts += texts[:5]
+    docs = table(spark, texts, list(range(len(texts))))
+    _, found = substring_dedup._hot_anchors(docs.select(F.col("doc_id").alias("doc"), "text"), 20)
+    assert len(found)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substring_dedup.remove_repeats(docs.drop("n_words")).collect()}
+    assert got == brute_windows(list(enumerate(texts)))

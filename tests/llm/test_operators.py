@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -68,6 +70,39 @@ def test_likeness_is_unbiased():
         assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.06
 
 
+def brute_jaccard(a, b, k=oph.SHINGLE):
+    shingles = lambda t: {tuple(w[i : i + k]) for w in [WORD.findall(t)] for i in range(max(1, len(w) - k + 1)) if w}
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_near_is_the_jaccard_likeness(spark):
+    """Estimated and exact likeness of given texts to their edited texts and to the next one."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").where("length(text) < 20000").collect()]
+    rows += [(100_000 + i, rows[0][1] + " tail" * (i % 3)) for i in range(40)]
+    got = {r.doc_id: r for r in oph.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    order = sorted(rows, reverse=True)
+    errors = []
+    for (doc, text), (_, following) in zip(order, order[1:] + order[:1], strict=True):
+        edited = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
+        errors += [got[doc].near_edited - brute_jaccard(text, edited), got[doc].near_next - brute_jaccard(text, following)]
+    assert np.max(np.abs(errors)) < 0.2 and abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.05
+
+
+def test_fingerprints_of_a_hot_id(spark):
+    """An id that half of the rows share is dealt over several partitions; every row keeps one successor."""
+    texts = [f"text {i} of the row" for i in range(120)]
+    docs = table(spark, texts + ["same"] * 60, [i if i % 2 else None for i in range(120)] + [None] * 60)
+    dealt = [(r.p, r["__bucket"], r["__id"], r["__tail"]) for r in oph.with_next(docs).withColumn("p", F.spark_partition_id()).collect()]
+    assert len({p for p, _, doc, tail in dealt if doc == oph.NO_ID and not tail}) > 1
+    assert len({(p, b) for p, b, *_ in dealt}) == len({b for _, b, *_ in dealt}) == len({p for p, *_ in dealt})
+    rows = oph.compare_with_next(docs).collect()
+    assert len(rows) == 180
+    assert collections.Counter(r.fingerprint for r in rows) == collections.Counter(oph.packed(oph.sketches([t.encode()])[0]) for t in texts + ["same"] * 60)
+    follow = collections.Counter(r.edited_sha256 for r in rows)
+    assert len(follow) > 100
+
+
 def test_fingerprints_of_repeated_and_null_rows(spark):
     same = table(spark, ["a b c", "a b c", None, ""], [5, 5, None, 2])
     rows = oph.compare_with_next(same).collect()
@@ -79,10 +114,11 @@ def test_fingerprints_of_repeated_and_null_rows(spark):
 # --- packing ------------------------------------------------------------------------------------
 
 
-def test_packing_is_a_round_trip(docs, texts):
+@pytest.mark.parametrize("special", [False, True])
+def test_packing_is_a_round_trip(docs, texts, special):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    rows = packing.pack(docs, stretch=4096).collect()
+    tokenizer.encode_special_tokens = not special
+    rows = packing.pack(docs, stretch=4096, special=special).collect()
     pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
         pieces[r.doc_id].append(r)
@@ -128,6 +164,18 @@ def test_cuts_are_optimal(seed):
     assert total == brute_cost(cuts.tolist(), cost.tolist())
 
 
+def test_ids_of_given_texts(spark):
+    """The ids of both readings are those of the tokenizers library, on every tenth of the given documents and on odd strings."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    given = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 10 = 0").collect()]
+    for special in (False, True):
+        tokenizer.encode_special_tokens = not special
+        for text in [*given, "x<|endoftext|>y", "<|endoftext|>", " <|endoftext|> <|endoftext|>", "<|endof", "\u00a0\u2003 x\r\n\n  y"]:
+            assert packing.token_ids(text, path, special).tolist() == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+    assert 50256 in packing.token_ids("x<|endoftext|>y", path, True) and 50256 not in packing.token_ids("x<|endoftext|>y", path)
+
+
 def test_packing_of_nothing(spark, docs):
     assert packing.pack(docs.limit(0)).count() == 0
     only = packing.pack(table(spark, [None], [None])).collect()
@@ -213,6 +261,38 @@ def test_flight_keeps_totals():
     assert out.sum() == pytest.approx(prob.sum()) and (out * size).sum() == pytest.approx((prob * size).sum())
 
 
+def test_inclusion_follows_the_probabilities(spark):
+    """Over many seeds a document is drawn as often as its source's rate says, and each draw keeps the number of documents."""
+    rng = np.random.default_rng(8)
+    n, prob = 60, 0.4
+    size = np.maximum(1, rng.lognormal(3, 1, n)).round()
+    taken = np.zeros(n)
+    for seed in range(600):
+        draw = mixing._draws(np.random.default_rng(seed).integers(0, 2**63, n))
+        out = mixing.landing(mixing.flight(np.full(n, prob), size, draw), size, draw[::-1])
+        out = mixing.repair(out, size, np.ones(n, bool), float(((prob - out) * size).sum()))
+        assert abs(out.sum() - prob * n) < 2.01 and set(out) <= {0.0, 1.0}
+        assert abs(((out - prob) * size).sum()) <= size.max()
+        taken += out
+    assert abs(taken.mean() / 600 - prob) < 0.01
+    typical = size < np.quantile(size, 0.9)
+    assert np.abs(taken[typical] / 600 - prob).max() < 0.12
+
+
+def test_documents_of_a_source_are_balanced(spark):
+    """Documents taken per source come near rate times documents, in blocks and levels."""
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(["w"] * int(1 + rng.lognormal(3, 0.7))), "abc"[i % 7 % 3]) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for block in (8192, 500):
+        found = mixing.mix(docs, block_rows=block).groupBy("source").agg(
+            F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n"), F.first("target").alias("target"), F.first("source_size").alias("size"), F.sum("taken").alias("taken")
+        )
+        for r in found.collect():
+            assert abs(r.copies - r.n * r.target / r["size"]) <= 3
+            assert abs(r.taken - r.target) <= 5
+
+
 def test_mixed_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s"), (2, "c d", "t")], "doc_id long, text string, source string")
     total = sum(r.taken for r in mixing.mix(docs).collect())
@@ -287,6 +367,95 @@ def test_text_beside_the_best_container(page, n):
     assert html.main_text(page.format(f"<p>{long}</p>" * n)).split("\n") == ["Head", *[long] * n, "Short, one."]
 
 
+@pytest.mark.parametrize(
+    "name", ["post-comments", "article-comments", "comment-content", "entry-related", "sidebar-content", "main-menu", "commentList", "content__sidebar", "ad content"]
+)
+def test_names_of_boilerplate(name):
+    page = f"<body><div class=content><p>A long enough paragraph, of the page.</p></div><div class='{name}'><p>Not of the page, but long enough too.</p></div>"
+    assert html.main_text(page) == "A long enough paragraph, of the page."
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "post-content", "articleBody", "entry-text with_ads"])
+def test_names_of_the_body(name):
+    assert html.main_text(f"<div class='{name}'><p>A paragraph, of the page.</p></div>") == "A paragraph, of the page."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article><p data-a=it's>One, two.</p><p title='it is'>Three.</p></article>",
+        "<article><p title=\"a > b\" data-x='<b>'>One, two.</p><p class=x/y>Three.</p></article>",
+        "<article><p>One, two.</p><p>Three.</p></article><p class=\"ad>Never closed",
+        "<article><p a = 'b'c>One, two.</p><p / / x>Three.</p></article><p",
+        "<article><p>One, two.<p =x>Three.</article>",
+    ],
+)
+def test_attributes(page):
+    assert html.main_text(page) == "One, two.\nThree."
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<span>" * 50_000 + "x" + "<div>" * 50_000, "<div>" * 50_000 + "<li>x</li>" * 50_000, "<div>" * 50_000 + "</b>" * 50_000, "<b><p>x" * 50_000, "<div><p>x, y</p>" * 30_000],
+)
+def test_deep_pages_take_linear_time(page):
+    began = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - began < 8
+
+
+def _made_page(rng):
+    """A page of known article blocks among boilerplate, in sloppy mark-up; and the text that it should give."""
+    pick = lambda n: " ".join(rng.choice(["stone", "river", "über", "mountain", "a", "tall", "house,", "walks", "naïve", "light."]) for _ in range(n))
+    spaced = lambda t: t.replace(" ", rng.choice([" ", "  ", "\n ", "\t"]))
+    attr = lambda: rng.choice(["", " class=lead", " title='a > b'", ' data-x="<p>"', " id=it's", " hidden-not=1", ' style="color:red"'])
+
+    def marked(text):
+        words = text.split(" ")
+        i = rng.randrange(len(words))
+        words[i] = rng.choice(["<b>{}</b>", "<a href='/x'>{}</a>", "<em class=x>{}</em>", "{}<!-- <p>no</p> -->", "<span>{}"]).format(words[i])
+        return spaced(" ".join(words))
+
+    truth, body = [], []
+    for _ in range(rng.randint(3, 12)):
+        kind = rng.choice(["p", "p", "p", "h2", "ul", "div", "amp", "table"])
+        if kind == "ul":
+            items = [pick(rng.randint(3, 9)) for _ in range(rng.randint(1, 4))]
+            truth += items
+            body.append("<ul>" + "".join(f"<li{attr()}>{marked(x)}" + rng.choice(["", "</li>"]) for x in items) + "</ul>")
+        elif kind == "amp":
+            text = pick(8)
+            truth.append(f"{text} & <{text}> é\u2014 \u00a9")
+            body.append(f"<p>{text} &amp; &lt;{text}&gt; &eacute;&#8212; &copy;</p>")
+        elif kind == "table":
+            cells = [pick(4) for _ in range(3)]
+            truth += cells
+            body.append("<table>" + "".join(f"<tr><td>{c}" + rng.choice(["", "</td></tr>"]) for c in cells) + "</table>")
+        else:
+            text = pick(rng.randint(12, 40))
+            truth.append(text)
+            body.append(f"<{kind}{attr()}>{marked(text)}" + (rng.choice(["", "</p>"]) if kind == "p" else f"</{kind}>"))
+    names = ["ad", "cookie-notice", "sidebar", "post-comments", "related-posts", "mainMenu", "share", "footer-widget", "newsletter signup"]
+    noise = lambda: rng.choice([
+        f"<nav><ul><li><a href=/a>{pick(2)}</a></ul></nav>", f"<div class='{rng.choice(names)}'><p>{pick(20)}</p></div>", f"<footer>{pick(9)}</footer>",
+        f"<aside>{pick(12)}</aside>", f"<form><p>{pick(5)}<input value='x'></form>", f"<script>if (a < b) document.write('<p>{pick(3)}</p>')</script>",
+        f"<style>p > a {{ x: '{pick(2)}' }}</style>", f"<section id={rng.choice(names).replace(' ', '-')}><h3>{pick(3)}</h3><p>{pick(25)}</p></section>",
+        f"<!-- {pick(5)} <p> -->", f"<div role=complementary>{pick(8)}</div>", f"<div style='display: none'>{pick(8)}</div>",
+    ])
+    for _ in range(rng.randint(0, 3)):
+        body.insert(rng.randint(0, len(body)), noise())
+    holder = rng.choice(["article", "main", "div class=post-content", "div id=content", "section"])
+    around = lambda: "".join(noise() for _ in range(rng.randint(0, 4)))
+    page = f"<!doctype html><html><head><title>{pick(3)}</title></head><body>{around()}<{holder}>{''.join(body)}</{holder.split()[0]}>{around()}</body></html>"
+    return page, truth
+
+
+@pytest.mark.parametrize("seed", range(150))
+def test_made_pages(seed):
+    page, truth = _made_page(random.Random(seed))
+    assert html.main_text(page).split("\n") == truth
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (2, None, None, "t")], "page_id int, url string, html string, text string")
     got = sorted(html.extract(pages).collect(), key=lambda r: r.page_id)
@@ -344,6 +513,52 @@ def test_language_of_odd_texts(spark):
     assert {r.lang_pred for r in langid.identify_documents(unlabelled).collect()} == {"und"}
 
 
+def test_languages_of_any_name(spark):
+    """Language values are data: backticks, dots, names of the operator's own columns."""
+    names = ["a`b", "token", "lang.n", "", "n"]
+    words = [["the", "cat"], ["der", "hund"], ["le", "chien"], ["el", "gato"], ["kot", "pies"]]
+    docs = spark.createDataFrame([(i, " ".join(words[i % 5] * 3), names[i % 5]) for i in range(200)], "doc_id long, text string, lang string")
+    assert all(r.lang_pred == names[r.doc_id % 5] for r in langid.identify_documents(docs).collect())
+
+
+def test_words_keep_their_marks():
+    assert langid._WORDS.findall("हिन्दी भाषा naïve e\u0301te 12ab_c") == ["हिन्दी", "भाषा", "naïve", "e\u0301te", "ab", "c"]
+
+
+def brute_scores(model, text):
+    """Word by word, straight from the definition."""
+    words = langid._WORDS.findall((text or "").lower())
+    total = np.zeros(len(model.langs))
+    for w in words:
+        if w in model.words:
+            total += model.word_logs[model.words[w]]
+            continue
+        bounded = f"^{w}$"
+        for n in langid.ORDERS:
+            every = [bounded[i : i + n] for i in range(len(bounded) - n + 1)]
+            known = [model.grams[g] for g in every if g in model.grams]
+            if known and (n == 1 or 2 * len(known) >= len(every)):
+                total += model.gram_logs[known].mean(axis=0)
+                break
+    score = total / np.sqrt(len(words)) if words else None
+    return ("und", 0.0) if score is None else (model.langs[int(np.argmax(score))], float(np.exp(score - score.max())[np.argmax(score)] / np.exp(score - score.max()).sum()))
+
+
+def test_scores_are_those_of_the_definition(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = langid.train(docs.where("doc_id % 2 = 0"))
+    counted = collections.Counter()
+    for r in docs.where("doc_id % 2 = 0 and lang is not null and text is not null").collect():
+        counted.update(langid._WORDS.findall(r.text.lower()))
+    assert set(model.words) == {w for w, n in counted.items() if n >= langid.LEAST_COUNT}
+    texts = [r.text for r in docs.where("doc_id % 5 = 1").collect()] + ["xqzw jjj", "", None, "12 3", "the", "éàü ßß"]
+    scorer = langid.Scorer(model)
+    for text in texts:
+        lang, score = scorer.predict(text)
+        wanted, near = brute_scores(model, text)
+        assert lang == wanted and score == pytest.approx(near, abs=1e-4)
+
+
 # --- the queries' SQL ---------------------------------------------------------------------------
 
 
