@@ -66,22 +66,39 @@ def _counter(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - RARITY_BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
+#: Counters that travel as one value.
+_COUNTER_BLOCK = 4096
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(RARITY_BUCKETS, dtype=np.int64)
     for batch in rows_of(batches):
         texts = [x.lower() for x in text_bytes(batch.column("text"))]
         for a, b in blocks(texts):
             counts += np.bincount(_counter(hashed_words(texts[a:b])[2]), minlength=RARITY_BUCKETS)
-    there = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(counts[there])], ["counter", "n"])
+    if counts.any():
+        parts = [blobs.pack([x]) for x in counts.reshape(-1, _COUNTER_BLOCK)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["block", "counts"])
+
+
+def _added(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of a block, added up batch by batch."""
+    block, total = 0, np.zeros(_COUNTER_BLOCK, dtype=np.int64)
+    for batch in rows:
+        block = batch.column("block")[0].as_py()
+        for x in batch.column("counts"):
+            total += blobs.unpack(x.as_py(), ["<i8"])[0]
+    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([blobs.pack([total])], pa.binary())], ["block", "counts"])
 
 
 def rarity(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """The order of the counters (log scale, in 24 bits) and the number of words. The driver gets the fixed-size table."""
-    counts = np.zeros(RARITY_BUCKETS, dtype=np.int64)
-    for row in docs.select("text").mapInArrow(_count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[row["counter"]] = row["n"]
-    return (np.log2(counts + 1) * (1 << 18)).astype(np.uint64), int(counts.sum())
+    """The order of the counters (log scale, in 12 bits) and the number of words. The driver gets the fixed-size table."""
+    schema = "block int, counts binary"
+    counts = np.zeros((RARITY_BUCKETS // _COUNTER_BLOCK, _COUNTER_BLOCK), dtype=np.int64)
+    found = docs.select("text").mapInArrow(_count, schema).groupBy("block").applyInArrow(_added, schema).toArrow()
+    for block, blob in zip(found.column("block").to_pylist(), found.column("counts").to_pylist(), strict=True):
+        counts[block] = blobs.unpack(blob, ["<i8"])[0]
+    return (np.log2(counts.ravel() + 1) * 64).astype(np.uint64), int(counts.sum())
 
 
 def prefix_length(n: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
@@ -89,10 +106,23 @@ def prefix_length(n: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
     return np.where(n < threshold * (n + 1) - _EPS, 0, n - np.ceil(threshold * n - _EPS).astype(n.dtype) + 1)
 
 
+def _in_lines(which: np.ndarray, rank: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The order of words by line, rank (of 12 bits) and hash. One key of line, rank and half of the hash does in nearly all blocks."""
+    if which[-1] < 1 << 20:
+        key = (which.astype(np.uint64) << np.uint64(44)) | (rank << np.uint64(32)) | (h >> np.uint64(32))
+        by = np.argsort(key)
+        key, h = key[by], h[by]
+        if not ((key[1:] == key[:-1]) & (h[1:] != h[:-1])).any():
+            return by
+        h = h[np.argsort(by)]
+    return np.lexsort((h, rank, which))
+
+
 class _Lines:
-    """Token sets of the lines of some texts, in order; lines without words are left out."""
+    """Token sets of the lines of some texts, in order; lines without words are left out, and those without a word of
+    the slots ``asked``."""
 
-    def __init__(self, texts: list[bytes], order: np.ndarray):
+    def __init__(self, texts: list[bytes], order: np.ndarray, asked: np.ndarray | None = None):
         token, line_of, doc, number, identity, second = [], [], [], [], [], []
         base = 0
         for a, b in blocks(texts):
@@ -106,8 +136,17 @@ class _Lines:
             line = breaks[start] - breaks[begin][text]
             new = np.concatenate([[True], (line[1:] != line[:-1]) | (text[1:] != text[:-1])])
             which = np.cumsum(new) - 1
-            place = (which.astype(np.uint64) << np.uint64(24)) | order[_counter(h)]
-            by = np.lexsort((h, place))
+            if asked is not None:
+                hit = asked[_slot(mix(h))]
+                some = np.zeros(which[-1] + 1, dtype=bool)
+                some[which[hit]] = True
+                words = some[which]
+                if not words.any():
+                    continue
+                h, text, line = h[words], text[words], line[words]
+                new = np.concatenate([[True], (line[1:] != line[:-1]) | (text[1:] != text[:-1])])
+                which = np.cumsum(new) - 1
+            by = _in_lines(which, order[_counter(h)], h)
             which, h = which[by], h[by]
             once = np.concatenate([[True], (h[1:] != h[:-1]) | (which[1:] != which[:-1])])
             which, h = which[once], h[once]
@@ -154,7 +193,7 @@ def _entries(lines: _Lines, on: np.ndarray, ids: np.ndarray, crc: np.ndarray, nu
     """A blob of entries for each bucket; ``asked``: the slots outside of which no entry goes."""
     line, position, token = _prefixes(lines, on, threshold)
     if asked is not None:
-        wanted = np.unpackbits(asked)[_slot(token)] > 0
+        wanted = asked[_slot(token)]
         line, position, token = line[wanted], position[wanted], token[wanted]
     bucket = (mix(token) % np.uint64(n_buckets)).astype(np.int64)
     turn = np.argsort(bucket, kind="stable")
@@ -196,12 +235,13 @@ def _emit(order: np.ndarray, n_buckets: int, threshold: float, asked: np.ndarray
     """Slices of documents in, blobs of entries out; in the first round (``asked`` is None) also what slices settle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = None if asked is None else np.unpackbits(asked).astype(bool)
         for batch in rows_of(batches, SLICE_BYTES):
             ids, crc = batch.column("doc").to_numpy(), batch.column("crc").to_numpy()
             turn = np.argsort(ids, kind="stable")
             texts = text_bytes(batch.column("text").take(pa.array(turn)))
             ids, crc = ids[turn], crc[turn]
-            lines = _Lines(texts, order)
+            lines = _Lines(texts, order, slots)
             del texts
             if not len(lines.size):
                 continue
@@ -216,7 +256,7 @@ def _emit(order: np.ndarray, n_buckets: int, threshold: float, asked: np.ndarray
                     [blobs.pack([ids[lines.doc[late]], crc[lines.doc[late]], lines.number[late], ids[lines.doc[rep[late]]], crc[lines.doc[rep[late]]], lines.number[rep[late]]])],
                 )
                 yield _same_sets(lines, np.flatnonzero(on), ids, crc, n_buckets)
-            yield _entries(lines, on, ids, crc, lines.number, 0, n_buckets, threshold, asked)
+            yield _entries(lines, on, ids, crc, lines.number, 0, n_buckets, threshold, slots)
 
     return run
 
@@ -286,13 +326,14 @@ class _Bucket:
         parts = [blobs.unpack(x, _KINDS) for x in found]
         token, size, position, parity, high, crc, number, probe = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2, 3, 4, 6, 7, 8))
         doc = np.concatenate([blobs.undelta(p[5]) for p in parts])
-        by = np.lexsort((size, token))
+        joint = (token.astype(np.int64) << 31) | np.minimum(size, (1 << 31) - 1)
+        by = np.argsort(joint)
         t = token[by]
         alike = np.concatenate([[False], t[1:] == t[:-1]])
         by = by[alike | np.append(alike[1:], False)]
         self.token, self.size, self.position = (c[by].astype(np.int64) for c in (token, size, position))
         self.parity, self.high, self.crc, self.number, self.probe, self.doc = (c[by] for c in (parity, high, crc, number, probe, doc))
-        self.joint = (self.token << 31) | np.minimum(self.size, (1 << 31) - 1)
+        self.joint = joint[by]
 
     def behind(self, size: np.ndarray, token: np.ndarray) -> np.ndarray:
         """The place behind the last entry of the token that has at most this size."""
