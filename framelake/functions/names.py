@@ -72,3 +72,39 @@ def format_duration(seconds: Column) -> Column:
         .when(s < 3600, F.format_string("%dm%02ds", F.floor(s / 60), s % 60))
         .otherwise(F.format_string("%dh%02dm", F.floor(s / 3600), F.floor(s % 3600 / 60)))
     )
+
+
+def redacted(text: Column) -> Column:
+    """Text without local paths: of Windows (a drive letter) and of Unix (two levels or more)."""
+    mark = "<redacted-path>"
+    return F.regexp_replace(F.regexp_replace(text, r"[A-Za-z]:\\[^\s\"']+", mark), r"(?<![\w/.<])/(?:[^\s/\"'<>]+/)+[^\s\"'<>]*", mark)
+
+
+def version_numbers(version: Column) -> Column:
+    """The release numbers of a version, four of them, missing ones 0."""
+    found = F.transform(F.regexp_extract_all(F.regexp_extract(version, r"^v?(\d+(?:\.\d+)*)", 1), F.lit(r"(\d+)"), 1), lambda x: x.cast("int"))
+    return F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.coalesce(F.try_element_at(found, i), F.lit(0)))
+
+
+def version_satisfies(version: Column, specifier: str) -> Column:
+    """Whether a version meets all parts of a specifier such as ``>=1.2,<2``, ``~=1.4.2`` or ``==1.3.*``; an empty one is always met."""
+    have, ok = version_numbers(version), F.lit(True)
+    for part in filter(None, map(str.strip, specifier.split(";")[0].split(","))):
+        op = next((o for o in ("~=", "==", "!=", ">=", "<=", ">", "<") if part.startswith(o)), None)
+        if op is None:
+            return F.lit(False)
+        wanted = part[len(op) :].strip()
+        numbers = [int(n) for n in wanted.removesuffix(".*").split(".")]
+        full = F.array(*[F.lit(n) for n in (numbers + [0] * 4)[:4]])
+        if wanted.endswith(".*") or op == "~=":
+            lead = numbers if wanted.endswith(".*") else numbers[:-1]
+            same = F.slice(have, 1, len(lead)) == F.array(*map(F.lit, lead))
+            ok = ok & {"~=": same & (have >= full), "!=": ~same}.get(op, same)
+        else:
+            ok = ok & {"==": have == full, "!=": have != full, ">=": have >= full, "<=": have <= full, ">": have > full, "<": have < full}[op]
+    return ok
+
+
+def set_name(number: Column, start: Column) -> Column:
+    """Zero-padded number and time of the first capture of a set."""
+    return F.concat_ws("_", F.lpad(number.cast("string"), 3, "0"), F.date_format(start, "yyyyMMdd_HHmm"))

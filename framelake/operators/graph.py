@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..functions.folds import scan
 from ..storage import release, saved
 
 MOST_ROUNDS = 60
@@ -52,3 +53,96 @@ def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = MO
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def _peeled(edges: DataFrame) -> DataFrame:
+    """The edges (``u, v``) that are left when nodes without an edge in or without one out go, again and again: cycles, and what leads
+    from one to another. Each round is saved; an acyclic graph takes as many rounds as its longest path."""
+    now = saved(edges.distinct())
+    n, before = now.count(), -1
+    while n and n != before:
+        before, last = n, now
+        ends, starts = now.select(F.col("u").alias("v")).distinct(), now.select(F.col("v").alias("u")).distinct()
+        now = saved(now.join(ends, "v", "left_semi").join(starts, "u", "left_semi").select("u", "v"))
+        release(last)
+        n = now.count()
+    return now
+
+
+def cycle_nodes(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """``node`` for every node that lies on a directed cycle, a loop at itself included. Null ends are dropped.
+
+    What can't lie on one is peeled off; among the rest a node does if it reaches itself. Ways are found by doubling, so rounds
+    grow with the logarithm of the longest; pairs with the nodes that are left.
+    """
+    left = _peeled(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("u"), F.col(b).alias("v")))
+    ways, n, before = left, -1, -2
+    while n != before:
+        onward = ways.select(F.col("u").alias("v"), F.col("v").alias("w"))
+        ways, before = saved(ways.unionByName(ways.join(onward, "v").select("u", F.col("w").alias("v"))).distinct()), n
+        n = ways.count()
+    return ways.where("u = v").select(F.col("u").alias("node"))
+
+
+def graph_problems(nodes: DataFrame, edges: DataFrame, key: str, needs: str) -> DataFrame:
+    """``node, problem, detail``: dependencies that don't exist, and nodes on a cycle."""
+    lost = edges.join(nodes.select(F.col(key).alias(needs)), needs, "left_anti")
+    lost = lost.select(F.col(key).alias("node"), F.lit("missing_dependency").alias("problem"), F.col(needs).cast("string").alias("detail"))
+    there = edges.join(nodes.select(F.col(key).alias(needs)), needs, "left_semi")
+    return lost.unionByName(cycle_nodes(there, key, needs).select("node", F.lit("cycle").alias("problem"), F.lit(None).cast("string").alias("detail")))
+
+
+def leases(tasks: DataFrame, modes: Column, now: Column, hours: float) -> DataFrame:
+    """``subsystem, holder, mode`` of the active leases: a live task (``id, subsystems, heartbeat`` in microseconds) holds its subsystems
+    until its heartbeat is too old; the strongest mode counts (ties: the smallest id)."""
+    held = tasks.where(F.col("heartbeat") + int(hours * 3.6e9) >= now).select("id", F.explode("subsystems").alias("subsystem")).withColumn("mode", modes)
+    strength = F.array_position(F.array(*map(F.lit, ("SHARED", "CAUTION", "EXCLUSIVE"))), F.col("mode"))
+    best = F.max_by(F.struct(F.col("id").alias("holder"), "mode"), F.struct(strength, (-F.col("id")).alias("i")))
+    return held.groupBy("subsystem").agg(best.alias("x")).select("subsystem", "x.holder", "x.mode")
+
+
+def lease_conflicts(tasks: DataFrame, held: DataFrame) -> DataFrame:
+    """``id, subsystem, holder, mode`` of subsystems that another task holds, other than in shared mode."""
+    asked = tasks.select("id", F.explode("subsystems").alias("subsystem"))
+    return asked.join(held.where("mode != 'SHARED'"), "subsystem").where("holder != id").select("id", "subsystem", "holder", "mode")
+
+
+def overlap_verdicts(candidates: DataFrame, tasks: DataFrame, least_hits: int = 2, distinctive: int = 8, most: int = 1000) -> DataFrame:
+    """``candidate, verdict, n_matches`` of a few proposed titles (``candidate, tokens``; ``most`` at most, which are broadcast) against all
+    tasks (``id, tokens, live``): matches share ``least_hits`` words or one distinctive (long) word; DUPLICATE if they share
+    four fifths of the shorter title with a live task."""
+    if candidates.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} candidates")
+    few = F.broadcast(candidates.select("candidate", F.col("tokens").alias("__own")))
+    met = tasks.where("live").join(few, F.arrays_overlap("tokens", "__own"))
+    hits = F.array_intersect("tokens", "__own")
+    match = met.where((F.size(hits) >= least_hits) | F.exists(hits, lambda w: F.length(w) >= distinctive))
+    score = F.round(F.size(hits) / F.greatest(F.lit(1), F.least(F.size("tokens"), F.size("__own"))), 2)
+    found = match.groupBy("candidate").agg(F.count(F.lit(1)).alias("n_matches"), F.max(score).alias("best"))
+    verdict = F.when(F.col("best") >= 0.8, "DUPLICATE").when(F.col("n_matches") > 0, "POSSIBLE_OVERLAP").otherwise("UNIQUE")
+    return candidates.join(F.broadcast(found), "candidate", "left").select("candidate", verdict.alias("verdict"), F.coalesce("n_matches", F.lit(0)).alias("n_matches"))
+
+
+def batch_plan(tasks: DataFrame, queue: str, most: int) -> DataFrame:
+    """``queue, id, decision`` of ready tasks (``id, priority, exclusive``: the subsystems that bear one task at a time) per queue, by
+    priority and id: a task joins the batch unless it is full or one of its exclusive subsystems is taken.
+
+    Each decision depends on those before it, so a queue is folded as one array within the JVM.
+    """
+    row = F.struct("priority", "id", "exclusive")
+    queues = tasks.groupBy(queue).agg(F.array_sort(F.collect_list(row)).alias("q"))
+
+    def step(state: Column, x: Column) -> tuple[dict[str, Column], Column]:
+        full, clash = state["n"] >= most, F.arrays_overlap(state["taken"], x["exclusive"])
+        take = ~full & ~clash
+        taken = F.when(take, F.array_union(state["taken"], x["exclusive"])).otherwise(state["taken"])
+        return {"n": state["n"] + take.cast("int"), "taken": taken}, F.when(full, "batch full").when(clash, "overlaps").otherwise("batch")
+
+    start = {"n": F.lit(0), "taken": F.array().cast("array<string>")}
+    rows = queues.select(queue, F.explode(F.arrays_zip("q", scan(F.col("q"), start, step, "string").alias("decision"))).alias("x"))
+    return rows.select(queue, F.col("x.q.id").alias("id"), F.col("x.decision").alias("decision"))
+
+
+def pressure(tasks: DataFrame) -> DataFrame:
+    """``subsystem, n`` live tasks of each subsystem."""
+    return tasks.select(F.explode("subsystems").alias("subsystem")).groupBy("subsystem").agg(F.count(F.lit(1)).alias("n"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folds import scan
 from ..storage import saved
 
 LEVELS = ["A0", "A1", "A2", "A3", "A4", "A5"]
@@ -159,23 +159,32 @@ def attention_score(level: Column, blocking: Column, priority: Column) -> Column
 
 
 def route(signals: DataFrame, desk: str, budget: int) -> DataFrame:
-    """Greedy routing per desk: by score (ties: id), A4 and A5 always, others while the minutes fit; what doesn't fit is skipped."""
+    """Greedy routing per desk: by score (ties: id), A4 and A5 always, others while the minutes fit; what doesn't fit is skipped.
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "id"], ascending=[False, True])
-        spent, chosen = 0, []
-        for level, minutes in rows[["level", "minutes"]].itertuples(index=False):
-            take = level in ("A4", "A5") or spent + minutes <= budget
-            spent += minutes if take else 0
-            chosen.append(take)
-        return rows.assign(selected=chosen)
+    Whether a signal fits depends on all before it, so a desk's signals are folded as one array, within the JVM.
+    """
+    slim = signals.select(desk, "id", "level", "score", "minutes")
+    row = F.struct((-F.col("score")).alias("order"), "id", "level", "score", "minutes")
+    queues = slim.groupBy(desk).agg(F.array_sort(F.collect_list(row)).alias("q"))
 
-    schema = signals.select(desk, "id", "level", "score", "minutes").schema
-    from pyspark.sql.types import BooleanType
+    def step(state: Column, x: Column) -> tuple[dict[str, Column], Column]:
+        take = x["level"].isin("A4", "A5") | (state["spent"] + x["minutes"] <= budget)
+        return {"spent": state["spent"] + F.when(take, x["minutes"].cast("long")).otherwise(F.lit(0).cast("long"))}, take
 
-    return signals.select(desk, "id", "level", "score", "minutes").groupBy(desk).applyInPandas(fold, schema.add("selected", BooleanType()))
+    chosen = scan(F.col("q"), {"spent": F.lit(0).cast("long")}, step, "boolean")
+    rows = queues.select(desk, F.explode(F.arrays_zip("q", chosen.alias("selected"))).alias("x"))
+    return rows.select(desk, *[F.col(f"x.q.{c}").alias(c) for c in ("id", "level", "score", "minutes")], "x.selected")
 
 
 def batches(df: DataFrame, keys: list[str]) -> DataFrame:
     level = F.array_position(F.array(*[F.lit(x) for x in LEVELS]), F.col("level"))
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max_by("level", level).alias("max_level"), F.sum("minutes").alias("minutes"))
+
+
+def in_range(spans: DataFrame, points: DataFrame, keys: list[str], low: str, high: str, at: str, width: int) -> DataFrame:
+    """Each span (``low`` to ``high``, both included) with the points of its keys within it, as an equi-join: spans go to every slice of
+    ``width`` that they touch, points to their own. A ``width`` near the usual span keeps copies few."""
+    touched = F.explode(F.sequence(F.floor(F.col(low) / width).cast("long"), F.floor(F.col(high) / width).cast("long")))
+    cut = spans.where(F.col(low) <= F.col(high)).withColumn("__slice", touched)
+    met = cut.join(points.withColumn("__slice", F.floor(F.col(at) / width).cast("long")), [*keys, "__slice"])
+    return met.where(F.col(at).between(F.col(low), F.col(high))).drop("__slice")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import saved
+
 #: Weights of the cover checks.
 COVER_WEIGHTS = {"photo": 30, "crop": 25, "costume": 20, "colour": 15, "light": 10}
 #: Upper bounds of the face's share of the frame height.
@@ -76,38 +76,59 @@ def suggest(ranked: DataFrame, score: str, tie: str, tight: str, pool: int = 12)
     return numbered.withColumn("slot", slot).where(F.col("slot").isNotNull()).drop("__n")
 
 
-def _skyline(values: np.ndarray) -> np.ndarray:
-    """Which rows (all columns to be small) no other row dominates. Sorted by sum, a row is only dominated from before."""
-    order = np.argsort(values.sum(axis=1), kind="stable")
-    front = np.empty((0, values.shape[1]))
-    keep = np.zeros(len(values), bool)
-    for i in order:
-        v = values[i]
-        if not (np.all(front <= v, axis=1) & np.any(front < v, axis=1)).any():
-            front = np.vstack([front, v])
-            keep[i] = True
-    return keep
+#: Rows that are held against so many others at a time.
+_STRIP = 256
+_TILE = 4096
 
 
-def frontier(df: DataFrame, largest: list[str], smallest: list[str], tie: str, buckets: int = 64) -> DataFrame:
-    """Rows that no other row beats: as good everywhere and better somewhere. Frontiers of hash buckets are merged in a tree,
-    so that no task sees more than the frontiers of a few buckets."""
+def _beaten(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which rows (all columns to be small) one of the others is as good as everywhere and better than somewhere."""
+    out = np.zeros(len(rows), bool)
+    for at in range(0, len(others), _STRIP):
+        part = others[None, at : at + _STRIP]
+        left = np.flatnonzero(~out)
+        mine = rows[left, None]
+        out[left] = ((part <= mine).all(axis=2) & (part < mine).any(axis=2)).any(axis=1)
+    return out
 
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True)
-        if len(rows):
-            yield rows[_skyline(np.column_stack([-rows[largest].to_numpy(float), rows[smallest].to_numpy(float)]))]
 
-    def grouped(rows: pd.DataFrame) -> pd.DataFrame:
-        return next(local(iter([rows])))
+def frontier(df: DataFrame, largest: list[str], smallest: list[str], tie: str, buckets: int = 64) -> DataFrame:
+    """Rows that no other row beats: as good everywhere and better somewhere.
 
-    while True:
-        bucket = F.pmod(F.xxhash64(tie), F.lit(buckets))
-        df = df.withColumn("__b", bucket)
-        df = df.groupBy("__b").applyInPandas(grouped, df.schema).drop("__b")
-        if buckets == 1:
-            return df
-        buckets = max(1, buckets // 8)
+    Each hash bucket drops the rows that another one of it beats, in blocks ordered by sum (a row can only be beaten from before).
+    What is left is cut into tiles, each block against each, and a row stays that no tile has beaten.
+    """
+
+    def values(rows: pa.Table) -> np.ndarray:
+        columns = [-rows.column(c).to_numpy(zero_copy_only=False).astype(float) for c in largest] + [rows.column(c).to_numpy(zero_copy_only=False).astype(float) for c in smallest]
+        return np.column_stack(columns)
+
+    def local(rows: pa.Table) -> pa.Table:
+        v = values(rows)
+        order = np.argsort(v.sum(axis=1), kind="stable")
+        kept = order[:0]
+        for at in range(0, len(order), _TILE):
+            part = order[at : at + _TILE]
+            part = part[~_beaten(v[part], v[kept])]
+            kept = np.concatenate([kept, part[~_beaten(v[part], v[part])]])
+        return rows.take(pa.array(np.sort(kept)))
+
+    def crossed(rows: pa.Table) -> pa.Table:
+        v, side = values(rows), rows.column("__side").to_numpy()
+        mine = np.flatnonzero(side == 0)
+        return rows.take(pa.array(mine[~_beaten(v[mine], v[side == 1])]))
+
+    bucket = lambda n: F.pmod(F.xxhash64(tie), F.lit(n))
+    dealt = df.withColumn("__b", bucket(buckets))
+    first = saved(dealt.groupBy("__b").applyInArrow(local, dealt.schema).drop("__b"))
+    n = -(-first.count() // _TILE)
+    each = F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0))))
+    mine = first.select("*", bucket(max(n, 1)).alias("__a"), each.alias("__b"), F.lit(0).alias("__side"))
+    other = first.select("*", each.alias("__a"), bucket(max(n, 1)).alias("__b"), F.lit(1).alias("__side"))
+    both = mine.unionByName(other)
+    left = both.groupBy("__a", "__b").applyInArrow(crossed, both.schema)
+    unbeaten = left.groupBy(*df.columns, "__a").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") % max(n, 1) == 0)
+    return unbeaten.withColumn("__times", F.explode(F.sequence(F.lit(1).cast("long"), F.floor(F.col("__n") / max(n, 1)).cast("long")))).select(*df.columns)
 
 
 def trend(value: str, keys: list[str], order: list[str]) -> Column:
@@ -130,20 +151,37 @@ def leaderboard(df: DataFrame, key: str, order: list[str], effect: Column, reten
     return global_rank(scored, "quality_score", key)
 
 
-def global_rank(df: DataFrame, score: str, tie: str, name: str = "rank") -> DataFrame:
-    """Rank over all rows without one task that sorts them all: counts of score bins are added up, ranks within bins follow.
+def edges_of(value: Column, bins: int = 1024) -> Column:
+    """Aggregate: ascending edges that cut a group's values into ranges of about equal counts, from a mergeable sketch."""
+    at = [i / bins for i in range(1, bins)]
+    return F.array_distinct(F.array_sort(F.percentile_approx(value.cast("double"), at, 10 * bins)))
 
-    Bins are hash-free ranges of the score (1,024 quantiles), so a bin holds few rows unless scores tie.
-    """
-    at = [i / 1024 for i in range(1, 1024)]
-    cuts = df.agg(F.percentile_approx(F.col(score).cast("double"), at, 10240).alias("q")).first().q or []
-    edges = F.array(*[F.lit(float(x)) for x in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    binned = df.withColumn("__bin", F.size(F.filter(edges, lambda e: e <= F.col(score))))
-    counts = binned.groupBy("__bin").agg(F.count(F.lit(1)).alias("__c"))
-    above = counts.select("__bin", (F.sum("__c").over(Window.orderBy(F.desc("__bin"))) - F.col("__c")).alias("__above"))
-    w = Window.partitionBy("__bin").orderBy(F.desc(score), F.asc(tie))
-    ranked = binned.join(F.broadcast(above), "__bin").withColumn(name, (F.col("__above") + F.row_number().over(w)).cast("long"))
-    return ranked.drop("__bin", "__above")
+
+def bin_of(value: Column, edges: Column, stride: int = 32) -> Column:
+    """How many of the ascending edges are at most the value; every ``stride``-th edge is looked at first, then those between."""
+    upto = lambda a: F.size(F.filter(a, lambda e: e <= value))
+    coarse = upto(F.transform(F.sequence(F.lit(stride), F.greatest(F.size(edges), F.lit(stride)), F.lit(stride)), lambda i: F.try_element_at(edges, i)))
+    return coarse * stride + upto(F.slice(edges, coarse * stride + 1, F.lit(stride)))
+
+
+def rank_within(df: DataFrame, keys: list[str], score: str, tie: str, name: str = "rank", descending: bool = True) -> DataFrame:
+    """Rank of each row in its group, without one task that sorts a group: rows of value ranges are counted, counts are added
+    up, and ranks within a range follow. A range holds few rows unless scores tie."""
+    group = F.struct(*keys) if keys else F.struct(F.lit(1))
+    keyed = df.withColumn("__k", group)
+    edges = keyed.groupBy("__k").agg(edges_of(F.col(score)).alias("__edges"))
+    binned = keyed.join(edges, "__k", "left").withColumn("__bin", F.coalesce(bin_of(F.col(score).cast("double"), F.col("__edges")), F.lit(-1))).drop("__edges")
+    way = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
+    counts = binned.groupBy("__k", "__bin").agg(F.count(F.lit(1)).alias("__c"))
+    before = counts.select("__k", "__bin", (F.sum("__c").over(Window.partitionBy("__k").orderBy(way("__bin"))) - F.col("__c")).alias("__before"))
+    w = Window.partitionBy("__k", "__bin").orderBy(way(score), F.asc(tie))
+    ranked = binned.join(before, ["__k", "__bin"]).withColumn(name, (F.col("__before") + F.row_number().over(w)).cast("long"))
+    return ranked.select(*df.columns, name)
+
+
+def global_rank(df: DataFrame, score: str, tie: str, name: str = "rank") -> DataFrame:
+    """Rank over all rows by descending score."""
+    return rank_within(df, [], score, tie, name)
 
 
 def crop_plan(width: Column, height: Column, ratio: tuple[int, int]) -> tuple[Column, Column, Column, Column]:

@@ -5,39 +5,90 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import bin_of, edges_of
 
-def trimmed_mean(df: DataFrame, keys: list[str], value: str, tie: str, share: float = 0.1) -> DataFrame:
+BINS = 256
+
+
+def _binned(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """``__k, __bin, __v`` of all rows with a value, and per bin ``__k, __bin, n, total, below, size``: rows and sum of the bin,
+    rows in the bins below and in the group. Bins are value ranges of about equal counts."""
+    rows = df.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("__k"), F.col(value).cast("double").alias("__v"))
+    edges = rows.groupBy("__k").agg(edges_of(F.col("__v"), BINS).alias("__edges"))
+    placed = rows.join(edges, "__k").select("__k", bin_of(F.col("__v"), F.col("__edges")).alias("__bin"), "__v")
+    counts = placed.groupBy("__k", "__bin").agg(F.count(F.lit(1)).alias("n"), F.sum("__v").alias("total"))
+    own = Window.partitionBy("__k")
+    upto = own.orderBy("__bin")
+    return placed, counts.withColumns({"below": F.sum("n").over(upto) - F.col("n"), "size": F.sum("n").over(own)})
+
+
+def _values_in(placed: DataFrame, bins: DataFrame) -> DataFrame:
+    """``__k, __bin, __v, first, behind``: the distinct values of the given bins and the ranks within the bin that they take (from 0).
+    Only rows of these bins move, and equal values as one."""
+    inside = placed.join(bins.select("__k", "__bin").distinct(), ["__k", "__bin"], "left_semi")
+    counts = inside.groupBy("__k", "__bin", "__v").agg(F.count(F.lit(1)).alias("c"))
+    behind = F.sum("c").over(Window.partitionBy("__k", "__bin").orderBy("__v"))
+    return counts.withColumn("behind", behind).withColumn("first", F.col("behind") - F.col("c")).drop("c")
+
+
+def trimmed_mean(df: DataFrame, keys: list[str], value: str, share: float = 0.1) -> DataFrame:
     """Mean of each group without max(1, floor(share n)) values at either end; the plain mean below five values.
 
-    The cut values come from exact percentile-free ranks: one window per group, whose rows spill.
+    Bins of values that lie wholly inside add their sums; only the rows of the two bins that the cuts go through are ranked.
+    """
+    placed, bins = _binned(df, keys, value)
+    cut = F.when(F.col("size") < 5, 0).otherwise(F.greatest(F.lit(1), F.floor(F.col("size") * share).cast("long")))
+    bins = bins.withColumn("low", cut).withColumn("high", F.col("size") - cut)
+    whole = (F.col("below") >= F.col("low")) & (F.col("below") + F.col("n") <= F.col("high"))
+    inside = bins.where(whole).select("__k", "size", F.col("n").alias("kept"), "total")
+    edge = bins.where(~whole & (F.col("below") < F.col("high")) & (F.col("below") + F.col("n") > F.col("low"))).select("__k", "__bin", "below", "low", "high", "size")
+    ranked = _values_in(placed, edge).join(edge, ["__k", "__bin"])
+    copies = F.least(F.col("below") + F.col("behind"), F.col("high")) - F.greatest(F.col("below") + F.col("first"), F.col("low"))
+    partly = ranked.withColumn("kept", copies).where("kept > 0").select("__k", "size", "kept", (F.col("kept") * F.col("__v")).alias("total"))
+    found = inside.unionByName(partly).groupBy("__k").agg(F.sum("total").alias("total"), F.sum("kept").alias("n_kept"), F.max("size").alias("n"))
+    return found.select("__k.*", (F.col("total") / F.col("n_kept")).alias("trimmed_mean"), "n_kept", "n")
+
+
+def order_statistics(df: DataFrame, keys: list[str], value: str, at: tuple[float, ...]) -> DataFrame:
+    """``keys, __p``: the exact percentiles of each group (linear interpolation), as an array.
+
+    Counts by value range tell in which range each rank lies; only rows of these ranges are sorted, so neither a group nor
+    its distinct values have to fit in one place.
     """
-    w = Window.partitionBy(*keys)
-    ranked = df.where(F.col(value).isNotNull()).withColumns(
-        {"__r": F.row_number().over(w.orderBy(value, tie)), "__n": F.count(F.lit(1)).over(w)}
-    )
-    cut = F.when(F.col("__n") < 5, 0).otherwise(F.greatest(F.lit(1), F.floor(F.col("__n") * share).cast("int")))
-    kept = ranked.where((F.col("__r") > cut) & (F.col("__r") <= F.col("__n") - cut))
-    return kept.groupBy(*keys).agg(F.avg(value).alias("trimmed_mean"), F.count(F.lit(1)).alias("n_kept"), F.max("__n").alias("n"))
+    placed, bins = _binned(df, keys, value)
+    asked = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(at)])).alias("x")
+    ranks = bins.select("__k", "size").distinct().select("__k", asked, "size")
+    place = F.col("x.p") * (F.col("size") - 1)
+    both = F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place)))).alias("rank")
+    ranks = ranks.select("__k", F.col("x.i").alias("i"), place.alias("place"), both)
+    own = bins.select("__k", "__bin", "below", "n")
+    wanted = ranks.join(own, "__k").where("rank >= below and rank < below + n").select("__k", "__bin", "i", "place", "rank", (F.col("rank") - F.col("below")).alias("offset"))
+    values = _values_in(placed, wanted)
+    found = wanted.join(values, ["__k", "__bin"]).where("offset >= first and offset < behind")
+    weight = 1 - F.abs(F.col("rank") - F.col("place"))
+    each = found.groupBy("__k", "i").agg(F.sum(weight * F.col("__v")).alias("v"))
+    return each.groupBy("__k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("__p")).select("__k.*", "__p")
 
 
 def band_mean(df: DataFrame, keys: list[str], value: str, by: str, low: float, high: float) -> DataFrame:
     """Mean of ``value`` over the rows whose ``by`` lies between two percentiles of the group (linear interpolation)."""
-    edges = df.groupBy(*keys).agg(F.percentile(by, F.array(F.lit(low), F.lit(high))).alias("__e"))
-    inside = df.join(edges, keys).where(F.col(by).between(F.col("__e")[0], F.col("__e")[1]))
+    edges = order_statistics(df, keys, by, (low, high))
+    inside = df.join(edges, keys).where(F.col(by).between(F.col("__p")[0], F.col("__p")[1]))
     return inside.groupBy(*keys).agg(F.avg(value).alias("band_mean"), F.count(F.lit(1)).alias("n_in_band"))
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, at: tuple[float, ...]) -> DataFrame:
-    """One column per percentile, p01, p05 ...; Spark counts equal values, so a group's state follows its distinct values."""
-    found = df.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(p) for p in at])).alias("__p"))
+    """One column per percentile, p01, p05 ..."""
+    found = order_statistics(df, keys, value, at)
     return found.select(*keys, *[F.col("__p")[i].alias(f"p{round(p * 100):02d}") for i, p in enumerate(at)])
 
 
 def spread(df: DataFrame, keys: list[str], value: str, floor: float) -> DataFrame:
     """Median and robust spread: 1.4826 times the median absolute deviation, at least ``floor``."""
-    middle = df.groupBy(*keys).agg(F.median(value).alias("median"))
-    off = df.join(middle, keys).groupBy(*keys, "median").agg(F.median(F.abs(F.col(value) - F.col("median"))).alias("__mad"))
-    return off.select(*keys, "median", F.greatest(F.col("__mad") * 1.4826, F.lit(floor)).alias("spread"))
+    middle = order_statistics(df, keys, value, (0.5,)).select(*keys, F.col("__p")[0].alias("median"))
+    off = df.join(middle, keys).select(*keys, "median", F.abs(F.col(value) - F.col("median")).alias("__off"))
+    found = order_statistics(off, [*keys, "median"], "__off", (0.5,))
+    return found.select(*keys, "median", F.greatest(F.col("__p")[0] * 1.4826, F.lit(floor)).alias("spread"))
 
 
 def joint_histogram(df: DataFrame, keys: list[str], bins: dict[str, tuple[Column, int]], least: int = 150) -> DataFrame:

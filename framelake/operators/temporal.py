@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folds import scan
 from ..functions.names import micros
 
 
@@ -77,49 +76,69 @@ def overload(daily: DataFrame, keys: list[str], day: str, demand: str, budget: f
     return daily.withColumn("__n", F.sum(over).over(w)).where(F.col("__n") == days).drop("__n")
 
 
-def _alpha(cutoff: float, dt: float) -> float:
-    return 1.0 / (1.0 + 1.0 / (2.0 * math.pi * cutoff) / dt)
+def _low_pass(dt: Column, cutoff: Column | float) -> Column:
+    """Share of the new value in an exponential filter of this cutoff frequency."""
+    turned = dt * cutoff * (2 * math.pi)
+    return turned / (turned + 1)
 
 
-def one_euro_pass(times: np.ndarray, values: np.ndarray, scale: float, min_cutoff: float, beta: float, d_cutoff: float) -> np.ndarray:
-    """Causal adaptive low-pass: the faster the value moves, the higher the cutoff."""
-    out, velocity = values.astype(float).copy(), 0.0
-    for t in range(1, len(values)):
-        dt = max(float(abs(times[t] - times[t - 1])), 1e-6)
-        velocity += _alpha(d_cutoff, dt) * ((values[t] - out[t - 1]) / dt - velocity)
-        out[t] = out[t - 1] + _alpha(min_cutoff + beta * abs(velocity) / max(scale, 1e-6), dt) * (values[t] - out[t - 1])
-    return out
+def _filtered(series: Column, scale: float, min_cutoff: float, beta: float, d_cutoff: float) -> Column:
+    """The filtered values of an ordered array of ``t, v``, as a fold whose state is the last value and its speed."""
 
+    def step(state: Column, x: Column) -> tuple[dict[str, Column], Column]:
+        first, gap = state["t"].isNull(), x["v"] - state["y"]
+        dt = F.greatest(F.abs(x["t"] - state["t"]), F.lit(1e-6))
+        speed = F.when(first, 0.0).otherwise(state["speed"] + _low_pass(dt, d_cutoff) * (gap / dt - state["speed"]))
+        share = _low_pass(dt, min_cutoff + beta / max(scale, 1e-6) * F.abs(speed))
+        y = F.when(first, x["v"]).otherwise(state["y"] + share * gap)
+        return {"t": x["t"], "y": y, "speed": speed}, y
 
-def one_euro(df: DataFrame, key: str, time: str, tie: str, value: str, scale: float = 1.0, min_cutoff: float = 1.0, beta: float = 0.5, d_cutoff: float = 1.0, zero_lag: bool = False) -> DataFrame:
-    """``key, tie, smooth``: each key's series filtered in order; with ``zero_lag`` the mean of a forward and a backward pass.
-
-    A series is a recursion over its own rows, so a key is one task's work.
-    """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["__s", tie])
-        t, v = rows["__s"].to_numpy(float), rows[value].to_numpy(float)
-        smooth = one_euro_pass(t, v, scale, min_cutoff, beta, d_cutoff)
-        if zero_lag:
-            smooth = 0.5 * (smooth + one_euro_pass(t[::-1], v[::-1], scale, min_cutoff, beta, d_cutoff)[::-1])
-        return pd.DataFrame({key: rows[key], tie: rows[tie], "smooth": smooth})
+    none = F.lit(None).cast("double")
+    return scan(series, {"t": none, "y": none, "speed": F.lit(0.0)}, step, "double")
 
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    slim = df.where(F.col(value).isNotNull()).select(key, tie, value, (micros(F.col(time)) / 1e6).alias("__s"))
-    return slim.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {tie} {kinds[tie]}, smooth double")
 
+def one_euro(df: DataFrame, key: str, time: str, tie: str, value: str, scale: float = 1.0, min_cutoff: float = 1.0, beta: float = 0.5, d_cutoff: float = 1.0, zero_lag: bool = False) -> DataFrame:
+    """``key, tie, smooth``: each key's series through an adaptive low-pass (the faster it moves, the higher the cutoff), in order of
+    time; with ``zero_lag`` the mean of a forward and a backward pass. Null values are left out.
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, right_columns: list[str], tie: str) -> DataFrame:
+    The recursion runs over a key's array within the JVM; a key's series is one row there.
+    """
+    point = F.struct((micros(F.col(time)) / 1e6).alias("t"), F.col(tie).alias("tie"), F.col(value).cast("double").alias("v"))
+    series = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(point)).alias("s"))
+    args = (scale, min_cutoff, beta, d_cutoff)
+    smooth = _filtered(F.col("s"), *args)
+    if zero_lag:
+        smooth = F.zip_with(smooth, F.reverse(_filtered(F.reverse("s"), *args)), lambda a, b: (a + b) / 2)
+    rows = F.zip_with("s", smooth, lambda p, y: F.struct(p["tie"].alias("tie"), y.alias("y")))
+    return series.select(key, F.explode(rows).alias("x")).select(key, F.col("x.tie").alias(tie), F.col("x.y").alias("smooth"))
+
+
+def as_of(
+    left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, right_columns: list[str], tie: str, slice_width: int | None = None
+) -> DataFrame:
     """Each left row with the last right row of its key that is not later (null if none).
 
-    Both sides are stacked and the last right row carried forward, so keys shuffle once and nothing is paired up.
+    Both sides are stacked and the last right row carried forward, so keys shuffle once and nothing is paired up. With
+    ``slice_width`` a key's time is cut into slices that are carried one by one; what an earlier slice hands on is one row a
+    slice, so few keys still give many tasks.
     """
     payload = F.struct(F.col(right_time).alias("__at"), *right_columns)
+    kind = right.select(payload.alias("p")).schema["p"].dataType
     names = left.columns
-    a = left.withColumns({"__t": F.col(left_time), "__side": F.lit(1), "__tie": F.lit(None).cast(right.schema[tie].dataType), "__r": F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType)})
-    b = right.select(*keys, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.col(tie).alias("__tie"), payload.alias("__r"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("__t", "__side", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = both.withColumn("__r", F.last("__r", ignorenulls=True).over(w)).where("__side = 1")
+    part = lambda t: F.floor(F.col(t) / slice_width).cast("long") if slice_width else F.lit(0).cast("long")
+    a = left.withColumns({
+        "__t": F.col(left_time), "__slice": part(left_time), "__side": F.lit(1), "__tie": F.lit(None).cast(right.schema[tie].dataType), "__r": F.lit(None).cast(kind)
+    })
+    b = right.where(F.col(right_time).isNotNull()).select(
+        *keys, F.col(right_time).alias("__t"), part(right_time).alias("__slice"), F.lit(0).alias("__side"), F.col(tie).alias("__tie"), payload.alias("__r")
+    )
+    own = [*keys, "__slice"]
+    w = Window.partitionBy(*own).orderBy("__t", "__side", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = a.unionByName(b, allowMissingColumns=True).withColumn("__r", F.last("__r", ignorenulls=True).over(w)).where("__side = 1")
+    if slice_width:
+        lasts = b.groupBy(*own).agg(F.max_by("__r", F.struct("__t", "__tie")).alias("__last"))
+        present = lasts.unionByName(left.select(*keys, part(left_time).alias("__slice")).distinct(), allowMissingColumns=True).groupBy(*own).agg(F.max("__last").alias("__last"))
+        before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+        handed = present.withColumn("__before", F.last("__last", ignorenulls=True).over(before)).drop("__last")
+        carried = carried.join(handed, own, "left").withColumn("__r", F.coalesce("__r", "__before"))
     return carried.select(*names, F.col("__r.__at").alias(f"matched_{right_time}"), *[F.col(f"__r.{c}").alias(f"matched_{c}") for c in right_columns])

@@ -7,6 +7,7 @@ engines add up in different orders.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -174,8 +175,8 @@ with r as (select l_returnflag, l_extendedprice v, row_number() over (partition
 k as (select *, case when n < 5 then 0 else greatest(1, floor(n * 0.1)) end c from r)
 select l_returnflag, round(avg(v), 4) trimmed_mean, count(*) n_kept, max(n) n from k where i > c and i <= n - c group by 1""")
 def trimmed_style(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("tie"))
-    return robust.trimmed_mean(lines, ["l_returnflag"], "l_extendedprice", "tie").withColumn("trimmed_mean", r6("trimmed_mean", 4))
+    found = robust.trimmed_mean(read(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice")
+    return found.withColumn("trimmed_mean", r6("trimmed_mean", 4)).withColumn("n_kept", F.col("n_kept").cast("long"))
 
 
 @query("""
@@ -450,7 +451,12 @@ def attention_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.batches(_signals(spark, sf_dir), ["desk", "kind"])
 
 
-@query()
+@query(ATTENTION_SQL.replace("with s", "with recursive s", 1) + """
+, o as (select desk, id, level, (substr(level, 2)::int * 100 + least(blocking, 10) * 20 + (4 - priority) * 5)::bigint score, "minutes" from l),
+n as (select *, row_number() over (partition by desk order by score desc, id) i, level in ('A4', 'A5') sure from o),
+w as (select *, sure or "minutes" <= 90 selected, case when sure or "minutes" <= 90 then "minutes" else 0 end spent from n where i = 1
+  union all select n.*, n.sure or w.spent + n."minutes" <= 90, w.spent + case when n.sure or w.spent + n."minutes" <= 90 then n."minutes" else 0 end from w join n on n.desk = w.desk and n.i = w.i + 1)
+select desk, id, level, score, "minutes", selected from w""")
 def budget_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.route(_signals(spark, sf_dir), "desk", 90)
 
@@ -612,7 +618,20 @@ def overload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.overload(daily, ["user_id"], "day", "demand", 60.0)
 
 
-@query()
+def _euro_sql(order: str, out: str, v: str) -> str:
+    """One pass of the filter over the numbered series ``n``; ``order``: the number that counts the pass."""
+    turned = lambda dt, cut: f"({dt} * ({cut}) * {2 * math.pi!r})"
+    low = lambda dt, cut: f"({turned(dt, cut)} / ({turned(dt, cut)} + 1))"
+    dt = "greatest(abs(n.t - w.t), 1e-6)"
+    return f"""{out} as (select user_id, event_id, {order} i, t, v, v y, 0.0::double speed from n where {order} = 1
+  union all select user_id, event_id, i, t, v, y + {low("dt", "1e-5 + 1e-4 * abs(sp)")} * (v - y), sp from (
+    select n.user_id, n.event_id, n.{order} i, n.t, n.v, w.y, {dt} dt, w.speed + {low(dt, "1e-5")} * ((n.v - w.y) / {dt} - w.speed) sp from {out} w join n on n.user_id = w.user_id and n.{order} = w.i + 1))"""
+
+
+@query("""
+with recursive n as (select user_id, event_id, epoch_us(ts) / 1e6 t, value v, row_number() over (partition by user_id order by ts, event_id) a, row_number() over (partition by user_id order by ts desc, event_id desc) z from events),
+""" + _euro_sql("a", "fw", "v") + ",\n" + _euro_sql("z", "bw", "v") + """
+select user_id, event_id, round((fw.y + bw.y) / 2, 6) smooth from fw join bw using (user_id, event_id)""")
 def one_euro(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = temporal.one_euro(read(spark, sf_dir, "events"), "user_id", "ts", "event_id", "value", min_cutoff=1e-5, beta=1e-4, d_cutoff=1e-5, zero_lag=True)
     return found.withColumn("smooth", r6("smooth"))
@@ -626,7 +645,7 @@ def asof_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     shift = 1 + (F.col("o_orderkey") % 1000) * 86_400_000_000 * 12
     left = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 15).alias("u"), (names.micros(F.col("o_orderdate")) + shift).alias("t0"))
     right = read(spark, sf_dir, "events").select((F.col("user_id") % 15).alias("u"), names.micros(F.col("ts")).alias("t"), "event_id")
-    found = temporal.as_of(left, right, ["u"], "t0", "t", ["event_id"], "event_id")
+    found = temporal.as_of(left, right, ["u"], "t0", "t", ["event_id"], "event_id", slice_width=86_400_000_000)
     return found.select("o_orderkey", "matched_t", "matched_event_id")
 
 
@@ -769,7 +788,13 @@ def tone_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+CUBE_SQL = "(1 - f{0}) * {1} + f{0} * {2}"
+CELL_SQL = RGB_SQL + ", i as (select *, " + ", ".join(f"least(floor({c} * 8), 7) i{c}" for c in "rgb") + " from c), f as (select *, " + ", ".join(f"{c} * 8 - i{c} f{c}" for c in "rgb") + " from i)"
+
+
+@query(CELL_SQL + f"""
+select l_orderkey, l_linenumber, round(r + 0.8 * ({CUBE_SQL.format("r", "sqrt(ir / 8)", "sqrt((ir + 1) / 8)")} - r), 6) r, round(g, 6) g,
+  round(b + 0.8 * ({CUBE_SQL.format("b", "power(ib / 8, 2)", "power((ib + 1) / 8, 2)")} - b), 6) b from f""")
 def lut_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A warm 9-cube applied to all pixels."""
     import numpy as np
@@ -794,7 +819,17 @@ def link_looks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.link_looks(looks, "label", "session", "histogram", 0.20)
 
 
-@query()
+@query("""
+with recursive e as (select label, vec_id, list_transform(embedding, lambda x: abs(x::double)) e from embeddings),
+v as (select label, vec_id, list_transform(e, lambda x: x / list_sum(e)) v from e),
+n as (select *, row_number() over (partition by label order by vec_id) i, lead(v) over (partition by label order by vec_id) "after" from v),
+w as (select label, vec_id, i, [v] recent, false found from n where i = 1
+  union all select label, vec_id, i, case when far then [v] else list_append(recent[greatest(len(recent) - 2, 1):], v) end, far from (
+    select label, vec_id, i, v, recent, "after", d1 > 0.3 and ("after" is null or d2 > 0.3) far from (
+      select *, sqrt(greatest(1 - list_sum(list_transform(list_zip(v, m), lambda z: sqrt(z[1] * z[2]))), 0)) d1, sqrt(greatest(1 - list_sum(list_transform(list_zip("after", m), lambda z: sqrt(z[1] * z[2]))), 0)) d2 from (
+        select n.label, n.vec_id, n.i, n.v, n."after", w.recent, list_transform(range(1, len(n.v) + 1), lambda j: list_sum(list_transform(w.recent, lambda q: q[j])) / len(w.recent)) m
+        from w join n on n.label = w.label and n.i = w.i + 1))))
+select label, vec_id from w where found""")
 def costume_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").withColumn("e", F.transform("embedding", lambda x: F.abs(x.cast("double"))))
     total = F.aggregate("e", F.lit(0.0), lambda s, x: s + x)
@@ -824,15 +859,14 @@ def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with d as (select doc_id, substr(sha256(text), 1, 16) f, lag(substr(sha256(text), 1, 16)) over (partition by source order by doc_id) p from documents)
+with h as (select doc_id, substr(sha256(text), 1, 16) f from documents), d as (select b.doc_id, b.f, a.f p from h a join h b on b.doc_id = a.doc_id + 1)
 select doc_id, bit_count(xor(('0x' || substr(f, 1, 8))::bigint, ('0x' || substr(p, 1, 8))::bigint)) + bit_count(xor(('0x' || substr(f, 9, 8))::bigint, ('0x' || substr(p, 9, 8))::bigint)) distance
 from d where p is not null""")
 def fingerprint_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    prints = read(spark, sf_dir, "documents").select("doc_id", "source", F.substring(F.sha2("text", 256), 1, 16).alias("f"))
-    before = F.lag("f").over(Window.partitionBy("source").orderBy("doc_id"))
-    return prints.withColumn("p", before).where("p is not null").select("doc_id", names.hamming_hex(F.col("f"), F.col("p")).alias("distance"))
+    """Each document's fingerprint against that of the document numbered before it."""
+    prints = read(spark, sf_dir, "documents").select("doc_id", F.substring(F.sha2("text", 256), 1, 16).alias("f"))
+    before = prints.select((F.col("doc_id") + 1).alias("doc_id"), F.col("f").alias("p"))
+    return prints.join(before, "doc_id").where("f is not null and p is not null").select("doc_id", names.hamming_hex(F.col("f"), F.col("p")).alias("distance"))
 
 
 @query("""

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranking import rank_within
+
 #: Edge of the largest lookup cube that is broadcast (65 cubed, three floats: 3.3 MB).
 MOST_EDGE = 65
 
@@ -90,8 +92,7 @@ def edit_report(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def contact_sheet(images: DataFrame, order: str, columns: int, cell: int) -> DataFrame:
-    """Place of each thumbnail on the sheet of its set (``set_id``)."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("set_id").orderBy(order)) - 1
-    return images.withColumns({"x": (n % columns) * cell, "y": F.floor(n / columns).cast("int") * cell})
+    """Place of each thumbnail on the sheet of its set (``set_id``), in ascending order of a number."""
+    placed = rank_within(images, ["set_id"], order, order, "__n", descending=False)
+    n = F.col("__n") - 1
+    return placed.withColumns({"x": (n % columns) * cell, "y": F.floor(n / columns).cast("int") * cell}).drop("__n")

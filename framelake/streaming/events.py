@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,11 +84,11 @@ def hysteresis(events: DataFrame, key: str, time: str, value: str, on: float, of
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, n_on, now = state.get if state.exists else (0, 0, False)
-        rows = pd.concat(list(batches)).sort_values(time, kind="stable")
-        for v in rows[value]:
-            if v == v and v is not None:
-                now = True if v > on else False if v < off else now
-            n, n_on = n + 1, n_on + int(now)
+        values = pd.concat(list(batches)).sort_values(time, kind="stable")[value].to_numpy(float)
+        marks = np.where(values > on, 1, np.where(values < off, 0, -1))  # between, or not a number: as before
+        last = np.maximum.accumulate(np.where(marks >= 0, np.arange(len(marks)), -1))
+        states = np.where(last >= 0, marks[last] == 1, now)
+        n, n_on, now = n + len(states), n_on + int(states.sum()), bool(states[-1])
         state.update((n, n_on, now))
         yield pd.DataFrame({key: [name[0]], "n": [n], "n_on": [n_on], "state": [now]})
 

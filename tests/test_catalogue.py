@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from framelake.plans import catalogue
+from framelake.plans import catalogue, shoots  # noqa: F401
 
 from .conftest import SMALL
 
