@@ -13,14 +13,15 @@ A line's tokens are its distinct words, A-Z in lower case. A line goes if an ear
    prefix token to the bucket of the token.
 3. Candidates. Within a token, a pair must fit in size, in what is left behind the matching
    position, and in its parities: tokens that only one line has toggle bits, so the differing bits
-   never exceed the symmetric difference. For each line the closest earlier partner is passed on
-   (of a token, then of all tokens), and whether there were more; so a group of mutual near copies gives a row a line, not all pairs.
+   never exceed the symmetric difference. For each line the ``TOKEN_PARTNERS`` closest earlier partners of a token are passed
+   on, of all tokens the ``FIRST_PARTNERS`` closest, and whether there were more; so a group of mutual near copies gives a
+   few rows a line, not all pairs.
    In a token of over ``HOT_ENTRIES`` entries each line is held against the ``PIVOTS`` earliest first, and only lines without a
    partner among these against the others, so a large group of near copies costs a few comparisons a line.
    Equal token sets (by two 64-bit sums over full word hashes) meet in buckets of their own and need no more;
    so do lines too short to have a similar one of another set.
 4. Verification of the others on the words themselves: asked lines are fetched from their documents, joined to the pairs
-   as rows, and compared by array functions. Lines whose closest partner fails and that had more are tried against all
+   as rows, and compared by array functions. Lines of which all these partners fail and that had more are tried against all
    their partners in a second round, for which only the entries go out whose token one of these lines has (told by a
    bitmap of fixed size).
 
@@ -46,6 +47,9 @@ THRESHOLD = 0.8
 RARITY_BUCKETS = 1 << 18
 BUCKET_ENTRIES = 1 << 17
 SLICE_BYTES = 16 << 20
+#: Partners of a line that a token passes on, and that are verified in the first round.
+TOKEN_PARTNERS = 4
+FIRST_PARTNERS = 8
 #: Slots of the bitmap of tokens that the second round asks for.
 TOKEN_SLOTS = 1 << 22
 #: Tokens from which a line has a second parity word; for others it is 0, which compresses away.
@@ -186,7 +190,7 @@ def _prefixes(lines: _Lines, on: np.ndarray, threshold: float) -> tuple[np.ndarr
 
 
 def _slot(token: np.ndarray) -> np.ndarray:
-    return (token % np.uint64(TOKEN_SLOTS)).astype(np.int64)
+    return (token & np.uint64(TOKEN_SLOTS - 1)).astype(np.int64)
 
 
 def _entries(lines: _Lines, on: np.ndarray, ids: np.ndarray, crc: np.ndarray, number: np.ndarray, probe: int, n_buckets: int, threshold: float, asked: np.ndarray | None):
@@ -362,49 +366,64 @@ class _Bucket:
         return self.behind(least - 1, self.token[x]), self.behind((self.size[x] / threshold + _EPS).astype(np.int64), self.token[x])
 
 
-def _closest(b: _Bucket, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lines with an earlier partner, the closest one, how far it is at least, and whether there may be more."""
-    n = len(b.token)
-    best, partner, hits = np.full(n, 1 << 60, dtype=np.int64), np.full(n, -1), np.zeros(n, dtype=np.int64)
+class _Nearest:
+    """Of each entry the ``TOKEN_PARTNERS`` closest earlier partners so far, and how many there were."""
+
+    def __init__(self, b: _Bucket):
+        self.b, self.hits = b, np.zeros(len(b.token), dtype=np.int64)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
 
-    def consider(x: np.ndarray, y: np.ndarray, apart: np.ndarray) -> None:
-        ok = b.earlier(y, x)
+    def consider(self, x: np.ndarray, y: np.ndarray, apart: np.ndarray) -> None:
+        ok = self.b.earlier(y, x)
         x, y, apart = x[ok], y[ok], apart[ok]
         if len(x):
-            np.add.at(hits, x, 1)
-            order = np.lexsort((b.doc[y], apart, x))
-            order = order[np.concatenate([[True], x[order][1:] != x[order][:-1]])]
-            order = order[apart[order] < best[x[order]]]
-            best[x[order]], partner[x[order]] = apart[order], y[order]
+            np.add.at(self.hits, x, 1)
+            self.parts.append((x, y, apart))
+            self.held += len(x)
+            if self.held > _PAIRS:
+                self.parts = [self.best()]
+                self.held = len(self.parts[0][0])
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x, y, apart = (np.concatenate([p[k] for p in self.parts] or [np.zeros(0, np.int64)]) for k in range(3))
+        order = np.lexsort((self.b.doc[y], apart, x))
+        x, y, apart = x[order], y[order], apart[order]
+        behind = np.concatenate([np.zeros(min(TOKEN_PARTNERS, len(x)), bool), x[TOKEN_PARTNERS:] == x[:-TOKEN_PARTNERS]])
+        return x[~behind], y[~behind], apart[~behind]
 
+
+def _closest(b: _Bucket, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines and their closest earlier partners, how far these are at least, and whether there may be more."""
+    n, near = len(b.token), _Nearest(b)
     start = np.flatnonzero(np.concatenate([[True], b.token[1:] != b.token[:-1]]))
     entries = np.diff(start, append=n)
     hot = np.repeat(entries > HOT_ENTRIES, entries)
     if hot.any():
         every = np.flatnonzero(hot)
         by = every[np.lexsort((b.number[every], b.doc[every], b.token[every]))]  # of each token the earliest first, in its own range
-        pivot_at = np.repeat(start, entries)
+        first = np.repeat(start, entries)[every]
         place = np.full(n, -1)
         place[every] = by
-        for i, k in _pairs(pivot_at[every], pivot_at[every] + PIVOTS):
-            consider(*b.fit(every[i], place[k], threshold))
-        hits[every] *= 2  # the others were not looked at
-        open_ = every[partner[every] < 0]
+        for i, k in _pairs(first, first + PIVOTS):
+            near.consider(*b.fit(every[i], place[k], threshold))
+        open_ = every[near.hits[every] == 0]
+        near.hits[every] *= TOKEN_PARTNERS + 1  # the others were not looked at
         for i, j in _pairs(*b.similar_sizes(open_, threshold)):
-            consider(*b.fit(open_[i], j, threshold))
+            near.consider(*b.fit(open_[i], j, threshold))
     cold = np.flatnonzero(~hot)
     if len(cold):
         behind = b.behind((b.size[cold] / threshold + _EPS).astype(np.int64), b.token[cold])
         for i, j in _pairs(cold + 1, np.maximum(behind, cold + 1)):
             x, y, apart = b.fit(cold[i], j, threshold)
-            consider(x, y, apart)
-            consider(y, x, apart)
-    x = np.flatnonzero(partner >= 0)
-    return x, partner[x], best[x], hits[x] > 1
+            near.consider(x, y, apart)
+            near.consider(y, x, apart)
+    x, y, apart = near.best()
+    return x, y, apart, near.hits[x] > TOKEN_PARTNERS
 
 
 def _match(n_buckets: int, threshold: float, every: bool):
-    """Candidates of a bucket: per line the closest earlier partner, or all partners of the probes."""
+    """Candidates of a bucket: per line the closest earlier partners, or all partners of the probes."""
 
     def run(rows: pa.Table) -> pa.Table:
         if rows.column("bucket")[0].as_py() < 0:
@@ -480,13 +499,14 @@ def _near_lines(keyed: DataFrame, packed: DataFrame, threshold: float) -> DataFr
     """
     order, words = rarity(keyed)
     n_buckets = max(16, math.ceil(words * (1 - threshold) / BUCKET_ENTRIES))
-    own, partner = ["x_doc", "x_crc", "x_line"], F.struct("y_doc", "y_crc", "y_line")
+    own = ["x_doc", "x_crc", "x_line"]
     rows = keyed.mapInArrow(_emit(order, n_buckets, threshold), "bucket long, blob binary")
     met = rows.groupBy("bucket").applyInArrow(_match(n_buckets, threshold, False), _FOUND)
-    several = F.max("more") | (F.min(partner) < F.max(partner))
-    closest = F.min(F.struct("apart", "y_doc", "y_crc", "y_line"))
-    found = saved(met.groupBy(*own).agg(F.max("sure").alias("sure"), several.alias("more"), closest.alias("y")))
-    open_ = found.where("not sure").select(*own, "y.y_doc", "y.y_crc", "y.y_line", "more")
+    partners = F.array_sort(F.collect_set(F.struct("apart", "y_doc", "y_crc", "y_line")))
+    listed = met.groupBy(*own).agg(F.max("sure").alias("sure"), F.max("more").alias("more"), partners.alias("y"))
+    several = F.col("more") | (F.size("y") > FIRST_PARTNERS)
+    found = saved(listed.select(*own, "sure", several.alias("more"), F.slice("y", 1, FIRST_PARTNERS).alias("y")))
+    open_ = found.where("not sure").select(*own, F.explode("y").alias("y"), "more").select(*own, "y.y_doc", "y.y_crc", "y.y_line", "more")
     checked = saved(_verified(packed, open_, threshold))
     gone = found.where("sure").toDF("doc", "crc", "line", "sure", "more", "y").select("doc", "crc", "line")
     gone = gone.unionByName(checked.where("good").select("doc", "crc", "line"))
