@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from framelake.plans import catalogue, colours, shoots  # noqa: F401
+from framelake.plans import catalogue, colours, files, shoots  # noqa: F401
 
 from .conftest import SMALL
 
