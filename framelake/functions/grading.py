@@ -103,8 +103,8 @@ def vibrance(strength: float, protect_skin: bool = True) -> Edit:
 
     def edit(h: Column, s: Column, v: Column) -> Triple:
         factor = 1 + strength * (1 - s)
-        most = min(max(1 - strength * 0.5, 0.5), 1.0)
-        held = F.when(((h > 0) & (h < 50)) | (h > 320), F.least(factor, F.lit(most))).otherwise(factor)
+        most, at = min(max(1 - strength * 0.5, 0.5), 1.0), F.round(h, 9)  # so that the limits don't hang on the last bit
+        held = F.when(((at > 0) & (at < 50)) | (at > 320), F.least(factor, F.lit(most))).otherwise(factor)
         return h, clip(s * (held if protect_skin else factor)), v
 
     return edit

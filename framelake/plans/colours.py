@@ -30,7 +30,7 @@ def space_sql(space: str, edit: tuple[str, str, str]) -> str:
     add = lambda *columns: steps.append((f"s{len(steps)}", f"s{len(steps) - 1}", columns))
     if space == "hsv":
         top, span = "greatest(x, y, z)", "(greatest(x, y, z) - least(x, y, z))"
-        turn = f"case when {span} = 0 then 0 when {top} = x then (y - z) / {span} * 60 when {top} = y then 120 + (z - x) / {span} * 60 else 240 + (x - y) / {span} * 60 end"
+        turn = f"case when {span} = 0 then 0 when {top} = x then (y - z) / {span} * 60 when {top} = y then (2 + (z - x) / {span}) * 60 else (4 + (x - y) / {span}) * 60 end"
         add(MOD.format(turn), f"case when {top} = 0 then 0 else {span} / {top} end", top)
         add(*edit)
         k = lambda n: f"((x / 60 + {n}) % 6)"
@@ -89,8 +89,8 @@ _tint = lambda k, low, mid, high: " + ".join(
 _TONES = ((210.0, 40.0), (30.0, 10.0), (45.0, 60.0))
 #: Name: space, edit, and the edit in SQL over x, y, z.
 EDITS: dict[str, tuple[str, grading.Edit, tuple[str, str, str]]] = {
-    "saturation": ("hsv", grading.saturated(0.4137), ("x", "least(greatest(y * (1 + 0.4137 * (1 - y)), 0), 1)", "z")),
-    "vibrance": ("hsv", grading.vibrance(0.6173), ("x", "least(greatest(y * case when (x > 0 and x < 50) or x > 320 then least(1 + 0.6173 * (1 - y), 0.69135) else 1 + 0.6173 * (1 - y) end, 0), 1)", "z")),
+    "saturation": ("hsv", grading.saturated(0.41421356), ("x", "least(greatest(y * (1 + 0.41421356 * (1 - y)), 0), 1)", "z")),
+    "vibrance": ("hsv", grading.vibrance(0.61803398), ("x", "least(greatest(y * case when (round(x, 9) > 0 and round(x, 9) < 50) or round(x, 9) > 320 then least(1 + 0.61803398 * (1 - y), 0.69098301) else 1 + 0.61803398 * (1 - y) end, 0), 1)", "z")),
     "calibration": ("hsv", grading.calibrated({"red": (40, 20), "green": (-30, 0), "blue": (10, -60)}), (
         MOD.format(f"x + {_bell('x', 0.0, 30)} * 6.0 + {_bell('x', 120.0, 30)} * -4.5 + {_bell('x', 240.0, 30)} * 1.5"),
         f"least(greatest(y * (1 + {_bell('x', 0.0, 30)} * 0.1 + {_bell('x', 240.0, 30)} * -0.3), 0), 1)", "z")),

@@ -50,13 +50,59 @@ def test_complete_linkage_is_greedy(spark):
 def test_average_linkage_never_joins_unusable():
     inf = np.inf
     d = np.array([[inf, 0.1, 0.5, inf], [0.1, inf, 0.4, inf], [0.5, 0.4, inf, inf], [inf, inf, inf, inf]])
-    assert similarity.average_linkage(d, 0.2) == [[0, 1], [2], [3]]
+    assert similarity.average_linkage(d, 0.2).tolist() == [0, 0, 2, 3]
+    assert similarity.average_linkage(d, 0.45).tolist() == [0, 0, 0, 3]
+    assert similarity.average_linkage(d, 0.44).tolist() == [0, 0, 2, 3]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_average_linkage_is_that_of_the_closest_pair(seed):
+    """Against merging the closest pair of clusters again and again."""
+    points = np.random.default_rng(seed).random((25, 3))
+    d = np.sqrt(((points[:, None] - points) ** 2).sum(axis=2))
+    groups = [[i] for i in range(25)]
+    while len(groups) > 1:
+        means = {(i, j): d[np.ix_(groups[i], groups[j])].mean() for i in range(len(groups)) for j in range(i)}
+        i, j = min(means, key=means.get)
+        if means[i, j] > 0.3:
+            break
+        groups[j] += groups.pop(i)
+    want = {m: min(g) for g in groups for m in g}
+    assert similarity.average_linkage(d, 0.3).tolist() == [want[i] for i in range(25)]
 
 
 @pytest.mark.parametrize(("values", "mean"), [([1, 2, 3, 4, 100], 3.0), ([1, 2, 3, 100], 26.5)])
 def test_trimmed_mean(spark, values, mean):
-    df = spark.createDataFrame([("a", float(v), i) for i, v in enumerate(values)], "k string, v double, i int")
-    assert robust.trimmed_mean(df, ["k"], "v", "i").first().trimmed_mean == mean
+    df = spark.createDataFrame([("a", float(v)) for v in values] + [(None, float(v)) for v in values], "k string, v double")
+    assert [r.trimmed_mean for r in robust.trimmed_mean(df, ["k"], "v").collect()] == [mean, mean]
+
+
+def test_exact_statistics_of_skewed_groups(spark):
+    """A group with one frequent value, one with all values apart, a small one and one without values."""
+    rng = np.random.default_rng(4)
+    groups = {"hot": [1.0] * 3000 + rng.random(200).tolist(), "apart": rng.normal(size=2500).tolist(), "few": [3.0, 1.0], "none": [None]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double").repartition(4)
+    at = (0.0, 0.013, 0.5, 0.977, 1.0)
+    got = {r.k: r["__p"] for r in robust.order_statistics(df, ["k"], "v", at).collect()}
+    assert set(got) == {"hot", "apart", "few"}
+    for k, found in got.items():
+        assert found == pytest.approx(np.quantile(groups[k], at).tolist())
+    for r in robust.trimmed_mean(df, ["k"], "v").collect():
+        v = np.sort(groups[r.k])
+        cut = max(1, int(len(v) * 0.1)) if len(v) >= 5 else 0
+        assert r.trimmed_mean == pytest.approx(v[cut : len(v) - cut].mean()) and r.n_kept == len(v) - 2 * cut
+    ranked = ranking.rank_within(df, ["k"], "v", "v", descending=False).where("v is not null").collect()
+    for k in got:
+        assert sorted(r["rank"] for r in ranked if r.k == k) == list(range(1, len(groups[k]) + 1))
+        assert [r.v for r in sorted((r for r in ranked if r.k == k), key=lambda r: r["rank"])] == sorted(groups[k])
+
+
+def test_frontier_of_a_large_front(spark):
+    """More frontier rows than a tile holds, repeated rows among them."""
+    rows = [(i, float(i), float(6000 - i)) for i in range(6000)] + [(9000 + i, float(i), float(5900 - i)) for i in range(0, 5900, 7)] + [(5, 5.0, 5995.0)]
+    df = spark.createDataFrame(rows, "k long, a double, b double").repartition(4)
+    got = sorted(r.k for r in ranking.frontier(df, ["a", "b"], [], "k").collect())
+    assert got == sorted([*range(6000), 5])
 
 
 def test_eyes(spark):
