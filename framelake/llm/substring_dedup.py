@@ -58,9 +58,10 @@ def _counter(anchor: np.ndarray) -> np.ndarray:
     return (anchor % np.uint64(COUNTERS)).astype(np.int64)
 
 
-def _windows(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, anchor, text number, start and a second hash of all windows of ``texts``, in order."""
-    found: list[list[np.ndarray]] = [[], [], [], [], []]
+def _windows(texts: list[bytes], window: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, anchor, text number and start of all windows of ``texts``, in order. A window whose anchor is hot has another
+    hash of its own words for one."""
+    found: list[list[np.ndarray]] = [[], [], [], []]
     for a, b in blocks(texts):
         _, _, h, first = hashed_words(texts[a:b])
         if len(h) < window:
@@ -75,14 +76,20 @@ def _windows(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, n
         doc = np.repeat(np.arange(b - a), np.diff(first))
         inside = doc[:n] == doc[window - 1 :]
         doc = doc[:n][inside]
+        if len(hot):
+            at = np.flatnonzero(np.isin(_counter(anchors), hot))
+            anchors[at] = w5[at] ^ mix(w5[at + window // 2] + np.uint64(window))
         found[0].append(w[inside])
-        found[4].append((w5[:n] ^ mix(w5[window // 2 : window // 2 + n] + np.uint64(window)))[inside])
         found[1].append(anchors[inside])
-        found[2].append(doc + a)
-        found[3].append(np.flatnonzero(inside) - first[doc])
+        found[2].append((doc + a).astype(np.int32))
+        found[3].append((np.flatnonzero(inside) - first[doc]).astype(np.int32))
     if not found[0]:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return tuple(np.concatenate(x) for x in found)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+    whole = []
+    for x in found:
+        whole.append(np.concatenate(x))
+        x.clear()
+    return tuple(whole)
 
 
 def _masks(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,7 +106,7 @@ def _count(window: int):
     """Texts in; the number of their windows (counter -1) and of every ``COUNT_STEP``-th one by anchor out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches, SLICE_BYTES):
+        for batch in rows_of(batches, SLICE_BYTES // 4):
             texts, total, seen = text_bytes(batch.column("text")), 0, []
             for a, b in blocks(texts):
                 _, _, h, first = hashed_words(texts[a:b])
@@ -137,7 +144,7 @@ def _settle(n_buckets: int, window: int, hot: np.ndarray):
             order = np.argsort(ids, kind="stable")
             texts = text_bytes(batch.column("text").take(pa.array(order)))
             ids, crc = ids[order], crc[order]
-            w, anchor, doc, start, second = _windows(texts, window)
+            w, anchor, doc, start = _windows(texts, window, hot)
             del texts
             if not len(w):
                 continue
@@ -152,10 +159,7 @@ def _settle(n_buckets: int, window: int, hot: np.ndarray):
             # of rows that repeat an id and its text one goes on for all
             on = np.sort(by[new | (~earlier & (crc[doc[by]] != crc[doc[first]]))])
             yield _rows(np.array([-1 - int(ids[0]) % n_buckets]), [_settled(ids, crc, doc[late], start[late])])
-            w, anchor, doc, start, second = w[on], anchor[on], doc[on], start[on], second[on]
-            if len(hot):
-                apart = np.isin(_counter(anchor), hot)
-                anchor = np.where(apart, second, anchor)
+            w, anchor, doc, start = w[on], anchor[on], doc[on], start[on]
             split = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)])
             head = np.flatnonzero(split)
             size = np.diff(head, append=len(w))
