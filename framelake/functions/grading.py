@@ -400,3 +400,93 @@ def skin_state(pixels: DataFrame, image: str, mask: str, least: float = 0.3) ->
     inside = pixels.where(F.col(mask) > least)
     turn = colour.degrees360(F.avg(F.sin(F.radians("__h"))), F.avg(F.cos(F.radians("__h"))))
     return inside.groupBy(image).agg(F.avg("__l").alias("l_mean"), F.avg("__c").alias("c_mean"), F.stddev_pop("__c").alias("c_std"), turn.alias("h_mean"))
+
+
+# --- masked edits, and edits that follow statistics of the frame --------------------------------
+
+
+def self_blend(x: Column, mode: str) -> Column:
+    """A channel blended with itself."""
+    if mode == "exclusion":
+        return 2 * x * (1 - x)
+    if mode == "linear_light":
+        return clip(3 * x - 1)
+    if mode == "color_dodge":
+        return F.when(x == 0, 0.0).when(x < 0.5, F.try_divide(x, 1 - x)).otherwise(1.0)
+    if mode == "color_burn":
+        return F.when(x == 1, 1.0).when(x > 0.5, 1 - F.try_divide(1 - x, x)).otherwise(0.0)
+    if mode == "vivid_light":
+        low = F.when(x > 1 / 3, F.try_divide(3 * x - 1, 2 * x)).otherwise(0.0)
+        return F.when(x <= 0.5, low).when(x < 2 / 3, F.try_divide(x, 2 * (1 - x))).otherwise(1.0)
+    return F.when(x <= 0.5, x - (1 - 2 * x) * x * (1 - x)).otherwise(x + (2 * x - 1) * (F.sqrt(x) - x))
+
+
+def lightened(mask: Column, amount: float) -> Edit:
+    """Lightness (of 255) raised where the mask is: whites of eyes, faces."""
+    return lambda light, a, b: (clip(light + mask * (amount * 100 / 255), 0, 100), a, b)
+
+
+def iris(mask: Column, saturation: float, hue: float, brightness: float) -> Edit:
+    def edit(light: Column, c: Column, h: Column) -> Triple:
+        mix = lambda old, new: old * (1 - mask) + new * mask
+        return mix(light, clip(light * (1 + brightness * 0.2), 0, 100)), mix(c, clip(c * (1 + saturation * 0.5), 0, 128)), mix(h, F.pmod(h + hue, F.lit(360.0)))
+
+    return edit
+
+
+def whitened_cloth(mask: Column, strength: float) -> Edit:
+    """Near-white pixels (lightness over 170 of 255, hardly coloured) a little lighter and warmer."""
+
+    def edit(light: Column, a: Column, b: Column) -> Triple:
+        m = F.when((light * 2.55 > 170) & (F.abs(a) < 15) & (F.abs(b) < 15), mask * strength).otherwise(0.0)
+        return clip(light + m * (1000 / 255), 0, 100), clip(a + m, -128, 127), clip(b + m * 3, -128, 127)
+
+    return edit
+
+
+def cool_cast_removed(blueish: Column, strength: float) -> Edit:
+    """Chroma drawn to grey where pixels are bluer than they should be."""
+    left = F.when(blueish, 1 - strength).otherwise(1.0)
+    return lambda light, a, b: (light, a * left, b * left)
+
+
+def unified_hair(pixels: DataFrame, image: str, mask: str, strength: float) -> DataFrame:
+    """Hair drawn to its own mean hue (by ten degrees at most) and median chroma (by 0.03 at most) in OKLCh."""
+    light, a, b = colour.srgb_to_oklab(F.col("r"), F.col("g"), F.col("b"))
+    chroma, hue = colour.to_polar(a, b)
+    seen = pixels.where(F.col(mask) > 0.05).select(image, chroma.alias("__c"), F.radians(hue).alias("__h"))
+    target = seen.groupBy(image).agg(colour.degrees360(F.sum(F.sin("__h")), F.sum(F.cos("__h"))).alias("__hue"), F.percentile("__c", F.lit(0.5)).alias("__chroma"))
+    share = F.col(mask) * strength
+
+    def edit(light: Column, c: Column, h: Column) -> Triple:
+        turn = F.pmod(F.col("__hue") - h + 180, F.lit(360.0)) - 180
+        return light, F.greatest(c + clip(F.col("__chroma") - c, -0.03, 0.03) * share, F.lit(0.0)), F.pmod(h + clip(turn, -10, 10) * share, F.lit(360.0))
+
+    return in_space(pixels.join(target, image), "oklch", edit).drop("__hue", "__chroma")
+
+
+def colour_transfer(pixels: DataFrame, image: str, reference: tuple[float, float, float, float]) -> DataFrame:
+    """Chroma of each image moved to a reference's mean and spread of Lab a and b (``mean a, std a, mean b, std b``); spreads are scaled by 0.3
+    to 3, and flat channels stay."""
+    _, a, b = colour.linear_to_lab(*(colour.srgb_to_linear(F.col(c)) for c in "rgb"))
+    ab = pixels.select(image, a.alias("__a"), b.alias("__b"))
+    stats = ab.groupBy(image).agg(*[f(c).alias(f"{c}{n}") for c in ("__a", "__b") for f, n in ((F.avg, "m"), (F.stddev_pop, "s"))])
+
+    def moved(x: Column, name: str, mean: float, std: float) -> Column:
+        m, s = F.col(f"{name}m"), F.col(f"{name}s")
+        return F.when(s < 1e-3, x).otherwise((x - m) * clip(std / (s + 1e-6), 0.3, 3.0) + mean)
+
+    ma, sa, mb, sb = reference
+    edit = lambda light, x, y: (light, moved(x, "__a", ma, sa), moved(y, "__b", mb, sb))
+    return in_space(pixels.join(stats, image), "lab", edit).drop("__am", "__as", "__bm", "__bs")
+
+
+def stacked(grades: list[tuple[DataFrame, float]], keys: list[str]) -> DataFrame:
+    """Weighted mean of several grades of the same pixels; weights of zero or less count as none."""
+    used = [(d, w) for d, w in grades if w > 0]
+    total = sum(w for _, w in used)
+    every = None
+    for d, w in used:
+        part = d.select(*keys, *[(F.col(c) * (w / total)).alias(c) for c in "rgb"])
+        every = part if every is None else every.unionByName(part)
+    return every.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in "rgb"])

@@ -103,3 +103,36 @@ def temporal_report(pairs: DataFrame, clip: list[str], frame: str, before: str,
         F.count(F.lit(1)).alias("n"), (F.count(after) / F.count(F.lit(1))).alias("coverage"), F.avg("__change").alias("mean_change"),
         F.percentile("__change", F.lit(0.95)).alias("p95_change"), (F.avg("__a") - F.avg("__b")).alias("added_flicker"),
     )
+
+
+def bound_faces(anchors: DataFrame, faces: DataFrame, image: str, box: tuple[str, ...], order: str, least: float = 0.3) -> DataFrame:
+    """``image, anchor, face, iou``: settings anchored to boxes go to the faces found, one to one, the best overlap first (ties: the larger
+    numbers); anchors that overlap none by ``least`` have a null face. An image's boxes are few."""
+    shape = F.struct(F.col(order).alias("k"), *[F.col(c).cast("double").alias(n) for c, n in zip(box, "xywh", strict=True)])
+    listed = lambda d, n: d.groupBy(image).agg(F.collect_list(shape).alias(n))
+    both = listed(anchors, "a").join(listed(faces, "f"), image, "left").withColumn("f", F.coalesce("f", F.filter("a", lambda _: F.lit(False))))
+    sides = lambda s: tuple(s[c] for c in "xywh")
+    scored = F.flatten(F.transform("a", lambda a: F.transform("f", lambda f: F.struct(iou(sides(a), sides(f)).alias("iou"), a["k"].alias("anchor"), f["k"].alias("face")))))
+    pairs = F.reverse(F.array_sort(F.filter(scored, lambda p: p["iou"] >= least)))
+    kind = f"array<struct<iou:double,anchor:{anchors.schema[order].dataType.simpleString()},face:{faces.schema[order].dataType.simpleString()}>>"
+
+    def step(taken: Column, p: Column) -> Column:
+        clash = F.exists(taken, lambda t: (t["anchor"] == p["anchor"]) | (t["face"] == p["face"]))
+        return F.when(clash, taken).otherwise(F.concat(taken, F.array(p)))
+
+    bound = both.select(image, F.explode(F.aggregate(pairs, F.array().cast(kind), step)).alias("p")).select(image, "p.anchor", "p.face", "p.iou")
+    return anchors.select(image, F.col(order).alias("anchor")).join(bound, [image, "anchor"], "left")
+
+
+def best_face(faces: DataFrame, image: str, area: Column, order: str) -> DataFrame:
+    """The largest face of each image (ties: the first)."""
+    return faces.groupBy(image).agg(F.max_by(order, F.struct(area.alias("s"), (-F.col(order)).alias("k"))).alias("face"))
+
+
+def frame_anchors(pixels: DataFrame, image: str, luma: str, channels: list[str], low: float, high: float) -> DataFrame:
+    """Mean channels of each image over the pixels whose luma lies between two of its percentiles."""
+    from .robust import order_statistics
+
+    edges = order_statistics(pixels, [image], luma, (low, high))
+    inside = pixels.join(edges, image).where(F.col(luma).between(F.col("__p")[0], F.col("__p")[1]))
+    return inside.groupBy(image).agg(*[F.avg(c).alias(c) for c in channels], F.count(F.lit(1)).alias("n"))

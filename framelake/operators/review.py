@@ -76,3 +76,76 @@ def unmatched(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
     lost = expected.select(key).join(found.select(key), key, "left_anti").withColumn("problem", F.lit("missing"))
     odd = found.select(key).distinct().join(expected.select(key), key, "left_anti").withColumn("problem", F.lit("unexpected"))
     return lost.unionByName(odd)
+
+
+#: Scores of a look's kind, framing and setting.
+KIND_SCORES = {"photo": 1.0, "collage": 0.4, "poster": 0.0, "screenshot": 0.0}
+FRAMING_SCORES = {"pair": 1.0, "full-body": 1.0, "three-quarter": 0.75, "half-body": 0.45, "close-up": 0.25, "wide": 0.5}
+SETTING_SCORES = {"outdoor": 1.0, "studio": 1.0, "indoor": 0.6, "event-floor": 0.6}
+
+
+def _score(name: Column, scores: dict[str, float]) -> Column:
+    return F.create_map(*[F.lit(x) for kv in scores.items() for x in kv])[name]
+
+
+def merged_looks(covers: DataFrame, looks: DataFrame, key: str) -> DataFrame:
+    """``covers`` (``photo, costume, light, measured_light``) with what a labelled look says: kind, framing (several people make a pair
+    unless it is wide; a hidden costume counts 0.6), and half of the light from the setting. Covers without a look stay."""
+    joined = covers.join(looks.select(key, "kind", "framing", "people", "costume_readable", "setting", F.lit(True).alias("__seen")), key, "left")
+    framing = F.when((F.col("framing") != "wide") & (F.coalesce("people", F.lit(0)) >= 2), "pair").otherwise(F.col("framing"))
+    costume = F.round(_score(framing, FRAMING_SCORES) * F.when(F.col("costume_readable") == F.lit(False), 0.6).otherwise(1.0), 4)
+    light = F.round(0.5 * F.col("measured_light") + 0.5 * _score(F.col("setting"), SETTING_SCORES), 4)
+    seen = F.col("__seen").isNotNull()
+    return joined.select(
+        key, F.when(seen, _score(F.col("kind"), KIND_SCORES)).otherwise(F.col("photo")).alias("photo"),
+        F.when(seen, costume).otherwise(F.col("costume")).alias("costume"), F.coalesce(F.when(seen, light), "light").alias("light"),
+    )
+
+
+def face_gate(covers: DataFrame, eyes: str, sharpness: str) -> DataFrame:
+    """``gate`` of each cover: 0.6 for closed eyes, 0.8 for a face below 0.6 of the shoot's median sharpness, which counts from three measured
+    faces on."""
+    middle = covers.agg(F.when(F.count(sharpness) >= 3, F.percentile(sharpness, F.lit(0.5))).alias("__median"))
+    soft = F.coalesce((F.col("__median") != 0) & (F.col(sharpness) < 0.6 * F.col("__median")), F.lit(False))
+    gate = F.when(F.col(eyes) == "closed", 0.6).otherwise(1.0) * F.when(soft, 0.8).otherwise(1.0)
+    return covers.join(F.broadcast(middle), F.lit(True)).withColumn("gate", gate).drop("__median")
+
+
+def suggested(analysis: DataFrame, key: str) -> DataFrame:
+    """Suggested settings from a frame's measures (``mean_l, p1, p95, p99`` of 255, ``noise, sharpness``); null where none is called for."""
+    mean, p1, p95, p99 = (F.col(c) for c in ("mean_l", "p1", "p95", "p99"))
+    whole = lambda x, low, high: F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high))).cast("int")
+    off = 128 - mean
+    brightness = F.when(mean < 80, whole(off * 0.15, 0, 12)).when(mean > 180, whole(off * 0.3, -20, 0)).otherwise(whole(off * 0.5, -30, 30))
+    span = p95 - p1
+    return analysis.select(
+        key, F.when(F.abs(brightness) >= 1, brightness).alias("brightness"), F.when(p1 < 10, whole((12 - p1) * 0.5, 0, 60)).alias("blacks"),
+        F.when(p99 > 240, whole((240 - p99) * 1.5, -60, 0)).alias("whites"), F.when(p95 > 235, whole(235 - p95, -40, 0)).alias("highlights"),
+        F.when(span < 120, whole((120 - span) * 0.3, 0, 30)).when(span > 230, whole((230 - span) * 0.3, -20, 0)).alias("contrast"),
+        F.when(F.col("noise") > 0.25, whole(F.bround(F.col("noise") * 60), 0, 100)).alias("denoise"),
+        F.when(F.col("sharpness") < 0.2, whole((0.2 - F.col("sharpness")) * 200, 5, 40)).alias("sharpen"),
+    )
+
+
+def qa_status(available: Column, flagged: Column) -> Column:
+    """What became of a detector: null availability counts as available, null flags as passed."""
+    return F.when(available == F.lit(False), "unavailable").when(F.coalesce(flagged, F.lit(False)), "flagged").otherwise("passed")
+
+
+def qa_rollup(results: DataFrame, job: str, status: str) -> DataFrame:
+    """``flagged, passed, unavailable, n`` of each job."""
+    count = lambda s: F.count(F.when(F.col(status) == s, 1)).alias(s)
+    return results.groupBy(job).agg(count("flagged"), count("passed"), count("unavailable"), F.count(F.lit(1)).alias("n"))
+
+
+def decided(records: DataFrame, decisions: DataFrame, key: str, order: str) -> DataFrame:
+    """``records`` with the latest ``decision`` of each, ``undecided`` without one."""
+    last = decisions.groupBy(key).agg(F.max_by("decision", order).alias("decision"))
+    return records.join(last, key, "left").withColumn("decision", F.coalesce("decision", F.lit("undecided")))
+
+
+def with_default(items: DataFrame, value: str, otherwise: float = 1.0) -> DataFrame:
+    """Missing or non-positive values take the median of the known ones, or ``otherwise`` where none is known."""
+    known = items.agg(F.coalesce(F.percentile(F.when(F.col(value) > 0, F.col(value)), F.lit(0.5)), F.lit(otherwise)).alias("__default"))
+    filled = F.when(F.col(value) > 0, F.col(value)).otherwise(F.col("__default"))
+    return items.join(F.broadcast(known), F.lit(True)).withColumn(value, filled).drop("__default")
