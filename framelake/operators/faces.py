@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folds import scan
+
 
 def overlap(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     """Area that two boxes (x, y, width, height) share."""
@@ -136,3 +138,32 @@ def frame_anchors(pixels: DataFrame, image: str, luma: str, channels: list[str],
     edges = order_statistics(pixels, [image], luma, (low, high))
     inside = pixels.join(edges, image).where(F.col(luma).between(F.col("__p")[0], F.col("__p")[1]))
     return inside.groupBy(image).agg(*[F.avg(c).alias(c) for c in channels], F.count(F.lit(1)).alias("n"))
+
+
+def region_stats(pixels: DataFrame, frame: list[str], region: str, values: list[str]) -> DataFrame:
+    """Exact median of each value over the pixels of each region of each frame; empty regions have no row."""
+    return pixels.groupBy(*frame, region).agg(*[F.percentile(v, F.lit(0.5)).alias(v) for v in values], F.count(F.lit(1)).alias("n"))
+
+
+def tracks(faces: DataFrame, burst: str, frame: str, face: str, box: tuple[str, ...], most: float = 0.5) -> DataFrame:
+    """``burst, frame, face, track`` of faces followed through the frames of a burst: in order, each face takes the free track whose last
+    centre is nearest, within ``most`` face widths (ties: the oldest); else it opens one. One face a track and frame.
+
+    A burst's faces are few; they are folded as one array within the JVM.
+    """
+    x, y, w, h = map(F.col, box)
+    row = F.struct(F.col(frame).alias("t"), F.col(face).alias("k"), (x + w / 2).alias("x"), (y + h / 2).alias("y"), w.cast("double").alias("w"))
+    rows = faces.groupBy(burst).agg(F.array_sort(F.collect_list(row)).alias("q"))
+    kind = faces.schema[frame].dataType.simpleString()
+
+    def step(state: Column, f: Column) -> tuple[dict[str, Column], Column]:
+        far = lambda s: F.sqrt((s["x"] - f["x"]) * (s["x"] - f["x"]) + (s["y"] - f["y"]) * (s["y"] - f["y"]))
+        near = F.filter(F.transform(state["open"], lambda s, i: F.struct(far(s).alias("d"), i.alias("i"), s["t"].alias("t"))), lambda c: (c["t"] < f["t"]) & (c["d"] <= most * f["w"]))
+        number = F.coalesce(F.array_min(near)["i"], F.size(state["open"]))
+        own = F.struct(f["x"].alias("x"), f["y"].alias("y"), f["t"].alias("t"))
+        moved = F.transform(state["open"], lambda s, i: F.when(i == number, own).otherwise(s))
+        return {"open": F.when(number < F.size(state["open"]), moved).otherwise(F.concat(state["open"], F.array(own)))}, number
+
+    start = {"open": F.array().cast(f"array<struct<x:double,y:double,t:{kind}>>")}
+    found = rows.select(burst, F.explode(F.arrays_zip("q", scan(F.col("q"), start, step, "int").alias("track"))).alias("z"))
+    return found.select(burst, F.col("z.q.t").alias(frame), F.col("z.q.k").alias(face), "z.track")

@@ -146,3 +146,9 @@ def batch_plan(tasks: DataFrame, queue: str, most: int) -> DataFrame:
 def pressure(tasks: DataFrame) -> DataFrame:
     """``subsystem, n`` live tasks of each subsystem."""
     return tasks.select(F.explode("subsystems").alias("subsystem")).groupBy("subsystem").agg(F.count(F.lit(1)).alias("n"))
+
+
+def shared_files(changes: DataFrame, unit: str, file: str) -> DataFrame:
+    """``file, n, units`` of files that several units change, the units in order: all their overlaps without a row for each pair."""
+    found = changes.select(unit, file).distinct().groupBy(file).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(unit)).alias("units"))
+    return found.where("n > 1")

@@ -188,3 +188,54 @@ select c_custkey, round(case when mp > 0 then mp else coalesce((select median(mp
 def default_megapixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.when(F.col("c_custkey") % 3 == 0, None).when(F.col("c_custkey") % 5 == 0, -1.0).otherwise(F.col("c_acctbal"))
     return review.with_default(read(spark, sf_dir, "customer").select("c_custkey", value.alias("mp")), "mp").withColumn("mp", r6("mp"))
+
+
+@query(f"""
+with p as (select {KEY}, l_suppkey % 8 region, l_quantity l, l_discount a from lineitem) select l_orderkey, region, round(median(l), 6) l, round(median(a), 6) a, count(*) n from p group by 1, 2""")
+def region_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = read(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 8).alias("region"), F.col("l_quantity").alias("l"), F.col("l_discount").alias("a"))
+    found = faces.region_stats(pixels, ["l_orderkey"], "region", ["l", "a"])
+    return found.select("l_orderkey", "region", r6("l").alias("l"), r6("a").alias("a"), "n")
+
+
+@query(f"""
+with recursive f as ({BOXES}), g as (select img // 4 burst, img % 4 t, k, x + w / 2 x, y + h / 2 y, w, row_number() over (partition by img // 4 order by img % 4, k) i from f),
+z as (select burst, 0::bigint i, null::bigint t, null::int k, null::int track, []::struct(x double, y double, t bigint)[] o from g group by burst
+  union all select burst, i, t, k, tr, case when tr < len(o) then list_transform(list_zip(o, range(0, len(o))), lambda p: case when p[2] = tr then me else p[1] end) else list_append(o, me) end from (
+    select g.burst, g.i, g.t, g.k, z.o, {{'x': g.x, 'y': g.y, 't': g.t}} me, coalesce(list_sort(list_filter(list_transform(list_zip(z.o, range(0, len(z.o))), lambda p: {{'d': sqrt(power(p[1].x - g.x, 2) + power(p[1].y - g.y, 2)), 'i': p[2], 't': p[1].t}}),
+      lambda c: c.t < g.t and c.d <= 0.5 * g.w))[1].i, len(z.o))::int tr from z join g on g.burst = z.burst and g.i = z.i + 1))
+select burst, t frame, k face, track from z where i > 0""")
+def face_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("img"), F.col("l_linenumber").alias("face"))
+    boxes = each.agg((F.min("l_partkey") % 40).cast("double").alias("x"), (F.min("l_suppkey") % 30).cast("double").alias("y"), (F.max("l_quantity") + 10).alias("w")).withColumn("h", F.lit(40.0))
+    rows = boxes.withColumns({"burst": F.floor(F.col("img") / 4).cast("long"), "frame": F.col("img") % 4})
+    return faces.tracks(rows, "burst", "frame", "face", ("x", "y", "w", "h"))
+
+
+@query("select l_partkey, count(distinct l_suppkey) n, array_to_string(list_sort(list(distinct l_suppkey)), ',') units from lineitem group by 1 having count(distinct l_suppkey) > 1")
+def shared_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import graph
+
+    return graph.shared_files(read(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey").withColumn("units", F.array_join(F.col("units").cast("array<string>"), ","))
+
+
+@query("""
+select l_orderkey, l_linenumber, round(case when l_discount <= 0.05 then 1 when l_discount >= 0.09 then 0 else 1 - power((l_discount - 0.05) / 0.04, 2) * (3 - 2 * (l_discount - 0.05) / 0.04) end, 6) gate from lineitem""")
+def yaw_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _keyed(read(spark, sf_dir, "lineitem"), gate=colour.smoothstep_down(F.col("l_discount"), 0.05, 0.09))
+
+
+@query("""
+with p as (select p_partkey, p_brand, string_split(replace(lower(p_name), ' ', '.'), '.') s, p_size from part)
+select p_partkey, i::int depth, array_to_string(s[:i], '.') prefix, round(case when p_size % 3 = 0 then -1.0 else 10.0 / (p_size % 3) end, 6) ratio,
+  case when p_size / 60.0 < 0.04 then 'wide' when p_size / 60.0 < 0.12 then 'full-body' when p_size / 60.0 < 0.2 then 'three-quarter' when p_size / 60.0 < 0.33 then 'half-body' else 'close-up' end framing
+from (select *, unnest(range(1, len(s) + 1)) i from p)""")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules called from SQL, as scalar and as table functions."""
+    from ..functions import sql
+
+    sql.register(spark)
+    read(spark, sf_dir, "part").createOrReplaceTempView("framelake_part")
+    return spark.sql("""
+        SELECT p_partkey, depth, prefix, round(safe_divide(10, p_size % 3, -1), 6) AS ratio, framing(p_size / 60, 1) AS framing
+        FROM framelake_part, LATERAL path_prefixes(replace(lower(p_name), ' ', '.'))""")
