@@ -49,7 +49,7 @@ BUCKET_ENTRIES = 1 << 17
 SLICE_BYTES = 16 << 20
 #: Partners of a line that a token passes on, and that are verified in the first round.
 TOKEN_PARTNERS = 4
-FIRST_PARTNERS = 8
+FIRST_PARTNERS = 4
 #: Slots of the bitmap of tokens that the second round asks for.
 TOKEN_SLOTS = 1 << 22
 #: Tokens from which a line has a second parity word; for others it is 0, which compresses away.
@@ -130,13 +130,19 @@ class _Lines:
         token, line_of, doc, number, identity, second = [], [], [], [], [], []
         base = 0
         for a, b in blocks(texts):
-            buf, start, h, first = hashed_words([x.lower() for x in texts[a:b]])
+            low, at = [x.lower() for x in texts[a:b]], np.arange(a, b)
+            if asked is not None:
+                _, _, h, first = hashed_words(low)
+                hits = np.concatenate([[0], np.cumsum(asked[_slot(mix(h))])])
+                some = np.flatnonzero(hits[first[1:]] > hits[first[:-1]])
+                low, at = [low[i] for i in some.tolist()], at[some]
+            buf, start, h, first = hashed_words(low)
             if not len(h):
                 continue
             breaks = np.concatenate([[0], np.cumsum(buf == 10, dtype=np.int32)])
-            length = np.fromiter(map(len, texts[a:b]), dtype=np.int64, count=b - a)
+            length = np.fromiter(map(len, low), dtype=np.int64, count=len(low))
             begin = np.concatenate([[0], np.cumsum(length + 1)[:-1]])
-            text = np.repeat(np.arange(b - a), np.diff(first))
+            text = np.repeat(np.arange(len(low)), np.diff(first))
             line = breaks[start] - breaks[begin][text]
             new = np.concatenate([[True], (line[1:] != line[:-1]) | (text[1:] != text[:-1])])
             which = np.cumsum(new) - 1
@@ -161,7 +167,7 @@ class _Lines:
             identity.append(np.add.reduceat(mixed, ends))
             second.append(np.add.reduceat(mix(mixed ^ _SECOND), ends))
             head = np.flatnonzero(new)
-            doc.append(text[head] + a)
+            doc.append(at[text[head]])
             number.append(line[head])
             base += len(head)
         self.token = np.concatenate(token) if token else np.zeros(0, np.uint64)
