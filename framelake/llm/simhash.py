@@ -147,11 +147,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     no rows; other columns are ignored.
     """
     held = saved(fingerprints(docs))
-    distinct = saved(held.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = saved(held.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     node = _with_components(distinct)
     names = node.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = node.join(names, "component").select("fp", "component_id")
-    out = held.join(named, "fp")
+    named = saved(node.join(names, "component").select("fp", "component_id", "n"))
+    # a fingerprint of over a thousandth of all rows is met by a broadcast of at most a thousand, so no task gets all its rows
+    often = named.where(F.col("n") > max(1000, (named.agg(F.sum("n")).first()[0] or 0) // 1000))
+    marked = held.join(F.broadcast(often.select("fp", "component_id", F.lit(True).alias("often"))), "fp", "left")
+    others = marked.where("often is null").select("fp", "doc_id").join(named.drop("n"), "fp")
+    out = marked.where("often").select("fp", "doc_id", "component_id").unionByName(others.select("fp", "doc_id", "component_id"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
