@@ -19,7 +19,9 @@ def hysteresis(value: Column, on: float, off: float, keys: list[str], order: lis
 
 
 def cuts(df: DataFrame, keys: list[str], time: str, tie: str, value: str, window_seconds: float, ratio: float = 4.0, floor: float = 8.0) -> DataFrame:
-    """Rows whose value is at least ``floor`` and ``ratio`` times the median of the window before them (none: no cut)."""
+    """Rows whose value is at least ``floor`` and ``ratio`` times the median of the window before them (none: no cut).
+
+    Each row's median is taken over its own window, so the work grows with rows times rows a window."""
     timed = df.withColumn("__us", micros(F.col(time)))
     w = Window.partitionBy(*keys).orderBy("__us").rangeBetween(-int(window_seconds * 1e6), -1)
     level = timed.withColumn("level", F.percentile(value, F.lit(0.5)).over(w)).drop("__us")

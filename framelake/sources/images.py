@@ -91,7 +91,10 @@ def _exif(b: bytes) -> dict[str, str | int]:
 
 
 def probe(files: DataFrame) -> DataFrame:
-    """``path, width, height, capture_text, capture_source, camera`` from the first 64 KiB of ``content``; nulls where unknown."""
+    """``path, width, height, capture_text, capture_source, camera`` from the first 64 KiB of ``content``; nulls where unknown.
+
+    Only these bytes go to Python, but the reader of binary files has each file whole in a task before; fields whose
+    place in the file lies beyond them are null."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -167,6 +167,37 @@ def test_documents(spark):
     assert rows(documents.move_plan(plan, "s", "d")) == [("a", "X", "conflict"), ("b", "x", "conflict"), ("c", "c", "done")]
 
 
+def test_shared_folder():
+    """Where none is named a cluster is refused, and a local run gets a folder."""
+    from types import SimpleNamespace
+
+    from framelake import storage
+
+    def session(master, named=None, at=None):
+        held = {"dir": at}
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: held["dir"], setCheckpointDir=lambda d: held.update(dir=d))
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: named), sparkContext=context)
+
+    assert storage.shared_folder(session("yarn", "hdfs://x/y")) == "hdfs://x/y"
+    assert storage.shared_folder(session("spark://h", None, "s3://z")) == "s3://z"
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            storage.shared_folder(session(master))
+    assert "checkpoints-" in storage.shared_folder(session("local[2]"))
+
+
+def test_saved_leaves_no_shuffle_and_can_be_released(spark):
+    from framelake import storage
+
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    df = storage.saved(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
+    assert df.count() == 7 and df.join(df.withColumnRenamed("count", "n"), "k").count() == 7
+    storage.release(df)
+    with pytest.raises(Exception):  # noqa: B017
+        df.collect()
+
+
 def test_review_rules(spark):
     items = spark.createDataFrame([(1, 2.0), (2, None), (3, -1.0), (4, 4.0)], "k int, mp double")
     assert rows(review.with_default(items, "mp")) == [(1, 2.0), (2, 3.0), (3, 3.0), (4, 4.0)]
