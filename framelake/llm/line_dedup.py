@@ -46,7 +46,7 @@ from .words import blocks, hashed_words, mix
 THRESHOLD = 0.8
 RARITY_BUCKETS = 1 << 18
 BUCKET_ENTRIES = 1 << 17
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 12 << 20
 #: Partners of a line that a token passes on, and that are verified in the first round.
 TOKEN_PARTNERS = 4
 FIRST_PARTNERS = 4
@@ -58,7 +58,7 @@ WIDE_LINE = 48
 HOT_ENTRIES = 512
 PIVOTS = 32
 #: Entries that a bucket compares at a time.
-_PAIRS = 1 << 21
+_PAIRS = 1 << 19
 _KINDS = ["<u4", "<u4", "<u4", "<u8", "<u8", "<i8", "<u4", "<u4", "u1"]
 _FOUND = "x_doc long, x_crc long, x_line int, y_doc long, y_crc long, y_line int, more boolean, sure boolean, apart int"
 _SAME = ["<u8", "<u8", "<i8", "<u4", "<u4"]
