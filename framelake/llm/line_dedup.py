@@ -14,15 +14,15 @@ A line's tokens are its distinct words, A-Z in lower case. A line goes if an ear
 3. Candidates. Within a token, a pair must fit in size, in what is left behind the matching
    position, and in its parities: tokens that only one line has toggle bits, so the differing bits
    never exceed the symmetric difference. For each line the ``TOKEN_PARTNERS`` closest earlier partners of a token are passed
-   on, of all tokens the ``FIRST_PARTNERS`` closest, and whether there were more; so a group of mutual near copies gives a
+   on, of all tokens as many, and whether there were more; so a group of mutual near copies gives a
    few rows a line, not all pairs.
    In a token of over ``HOT_ENTRIES`` entries each line is held against the ``PIVOTS`` earliest first, and only lines without a
    partner among these against the others, so a large group of near copies costs a few comparisons a line.
    Equal token sets (by two 64-bit sums over full word hashes) meet in buckets of their own and need no more;
    so do lines too short to have a similar one of another set.
 4. Verification of the others on the words themselves: asked lines are fetched from their documents, joined to the pairs
-   as rows, and compared by array functions. Lines of which all these partners fail and that had more are tried against all
-   their partners in a second round, for which only the entries go out whose token one of these lines has (told by a
+   as rows, and compared by array functions: the ``FIRST_PARTNERS`` closest, and the others only of lines that these fail. Lines of
+   which all fail and that had more are tried against all their partners in a second round, for which only the entries go out whose token one of these lines has (told by a
    bitmap of fixed size).
 
 Documents are dealt by id and checksum once, as zstandard frames, and saved so; a bucket holds a
@@ -47,8 +47,8 @@ THRESHOLD = 0.8
 RARITY_BUCKETS = 1 << 18
 BUCKET_ENTRIES = 1 << 17
 SLICE_BYTES = 12 << 20
-#: Partners of a line that a token passes on, and that are verified in the first round.
-TOKEN_PARTNERS = 4
+#: Partners of a line that a token, and then all tokens together, pass on; and how many of them are verified before the rest.
+TOKEN_PARTNERS = 32
 FIRST_PARTNERS = 4
 #: Slots of the bitmap of tokens that the second round asks for.
 TOKEN_SLOTS = 1 << 22
@@ -510,13 +510,19 @@ def _near_lines(keyed: DataFrame, packed: DataFrame, threshold: float) -> DataFr
     met = rows.groupBy("bucket").applyInArrow(_match(n_buckets, threshold, False), _FOUND)
     partners = F.array_sort(F.collect_set(F.struct("apart", "y_doc", "y_crc", "y_line")))
     listed = met.groupBy(*own).agg(F.max("sure").alias("sure"), F.max("more").alias("more"), partners.alias("y"))
-    several = F.col("more") | (F.size("y") > FIRST_PARTNERS)
-    found = saved(listed.select(*own, "sure", several.alias("more"), F.slice("y", 1, FIRST_PARTNERS).alias("y")))
-    open_ = found.where("not sure").select(*own, F.explode("y").alias("y"), "more").select(*own, "y.y_doc", "y.y_crc", "y.y_line", "more")
-    checked = saved(_verified(packed, open_, threshold))
-    gone = found.where("sure").toDF("doc", "crc", "line", "sure", "more", "y").select("doc", "crc", "line")
-    gone = gone.unionByName(checked.where("good").select("doc", "crc", "line"))
-    probes = checked.where("more and not good")
+    several = F.col("more") | (F.size("y") > TOKEN_PARTNERS)
+    found = saved(listed.select(*own, "sure", several.alias("more"), F.slice("y", 1, TOKEN_PARTNERS).alias("y")))
+
+    def tried(lines: DataFrame, first: int, n: int) -> DataFrame:
+        pairs = lines.select(*own, F.explode(F.slice("y", first, n)).alias("y"), "more").select(*own, "y.y_doc", "y.y_crc", "y.y_line", "more")
+        return saved(_verified(packed, pairs, threshold))
+
+    closest = tried(found.where("not sure"), 1, FIRST_PARTNERS)
+    failed = closest.where("not good").toDF(*own, *closest.columns[3:]).select(*own)
+    others = tried(found.where(~F.col("sure") & (F.size("y") > FIRST_PARTNERS)).join(failed, own, "left_semi"), FIRST_PARTNERS + 1, TOKEN_PARTNERS)
+    good = closest.where("good").unionByName(others.where("good")).select("doc", "crc", "line")
+    gone = found.where("sure").toDF("doc", "crc", "line", "sure", "more", "y").select("doc", "crc", "line").unionByName(good)
+    probes = closest.where("more and not good").join(good, ["doc", "crc", "line"], "left_anti")
     if not probes.isEmpty():
         bitmap = _asked(order, probes, threshold)
         rows = keyed.mapInArrow(_emit(order, n_buckets, threshold, bitmap), "bucket long, blob binary")

@@ -161,6 +161,20 @@ def test_lines_large_family(spark):
     assert got == brute_lines(list(enumerate(texts)))
 
 
+def test_lines_of_a_hot_word_with_one_late_partner(spark):
+    """Lines of a hot word whose few candidates among the first lines fail are tried against all."""
+    rng = random.Random(11)
+    words = [f"c{i}" for i in range(400)]
+    texts = [" ".join(["rare", *rng.sample(words, 9)]) for _ in range(line_dedup.HOT_ENTRIES + 300)]
+    for i in range(0, 200, 5):  # near copies of lines in the middle
+        line = texts[400 + i].split()
+        line[rng.randrange(1, 10)] = f"n{i}"
+        texts.append(" ".join(line))
+    got = {r.doc_id: r.text for r in line_dedup.remove_near_lines(table(spark, texts, list(range(len(texts))))).collect()}
+    assert got == brute_lines(list(enumerate(texts)))
+    assert sum(t == "" for t in got.values()) >= 40
+
+
 def test_clashing_names(spark):
     """Columns named like the operators' own working columns come through as they are."""
     names = ["doc", "crc", "lines", "__doc", "__crc", "__id", "__text", "__key", "__rows", "bucket", "n_lines_"]
