@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .ranking import bin_of, edges_of
 
-BINS = 256
+BINS = 64
 
 
 def _binned(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
@@ -15,7 +15,7 @@ def _binned(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, Data
     rows in the bins below and in the group. Bins are value ranges of about equal counts."""
     rows = df.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("__k"), F.col(value).cast("double").alias("__v"))
     edges = rows.groupBy("__k").agg(edges_of(F.col("__v"), BINS).alias("__edges"))
-    placed = rows.join(edges, "__k").select("__k", bin_of(F.col("__v"), F.col("__edges")).alias("__bin"), "__v")
+    placed = rows.join(edges, "__k").select("__k", bin_of(F.col("__v"), F.col("__edges"), 8).alias("__bin"), "__v")
     counts = placed.groupBy("__k", "__bin").agg(F.count(F.lit(1)).alias("n"), F.sum("__v").alias("total"))
     own = Window.partitionBy("__k")
     upto = own.orderBy("__bin")
