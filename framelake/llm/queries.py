@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, langid, line_dedup, mixing, oph, packing, quality, sharding, simhash, sql, substring_dedup
+from . import html, langid, line_dedup, minhash, mixing, negatives, oph, packing, quality, resampling, sharding, simhash, sql, substring_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,8 +61,23 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), negatives.shifted_labels())
+
+
 def queries() -> dict[str, Query]:
-    every = [op1_simhash, op2_line_dedup, op3_fingerprints, op4_packing, op5_sharding, op6_mixing, op7_substring_dedup, op8_html, op9_quality, op10_langid]
+    every = [
+        op1_simhash, op2_line_dedup, op3_fingerprints, op4_packing, op5_sharding, op6_mixing, op7_substring_dedup, op8_html, op9_quality, op10_langid,
+        op11_minhash, op12_resampling, op13_negatives,
+    ]
     return {f.__name__: f for f in every}
 
 

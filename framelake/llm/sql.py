@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from . import quality, sharding
+from . import negatives, quality, resampling, sharding
 
 BLANK = r"[\x20\x09-\x0D]+"
 WORDS = rf"list_filter(regexp_split_to_array(coalesce(text, ''), '{BLANK}'), lambda x: x <> '')"
@@ -108,5 +108,51 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from r left join y on y.lang is not distinct from r.lang and y.source is not distinct from r.source"""
 
 
+MINHASH = rf"""
+with recursive d as (select doc_id, list_filter(regexp_split_to_array({_LOWER}, '{BLANK}'), lambda x: x <> '') w from documents),
+s as (select doc_id, list_distinct(case when len(w) < 2 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) s from d),
+k as (select doc_id, len(s) n, unnest(s) k from s),
+p as (select a.doc_id a, b.doc_id b, any_value(a.n) na, any_value(b.n) nb, count(*) i from k a join k b on a.k = b.k and a.doc_id < b.doc_id and 100 * b.n >= 80 * a.n and 100 * a.n >= 80 * b.n group by 1, 2),
+l as (select a, b from p where 100 * i >= 80 * (na + nb - i)), e as (select a, b from l union all select b, a from l),
+r as (select a, b from e union select r.a, e.b from r join e on e.a = r.b),
+c as (select a, min(b) b from r group by 1)
+select s.doc_id, len(s)::bigint n_shingles, least(s.doc_id, coalesce(c.b, s.doc_id)) component_id, s.doc_id = least(s.doc_id, coalesce(c.b, s.doc_id)) kept from s left join c on c.a = s.doc_id"""
+
+
+def resampling_sql() -> str:
+    n = resampling.BUCKETS
+    words = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    runs = "list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))"
+    crc = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(f)), '..'), lambda x: ('0x' || x)::bigint)),
+    lambda acc, x: xor(acc >> 8, crc[(xor(acc, x) & 255) + 1])), 4294967295::bigint)"""
+    return f"""
+with t as materialized (select {_crc_table()}::bigint[] crc),
+a as (select doc_id id, 0 side, {words} w from documents union all select item_id, 1, {words} from benchmark),
+g as (select side, id, len(w) n_words, {runs} f from a),
+u as (select side, id, unnest(f) f from g), m as materialized (select side, id, f, count(*) c from u group by all),
+x as materialized (select f, {crc} % {n} bucket from (select distinct f from m), t),
+y as (select side, id, bucket, sum(c) c from m join x using (f) group by all),
+z as (select range bucket, coalesce(s, 0) s, coalesce(t, 0) t from range({n}) left join (select bucket, sum(c) filter (side = 0) s, sum(c) filter (side = 1) t from y group by 1) on bucket = range),
+q as (select bucket, floor(1000 * ln(((t + 1) * (sum(s) over () + {n}))::double / ((s + 1) * (sum(t) over () + {n}))::double))::bigint gain from z),
+v as (select id, sum(c) n_features, sum(c * gain) weight from y join q using (bucket) where side = 0 group by 1),
+h as (select id doc_id, n_words, coalesce(n_features, 0)::bigint n_features, coalesce(weight, 0)::bigint weight,
+  coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || substr(sha256('{resampling.SEED}:' || id), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint score
+  from g left join v using (id) where side = 0),
+o as (select doc_id, row_number() over (order by score desc, doc_id) i, count(*) over () n from h where n_words >= {resampling.LEAST_WORDS})
+select h.doc_id, n_features, weight, score, case when i <= {resampling.PERCENT} * n // 100 then i end rank from h left join o using (doc_id)"""
+
+
+NEGATIVES = f"""
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end label, list_transform(embedding, lambda x: floor({negatives.SCALE} * x::double)) v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select a.vec_id a, a.label la, b.vec_id b, b.label lb, list_inner_product(a.v, b.v)::bigint s from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+y as (select a, b, s from p where la = lb qualify row_number() over (partition by a order by s desc, b) <= {negatives.POSITIVES})
+select y.a anchor_id, y.b positive_id, (row_number() over (partition by y.a, y.b order by p.s desc, p.b))::int rank, p.b negative_id, y.s positive_score, p.s negative_score
+from y join p on p.a = y.a and p.la <> p.lb and 80 * y.s <= 100 * p.s and p.s <= y.s qualify rank <= {negatives.NEGATIVES}"""
+
+
 def every() -> dict[str, str]:
-    return {"op2_line_dedup": LINES, "op5_sharding": sharding_sql(), "op7_substring_dedup": SUBSTRINGS, "op9_quality": quality_sql()}
+    return {
+        "op2_line_dedup": LINES, "op5_sharding": sharding_sql(), "op7_substring_dedup": SUBSTRINGS, "op9_quality": quality_sql(),
+        "op11_minhash": MINHASH, "op12_resampling": resampling_sql(), "op13_negatives": NEGATIVES,
+    }
