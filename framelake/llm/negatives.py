@@ -95,7 +95,9 @@ def _unpacked(row: dict) -> Block:
     null = np.array([x is None for x in row["ids"]], dtype=bool)
     ids = np.array([0 if x is None else x for x in row["ids"]], dtype=np.int64)
     rows = (row["block"] << 10) + np.arange(n)
-    return Block(ids, null, np.array(row["labels"], dtype=np.int64), vectors, np.sqrt((vectors * vectors).sum(axis=1)), rows)
+    with np.errstate(over="ignore"):
+        norms = np.sqrt((vectors * vectors).sum(axis=1))
+    return Block(ids, null, np.array(row["labels"], dtype=np.int64), vectors, norms, rows)
 
 
 def buckets(rows: DataFrame, label: Column) -> DataFrame:
