@@ -6,6 +6,9 @@ one for each hundred characters up to ``MOST_LENGTH_POINTS``. A container's poin
 link density. The article or main element around the best container is kept, if the page has one; else
 the container (or its article), and beside it and its ancestors all that is not mostly links. Boilerplate elements (navigation, headers, footers,
 sidebars, notices, adverts, forms, comments), scripts and styles are parsed, so that the same tags end them, but their text is left out.
+
+Names are weak evidence: an element left out for its class, id or role, or as a form, is taken back in where nearly all of the
+page's text outside links lies in it (a page in one form, a layout named after its sidebar).
 """
 
 from __future__ import annotations
@@ -24,6 +27,10 @@ from .common import rows_of
 
 MOST_LENGTH_POINTS = 3
 MOST_LINKS = 0.5
+#: An element is taken back in if it holds over so many times the text that is kept without it, and over so many characters; nested ones so often.
+TAKE_BACK = 20
+LEAST_TAKEN_BACK = 100
+MOST_TAKEN_BACK = 16
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form"
@@ -31,6 +38,8 @@ _BLOCK = frozenset(
 )
 _RAW = frozenset("script style textarea title iframe".split())
 _SKIP = frozenset("nav header footer aside form button select head menu dialog fieldset noscript template svg object canvas".split()) | _RAW
+#: Elements that are always left out.
+_STRONG = _SKIP - {"form", "fieldset"}
 _SKIP_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 #: Parts of class names and ids that tell of something other than the article.
 _SKIP_WORD = frozenset(
@@ -39,6 +48,21 @@ _SKIP_WORD = frozenset(
     " subscription signup share sharing social related recommended comment comments commentlist disqus replies reply respond copyright legal"
     " pagination pager skip hidden toolbar".split()
 )
+#: Ways to write such a word together with others.
+_COMPOUND = re.compile(
+    r"(?:site|page|main|top|left|right|bottom|global|mobile)(?:header|footer|menu|nav|navbar|navigation|sidebar|banner)|(?:top|bottom)bar|sub(?:menu|nav)"
+    r"|(?:cookies?|consent|gdpr|newsletter|ads?|adverts?|promo|sponsor|share|sharing|social|comments?|nav|menu|search|login|header|footer)"
+    r"(?:bar|box|banner|popup|notice|widget|modal|overlay|wrap|wrapper|panel|list|form|area|section|block|unit|slot|links|buttons|feed)"
+)
+#: Names that say of a layout what it has or how it stands, not what it is; the latter only beside a name of a layout.
+_MODIFIER = re.compile(r"(?:with|without|has|no|hide|show|is)[-_].+|.+[-_](?:open|opened|closed|enabled|disabled|on|off|active|visible|collapsed|expanded)", re.I)
+_PLACED = re.compile(r"(?:left|right|two|double|both)[-_]?\w+|\w+[-_](?:left|right)", re.I)
+_LAYOUT = re.compile(r"(?:\w+[-_])?(?:layout|container|wrapper|wrap|page|grid|row|columns?|site)|(?:post|page|entry|article)-\d+|hentry", re.I)
+#: Names of what is never the article, however long.
+_NEVER = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr newsletter subscribe subscription signup"
+    " share sharing social related recommended comment comments commentlist disqus replies reply respond copyright legal breadcrumb breadcrumbs pagination pager".split()
+)
 #: A whole class name or id that names the article's body.
 _BODY_NAME = re.compile(r"(?:(?:main|page|site|post|entry|story|article|news|blog|body)[-_]*)?(?:article|main|content|body|post|entry|story|text)", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -67,7 +91,7 @@ _BLANK = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "dropped", "special", "items", "points", "chars", "link_chars")
+    __slots__ = ("tag", "parent", "dropped", "special", "items", "points", "chars", "link_chars", "place")
 
     def __init__(self, tag: str, parent: Node | None, skipped: bool = False):
         self.tag, self.parent = tag, parent
@@ -77,14 +101,18 @@ class Node:
         self.special: Node = self if parent is None or tag in _SPECIAL else parent.special
         self.items: list[Node | str] = []
         self.points, self.chars, self.link_chars = 0.0, 0, 0
+        #: Where the start tag ends, of an element that may be taken back in.
+        self.place = 0
 
 
 def _named_otherwise(value: str) -> bool:
     """Whether a class or id names something other than the article: a name does that has one of the words among its
     parts, unless another one of the names is a name of the article's body."""
-    names = value.split()
+    names = [n for n in value.split() if not _MODIFIER.fullmatch(n)]
+    if any(_LAYOUT.fullmatch(n) for n in names):
+        names = [n for n in names if not _PLACED.fullmatch(n)]
     parts = [{x.lower() for x in _PART.findall(n)} for n in names]
-    odd = [n for n, p in zip(names, parts, strict=True) if p & _SKIP_WORD]
+    odd = [n for n, p in zip(names, parts, strict=True) if p & _SKIP_WORD or any(map(_COMPOUND.fullmatch, p))]
     return bool(odd) and (any(n.lower() in _SKIP_WORD for n in odd) or not any(_BODY_NAME.fullmatch(n) for n in names))
 
 
@@ -103,6 +131,10 @@ def _skipped(tag: str, attributes: list[tuple[str, str]]) -> bool:
     return False
 
 
+def _hidden(attributes: list[tuple[str, str]]) -> bool:
+    return any(k == "hidden" or k == "style" and _HIDDEN.search(v) or k == "aria-hidden" and v.lower() == "true" for k, v in attributes)
+
+
 def _attributes(page: str, at: int) -> tuple[list[tuple[str, str]], bool, int]:
     """Names and values from behind a tag's name, whether it closes itself, and where it ends (without an end: the page)."""
     found: list[tuple[str, str]] = []
@@ -125,6 +157,18 @@ class _Tree:
     def __init__(self):
         self.root = self.node = Node("html", None)
         self.open: Counter[str] = Counter()
+        #: Characters outside links that are kept, and the elements that were left out for a name or as a form.
+        self.kept = 0
+        self.weak: list[Node] = []
+
+    def count(self, text: str) -> None:
+        if self.open["a"]:
+            return
+        top = self.node.dropped
+        if top is None:
+            self.kept += len(text) - text.count(" ") // 2 if not text.isspace() else 0
+        elif top.place and not any(self.open[x] for x in _STRONG):
+            top.chars += len(text) - text.count(" ") // 2 if not text.isspace() else 0
 
     def leave(self, to: Node) -> None:
         """Close what lies within ``to``."""
@@ -180,7 +224,17 @@ class _Tree:
 
 def parse(page: str) -> Node:
     """The tree of a page; tags may be unclosed or crossed. Skipped elements are parsed like others, so that
-    the same tags end them, but hang in no list of items."""
+    the same tags end them, but hang in no list of items, unless nearly all text lies in one of them."""
+    taken_back: set[int] = set()
+    while True:
+        tree = _parsed(page, taken_back)
+        largest = max(tree.weak, key=lambda n: n.chars, default=None)
+        if largest is None or largest.chars <= max(LEAST_TAKEN_BACK, TAKE_BACK * tree.kept) or len(taken_back) == MOST_TAKEN_BACK:
+            return tree.root
+        taken_back.add(largest.place)
+
+
+def _parsed(page: str, taken_back: set[int]) -> _Tree:
     tree = _Tree()
     at, end = 0, len(page)
     raw: str | None = None
@@ -192,8 +246,10 @@ def parse(page: str) -> Node:
             at, raw = close.start(), None
         token = _TOKEN.search(page, at)
         stop = token.start() if token else end
-        if stop > at and not tree.node.dropped:
-            tree.node.items.append(page[at:stop])
+        if stop > at:
+            tree.count(page[at:stop])
+            if not tree.node.dropped:
+                tree.node.items.append(page[at:stop])
         if not token:
             break
         at = token.end()
@@ -214,13 +270,18 @@ def parse(page: str) -> Node:
             continue
         tree.begin(tag)
         node = tree.node
-        child = Node(tag, node, node.dropped is None and _skipped(tag, attributes))
+        place = token.end()
+        child = Node(tag, node, node.dropped is None and place not in taken_back and _skipped(tag, attributes))
+        if child.dropped is child and tag not in _STRONG and not _hidden(attributes):
+            if not any(_NEVER & {x.lower() for x in _PART.findall(v)} for k, v in attributes if k in ("class", "id")):
+                child.place = place
+                tree.weak.append(child)
         if not child.dropped:
             node.items.append(child)
         if not closed or tag in _BLOCK and not child.dropped:
             tree.enter(child)
             raw = tag if tag in _RAW else None
-    return tree.root
+    return tree
 
 
 def blocks(node: Node) -> list[str]:
