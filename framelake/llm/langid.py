@@ -7,7 +7,7 @@ n-grams of the longest length at which at least one of them is known, then to sh
 ones. A document's score is the softmax of its mean score per word, weighted by the
 square root of its words, so that it stays between 0 and 1 for any length.
 
-The model holds every word and n-gram that the sample has ``LEAST_COUNT`` times or more, so its size follows the
+The model holds every word and n-gram that the sample has ``least_count`` times or more, so its size follows the
 sample, whose bound is a parameter; it travels to the tasks as one broadcast.
 """
 
@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import prefix, release, rows_of, saved, with_fields
 
-#: Bound of the training sample: expected documents per language, picked by the hash of the id.
+#: Bound of the training sample: expected different documents per language, picked by the hash of id and text. Copies
+#: count once, so neither null nor repeated ids nor a frequent text decide what is in it.
 SAMPLE_DOCS = 1500
-#: What occurs less often in the whole sample says nothing about a language.
+#: What occurs less often in the whole sample says nothing about a language (parameter ``least_count``).
 LEAST_COUNT = 3
 #: n-gram lengths, longest first.
 ORDERS = (5, 4, 3, 2, 1)
@@ -77,10 +78,10 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _logs(counts: DataFrame, n_langs: int, add: float) -> tuple[dict[str, int], np.ndarray]:
-    """The tokens of at least ``LEAST_COUNT`` occurrences and their smoothed log frequency per language."""
+def _logs(counts: DataFrame, n_langs: int, add: float, least_count: int) -> tuple[dict[str, int], np.ndarray]:
+    """The tokens of at least ``least_count`` occurrences and their smoothed log frequency per language."""
     listed = counts.groupBy("token").agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("total"))
-    wide = listed.where(F.col("total") >= LEAST_COUNT).select("token", F.transform("by", lambda x: x["lang"]).alias("lang"), F.transform("by", lambda x: x["n"]).alias("n"))
+    wide = listed.where(F.col("total") >= least_count).select("token", F.transform("by", lambda x: x["lang"]).alias("lang"), F.transform("by", lambda x: x["n"]).alias("n"))
     found = wide.toArrow().combine_chunks()
     values = np.zeros((found.num_rows, n_langs))
     if found.num_rows:
@@ -90,28 +91,29 @@ def _logs(counts: DataFrame, n_langs: int, add: float) -> tuple[dict[str, int],
     return {t: i for i, t in enumerate(found.column("token").to_pylist())}, logs.astype(np.float32)
 
 
-def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """A model from rows with ``doc_id, lang, text``; counts are made in the tasks, the driver gets the kept tokens.
+def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, least_count: int = LEAST_COUNT) -> Model:
+    """A model from rows with ``doc_id, lang, text``; counts are made in the tasks, the driver gets the kept tokens and one row a language.
 
-    Rows with a null language or text are left out; a language may be any string. Without any labelled row the model
-    knows no language and every prediction is ``und``.
+    Rows with a null language or text are left out; a language may be any string. Rows that agree in id, text and language count
+    once; ids may be null or repeat. Without any labelled row the model knows no language and every prediction is ``und``.
     """
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    langs = sorted(sizes)
+    known = known.select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(11)).alias("place"))
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("place", 0.02).alias("n")).collect()
+    langs = sorted(r["lang"] for r in sizes)
     if not langs:
         return Model([], {}, np.zeros((0, 0), np.float32), {}, np.zeros((0, 0), np.float32))
-    share = F.lit(0.0)
-    for lang in langs:
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_docs / sizes[lang]))).otherwise(share)
-    number = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = known.where(place < share).select(number.cast("int").alias("lang"), "text")
+    number = {lang: i for i, lang in enumerate(langs)}
+    span = 1 << 40
+    shares = [(r["lang"], number[r["lang"]], span if r["n"] <= sample_docs else int(span * sample_docs / r["n"])) for r in sizes]
+    share = F.broadcast(labelled.sparkSession.createDataFrame(shares, "lang string, number int, share long"))
+    picked = known.join(share, "lang").where(F.pmod("place", F.lit(span)) < F.col("share"))
+    sample = picked.groupBy("number", "place").agg(F.min("text").alias("text")).select(F.col("number").alias("lang"), "text")
     schema = "lang int, token string, n long"
     words = saved(sample.mapInArrow(_count_words, schema).groupBy("lang", "token").agg(F.sum("n").alias("n")))
     grams = words.mapInArrow(_count_grams, schema).groupBy("lang", "token").agg(F.sum("n").alias("n"))
-    word_index, word_logs = _logs(words, len(langs), 0.1)
-    gram_index, gram_logs = _logs(grams, len(langs), 0.1)
+    word_index, word_logs = _logs(words, len(langs), 0.1, least_count)
+    gram_index, gram_logs = _logs(grams, len(langs), 0.1, least_count)
     release(words)
     return Model(langs, word_index, word_logs, gram_index, gram_logs)
 
@@ -191,16 +193,16 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def identify_documents(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def identify_documents(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, least_count: int = LEAST_COUNT) -> DataFrame:
     """``doc_id, held_out, lang_pred, score``: trained on the documents that aren't held out, applied to all."""
-    model = train(docs.where(~held_out()).select("doc_id", "lang", "text"), sample_docs)
+    model = train(docs.where(~held_out()).select("doc_id", "lang", "text"), sample_docs, least_count)
     found = identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.5, sample_docs: int = SAMPLE_DOCS, least_count: int = LEAST_COUNT) -> DataFrame:
     """The documents whose language is found with a score of at least ``least``; the columns of ``docs``."""
-    model = train(docs.where(~held_out()).select("doc_id", "lang", "text"), sample_docs)
+    model = train(docs.where(~held_out()).select("doc_id", "lang", "text"), sample_docs, least_count)
     p = prefix(docs)
     found = identify(docs, model, f"{p}lang", f"{p}score")
     return found.where((F.col(f"{p}lang") != UNKNOWN) & (F.col(f"{p}score") >= least)).select(*docs.columns)
