@@ -218,7 +218,10 @@ def mix(
 
 
 def document_key(seed: int):
-    return F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit("")), F.coalesce("source", F.lit("")), F.lit(seed))
+    """A hash of id, text and source; a null in any of them is told from every value."""
+    values = [F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit("")), F.coalesce("source", F.lit("")), F.lit(seed)]
+    missing = [F.col(c).isNull() for c in ("doc_id", "text", "source")]
+    return F.when(missing[0] | missing[1] | missing[2], F.xxhash64(*missing, *values)).otherwise(F.xxhash64(*values))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
