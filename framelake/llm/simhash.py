@@ -171,4 +171,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     held = fingerprints(keyed.select(F.col(key[0]).alias("doc_id"), "text", key[1]), key[1])
     distinct = saved(held.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").alias(key[0]), key[1])).alias("first")))
     stay = _with_components(distinct).groupBy("component").agg(F.min("first").alias("first")).select("first.*")
-    return keyed.join(stay, key, "left_semi").dropDuplicates(key).select(*docs.columns)
+    order = [F.col(f.name) for f in docs.schema.fields if f.name != "text" and "map<" not in f.dataType.simpleString()]
+    least = F.min_by(F.struct(*docs.columns), F.struct(*order))
+    return keyed.join(stay, key, "left_semi").groupBy(*key).agg(least.alias(f"{p}row")).select(f"{p}row.*")
