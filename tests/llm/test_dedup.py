@@ -109,6 +109,14 @@ def test_simhash_keeps_one_row_of_each_component(spark):
     assert sorted(kept, key=repr) == sorted([(None, a), (None, b), (8, c), (8, d), (8, e)], key=repr)
 
 
+def test_simhash_ties_in_other_columns(spark):
+    """Of rows equal in id and text the smallest in the other columns stays, whatever the partitions."""
+    rows = [(5, "same words here now", x, y, {"k": 1}) for x, y in [("en", 2.0), (None, 9.0), ("de", 1.0), (None, 3.0)]]
+    for n in (1, 3):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, y double, m map<string,int>").repartition(n)
+        assert [(r.lang, r.y) for r in simhash.deduplicated(docs).collect()] == [(None, 3.0)]
+
+
 def brute_lines(rows):
     kept, seen = {}, []
     for doc, text in sorted(rows, key=lambda r: r[0]):

@@ -253,6 +253,17 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_null_and_empty_are_two_sources(spark):
+    text = "one two three four five six seven eight"
+    rows = [(1, text, None)] * 3 + [(1, text, "")] * 3 + [(2, None, "a"), (2, "", "a"), (-1, text, "a"), (None, text, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(docs)
+    assert mixed.select("__key").distinct().count() == 6
+    expected = {(r.doc_id, r.source): r.c for r in mixed.groupBy("doc_id", "source").agg(F.sum("copies").alias("c")).collect() if r.c}
+    got = {(r.doc_id, r.source): r["count"] for r in mixing.mixed_documents(docs).groupBy("doc_id", "source").count().collect()}
+    assert got == expected
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(2)
     prob, size, draw = rng.random(500), rng.integers(1, 900, 500).astype(float), rng.random(500)
@@ -380,6 +391,37 @@ def test_names_of_the_body(name):
     assert html.main_text(f"<div class='{name}'><p>A paragraph, of the page.</p></div>") == "A paragraph, of the page."
 
 
+ARTICLE = "<h1>Head</h1>" + "<p>Words, and words, and words, of a real paragraph that goes on, and on, for a while.</p>" * 4
+BESIDE = "<div class=sidebar><p>Near, but not of the page.</p></div><section id=comments><p>A comment, and another one, and so on.</p></section>"
+
+
+@pytest.mark.parametrize(
+    "start",
+    [
+        "<div class='layout with-sidebar'>", "<div class=has-sidebar>", "<div class='container right-sidebar'>", "<div class='post-12 comments-open'>", "<div class=no-header>",
+        "<form action=/x>", "<div class='page-wrap sidebar-left'>", "<div id=header-wrap>", "<form><div class=sidebar-page><div class=menu-page>", "<body class=sidebar-open><div role=banner>",
+    ],
+)
+def test_layouts_named_after_their_parts(start):
+    """Elements around the whole article are kept, whatever of the page their names mention."""
+    end = "".join(f"</{x}>" for x in ("div", "div", "form"))
+    got = html.main_text(f"<body><nav><a href=/>Home</a></nav>{start}{BESIDE}{ARTICLE}{BESIDE}{end}<footer>Contact us, or not</footer></body>")
+    assert got == html.main_text(f"<article>{ARTICLE}</article>")
+
+
+@pytest.mark.parametrize("name", ["mainmenu", "cookiebar", "siteheader", "topbar", "rightsidebar", "adbox", "commentlist", "commentsection", "right-sidebar", "sidebar-left"])
+def test_names_in_one_word(name):
+    page = f"<body><div class={name}><p>{'Not of the page, but long enough too. ' * 9}</p></div><div class=text>{ARTICLE}</div></body>"
+    assert html.main_text(page) == html.main_text(f"<article>{ARTICLE}</article>")
+
+
+@pytest.mark.parametrize("name", ["comments", "cookie-notice", "ad", "newsletter"])
+def test_long_boilerplate_is_never_the_article(name):
+    noise = f"<section class={name}>{'<p>Long, and longer, and still going on, without an end.</p>' * 200}</section>"
+    assert html.main_text(f"<body><p>Short, one.</p>{noise}</body>") == "Short, one."
+    assert html.main_text(f"<body>{noise}</body>") == ""
+
+
 @pytest.mark.parametrize(
     "page",
     [
@@ -513,6 +555,26 @@ def test_language_of_odd_texts(spark):
     assert {r.lang_pred for r in langid.identify_documents(unlabelled).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("ids", ["null", "one"])
+def test_sample_does_not_follow_ids(spark, ids):
+    """Null or one repeated id, and copies over the sample's bound: every language is learned and no row is lost."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("lang is not null and text is not null")
+    few = docs.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(6)))).withColumn("doc_id", F.lit(None if ids == "null" else 9).cast("long"))
+    model = langid.train(few, sample_docs=20)
+    assert model.langs == sorted(r.lang for r in docs.select("lang").distinct().collect())
+    counts = {r.lang_pred: r["count"] for r in langid.identify(few, model).groupBy("lang_pred").count().collect()}
+    assert set(counts) >= set(model.langs)
+    kept = langid.keep_identified(few, sample_docs=20).count()
+    assert kept > 0.9 * langid.keep_identified(docs, sample_docs=1500).count() * 6 > 0
+
+
+def test_least_count(spark):
+    rows = [(i, "aa", "one two two", None) for i in range(2)] + [(9, "bb", "three", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, source string")
+    assert set(langid.train(docs, least_count=1).words) == {"one", "two", "three"}
+    assert set(langid.train(docs, least_count=3).words) == {"two"}
+
+
 def test_languages_of_any_name(spark):
     """Language values are data: backticks, dots, names of the operator's own columns."""
     names = ["a`b", "token", "lang.n", "", "n"]
@@ -567,7 +629,8 @@ def test_sql(spark, name):
     df = queries.queries()[name](spark, SMALL)
     columns = sorted(df.columns)
     duck = duckdb.connect()
-    duck.execute(f"create view documents as select * from '{SMALL}/documents.parquet'")
+    for t in ("documents", "benchmark", "embeddings"):
+        duck.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     found = duck.sql(queries.oracle_sql()[name])
     at = found.columns
     assert sorted(at) == columns
