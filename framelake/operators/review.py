@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import robust
+
 #: Check, warning, regression, direction.
 THRESHOLDS = [
     ("identity_ssim", 0.995, 0.985, "low"),
@@ -105,7 +107,7 @@ def merged_looks(covers: DataFrame, looks: DataFrame, key: str) -> DataFrame:
 def face_gate(covers: DataFrame, eyes: str, sharpness: str) -> DataFrame:
     """``gate`` of each cover: 0.6 for closed eyes, 0.8 for a face below 0.6 of the shoot's median sharpness, which counts from three measured
     faces on."""
-    middle = covers.agg(F.when(F.count(sharpness) >= 3, F.percentile(sharpness, F.lit(0.5))).alias("__median"))
+    middle = robust.median_of(covers, sharpness).select(F.when(F.col("n") >= 3, F.col("median")).alias("__median"))
     soft = F.coalesce((F.col("__median") != 0) & (F.col(sharpness) < 0.6 * F.col("__median")), F.lit(False))
     gate = F.when(F.col(eyes) == "closed", 0.6).otherwise(1.0) * F.when(soft, 0.8).otherwise(1.0)
     return covers.join(F.broadcast(middle), F.lit(True)).withColumn("gate", gate).drop("__median")
@@ -146,6 +148,6 @@ def decided(records: DataFrame, decisions: DataFrame, key: str, order: str) -> D
 
 def with_default(items: DataFrame, value: str, otherwise: float = 1.0) -> DataFrame:
     """Missing or non-positive values take the median of the known ones, or ``otherwise`` where none is known."""
-    known = items.agg(F.coalesce(F.percentile(F.when(F.col(value) > 0, F.col(value)), F.lit(0.5)), F.lit(otherwise)).alias("__default"))
+    known = robust.median_of(items.where(F.col(value) > 0), value).select(F.coalesce("median", F.lit(otherwise)).alias("__default"))
     filled = F.when(F.col(value) > 0, F.col(value)).otherwise(F.col("__default"))
     return items.join(F.broadcast(known), F.lit(True)).withColumn(value, filled).drop("__default")

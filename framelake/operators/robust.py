@@ -5,27 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import saved
 from .ranking import bin_of, edges_of
 
 BINS = 64
+#: A table of one row a group or range is broadcast up to this size.
+MOST_BROADCAST = 10_000
+
+
+def _met(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``df`` joined with a saved table, which is broadcast if it holds at most ``MOST_BROADCAST`` rows."""
+    return df.join(F.broadcast(small) if small.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else small, on, how)
 
 
 def _binned(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
     """``__k, __bin, __v`` of all rows with a value, and per bin ``__k, __bin, n, total, below, size``: rows and sum of the bin,
-    rows in the bins below and in the group. Bins are value ranges of about equal counts."""
+    rows in the bins below and in the group. Bins are value ranges of about equal counts.
+
+    Both steps are saved, so a statistic reads its rows three times: for the edges, for the counts, for the bins in question.
+    """
     rows = df.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("__k"), F.col(value).cast("double").alias("__v"))
-    edges = rows.groupBy("__k").agg(edges_of(F.col("__v"), BINS).alias("__edges"))
-    placed = rows.join(edges, "__k").select("__k", bin_of(F.col("__v"), F.col("__edges"), 8).alias("__bin"), "__v")
-    counts = placed.groupBy("__k", "__bin").agg(F.count(F.lit(1)).alias("n"), F.sum("__v").alias("total"))
+    edges = saved(rows.groupBy("__k").agg(edges_of(F.col("__v"), BINS).alias("__edges")))
+    placed = _met(rows, edges, ["__k"]).select("__k", bin_of(F.col("__v"), F.col("__edges"), 8).alias("__bin"), "__v")
+    counts = saved(placed.groupBy("__k", "__bin").agg(F.count(F.lit(1)).alias("n"), F.sum("__v").alias("total")))
     own = Window.partitionBy("__k")
     upto = own.orderBy("__bin")
-    return placed, counts.withColumns({"below": F.sum("n").over(upto) - F.col("n"), "size": F.sum("n").over(own)})
+    return placed, saved(counts.withColumns({"below": F.sum("n").over(upto) - F.col("n"), "size": F.sum("n").over(own)}))
 
 
 def _values_in(placed: DataFrame, bins: DataFrame) -> DataFrame:
     """``__k, __bin, __v, first, behind``: the distinct values of the given bins and the ranks within the bin that they take (from 0).
     Only rows of these bins move, and equal values as one."""
-    inside = placed.join(bins.select("__k", "__bin").distinct(), ["__k", "__bin"], "left_semi")
+    inside = _met(placed, saved(bins.select("__k", "__bin").distinct()), ["__k", "__bin"], "left_semi")
     counts = inside.groupBy("__k", "__bin", "__v").agg(F.count(F.lit(1)).alias("c"))
     behind = F.sum("c").over(Window.partitionBy("__k", "__bin").orderBy("__v"))
     return counts.withColumn("behind", behind).withColumn("first", F.col("behind") - F.col("c")).drop("c")
@@ -72,8 +83,7 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, at: tuple[float
 
 def band_mean(df: DataFrame, keys: list[str], value: str, by: str, low: float, high: float) -> DataFrame:
     """Mean of ``value`` over the rows whose ``by`` lies between two percentiles of the group (linear interpolation)."""
-    edges = order_statistics(df, keys, by, (low, high))
-    inside = df.join(edges, keys).where(F.col(by).between(F.col("__p")[0], F.col("__p")[1]))
+    inside = _met(df, saved(order_statistics(df, keys, by, (low, high))), keys).where(F.col(by).between(F.col("__p")[0], F.col("__p")[1]))
     return inside.groupBy(*keys).agg(F.avg(value).alias("band_mean"), F.count(F.lit(1)).alias("n_in_band"))
 
 
@@ -85,8 +95,8 @@ def percentiles(df: DataFrame, keys: list[str], value: str, at: tuple[float, ...
 
 def spread(df: DataFrame, keys: list[str], value: str, floor: float) -> DataFrame:
     """Median and robust spread: 1.4826 times the median absolute deviation, at least ``floor``."""
-    middle = order_statistics(df, keys, value, (0.5,)).select(*keys, F.col("__p")[0].alias("median"))
-    off = df.join(middle, keys).select(*keys, "median", F.abs(F.col(value) - F.col("median")).alias("__off"))
+    middle = saved(order_statistics(df, keys, value, (0.5,)).select(*keys, F.col("__p")[0].alias("median")))
+    off = _met(df, middle, keys).select(*keys, "median", F.abs(F.col(value) - F.col("median")).alias("__off"))
     found = order_statistics(off, [*keys, "median"], "__off", (0.5,))
     return found.select(*keys, "median", F.greatest(F.col("__p")[0] * 1.4826, F.lit(floor)).alias("spread"))
 
@@ -112,3 +122,10 @@ def style_profile(before: DataFrame, after: DataFrame, stem: str, measures: list
     pick = lambda d: d.groupBy(stem).agg(*[F.max_by(m, "order").alias(m) for m in measures])
     a, b = pick(before).alias("a"), pick(after).alias("b")
     return a.join(b, stem).select(stem, *[(F.col(f"b.{m}") - F.col(f"a.{m}")).alias(f"{m}_delta") for m in measures])
+
+
+def median_of(df: DataFrame, value: str) -> DataFrame:
+    """One row: the exact ``median`` of all rows with a value and their number ``n`` (null and 0 without any)."""
+    there = df.where(F.col(value).isNotNull()).select(F.lit(1).alias("__one"), value)
+    found = order_statistics(there, ["__one"], value, (0.5,)).select(F.col("__p")[0].alias("median"))
+    return there.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(found), F.lit(True), "left").select("median", "n")

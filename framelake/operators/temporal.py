@@ -7,8 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.folds import scan
 from ..functions.names import micros
+from .ordered import SLICE_ROWS, folded, sliced
 
 
 def hysteresis(value: Column, on: float, off: float, keys: list[str], order: list[str]) -> Column:
@@ -84,8 +84,8 @@ def _low_pass(dt: Column, cutoff: Column | float) -> Column:
     return turned / (turned + 1)
 
 
-def _filtered(series: Column, scale: float, min_cutoff: float, beta: float, d_cutoff: float) -> Column:
-    """The filtered values of an ordered array of ``t, v``, as a fold whose state is the last value and its speed."""
+def _euro_step(scale: float, min_cutoff: float, beta: float, d_cutoff: float):
+    """One step of the adaptive low-pass over rows with ``t, v``; the state is the last value and its speed. A row may bring its own ``scale``."""
 
     def step(state: Column, x: Column) -> tuple[dict[str, Column], Column]:
         first, gap = state["t"].isNull(), x["v"] - state["y"]
@@ -95,24 +95,30 @@ def _filtered(series: Column, scale: float, min_cutoff: float, beta: float, d_cu
         y = F.when(first, x["v"]).otherwise(state["y"] + share * gap)
         return {"t": x["t"], "y": y, "speed": speed}, y
 
-    none = F.lit(None).cast("double")
-    return scan(series, {"t": none, "y": none, "speed": F.lit(0.0)}, step, "double")
+    return step
 
 
-def one_euro(df: DataFrame, key: str, time: str, tie: str, value: str, scale: float = 1.0, min_cutoff: float = 1.0, beta: float = 0.5, d_cutoff: float = 1.0, zero_lag: bool = False) -> DataFrame:
+def one_euro(
+    df: DataFrame, key: str, time: str, tie: str, value: str, scale: float = 1.0, min_cutoff: float = 1.0, beta: float = 0.5, d_cutoff: float = 1.0,
+    zero_lag: bool = False, slice_rows: int = SLICE_ROWS,
+) -> DataFrame:
     """``key, tie, smooth``: each key's series through an adaptive low-pass (the faster it moves, the higher the cutoff), in order of
     time; with ``zero_lag`` the mean of a forward and a backward pass. Null values are left out.
 
-    The recursion runs over a key's array within the JVM; a key's series is one row there.
+    The recursion is carried from slice to slice (``ordered.folded``), so a series of any length needs no row of its own.
     """
-    point = F.struct((micros(F.col(time)) / 1e6).alias("t"), F.col(tie).alias("tie"), F.col(value).cast("double").alias("v"))
-    series = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(point)).alias("s"))
-    args = (scale, min_cutoff, beta, d_cutoff)
-    smooth = _filtered(F.col("s"), *args)
+    seconds = F.col(time) if dict(df.dtypes)[time] in ("double", "float") else micros(F.col(time)) / 1e6
+    points = df.where(F.col(value).isNotNull()).select(F.col(key).alias("__series"), seconds.alias("t"), F.col(tie).alias("tie"), F.col(value).cast("double").alias("v"))
+    none = F.lit(None).cast("double")
+    start, step = {"t": none, "y": none, "speed": F.lit(0.0)}, _euro_step(scale, min_cutoff, beta, d_cutoff)
+    slices = sliced(points, "__series", ["t", "tie"], ["t", "tie", "v"], slice_rows)
+    found = folded(slices, start, step, "double")
     if zero_lag:
-        smooth = F.zip_with(smooth, F.reverse(_filtered(F.reverse("s"), *args)), lambda a, b: (a + b) / 2)
-    rows = F.zip_with("s", smooth, lambda p, y: F.struct(p["tie"].alias("tie"), y.alias("y")))
-    return series.select(key, F.explode(rows).alias("x")).select(key, F.col("x.tie").alias(tie), F.col("x.y").alias("smooth"))
+        back = folded(slices, start, step, "double", backward=True).select(F.col("__key").alias("__k"), F.col("__slice").alias("__s"), F.col("__out").alias("__back"))
+        found = found.join(back, F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__slice") == F.col("__s")))
+        found = found.withColumn("__out", F.zip_with("__out", "__back", lambda a, b: (a + b) / 2))
+    rows = F.zip_with("__rows", "__out", lambda p, y: F.struct(p["tie"].alias("tie"), y.alias("y")))
+    return found.select(F.col("__key").alias(key), F.explode(rows).alias("x")).select(key, F.col("x.tie").alias(tie), F.col("x.y").alias("smooth"))
 
 
 def as_of(
