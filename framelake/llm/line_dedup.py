@@ -131,11 +131,6 @@ class _Lines:
         base = 0
         for a, b in blocks(texts):
             low, at = [x.lower() for x in texts[a:b]], np.arange(a, b)
-            if asked is not None:
-                _, _, h, first = hashed_words(low)
-                hits = np.concatenate([[0], np.cumsum(asked[_slot(mix(h))])])
-                some = np.flatnonzero(hits[first[1:]] > hits[first[:-1]])
-                low, at = [low[i] for i in some.tolist()], at[some]
             buf, start, h, first = hashed_words(low)
             if not len(h):
                 continue
@@ -143,16 +138,20 @@ class _Lines:
             length = np.fromiter(map(len, low), dtype=np.int64, count=len(low))
             begin = np.concatenate([[0], np.cumsum(length + 1)[:-1]])
             text = np.repeat(np.arange(len(low)), np.diff(first))
+            if asked is not None:  # only texts with an asked word go on
+                hit = asked[_slot(mix(h))]
+                hits = np.concatenate([[0], np.cumsum(hit)])
+                words = (hits[first[1:]] > hits[first[:-1]])[text]
+                start, h, text, hit = start[words], h[words], text[words], hit[words]
+                if not len(h):
+                    continue
             line = breaks[start] - breaks[begin][text]
             new = np.concatenate([[True], (line[1:] != line[:-1]) | (text[1:] != text[:-1])])
             which = np.cumsum(new) - 1
             if asked is not None:
-                hit = asked[_slot(mix(h))]
                 some = np.zeros(which[-1] + 1, dtype=bool)
                 some[which[hit]] = True
                 words = some[which]
-                if not words.any():
-                    continue
                 h, text, line = h[words], text[words], line[words]
                 new = np.concatenate([[True], (line[1:] != line[:-1]) | (text[1:] != text[:-1])])
                 which = np.cumsum(new) - 1
@@ -444,10 +443,12 @@ def _match(n_buckets: int, threshold: float, every: bool):
             x, y, apart, more = none, none, none, none > 0
         elif every:
             asks = np.flatnonzero(b.probe > 0)
-            met = [b.fit(asks[i], j, threshold) for i, j in _pairs(*b.similar_sizes(asks, threshold))]
+            met = []
+            for i, j in _pairs(*b.similar_sizes(asks, threshold)):
+                ok = (b.probe[j] == 0) & b.earlier(j, asks[i])
+                met.append(b.fit(asks[i[ok]], j[ok], threshold))
             x, y, apart = (np.concatenate([m[k] for m in met] or [np.zeros(0, np.int64)]) for k in range(3))
-            ok = (b.probe[y] == 0) & b.earlier(y, x)
-            x, y, apart, more = x[ok], y[ok], apart[ok], np.zeros(int(ok.sum()), bool)
+            more = np.zeros(len(x), bool)
         else:
             x, y, apart, more = _closest(b, threshold)
         return _table(b.doc[x], b.crc[x], b.number[x], b.doc[y], b.crc[y], b.number[y], more, apart)
