@@ -123,23 +123,26 @@ def delta_e_2000(one: tuple[Column, Column, Column], two: tuple[Column, Column,
     return F.sqrt(F.greatest(x * x + y * y + z * z + rt * y * z, F.lit(0.0)))
 
 
+#: Fixed values of the polynomial fits of the locus, highest power first: x over 1000 K / T up to a temperature, y over x likewise.
+LOCUS_X = ((4000.0, (-0.2661239, -0.2343580, 0.8776956, 0.179910)), (7000.0, (-4.6070, 2.9678, 0.09911, 0.244063)), (math.inf, (-2.0064, 1.9018, 0.24748, 0.237040)))
+LOCUS_Y = (
+    (2222.0, (-1.1063814, -1.34811020, 2.18555832, -0.20219683)), (4000.0, (-0.9549476, -1.37418593, 2.09137015, -0.16748867)), (math.inf, (-3.0, 2.870, -0.275)),
+)
+
+
 def kelvin_to_xy(kelvin: Column, low: float = 1667.0, high: float = 50000.0) -> tuple[Column, Column]:
     """Chromaticity of the Planckian locus up to 4000 K, of the daylight locus beyond."""
     t = clip(kelvin, low, high)
-    i = 1000.0 / t
-    poly = lambda v, *c: sum((k * F.pow(v, F.lit(float(len(c) - 1 - n))) for n, k in enumerate(c)), F.lit(0.0))
-    # Fixed values of the polynomial fits.
-    x = (
-        F.when(t <= 4000, poly(i, -0.2661239, -0.2343580, 0.8776956, 0.179910))
-        .when(t <= 7000, poly(i, -4.6070, 2.9678, 0.09911, 0.244063))
-        .otherwise(poly(i, -2.0064, 1.9018, 0.24748, 0.237040))
-    )
-    y = (
-        F.when(t <= 2222, poly(x, -1.1063814, -1.34811020, 2.18555832, -0.20219683))
-        .when(t <= 4000, poly(x, -0.9549476, -1.37418593, 2.09137015, -0.16748867))
-        .otherwise(poly(x, -3.0, 2.870, -0.275))
-    )
-    return x, y
+
+    def fitted(pieces, v: Column) -> Column:
+        out = F.lit(None).cast("double")
+        for upto, c in reversed(pieces):
+            value = sum((k * F.pow(v, F.lit(float(len(c) - 1 - n))) for n, k in enumerate(c)), F.lit(0.0))
+            out = F.when(t <= upto, value).otherwise(out)
+        return out
+
+    x = fitted(LOCUS_X, 1000.0 / t)
+    return x, fitted(LOCUS_Y, x)
 
 
 def fitzpatrick(light: Column, b: Column) -> Column:

@@ -266,12 +266,9 @@ def gamut_limit(light: Column, hue: Column, steps: int = 20) -> Column:
     return F.when((light > 0) & (light < 1), found).otherwise(0.0)
 
 
-def gamut_compressed(chroma: Column, limit: Column, knee: float = 0.8, power: float = 0.6) -> Column:
-    """Chroma as it is within the limit, and at the limit beyond it (the soft roll-off ends there)."""
-    safe = F.when(limit > 1e-6, limit).otherwise(1.0)
-    over = F.greatest(chroma / safe - 1, F.lit(0.0))
-    rolled = over * F.pow(1 / (1 + F.pow(over / max(knee, 1e-3), F.lit(power))), F.lit(1 / power))
-    return F.least(F.greatest(safe * F.when(chroma <= safe, chroma / safe).otherwise(1 + rolled), F.lit(0.0)), safe)
+def gamut_compressed(chroma: Column, limit: Column) -> Column:
+    """Chroma as it is within the limit, and at the limit beyond it; a limit of practically nothing counts as one."""
+    return F.least(F.greatest(chroma, F.lit(0.0)), F.when(limit > 1e-6, limit).otherwise(1.0))
 
 
 def cam16_ucs(r: Column, g: Column, b: Column) -> Triple:
@@ -281,24 +278,28 @@ def cam16_ucs(r: Column, g: Column, b: Column) -> Triple:
     return 1.7 * x / (1 + 0.007 * x), 50 * (lo - mi), 50 * (mi - sh)
 
 
-def _white_xyz(kelvin: float, tint: float) -> np.ndarray:
-    """XYZ (Y = 1) of a light: its place on the locus, moved off it by the tint along the normal that points to green."""
+#: What the locus is followed over, and the step of one unit of tint.
+KELVIN_RANGE, TINT_RANGE, TINT_STEP = (2000.0, 50000.0), (-100.0, 100.0), 0.00035
 
-    def locus(t: float) -> np.ndarray:
-        i = 1000 / t
-        cubic = lambda v, *k: k[0] * v**3 + k[1] * v**2 + k[2] * v + k[3]
-        # Fixed values of the polynomial fits, as in colour.kelvin_to_xy.
-        x = cubic(i, *((-0.2661239, -0.2343580, 0.8776956, 0.179910) if t <= 4000 else (-4.6070, 2.9678, 0.09911, 0.244063) if t <= 7000 else (-2.0064, 1.9018, 0.24748, 0.237040)))
-        y = cubic(x, *((-1.1063814, -1.34811020, 2.18555832, -0.20219683) if t <= 2222 else (-0.9549476, -1.37418593, 2.09137015, -0.16748867) if t <= 4000 else (0.0, -3.0, 2.870, -0.275)))
-        return np.array([4 * x, 6 * y]) / (12 * y - 2 * x + 3)
 
-    t = min(max(kelvin, 2000.0), 50000.0)
-    d = min(100.0, max(10.0, t / 100))
-    along = locus(t + d) - locus(t - d)
-    normal = np.array([-along[1], along[0]]) / np.linalg.norm(along)
-    u, v = locus(t) + normal * np.sign(normal[1]) * min(max(tint, -100.0), 100.0) * 0.00035
-    x, y = np.array([3 * u, 2 * v]) / (2 * u - 8 * v + 4)
-    return np.array([x / y, 1.0, (1 - x - y) / y])
+def _white_xyz(kelvin: float, tint: float) -> np.ndarray:
+    """XYZ (Y = 1) of a light: a place on the locus, and off it towards green by the tint.
+
+    In the uniform plane (u, v) the way along the locus is the derivative of its fits; the tint goes at a right angle to it.
+    """
+    t, off = np.clip(kelvin, *KELVIN_RANGE), np.clip(tint, *TINT_RANGE) * TINT_STEP
+    of_x, of_y = (next(np.poly1d(c) for upto, c in pieces if t <= upto) for pieces in (colour.LOCUS_X, colour.LOCUS_Y))
+    x = of_x(1000 / t)
+    y = of_y(x)
+    dx = -of_x.deriv()(1000 / t) * 1000 / t**2
+    dy = of_y.deriv()(x) * dx
+    w = -2 * x + 12 * y + 3  # u = 4 x / w, v = 6 y / w
+    du, dv = (4 * (dx * w - x * (12 * dy - 2 * dx)), 6 * (dy * w - y * (12 * dy - 2 * dx)))
+    across = np.array([dv, -du]) if du < 0 else np.array([-dv, du])  # the side of larger v
+    u, v = np.array([4 * x, 6 * y]) / w + across / np.hypot(du, dv) * off
+    back = 2 * u - 8 * v + 4
+    white = np.array([3 * u, 2 * v, back - 3 * u - 2 * v])
+    return white / white[1]
 
 
 def white_balance_matrix(kelvin: float, tint: float = 0.0) -> tuple[tuple[float, ...], ...]:
@@ -338,6 +339,12 @@ def chromophores(r: Column, g: Column, b: Column) -> tuple[Column, Column]:
     return tuple(row[0] * off[0] + row[1] * off[1] for row in back)
 
 
+def lifted_maps(df: DataFrame, image: str, columns: list[str]) -> DataFrame:
+    """``df`` with each of ``columns`` moved up by its image's lowest value where that is negative, so that differences within an image stay as they are."""
+    lowest = df.groupBy(image).agg(*[F.least(F.min(c), F.lit(0.0)).alias(f"__{c}") for c in columns])
+    return df.join(lowest, image).select(*[(F.col(c) - F.col(f"__{c}")).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
 def bruise_phase(hue: Column) -> Column:
     """Purple, green or yellow, whichever hue (300, 120, 60 degrees) is nearest; ties: in that order."""
     purple, green, yellow = (colour.hue_distance(hue, x) for x in (300.0, 120.0, 60.0))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.folds import scan
 from ..storage import release, saved
+from .ordered import SLICE_ROWS, numbered, walked
 
 MOST_ROUNDS = 60
+#: Fixed value: the part of a batch that is kept for housekeeping.
+HOUSEKEEPING_SHARE = 0.30
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -55,33 +59,48 @@ def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = MO
     )
 
 
-def _peeled(edges: DataFrame) -> DataFrame:
-    """The edges (``u, v``) that are left when nodes without an edge in or without one out go, again and again: cycles, and what leads
-    from one to another. Each round is saved; an acyclic graph takes as many rounds as its longest path."""
-    now = saved(edges.distinct())
-    n, before = now.count(), -1
-    while n and n != before:
-        before, last = n, now
-        ends, starts = now.select(F.col("u").alias("v")).distinct(), now.select(F.col("v").alias("u")).distinct()
-        now = saved(now.join(ends, "v", "left_semi").join(starts, "u", "left_semi").select("u", "v"))
+def _spread(edges: DataFrame, marks: DataFrame, mark: str) -> DataFrame:
+    """``node`` and the largest ``mark`` of it and of all nodes that lead to it (``marks``: a row a node); a saved row a node each round, until nothing changes."""
+    held = saved(marks.select("node", mark, F.lit(True).alias("__more")))
+    while True:
+        now = held.select("node", mark)
+        reached = edges.join(now, F.col("u") == F.col("node")).groupBy("v").agg(F.max(mark).alias("__new"))
+        after = now.join(reached, F.col("node") == F.col("v"), "left")
+        seen = Observation()
+        after = after.select("node", F.greatest(mark, "__new").alias(mark), F.coalesce(F.col("__new") > F.col(mark), F.lit(False)).alias("__more"))
+        last, held = held, saved(after.observe(seen, F.count_if("__more").alias("n")))
         release(last)
-        n = now.count()
-    return now
+        if not seen.get["n"]:
+            return held.select("node", mark)
 
 
-def cycle_nodes(edges: DataFrame, a: str, b: str) -> DataFrame:
+def cycle_nodes(edges: DataFrame, a: str, b: str, trims: int = 3) -> DataFrame:
     """``node`` for every node that lies on a directed cycle, a loop at itself included. Null ends are dropped.
 
-    What can't lie on one is peeled off; among the rest a node does if it reaches itself. Ways are found by doubling, so rounds
-    grow with the logarithm of the longest; pairs with the nodes that are left.
+    Nodes without a way in or out are trimmed a few times. Then each round colours a node by the largest node that leads to it; a node that keeps its own
+    number is the pivot of its colour, and what leads back to it within the colour is its strongly connected piece, on cycles if
+    it has two nodes. Pieces are taken out, edges between colours are on no cycle, and the rest goes on. State is one row a node; the steps of a round grow with the longest of the
+    shortest ways.
     """
-    left = _peeled(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("u"), F.col(b).alias("v")))
-    ways, n, before = left, -1, -2
-    while n != before:
-        onward = ways.select(F.col("u").alias("v"), F.col("v").alias("w"))
-        ways, before = saved(ways.unionByName(ways.join(onward, "v").select("u", F.col("w").alias("v"))).distinct()), n
-        n = ways.count()
-    return ways.where("u = v").select(F.col("u").alias("node"))
+    ends = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("u"), F.col(b).alias("v")).distinct()
+    found = [saved(ends.where("u = v").select(F.col("u").alias("node")))]
+    now = saved(ends.where("u != v"))
+    for _ in range(trims):
+        outs, ins = now.select(F.col("v").alias("u")).distinct(), now.select(F.col("u").alias("v")).distinct()
+        now = saved(now.join(outs, "u", "left_semi").join(ins, "v", "left_semi").select("u", "v"))
+    while not now.isEmpty():
+        nodes = now.select(F.col("u").alias("node")).unionByName(now.select(F.col("v").alias("node"))).distinct()
+        colours = _spread(now, nodes.withColumn("colour", F.col("node")), "colour")
+        of = lambda end: colours.select(F.col("node").alias(end), F.col("colour").alias(f"c{end}"))  # noqa: B023, E731
+        inside = saved(now.join(of("u"), "u").join(of("v"), "v").where("cu = cv").select("u", "v"))
+        back = inside.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        reached = _spread(back, colours.select("node", (F.col("node") == F.col("colour")).cast("int").alias("hit")), "hit").where("hit = 1")
+        piece = saved(reached.join(colours, "node"))
+        sizes = piece.groupBy("colour").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        found.append(saved(piece.join(sizes, "colour", "left_semi").select("node")))
+        gone = piece.select("node")
+        now = saved(inside.join(gone.withColumnRenamed("node", "u"), "u", "left_anti").join(gone.withColumnRenamed("node", "v"), "v", "left_anti").select("u", "v"))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def graph_problems(nodes: DataFrame, edges: DataFrame, key: str, needs: str) -> DataFrame:
@@ -123,24 +142,36 @@ def overlap_verdicts(candidates: DataFrame, tasks: DataFrame, least_hits: int =
     return candidates.join(F.broadcast(found), "candidate", "left").select("candidate", verdict.alias("verdict"), F.coalesce("n_matches", F.lit(0)).alias("n_matches"))
 
 
-def batch_plan(tasks: DataFrame, queue: str, most: int) -> DataFrame:
-    """``queue, id, decision`` of ready tasks (``id, priority, exclusive``: the subsystems that bear one task at a time) per queue, by
-    priority and id: a task joins the batch unless it is full or one of its exclusive subsystems is taken.
+def batch_plan(tasks: DataFrame, queue: str, most: int, active: DataFrame | None = None, share: float = HOUSEKEEPING_SHARE, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """``queue, id, decision`` of ready tasks (``id, priority, exclusive``: the subsystems that bear one task at a time; ``housekeeping`` if there is such a column) per
+    queue, by priority and id: a task joins the batch unless it is full (``batch full``) or one of its exclusive subsystems is taken
+    (``overlaps``), by the batch or by one of the queue's ``active`` tasks (``exclusive``). Of ``most`` places ``share`` (one at least) are for housekeeping; once these
+    are used, housekeeping doesn't get the last place (``reserved``).
 
-    Each decision depends on those before it, so a queue is folded as one array within the JVM.
+    Each decision depends on those before it; the batch so far is carried from slice to slice of a queue (``ordered.folded``).
     """
-    row = F.struct("priority", "id", "exclusive")
-    queues = tasks.groupBy(queue).agg(F.array_sort(F.collect_list(row)).alias("q"))
+    chore = F.col("housekeeping") if "housekeeping" in tasks.columns else F.lit(False)
+    slim = tasks.select(queue, "id", "priority", "exclusive", F.coalesce(chore, F.lit(False)).alias("chore"))
+    if active is None:
+        slim = slim.withColumn("held", F.array().cast("array<string>"))
+    else:
+        held = active.groupBy(F.col(queue).alias("__queue")).agg(F.array_distinct(F.flatten(F.collect_set("exclusive"))).alias("held"))
+        slim = slim.join(held, F.col(queue).eqNullSafe(F.col("__queue")), "left").withColumn("held", F.coalesce("held", F.array().cast("array<string>")))
+    places = max(1, int(most * share))
 
     def step(state: Column, x: Column) -> tuple[dict[str, Column], Column]:
-        full, clash = state["n"] >= most, F.arrays_overlap(state["taken"], x["exclusive"])
-        take = ~full & ~clash
+        full = state["n"] >= most
+        clash = F.arrays_overlap(state["taken"], x["exclusive"]) | F.arrays_overlap(x["held"], x["exclusive"])
+        reserved = x["chore"] & (state["chores"] >= places) & (state["n"] >= most - 1)
+        take = ~full & ~clash & ~reserved
         taken = F.when(take, F.array_union(state["taken"], x["exclusive"])).otherwise(state["taken"])
-        return {"n": state["n"] + take.cast("int"), "taken": taken}, F.when(full, "batch full").when(clash, "overlaps").otherwise("batch")
+        new = {"n": state["n"] + take.cast("int"), "taken": taken, "chores": state["chores"] + (take & x["chore"]).cast("int")}
+        return new, F.when(full, "batch full").when(clash, "overlaps").when(reserved, "reserved").otherwise("batch")
 
-    start = {"n": F.lit(0), "taken": F.array().cast("array<string>")}
-    rows = queues.select(queue, F.explode(F.arrays_zip("q", scan(F.col("q"), start, step, "string").alias("decision"))).alias("x"))
-    return rows.select(queue, F.col("x.q.id").alias("id"), F.col("x.decision").alias("decision"))
+    start = {"n": F.lit(0), "taken": F.array().cast("array<string>"), "chores": F.lit(0)}
+    placed = numbered(slim, [queue], ["priority", "id"])
+    found = walked(placed, queue, ["id", "exclusive", "chore", "held"], start, step, "string", slice_rows)
+    return found.select(queue, "id", F.col("out").alias("decision"))
 
 
 def pressure(tasks: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.folds import scan_with_state
-from ..storage import release, saved, shared_folder
+from ..storage import new_folder, release, saved
 
 #: Rows of a key that are folded as one array.
 SLICE_ROWS = 65_536
@@ -34,13 +33,18 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "no")
 
 
 def sliced(points: DataFrame, key: str, order: list[str], columns: list[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """``cut`` of ``points`` in an order."""
+    return cut(numbered(points, [key], order), key, columns, slice_rows)
+
+
+def cut(placed: DataFrame, key: str, columns: list[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
     """``__key, __slice, __rows``: each key's rows (structs of ``no, *columns``) in slices of ``slice_rows``, one array a slice. Written
     to the shared folder, a directory for each number of a slice, so that a reader of one slice reads no other."""
-    spark = points.sparkSession
+    spark = placed.sparkSession
     row = F.array_sort(F.collect_list(F.struct("no", *columns))).alias("__rows")
-    placed = numbered(points, [key], order).withColumn("__slice", F.floor(F.col("no") / slice_rows).cast("int"))
-    slices = placed.groupBy(F.col(key).alias("__key"), "__slice").agg(row).select("__key", "__rows", "__slice")
-    at = f"{shared_folder(spark).rstrip('/')}/slices-{uuid.uuid4().hex}"
+    of = F.floor(F.col("no") / slice_rows).cast("int")
+    slices = placed.groupBy(F.col(key).alias("__key"), of.alias("__slice")).agg(row).select("__key", "__rows", "__slice")
+    at = new_folder(spark, "slices")
     slices.write.partitionBy("__slice").parquet(at)
     return spark.read.schema(slices.schema).parquet(at)
 
@@ -75,3 +79,10 @@ def folded(slices: DataFrame, start: dict[str, Column], step: Step, kind: str, b
     for part in done:
         release(part)
     return out
+
+
+def walked(placed: DataFrame, key: str, columns: list[str], start: dict[str, Column], step: Step, kind: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """``key``, ``columns`` and ``out`` of every row of ``placed`` (with ``no``): ``folded``, row by row."""
+    found = folded(cut(placed, key, columns, slice_rows), start, step, kind)
+    rows = F.explode(F.zip_with("__rows", "__out", lambda r, y: F.struct(r.alias("r"), y.alias("y")))).alias("x")
+    return found.select(F.col("__key").alias(key), rows).select(key, *[F.col(f"x.r.{c}").alias(c) for c in columns], F.col("x.y").alias("out"))

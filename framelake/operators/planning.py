@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.folds import scan
 from ..storage import saved
+from .ordered import SLICE_ROWS, numbered, walked
 
 LEVELS = ["A0", "A1", "A2", "A3", "A4", "A5"]
 
@@ -158,22 +158,20 @@ def attention_score(level: Column, blocking: Column, priority: Column) -> Column
     return F.array_position(F.array(*[F.lit(x) for x in LEVELS]), level) * 100 - 100 + F.least(blocking, F.lit(10)) * 20 + (4 - priority) * 5
 
 
-def route(signals: DataFrame, desk: str, budget: int) -> DataFrame:
+def route(signals: DataFrame, desk: str, budget: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Greedy routing per desk: by score (ties: id), A4 and A5 always, others while the minutes fit; what doesn't fit is skipped.
 
-    Whether a signal fits depends on all before it, so a desk's signals are folded as one array, within the JVM.
+    Whether a signal fits depends on all before it; the minutes spent are carried from slice to slice of a desk's signals (``ordered.folded``).
     """
-    slim = signals.select(desk, "id", "level", "score", "minutes")
-    row = F.struct((-F.col("score")).alias("order"), "id", "level", "score", "minutes")
-    queues = slim.groupBy(desk).agg(F.array_sort(F.collect_list(row)).alias("q"))
+    slim = signals.select(desk, "id", "level", "score", "minutes", (-F.col("score")).alias("__order"))
 
     def step(state: Column, x: Column) -> tuple[dict[str, Column], Column]:
         take = x["level"].isin("A4", "A5") | (state["spent"] + x["minutes"] <= budget)
         return {"spent": state["spent"] + F.when(take, x["minutes"].cast("long")).otherwise(F.lit(0).cast("long"))}, take
 
-    chosen = scan(F.col("q"), {"spent": F.lit(0).cast("long")}, step, "boolean")
-    rows = queues.select(desk, F.explode(F.arrays_zip("q", chosen.alias("selected"))).alias("x"))
-    return rows.select(desk, *[F.col(f"x.q.{c}").alias(c) for c in ("id", "level", "score", "minutes")], "x.selected")
+    placed = numbered(slim, [desk], ["__order", "id"])
+    chosen = walked(placed, desk, ["id", "level", "score", "minutes"], {"spent": F.lit(0).cast("long")}, step, "boolean", slice_rows)
+    return chosen.withColumnRenamed("out", "selected")
 
 
 def batches(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -59,7 +59,9 @@ def search(recipes: DataFrame, text: str, *columns: str) -> DataFrame:
 
 def mark_action(marks: DataFrame, policy: DataFrame, least_confidence: float) -> DataFrame:
     """``marks`` with ``action`` and ``strength`` (0..1): the policy of the mark's class, on the body that of the body first, else that of
-    unknown marks, else preserve. Marks of low confidence are unknown. ``policy``: ``on_body, mark_class, action, strength``."""
+    unknown marks, else preserve. Marks of low confidence are unknown. ``policy``: ``on_body, mark_class, action, strength``; of several rules for a
+    place and class the one with the first action, then the least strength, counts."""
+    policy = policy.groupBy("on_body", "mark_class").agg(F.min(F.struct("action", "strength")).alias("__rule")).select("on_body", "mark_class", "__rule.*")
     own = F.when(F.col("confidence") >= least_confidence, F.col("mark_class")).otherwise("unknown")
     rule = lambda body, name: F.broadcast(policy.where(F.col("on_body") == body).select(F.col("mark_class").alias(f"__{name}"), F.struct("action", "strength").alias(name)))
     joined = marks.withColumns({"__class": own, "__of_unknown": F.lit("unknown")})

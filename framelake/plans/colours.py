@@ -255,6 +255,17 @@ def chromophores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keyed(_rgb(spark, sf_dir), 5, melanin=melanin, hemoglobin=hemoglobin)
 
 
+@query(LIN_SQL + f"""
+, d as (select {KEY}, -ln(least(greatest(lr, 1e-5), 1)) + ln(least(greatest(lb, 1e-5), 1)) x, -ln(least(greatest(lg, 1e-5), 1)) + ln(least(greatest(lb, 1e-5), 1)) y from n),
+e as (select {KEY}, l_orderkey // 256 image, -10 * y m, -4.0 / 3 * x + 8.0 / 3 * y h from d)
+select {KEY}, round(m - least(min(m) over (partition by image), 0), 5) melanin, round(h - least(min(h) over (partition by image), 0), 5) hemoglobin from e""")
+def chromophore_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    melanin, hemoglobin = grading.chromophores(*(colour.srgb_to_linear(F.col(c)) for c in "rgb"))
+    rows = _rgb(spark, sf_dir).select("l_orderkey", "l_linenumber", F.expr("l_orderkey div 256").alias("image"), melanin.alias("melanin"), hemoglobin.alias("hemoglobin"))
+    done = grading.lifted_maps(rows, "image", ["melanin", "hemoglobin"])
+    return done.select("l_orderkey", "l_linenumber", r6("melanin", 5).alias("melanin"), r6("hemoglobin", 5).alias("hemoglobin"))
+
+
 @query(f"""
 with h as (select {KEY}, l_extendedprice % 360 h from lineitem), d as (select *, {HUE_OFF.format("h", 300)} p, {HUE_OFF.format("h", 120)} g, {HUE_OFF.format("h", 60)} y from h)
 select {KEY}, case when p <= g and p <= y then 'purple' when g <= y then 'green' else 'yellow' end phase from d""")

@@ -18,34 +18,45 @@ def _written(lines: DataFrame, value: Column, order: str) -> str:
     return folder
 
 
-CUBE_SQL = "select 5 n, (i // 25)::int ib, (i // 5 % 5)::int ig, (i % 5)::int ir, (i % 5) / 4.0::double r, round((i // 5 % 5) / 4.0::double * 0.5, 6) g, round(i / 200.0::double, 6) b from range(125) t(i)"
+#: A cube of five steps a channel: the mean colour of the line items of each cell, or the cell's corner where there are none.
+CUBE_SQL = """with c as (select least(floor(l_quantity / 50 * 5), 4)::int ir, least(floor(l_discount * 50), 4)::int ig, least(floor(l_tax * 62.5), 4)::int ib, l_quantity / 50 r, l_discount * 10 g, l_tax * 12.5 b from lineitem),
+m as (select ir, ig, ib, avg(r) r, avg(g) g, avg(b) b from c group by 1, 2, 3), i as (select (i % 5)::int ir, (i // 5 % 5)::int ig, (i // 25)::int ib from range(125) t(i))
+select 5 n, ib, ig, ir, round(coalesce(r, ir / 4.0::double), 5) r, round(coalesce(g, ig / 4.0::double), 5) g, round(coalesce(b, ib / 4.0::double), 5) b from i left join m using (ir, ig, ib)"""
 
 
-def _cube_lines(spark: SparkSession, head: list[str]) -> DataFrame:
+def _cube_lines(spark: SparkSession, sf_dir: str, head: list[str]) -> DataFrame:
+    step = lambda v: F.least(F.floor(v * 5), F.lit(4)).cast("int")
+    colours = {"r": F.col("l_quantity") / 50, "g": F.col("l_discount") * 10, "b": F.col("l_tax") * 12.5}
+    cells = read(spark, sf_dir, "lineitem").groupBy(*[step(v).alias(f"i{c}") for c, v in colours.items()]).agg(*[F.avg(v).alias(c) for c, v in colours.items()])
     i = F.col("id")
-    values = [(i % 5) / 4, F.floor(i / 5) % 5 / 4 * 0.5, i / 200]
-    body = spark.range(125).select((i + 100).alias("at"), F.concat_ws(" ", *[F.format_string("%.6f", v.cast("double")) for v in values]).alias("line"))
+    corners = spark.range(125).select(i, (i % 5).cast("int").alias("ir"), (F.floor(i / 5) % 5).cast("int").alias("ig"), F.floor(i / 25).cast("int").alias("ib"))
+    values = [F.format_string("%.9f", F.coalesce(c, F.col(f"i{c}") / 4)) for c in "rgb"]
+    body = corners.join(cells, ["ir", "ig", "ib"], "left").select((i + 100).alias("at"), F.concat_ws(" ", *values).alias("line"))
     return spark.createDataFrame(list(enumerate(head)), "at long, line string").unionByName(body)
 
 
 @query(CUBE_SQL)
 def cube_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _written(_cube_lines(spark, ['TITLE "t"', "# made", "LUT_3D_SIZE 5", "DOMAIN_MIN 0 0 0", ""]), F.col("line"), "at")
+    path = _written(_cube_lines(spark, sf_dir, ['TITLE "t"', "# made", "LUT_3D_SIZE 5", "DOMAIN_MIN 0 0 0", ""]), F.col("line"), "at")
     cube = tables.read_cube(spark, path)
-    return cube.select("n", "ib", "ig", "ir", *[r6(c).alias(c) for c in "rgb"])
+    return cube.select("n", "ib", "ig", "ir", *[r6(c, 5).alias(c) for c in "rgb"])
 
 
 @query(CUBE_SQL)
 def lut_3dl_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _written(_cube_lines(spark, ["# made", "TITLE x", "3DLUTSIZE 5", "not a row"]), F.col("line"), "at")
-    return documents.read_3dl(documents.texts(spark, path)).select("n", "ib", "ig", "ir", *[r6(c).alias(c) for c in "rgb"])
+    path = _written(_cube_lines(spark, sf_dir, ["# made", "TITLE x", "3DLUTSIZE 5", "not a row"]), F.col("line"), "at")
+    return documents.read_3dl(documents.texts(spark, path)).select("n", "ib", "ig", "ir", *[r6(c, 5).alias(c) for c in "rgb"])
 
 
-@query("select (row_number() over (order by p_partkey) - 1)::int \"position\", p_name path from part where p_partkey % 5 = 0")
+@query("select (row_number() over (order by p_partkey) - 1)::int \"position\", p_name path from part")
 def path_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "part").where("p_partkey % 5 = 0").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("x"))
-    document = rows.select(F.lit(0).alias("at"), F.to_json(F.struct(F.lit(1).alias("version"), F.transform("x", lambda x: x["p_name"]).alias("inputs"))).alias("d"))
-    return images.path_list(spark, _written(document, F.col("d"), "at"))
+    """All parts' names as documents of 500 keys each, written by many tasks and read back in order."""
+    part = F.expr("p_partkey div 500")
+    listed = read(spark, sf_dir, "part").groupBy(part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("x"))
+    document = F.to_json(F.struct(F.lit(1).alias("version"), "part", F.transform("x", lambda x: x["p_name"]).alias("inputs")))
+    folder = events.work_dir(spark)
+    listed.select(document.alias("value")).write.text(folder)
+    return images.path_list(spark, folder)
 
 
 @query("""

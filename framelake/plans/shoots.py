@@ -403,6 +403,21 @@ def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.batch_plan(_queue(spark, sf_dir).select("queue", "id", "priority", exclusive.alias("exclusive")), "queue", 5)
 
 
+@query(QUEUE_SQL.replace("with t", "with recursive t", 1) + """
+, y as (select id, queue, priority, list_filter(subsystems, lambda x: x in ('s0', 's1')) ex, id % 3 = 0 chore, live, id % 11 = 0 running from t),
+b as (select queue, list_distinct(flatten(list(ex))) held from y where live and running group by 1),
+n as (select y.*, coalesce(held, []) held, row_number() over (partition by queue order by priority, id) i from y left join b using (queue) where not live),
+w as (select queue, null::bigint id, 0::bigint i, null::varchar decision, 0 c, 0 k, []::varchar[] taken from (select distinct queue from n)
+  union all select queue, id, i, decision, c + (decision = 'batch')::int, k + (decision = 'batch' and chore)::int, case when decision = 'batch' then list_distinct(list_concat(taken, ex)) else taken end from (
+    select n.queue, n.id, n.i, n.ex, n.chore, w.c, w.k, w.taken, case when w.c >= 4 then 'batch full' when list_has_any(w.taken, n.ex) or list_has_any(n.held, n.ex) then 'overlaps'
+      when n.chore and w.k >= 1 and w.c >= 3 then 'reserved' else 'batch' end decision from w join n on n.queue = w.queue and n.i = w.i + 1))
+select queue, id, decision from w where i > 0""")
+def batch_plan_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exclusive = F.filter("subsystems", lambda x: x.isin("s0", "s1")).alias("exclusive")
+    rows = _queue(spark, sf_dir).select("queue", "id", "priority", exclusive, (F.col("id") % 3 == 0).alias("housekeeping"), "live")
+    return graph.batch_plan(rows.where("not live"), "queue", 4, active=rows.where("live and id % 11 = 0").select("queue", "exclusive"))
+
+
 @query("""
 with t as (select p_partkey id, list_distinct(string_split(lower(p_name), ' ')) k, p_size % 2 = 0 live from part), c as (select p_partkey candidate, list_distinct(string_split(lower(p_name), ' ')) o from part where p_partkey <= 40),
 m as (select candidate, list_intersect(k, o) h, least(len(k), len(o)) s from t, c where live and list_has_any(k, o)),

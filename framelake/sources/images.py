@@ -6,7 +6,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RASTER = ("jpg", "jpeg", "png", "tif", "tiff", "bmp", "webp")
@@ -37,9 +37,16 @@ def input_plan(files: DataFrame, include: str | None = None, exclude: str | None
 
 
 def path_list(spark: SparkSession, path: str) -> DataFrame:
-    """``position, path`` of a JSON list of literal paths: {"version": 1, "inputs": [...]}."""
-    raw = spark.read.schema("version int, inputs array<string>").option("multiLine", "true").json(path)
-    return raw.select(F.posexplode("inputs").alias("position", "path"))
+    """``position, path`` of a list of literal paths, as JSON documents {"version": 1, "inputs": [...]}, one a line.
+
+    A long list is several documents with a ``part`` each (none: 0), in whatever files; positions run on in the order of the parts.
+    """
+    raw = spark.read.schema("version int, part long, inputs array<string>").json(path).select(F.coalesce("part", F.lit(0)).alias("part"), "inputs")
+    sizes = raw.groupBy("part").agg(F.sum(F.size("inputs")).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a document
+    starts = sizes.select("part", before.alias("before"))
+    each = raw.select("part", F.posexplode("inputs").alias("at", "path"))
+    return each.join(starts, "part").select((F.col("before") + F.col("at")).cast("int").alias("position"), "path")
 
 
 def _png(b: bytes):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,12 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..storage import shared_folder
+from ..storage import new_folder
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder."""
-    return f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder below the shared checkpoint folder; ``storage.release_all`` removes it."""
+    return new_folder(spark, "stream")
 
 
 def _status(spark: SparkSession, path: str):
@@ -122,13 +121,12 @@ def stable_files(scans: DataFrame) -> DataFrame:
     """Files of a polled folder: ready after two scans with equal size and modification time (``path, signature, scan``; update mode)."""
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, status = state.get if state.exists else ("", "new")
-        for rows in batches:
-            for signature in rows.sort_values("scan")["signature"]:
-                status = "ready" if signature == seen else "settling"
-                seen = signature
-        state.update((seen, status))
-        yield pd.DataFrame({"path": [name[0]], "signature": [seen], "status": [status]})
+        seen, _ = state.get if state.exists else ("", "new")
+        every = pd.concat(list(batches)).sort_values("scan", kind="stable")["signature"].to_numpy()
+        before = every[-2] if len(every) > 1 else seen
+        status = "ready" if every[-1] == before else "settling"
+        state.update((every[-1], status))
+        yield pd.DataFrame({"path": [name[0]], "signature": [every[-1]], "status": [status]})
 
     return scans.groupBy("path").applyInPandasWithState(
         step, "path string, signature string, status string", "signature string, status string", "update", GroupStateTimeout.NoTimeout
