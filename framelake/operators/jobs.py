@@ -32,6 +32,21 @@ def merge_records(base: DataFrame, local: DataFrame, incoming: DataFrame, key: s
     return joined.select(key, *[merged(f) for f in fields])
 
 
+def merge_jobs(base: DataFrame, local: DataFrame, incoming: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Three-way merge of jobs by key: a field that the local side left as it was takes the incoming value, any other stays local; ``attempts`` never
+    falls behind the incoming one. Jobs of one side only stay."""
+    side = lambda d, p: d.select(F.col(key).alias(key), F.lit(True).alias(f"{p}__"), *[F.col(f).alias(f"{p}_{f}") for f in fields])
+    joined = side(local, "l").join(side(incoming, "i"), key, "full").join(side(base, "b"), key, "left")
+
+    def merged(f: str) -> Column:
+        mine, theirs, before = (F.col(f"{p}_{f}") for p in "lib")
+        kept = F.when(mine.eqNullSafe(before), theirs).otherwise(mine)
+        kept = F.greatest(kept, theirs) if f == "attempts" else kept
+        return F.when(F.col("i__").isNull(), mine).when(F.col("l__").isNull(), theirs).otherwise(kept).alias(f)
+
+    return joined.select(key, *[merged(f) for f in fields])
+
+
 def recover_stale(jobs: DataFrame, now: Column, max_age_seconds: float = 3600.0) -> DataFrame:
     """Processing attempts that began too long ago, or at a time that can't be read, go back into the queue; ``recovered`` tells which."""
     started = F.try_to_timestamp(F.col("started_at"))

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from framelake.plans import catalogue, colours, files, measures, shoots  # noqa: F401
+from framelake.plans import advice, catalogue, colours, files, layers, measures, rasters, shoots, streams, tracks  # noqa: F401
 
 from .conftest import SMALL
 
