@@ -43,6 +43,8 @@ DISTANCE = 2 * CHUNKS - 1
 SHINGLE = 2
 TILE = 256
 FILTER_BITS = 26
+#: Hubs (a few numbers each) that are broadcast at most; more of them are joined by a shuffle.
+MOST_HUBS = 200_000
 _BOUNDS = [round(i * SLOTS / CHUNKS) for i in range(CHUNKS + 1)]
 _RNG = np.random.default_rng(42)
 _TIMES = _RNG.integers(0, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -228,11 +230,17 @@ def _confirmed(dealt: DataFrame) -> DataFrame:
     return rows.repartition("hub", "tile").sortWithinPartitions("hub", "tile", "probe").mapInArrow(run, "a long, b long").distinct()
 
 
+def _by_hub(rows: DataFrame, sized: DataFrame) -> DataFrame:
+    """``rows`` with what ``sized`` has for their hub; few hubs are broadcast, so that a hub of many members stays where its rows are."""
+    held = saved(sized)
+    return rows.join(F.broadcast(held) if held.limit(MOST_HUBS + 1).count() <= MOST_HUBS else held, "hub")
+
+
 def _hub_links(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """``a, b``: the confirmed links of nodes to their hubs. A hub of many members is held once for every ``TILE`` of them."""
     sized = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
     held = sized.select("hub", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.lit(0).alias("probe"), F.col("hub").alias("node"))
-    probes = pairs.join(sized, "hub").select("hub", F.pmod(F.xxhash64("node"), "tiles").cast("int").alias("tile"), F.lit(1).alias("probe"), "node")
+    probes = _by_hub(pairs, sized).select("hub", F.pmod(F.xxhash64("node"), "tiles").cast("int").alias("tile"), F.lit(1).alias("probe"), "node")
     return _confirmed(held.unionByName(probes).join(bodies, "node").withColumn("part", F.col("node")))
 
 
@@ -243,7 +251,7 @@ def _other_links(pairs: DataFrame, bodies: DataFrame, parts: DataFrame) -> DataF
     each = members.groupBy("hub", "part").agg(F.count(F.lit(1)).alias("n"))
     sized = each.groupBy("hub").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_parts"), F.max_by("part", F.struct("n", "part")).alias("common"))
     sized = sized.where("n_parts > 1").select("hub", "common", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    among = members.join(sized, "hub")
+    among = _by_hub(members, sized)
     held = among.select("hub", F.pmod(F.xxhash64("node"), "tiles").cast("int").alias("tile"), F.lit(0).alias("probe"), "node", "part")
     every = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile")
     probes = among.where("part != common").select("hub", every, F.lit(1).alias("probe"), "node", "part")
