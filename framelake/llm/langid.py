@@ -13,6 +13,7 @@ sample, whose bound is a parameter; it travels to the tasks as one broadcast.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prefix, release, rows_of, saved, with_fields
+from .words import blocks, hash_spans
 
 #: Bound of the training sample: expected different documents per language, picked by the hash of id and text. Copies
 #: count once, so neither null nor repeated ids nor a frequent text decide what is in it.
@@ -35,6 +37,9 @@ ORDERS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
 #: Letters with the marks that combine with them.
 _WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: Texts whose letters beyond a-z lie between U+00C0 and U+024F and which hold no marks (nor a letter that gets one in lower case): all of their
+#: words can be told by their bytes.
+_PLAIN = re.compile("[\x00-\x7f\x80-\xa9\xab-\xb4\xb6-\xb9\xbb-\u012f\u0131-\u024f\u2000-\u206f]*")
 _MEMO = 400_000
 
 
@@ -54,6 +59,19 @@ def grams_of(word: str, n: int) -> list[str]:
     return [bounded[i : i + n] for i in range(len(bounded) - n + 1)]
 
 
+def letter_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end (exclusive) of each word in the bytes of plain texts in lower case: a-z, and two bytes led by C3 to C9 but the signs U+00D7 and U+00F7."""
+    lead = (buf >= 0xC3) & (buf <= 0xC9)
+    sign = np.zeros(len(buf), dtype=bool)
+    sign[:-1] = (buf[:-1] == 0xC3) & ((buf[1:] == 0x97) | (buf[1:] == 0xB7))
+    lead &= ~sign
+    inside = np.zeros(len(buf) + 2, dtype=np.int8)
+    inside[1:-1] = ((buf >= 0x61) & (buf <= 0x7A)) | lead
+    inside[2:-1] |= lead[:-1]
+    step = np.diff(inside)
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows_of(batches):
         counts: dict[str, Counter] = {}
@@ -119,10 +137,21 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, least_count: int
 
 
 class Scorer:
-    """Scores words with a bounded memo of those that had to back off."""
+    """Scores words with a bounded memo of those that had to back off.
+
+    ``predict`` scores one text word by word. ``predict_all`` gives the same for many at once: words of plain texts are hashed in blocks and looked up
+    among the sorted hashes of the model's words; only those that aren't there become strings again, once a block.
+    """
 
     def __init__(self, model: Model):
         self.model = model
+        names = [w.encode() for w in model.words]
+        size = np.fromiter(map(len, names), np.int64, len(names))
+        start = np.cumsum(size) - size
+        h = hash_spans(np.frombuffer(b"".join(names), np.uint8), start, start + size) if names else np.zeros(0, np.uint64)
+        by = np.argsort(h)
+        self.hashes, self.known = h[by], model.word_logs[list(model.words.values())][by] if names else np.zeros((0, len(model.langs)), np.float32)
+        self.memo: dict[int, np.ndarray] = {}
         self.rows = np.zeros((len(model.words) + _MEMO, len(model.langs)), np.float32)
         self.rows[: len(model.words)] = model.word_logs
         self.flat = np.zeros(len(model.langs), np.float32)
@@ -140,6 +169,55 @@ class Scorer:
                 return self.model.gram_logs[known].mean(axis=0)
         return self.flat
 
+    def _unknown(self, h: int, word: bytes) -> np.ndarray:
+        found = self.memo.get(h)
+        if found is None:
+            if len(self.memo) >= _MEMO:
+                self.memo.clear()
+            found = self.memo[h] = self.backoff(word.decode())
+        return found
+
+    def _block(self, texts: list[bytes]) -> list[tuple[str, float]]:
+        buf = np.frombuffer(b" ".join(texts), dtype=np.uint8)
+        start, end = letter_spans(buf)
+        h = hash_spans(buf, start, end)
+        begins = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])
+        first = np.searchsorted(start, begins)
+        row = np.searchsorted(self.hashes, h)
+        there = np.zeros(len(h), dtype=bool)
+        if len(self.hashes):
+            there = self.hashes[np.minimum(row, len(self.hashes) - 1)] == h
+        table = self.known
+        if not there.all():
+            away = np.flatnonzero(~there)
+            each, at, place = np.unique(h[away], return_index=True, return_inverse=True)
+            spans = zip(each.tolist(), start[away[at]].tolist(), end[away[at]].tolist(), strict=True)
+            table = np.concatenate([table, np.stack([self._unknown(x, buf[a:b].tobytes()) for x, a, b in spans])])
+            row[away] = len(self.known) + place
+        n = np.diff(first)
+        some = np.flatnonzero(n)
+        total = np.add.reduceat(table[row].astype(float), first[:-1][some]) if len(some) else np.zeros((0, len(self.model.langs)))
+        score = total / np.sqrt(n[some])[:, None]
+        best = score.argmax(axis=1)
+        sure = 1 / np.exp(score - score.max(axis=1, keepdims=True)).sum(axis=1)
+        out = [(UNKNOWN, 0.0)] * len(texts)
+        for i, b, p in zip(some.tolist(), best.tolist(), sure.tolist(), strict=True):
+            out[i] = (self.model.langs[b], p)
+        return out
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
+        if not self.model.langs:
+            return out
+        plain = [i for i, t in enumerate(texts) if t and _PLAIN.fullmatch(t)]
+        for i in set(range(len(texts))).difference(plain):
+            out[i] = self.predict(texts[i])
+        low = [texts[i].lower().encode() for i in plain]
+        for a, b in blocks(low):
+            for i, found in zip(plain[a:b], self._block(low[a:b]), strict=True):
+                out[i] = found
+        return out
+
     def _number(self, word: str) -> int:
         at = self.index.get(word)
         if at is None:
@@ -176,7 +254,7 @@ def identify(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in rows_of(batches):
-            found = [scorer.predict(x) for x in batch.column("text").to_pylist()]
+            found = scorer.predict_all(batch.column("text").to_pylist())
             kept = batch.schema.names
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in kept), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())],

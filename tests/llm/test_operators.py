@@ -621,6 +621,24 @@ def test_scores_are_those_of_the_definition(spark):
         assert lang == wanted and score == pytest.approx(near, abs=1e-4)
 
 
+def test_many_texts_at_once(spark):
+    """Blocks of hashed words give what single texts give; texts beyond the plain ones go word by word."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = langid.train(docs.where(~langid.held_out()), least_count=2)
+    odd = [None, "", "12 3", "the", "ÉÀÜ ßß ×a÷b", "a×b", "İstanbul ıI", "e\u0301te ete", "日本語 text", "straße–STRASSE “zitat”", "µ ª º½", "x" * 5000, "zzqqy " * 40, "ŉ Ǆ ƻ ǀ", "a\x00b\u2028c", "ẞ ß"]
+    texts = [r.text for r in docs.collect()] + odd
+    for t in odd:
+        if t and langid._PLAIN.fullmatch(t):
+            low = t.lower().encode()
+            start, end = langid.letter_spans(np.frombuffer(low, np.uint8))
+            assert [low[a:b].decode() for a, b in zip(start, end, strict=True)] == langid._WORDS.findall(t.lower()), t
+    one, many = langid.Scorer(model), langid.Scorer(model)
+    for text, (lang, score) in zip(texts, many.predict_all(texts), strict=True):
+        wanted, near = one.predict(text)
+        assert lang == wanted and score == pytest.approx(near, abs=1e-5)
+    assert langid.Scorer(langid.Model([], {}, np.zeros((0, 0), np.float32), {}, np.zeros((0, 0), np.float32))).predict_all(["a", None]) == [("und", 0.0)] * 2
+
+
 # --- the queries' SQL ---------------------------------------------------------------------------
 
 
