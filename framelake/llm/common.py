@@ -12,7 +12,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..storage import release, saved
 
-__all__ = ["WORD", "order_key", "partitions", "prefix", "release", "rows_of", "saved", "squeezed", "table", "text_bytes", "unsqueezed", "with_fields"]
+__all__ = ["WORD", "in_tasks", "order_key", "partitions", "prefix", "release", "rows_of", "saved", "squeezed", "table", "text_bytes", "unsqueezed", "with_fields"]
 
 #: A word, as the contracts have it: a run of anything but space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,6 +22,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def in_tasks(rows: DataFrame, n_buckets: int, each: int) -> DataFrame:
+    """``rows`` dealt by ``bucket`` to a task for about ``each`` buckets, where that is more tasks than a shuffle has anyway: a task's
+    share so stays the same however many buckets there are."""
+    n = -(-n_buckets // each)
+    return rows.repartition(n, "bucket") if n > partitions(rows.sparkSession) else rows
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return [x or b"" for x in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()]

@@ -40,12 +40,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .common import order_key, partitions, prefix, rows_of, saved, squeezed, text_bytes, unsqueezed, with_fields
+from .common import in_tasks, order_key, partitions, prefix, rows_of, saved, squeezed, text_bytes, unsqueezed, with_fields
 from .words import blocks, hashed_words, mix
 
 THRESHOLD = 0.8
 RARITY_BUCKETS = 1 << 18
 BUCKET_ENTRIES = 1 << 17
+#: Buckets of a task at most, on average.
+TASK_BUCKETS = 12
 SLICE_BYTES = 12 << 20
 #: Partners of a line that a token passes on, and that are verified in the first round.
 TOKEN_PARTNERS = 4
@@ -508,7 +510,7 @@ def _near_lines(keyed: DataFrame, packed: DataFrame, threshold: float) -> DataFr
     n_buckets = max(16, math.ceil(words * (1 - threshold) / BUCKET_ENTRIES))
     own = ["x_doc", "x_crc", "x_line"]
     rows = keyed.mapInArrow(_emit(order, n_buckets, threshold), "bucket long, blob binary")
-    met = rows.groupBy("bucket").applyInArrow(_match(n_buckets, threshold, False), _FOUND)
+    met = in_tasks(rows, 3 * n_buckets, TASK_BUCKETS).groupBy("bucket").applyInArrow(_match(n_buckets, threshold, False), _FOUND)
     partners = F.array_sort(F.collect_set(F.struct("apart", "y_doc", "y_crc", "y_line")))
     listed = met.groupBy(*own).agg(F.max("sure").alias("sure"), F.max("more").alias("more"), partners.alias("y"))
     several = F.col("more") | (F.size("y") > FIRST_PARTNERS)
@@ -522,7 +524,7 @@ def _near_lines(keyed: DataFrame, packed: DataFrame, threshold: float) -> DataFr
         bitmap = _asked(order, probes, threshold)
         rows = keyed.mapInArrow(_emit(order, n_buckets, threshold, bitmap), "bucket long, blob binary")
         rows = rows.unionByName(probes.mapInArrow(_ask(order, n_buckets, threshold), "bucket long, blob binary"))
-        wider = saved(rows.groupBy("bucket").applyInArrow(_match(n_buckets, threshold, True), _FOUND).drop("sure", "apart").distinct())
+        wider = saved(in_tasks(rows, n_buckets, TASK_BUCKETS).groupBy("bucket").applyInArrow(_match(n_buckets, threshold, True), _FOUND).drop("sure", "apart").distinct())
         gone = gone.unionByName(_verified(packed, wider, threshold).where("good").select("doc", "crc", "line"))
     return saved(gone.groupBy("doc", "crc").agg(F.collect_set("line").alias("lines")))
 

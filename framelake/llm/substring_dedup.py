@@ -31,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .common import order_key, prefix, rows_of, squeezed, text_bytes, unsqueezed, with_fields
+from .common import in_tasks, order_key, prefix, rows_of, squeezed, text_bytes, unsqueezed, with_fields
 from .words import blocks, hashed_words, mix, runs
 
 WINDOW = 20
+#: Buckets of a task at most, on average.
+TASK_BUCKETS = 4
 ANCHOR = 5
 BUCKET_WINDOWS = 1 << 20
 SLICE_BYTES = 16 << 20
@@ -241,7 +243,7 @@ def repeated_windows(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
     total, hot = _hot_anchors(keyed, window)
     n_buckets = max(16, math.ceil(total / BUCKET_WINDOWS))
     rows = keyed.mapInArrow(_settle(n_buckets, window, hot), "bucket long, blob binary")
-    return rows.groupBy("bucket").applyInArrow(_meet, _SETTLED)
+    return in_tasks(rows, 2 * n_buckets, TASK_BUCKETS).groupBy("bucket").applyInArrow(_meet, _SETTLED)
 
 
 def covered(n_words: int, cuts: list[dict], window: int = WINDOW) -> np.ndarray:
