@@ -21,7 +21,7 @@ def _written(lines: DataFrame, value: Column, order: str) -> str:
 #: A cube of five steps a channel: the mean colour of the line items of each cell, or the cell's corner where there are none.
 CUBE_SQL = """with c as (select least(floor(l_quantity / 50 * 5), 4)::int ir, least(floor(l_discount * 50), 4)::int ig, least(floor(l_tax * 62.5), 4)::int ib, l_quantity / 50 r, l_discount * 10 g, l_tax * 12.5 b from lineitem),
 m as (select ir, ig, ib, avg(r) r, avg(g) g, avg(b) b from c group by 1, 2, 3), i as (select (i % 5)::int ir, (i // 5 % 5)::int ig, (i // 25)::int ib from range(125) t(i))
-select 5 n, ib, ig, ir, round(coalesce(r, ir / 4.0::double), 5) r, round(coalesce(g, ig / 4.0::double), 5) g, round(coalesce(b, ib / 4.0::double), 5) b from i left join m using (ir, ig, ib)"""
+select 5 n, ib, ig, ir, round(coalesce(r, ir / 4.0::double), 7) r, round(coalesce(g, ig / 4.0::double), 7) g, round(coalesce(b, ib / 4.0::double), 7) b from i left join m using (ir, ig, ib)"""
 
 
 def _cube_lines(spark: SparkSession, sf_dir: str, head: list[str]) -> DataFrame:
@@ -39,13 +39,13 @@ def _cube_lines(spark: SparkSession, sf_dir: str, head: list[str]) -> DataFrame:
 def cube_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _written(_cube_lines(spark, sf_dir, ['TITLE "t"', "# made", "LUT_3D_SIZE 5", "DOMAIN_MIN 0 0 0", ""]), F.col("line"), "at")
     cube = tables.read_cube(spark, path)
-    return cube.select("n", "ib", "ig", "ir", *[r6(c, 5).alias(c) for c in "rgb"])
+    return cube.select("n", "ib", "ig", "ir", *[r6(c, 7).alias(c) for c in "rgb"])
 
 
 @query(CUBE_SQL)
 def lut_3dl_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _written(_cube_lines(spark, sf_dir, ["# made", "TITLE x", "3DLUTSIZE 5", "not a row"]), F.col("line"), "at")
-    return documents.read_3dl(documents.texts(spark, path)).select("n", "ib", "ig", "ir", *[r6(c, 5).alias(c) for c in "rgb"])
+    return documents.read_3dl(documents.texts(spark, path)).select("n", "ib", "ig", "ir", *[r6(c, 7).alias(c) for c in "rgb"])
 
 
 @query("select (row_number() over (order by p_partkey) - 1)::int \"position\", p_name path from part")
