@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
@@ -345,6 +345,15 @@ class _Bucket:
         self.token, self.size, self.position = (c[by].astype(np.int64) for c in (token, size, position))
         self.parity, self.high, self.crc, self.number, self.probe, self.doc = (c[by] for c in (parity, high, crc, number, probe, doc))
         self.joint = joint[by]
+        self.tokens, self.left = self.size.astype(np.int32), (self.size - self.position).astype(np.int32)  # read for every pair
+        self._needs: dict[float, np.ndarray] = {}
+
+    def need(self, both: np.ndarray, threshold: float) -> np.ndarray:
+        """The tokens in common that sets of ``both`` tokens together need; from a table, as pairs are many and sizes few."""
+        if threshold not in self._needs:
+            every = np.arange(2 * int(self.tokens.max(initial=0)) + 1)
+            self._needs[threshold] = np.ceil(every * (threshold / (1 + threshold)) - _EPS).astype(np.int32)
+        return self._needs[threshold][both]
 
     def behind(self, size: np.ndarray, token: np.ndarray) -> np.ndarray:
         """The place behind the last entry of the token that has at most this size."""
@@ -352,10 +361,10 @@ class _Bucket:
 
     def fit(self, i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The pairs that may be similar by size, position and parity, and a lower bound of their symmetric differences."""
-        size, position = self.size, self.position
+        size = self.tokens
         both = size[i] + size[j]
-        need = np.ceil(both * (threshold / (1 + threshold)) - _EPS)
-        ok = np.minimum(size[i] - position[i], size[j] - position[j]) >= need
+        need = self.need(both, threshold)
+        ok = np.minimum(self.left[i], self.left[j]) >= need
         i, j, both, need = i[ok], j[ok], both[ok], need[ok]
         # words of one width only may be compared: the wide line's are folded where the other is not wide
         wide = (size[i] >= WIDE_LINE) == (size[j] >= WIDE_LINE)
@@ -385,7 +394,7 @@ class _Nearest:
         ok = self.b.earlier(y, x)
         x, y, apart = x[ok], y[ok], apart[ok]
         if len(x):
-            np.add.at(self.hits, x, 1)
+            self.hits += np.bincount(x, minlength=len(self.hits))
             self.parts.append((x, y, apart))
             self.held += len(x)
             if self.held > _PAIRS:
@@ -467,13 +476,22 @@ def _table(x_doc, x_crc, x_line, y_doc, y_crc, y_line, more, apart=None) -> pa.T
     return pa.table(dict(zip([f.split()[0] for f in _FOUND.split(", ")], [*wide, more, sure, apart.astype(np.int32)], strict=True)))
 
 
-def alike(one: Column, other: Column, threshold: float = THRESHOLD) -> Column:
-    """Whether two lines' token sets reach the threshold; only A-Z are folded."""
-    low = "abcdefghijklmnopqrstuvwxyz"
-    tokens = lambda line: F.array_distinct(F.filter(F.split(F.translate(line, low.upper(), low), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    a, b = tokens(one), tokens(other)
-    both = F.size(F.array_intersect(a, b))
-    return both >= threshold * (F.size(a) + F.size(b) - both) - _EPS
+def _judge(threshold: float):
+    """Pairs of lines in, whether their token sets reach the threshold out; only A-Z are folded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches):
+            good, one, own = [], None, set()
+            for x, y in zip(text_bytes(batch.column("x_text")), text_bytes(batch.column("y_text")), strict=True):
+                if x != one:
+                    one, own = x, set(x.lower().split())
+                other = set(y.lower().split())
+                both = len(own & other)
+                good.append(both >= threshold * (len(own) + len(other) - both) - _EPS)
+            kept = ["x_doc", "x_crc", "x_line", "more", "x_text"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(good, pa.bool_())], ["doc", "crc", "line", "more", "x_text", "good"])
+
+    return run
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -497,7 +515,8 @@ def _verified(packed: DataFrame, found: DataFrame, threshold: float) -> DataFram
     lines = packed.join(asked, ["doc", "crc"]).mapInArrow(_fetch, "doc long, crc long, line int, line_text string").dropDuplicates(key)
     named = lambda s: lines.select(*[F.col(k).alias(f"{s}_{k}") for k in key], F.col("line_text").alias(f"{s}_text"))
     pairs = found.join(named("y"), [f"y_{k}" for k in key]).join(named("x"), [f"x_{k}" for k in key])
-    judged = pairs.select(*side("x"), alike(F.col("x_text"), F.col("y_text"), threshold).alias("good"), "more", "x_text")
+    slim = pairs.select("x_doc", "x_crc", "x_line", "more", "x_text", "y_text")
+    judged = slim.mapInArrow(_judge(threshold), "doc long, crc long, line int, more boolean, x_text string, good boolean")
     return judged.groupBy(*key).agg(F.max("good").alias("good"), F.max("more").alias("more"), F.first("x_text").alias("x_text"))
 
 
