@@ -106,10 +106,10 @@ def best_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with p as (select l_orderkey % 50 img, l_quantity * 0.7310585 r, l_discount * 0.7310585 g, l_extendedprice y from lineitem), e as (select img, quantile_cont(y, 0.1) lo, quantile_cont(y, 0.9) hi from p group by 1)
+with p as (select l_orderkey % 50 img, l_quantity * 0.73105857863 r, l_discount * 0.73105857863 g, l_extendedprice y from lineitem), e as (select img, quantile_cont(y, 0.1) lo, quantile_cont(y, 0.9) hi from p group by 1)
 select img, round(avg(r), 6) r, round(avg(g), 6) g, count(*) n from p join e using (img) where y between lo and hi group by 1""")
 def frame_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pixels = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 50).alias("img"), (F.col("l_quantity") * 0.7310585).alias("r"), (F.col("l_discount") * 0.7310585).alias("g"), F.col("l_extendedprice").alias("y"))
+    pixels = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 50).alias("img"), (F.col("l_quantity") * 0.73105857863).alias("r"), (F.col("l_discount") * 0.73105857863).alias("g"), F.col("l_extendedprice").alias("y"))
     found = faces.frame_anchors(pixels, "img", "y", ["r", "g"], 0.1, 0.9)
     return found.select("img", r6("r").alias("r"), r6("g").alias("g"), "n")
 
