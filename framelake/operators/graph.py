@@ -74,20 +74,67 @@ def _spread(edges: DataFrame, marks: DataFrame, mark: str) -> DataFrame:
             return held.select("node", mark)
 
 
-def cycle_nodes(edges: DataFrame, a: str, b: str, trims: int = 3) -> DataFrame:
+def _drained(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What nodes with one way out settle: ``node`` of those on a cycle, and ``node`` of those that need no further look (saved). Edges: distinct ``u, v``, no loops.
+
+    Pointers along the only ways out are doubled until what they point at stops shrinking, in as many saved steps as the logarithm of the
+    longest such way. Then a pointer ends at a node with several ways out, at a dead end, or on a cycle that nothing leaves. Nodes that lead to
+    dead ends or to such cycles alone lie on no other cycle.
+    """
+    outs = saved(edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("p")))
+    start = outs.where("n = 1").select("u", "p")
+    now, size = start, None
+    while True:
+        ends = saved(now.groupBy("p").agg(F.count(F.lit(1)).alias("n")).select(F.col("p").alias("node")))
+        before, size = size, ends.count()
+        if size == before or not size:
+            break
+        release(ends)
+        further = now.select(F.col("u").alias("p"), F.col("p").alias("q"))
+        last, now = now, saved(now.join(further, "p", "left").select("u", F.coalesce("q", "p").alias("p")))
+        if last is not start:
+            release(last)
+    round_ = ends.join(start.select(F.col("u").alias("node")), "node", "left_semi")
+    dead = edges.select(F.col("v").alias("node")).distinct().join(outs.select(F.col("u").alias("node")), "node", "left_anti")
+    over = saved(round_.unionByName(dead))
+    settled = now.join(over.withColumnRenamed("node", "p"), "p", "left_semi").select(F.col("u").alias("node"))
+    return saved(round_), saved(settled.unionByName(dead).distinct())
+
+
+def _thinned(edges: DataFrame, least_share: float = 0.01) -> tuple[list[DataFrame], DataFrame]:
+    """Frames of ``node`` on cycles, and the edges that are left (saved): ``_drained`` along the edges and against them, until that takes
+    nothing or under ``least_share`` of the edges away."""
+    found: list[DataFrame] = []
+    n = edges.count()
+    while n:
+        before = n
+        for u, v in (("u", "v"), ("v", "u")):
+            on, gone = _drained(edges.select(F.col(u).alias("u"), F.col(v).alias("v")))
+            found.append(on)
+            last = edges
+            edges = saved(edges.join(gone.withColumnRenamed("node", "u"), "u", "left_anti").join(gone.withColumnRenamed("node", "v"), "v", "left_anti").select("u", "v"))
+            release(last)
+            n = edges.count()
+            if not n:
+                break
+        if before - n <= least_share * before:
+            break
+    return found, edges
+
+
+def cycle_nodes(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``node`` for every node that lies on a directed cycle, a loop at itself included. Null ends are dropped.
 
-    Nodes without a way in or out are trimmed a few times. Then each round colours a node by the largest node that leads to it; a node that keeps its own
+    What nodes with one way out or one way in settle is taken out first (``_thinned``). Then each round colours a node by the largest node that leads to it; a node that keeps its own
     number is the pivot of its colour, and what leads back to it within the colour is its strongly connected piece, on cycles if
-    it has two nodes. Pieces are taken out, edges between colours are on no cycle, and the rest goes on. State is one row a node; the steps of a round grow with the longest of the
-    shortest ways.
+    it has two nodes. Pieces are taken out, edges between colours are on no cycle, and the rest goes on, thinned again. State is one row a node; the steps of a
+    round grow with the longest of the shortest ways between nodes that are left.
     """
     ends = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("u"), F.col(b).alias("v")).distinct()
-    found = [saved(ends.where("u = v").select(F.col("u").alias("node")))]
-    now = saved(ends.where("u != v"))
-    for _ in range(trims):
-        outs, ins = now.select(F.col("v").alias("u")).distinct(), now.select(F.col("u").alias("v")).distinct()
-        now = saved(now.join(outs, "u", "left_semi").join(ins, "v", "left_semi").select("u", "v"))
+    ends = saved(ends)
+    found = [ends.where("u = v").select(F.col("u").alias("node"))]
+    on, now = _thinned(saved(ends.where("u != v")))
+    found += on
     while not now.isEmpty():
         nodes = now.select(F.col("u").alias("node")).unionByName(now.select(F.col("v").alias("node"))).distinct()
         colours = _spread(now, nodes.withColumn("colour", F.col("node")), "colour")
@@ -99,7 +146,9 @@ def cycle_nodes(edges: DataFrame, a: str, b: str, trims: int = 3) -> DataFrame:
         sizes = piece.groupBy("colour").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         found.append(saved(piece.join(sizes, "colour", "left_semi").select("node")))
         gone = piece.select("node")
-        now = saved(inside.join(gone.withColumnRenamed("node", "u"), "u", "left_anti").join(gone.withColumnRenamed("node", "v"), "v", "left_anti").select("u", "v"))
+        left = inside.join(gone.withColumnRenamed("node", "u"), "u", "left_anti").join(gone.withColumnRenamed("node", "v"), "v", "left_anti").select("u", "v")
+        on, now = _thinned(saved(left))
+        found += on
     return reduce(DataFrame.unionByName, found).distinct()
 
 

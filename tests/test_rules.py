@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from framelake import storage
 from framelake.functions import colour, folds, grading, names
 from framelake.operators import corpus, faces, graph, jobs, planning, recipes, review, temporal
 from framelake.sources import documents
@@ -65,6 +66,28 @@ def test_cycles(spark):
     assert rows(graph.cycle_nodes(between, "a", "b")) == [(1,), (2,), (4,), (5,)]  # 3 only leads from one to the other
 
 
+def test_cycles_of_long_ways_take_few_steps(spark, monkeypatch):
+    ways = [(i, i + 1) for i in range(300)] + [(300, 298)]  # a long way into a cycle
+    ways += [(1000 + i // 2, 1000 + i) for i in range(2, 200)] + [(1199, 2000), (2000, 1199)]  # a tree that ends in one
+    steps = []
+    monkeypatch.setattr(graph, "saved", lambda df: steps.append(1) or storage.saved(df))
+    df = spark.createDataFrame(ways, "a long, b long")
+    assert {r.node for r in graph.cycle_nodes(df, "a", "b").collect()} == {298, 299, 300, 1199, 2000}
+    assert len(steps) < 100  # one step a node of the way before
+    pairs = [(i, (i * i + 3 * i + j) % 47) for i in range(30) for j in (0, 31)] + [(i, i + 1) for i in range(100, 140)] + [(140, 100), (7, 120), (138, 99)]
+    after = {u: {v for w, v in pairs if w == u} for u, _ in pairs}
+
+    def leads_back(u):
+        seen, more = set(), set(after[u])
+        while more - seen:
+            seen |= more
+            more = set().union(*(after.get(v, set()) for v in more))
+        return u in seen
+
+    got = graph.cycle_nodes(spark.createDataFrame(pairs, "a long, b long"), "a", "b")
+    assert {r.node for r in got.collect()} == {u for u in after if leads_back(u)}
+
+
 def test_batch_plan(spark):
     tasks = spark.createDataFrame(
         [("q", 3, 0, ["io"]), ("q", 1, 0, ["io"]), ("q", 2, 0, []), ("q", 4, 1, ["db"]), ("q", 5, 2, ["net"]), ("z", 9, 0, [])], "queue string, id int, priority int, exclusive array<string>"
