@@ -88,6 +88,15 @@ def test_cycles_of_long_ways_take_few_steps(spark, monkeypatch):
     assert {r.node for r in got.collect()} == {u for u in after if leads_back(u)}
 
 
+def test_graph_problems_behind_a_long_way(spark, monkeypatch):
+    steps = []
+    monkeypatch.setattr(graph, "saved", lambda df: steps.append(1) or storage.saved(df))
+    nodes = spark.range(200)
+    edges = nodes.select("id", F.when(F.col("id") == 0, 1).when(F.col("id") == 150, 999).otherwise(F.col("id") - 1).alias("needs"))
+    assert rows(graph.graph_problems(nodes, edges, "id", "needs")) == [(0, "cycle", None), (1, "cycle", None), (150, "missing_dependency", "999")]
+    assert len(steps) < 60
+
+
 def test_batch_plan(spark):
     tasks = spark.createDataFrame(
         [("q", 3, 0, ["io"]), ("q", 1, 0, ["io"]), ("q", 2, 0, []), ("q", 4, 1, ["db"]), ("q", 5, 2, ["net"]), ("z", 9, 0, [])], "queue string, id int, priority int, exclusive array<string>"
