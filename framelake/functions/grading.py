@@ -10,6 +10,7 @@ import math
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -252,18 +253,25 @@ def subtractive(pixels: DataFrame, amount: float) -> DataFrame:
 
 
 def gamut_limit(light: Column, hue: Column, steps: int = 20) -> Column:
-    """Largest OKLab chroma of a lightness and hue within sRGB, by bisection from 0 to 0.5."""
-    cos, sin = F.cos(F.radians(hue)), F.sin(F.radians(hue))
-
-    def step(bounds: Column, _: Column) -> Column:
-        middle = (bounds["low"] + bounds["high"]) / 2
-        inside = F.lit(True)
-        for v in oklab_to_linear(light, middle * cos, middle * sin):
-            inside = inside & v.between(-1e-4, 1 + 1e-4)
-        return F.struct(F.when(inside, middle).otherwise(bounds["low"]).alias("low"), F.when(inside, bounds["high"]).otherwise(middle).alias("high"))
-
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0.0).alias("low"), F.lit(0.5).alias("high")), step, lambda b: b["low"])
-    return F.when((light > 0) & (light < 1), found).otherwise(0.0)
+    """Largest OKLab chroma of a lightness and hue within sRGB, by bisection from 0 to 0.5: a batch of rows at a time, as a fold in columns would
+    write the lightness and hue out anew for each use in each step."""
+
+    @F.pandas_udf("double")
+    def largest(light: pd.Series, cos: pd.Series, sin: pd.Series) -> pd.Series:
+        x, c, s = (v.to_numpy(dtype=float, na_value=np.nan) for v in (light, cos, sin))
+        low, high = np.zeros(len(x)), np.full(len(x), 0.5)
+        with np.errstate(invalid="ignore", over="ignore"):
+            for _ in range(steps):
+                middle = (low + high) / 2
+                cubes = [t * t * t for t in (i * x + j * (middle * c) + k * (middle * s) for i, j, k in OKLAB_M2_BACK)]
+                inside = np.ones(len(x), bool)
+                for i, j, k in OKLAB_M1_BACK:
+                    v = i * cubes[0] + j * cubes[1] + k * cubes[2]
+                    inside &= (v >= -1e-4) & (v <= 1 + 1e-4)
+                low, high = np.where(inside, middle, low), np.where(inside, high, middle)
+        return pd.Series(low)
+
+    return F.when((light > 0) & (light < 1), largest(light, F.cos(F.radians(hue)), F.sin(F.radians(hue)))).otherwise(0.0)
 
 
 def gamut_compressed(chroma: Column, limit: Column) -> Column:

@@ -1,5 +1,7 @@
 """Jobs, recipes, corpora, graphs, faces and grades on small tables: ties, nulls, empty tables, odd values."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -188,6 +190,19 @@ def test_gamut_and_balance(spark):
     assert black.x == -1
 
 
+def test_gamut_limits_of_computed_colours_take_little(spark):
+    """A lightness and hue that are long expressions themselves are computed once a row."""
+    pixels = spark.range(200_000).select((F.col("id") % 50 / 50).alias("r"), (F.col("id") % 11 / 10).alias("g"), (F.col("id") % 9 / 8).alias("b"))
+    light, a, b = colour.srgb_to_oklab(F.col("r"), F.col("g"), F.col("b"))
+    plain = pixels.select("r", "g", "b", light.alias("l"), F.degrees(F.atan2(b, a)).alias("h"))
+    found = plain.select("r", "g", "b", grading.gamut_limit(F.col("l"), F.col("h")).alias("c"))
+    began = time.monotonic()
+    most = found.agg(F.max("c")).first()[0]
+    assert time.monotonic() - began < 20 and 0.2 < most < 0.5
+    odd = spark.createDataFrame([(None, 10.0), (0.5, None), (float("nan"), 1.0)], "l double, h double")
+    assert [r.c for r in odd.select(grading.gamut_limit(F.col("l"), F.col("h")).alias("c")).collect()] == [0.0, 0.0, 0.0]
+
+
 def test_documents(spark):
     texts = spark.createDataFrame([("a", '{"name": "x", "params": {"p": 1.5}}'), ("b", "{oops"), ("c", '{"params": {}}'), ("d", '{"name": "known"}'), ("e", '{"name": "y", "extends": "gone"}'), ("f", None)], "path string, text string")
     good, bad = documents.imported_recipes(texts, spark.createDataFrame([("known",)], "recipe string"))
