@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from framelake import storage
 from framelake.functions import colour, folds, grading, names
-from framelake.operators import corpus, faces, graph, jobs, planning, recipes, review, temporal
+from framelake.operators import corpus, faces, graph, jobs, planning, recipes, review, robust, temporal
 from framelake.sources import documents
 
 
@@ -203,6 +203,13 @@ def test_gamut_limits_of_computed_colours_take_little(spark):
     assert [r.c for r in odd.select(grading.gamut_limit(F.col("l"), F.col("h")).alias("c")).collect()] == [0.0, 0.0, 0.0]
 
 
+def test_percentiles_between_equal_values(spark):
+    values = [1234.56, 48617.07, 27900.33, 90123.45, 3.3, 0.7]
+    df = spark.createDataFrame([(n, v) for n in range(12, 32) for v in values for _ in range(n)], "n int, v double")
+    got = {(r.n, r.v): r["__p"] for r in robust.order_statistics(df.withColumn("w", F.col("v")), ["n", "v"], "w", (0.1, 0.37, 0.9)).collect()}
+    assert len(got) == 20 * len(values) and all(list(p) == [v] * 3 for (_, v), p in got.items())
+
+
 def test_documents(spark):
     texts = spark.createDataFrame([("a", '{"name": "x", "params": {"p": 1.5}}'), ("b", "{oops"), ("c", '{"params": {}}'), ("d", '{"name": "known"}'), ("e", '{"name": "y", "extends": "gone"}'), ("f", None)], "path string, text string")
     good, bad = documents.imported_recipes(texts, spark.createDataFrame([("known",)], "recipe string"))
