@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from framelake import storage
 from framelake.functions import colour, folds, grading, names
-from framelake.operators import corpus, faces, graph, jobs, planning, recipes, review, robust, temporal
+from framelake.operators import corpus, faces, graph, jobs, planning, ranking, recipes, review, robust, temporal
 from framelake.sources import documents
 
 
@@ -210,6 +210,14 @@ def test_percentiles_between_equal_values(spark):
     assert len(got) == 20 * len(values) and all(list(p) == [v] * 3 for (_, v), p in got.items())
 
 
+def test_ranks_and_counts_share_saved_edges(spark):
+    """Merging a sketch in another order gives other edges; counts and ranks read the same saved ones."""
+    df = spark.range(400).select((F.col("id") % 2).alias("set_id"), F.col("id").alias("k"))
+    got = ranking.rank_within(df, ["set_id"], "k", "k", descending=False)
+    assert "percentile_approx" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert all(r["rank"] == r.k // 2 + 1 for r in got.collect())
+
+
 def test_documents(spark):
     texts = spark.createDataFrame([("a", '{"name": "x", "params": {"p": 1.5}}'), ("b", "{oops"), ("c", '{"params": {}}'), ("d", '{"name": "known"}'), ("e", '{"name": "y", "extends": "gone"}'), ("f", None)], "path string, text string")
     good, bad = documents.imported_recipes(texts, spark.createDataFrame([("known",)], "recipe string"))
