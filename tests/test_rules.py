@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from framelake import storage
 from framelake.functions import colour, folds, grading, names
-from framelake.operators import corpus, faces, graph, jobs, planning, ranking, recipes, review, robust, temporal
+from framelake.operators import corpus, faces, graph, jobs, planning, ranking, recipes, review, robust, similarity, temporal
 from framelake.sources import documents
 
 
@@ -218,6 +218,19 @@ def test_ranks_and_counts_share_saved_edges(spark):
     assert all(r["rank"] == r.k // 2 + 1 for r in got.collect())
 
 
+def test_jaccard_moves_prefixes_only(spark):
+    rng = np.random.default_rng(3)
+    sets = {k: sorted({f"w{w}" for w in rng.integers(0, 30, rng.integers(1, 12))}) for k in range(80)}
+    sets |= {k + 100: t[1:] + ["z"] for k, t in sets.items()} | {300: [], 301: ["z"]}
+    df = spark.createDataFrame(list(sets.items()), "class_id long, tokens array<string>")
+    for threshold in (0.5, 0.75):
+        found = similarity.jaccard_join(df, threshold)
+        assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()  # every token was shuffled to be ranked
+        share = lambda a, b: len(set(a) & set(b)) / max(1, len(set(a) | set(b)))
+        want = {(i, j) for i in sets for j in sets if i < j and share(sets[i], sets[j]) >= threshold}
+        assert {(r.left_id, r.right_id) for r in found.collect()} == want
+
+
 def test_documents(spark):
     texts = spark.createDataFrame([("a", '{"name": "x", "params": {"p": 1.5}}'), ("b", "{oops"), ("c", '{"params": {}}'), ("d", '{"name": "known"}'), ("e", '{"name": "y", "extends": "gone"}'), ("f", None)], "path string, text string")
     good, bad = documents.imported_recipes(texts, spark.createDataFrame([("known",)], "recipe string"))
