@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import saved
 from .ordered import SLICE_ROWS
+from .robust import by_size
 from .temporal import one_euro
 
 #: Regions whose change counts as the frame's own, the calmest first.
@@ -93,39 +97,61 @@ def region_deviation(
     rows that the last one found at ``on`` or above, from normals, shared changes and spreads alike; a shot whose regions would keep
     fewer than three rows stays as it was. The score is null where a measure is null or a region has under three kept rows.
 
-    A shot's region is one group; its distinct values are what an exact median holds.
+    A shot of up to ``robust.MOST_GATHERED`` rows is moved to one task, once, and its statistics are windows there. Those of longer shots are
+    aggregates that are joined back; then a shot's region is one group, whose distinct values are what an exact median holds.
     """
     logged = lambda c: F.log(F.greatest(F.col(c), F.lit(1e-3)))
     x = {"x0": 50 * logged("light"), "x1": F.col("a"), "x2": F.col("b"), "x3": logged("texture")}
     ok = F.col("light").isNotNull() & F.col("a").isNotNull() & F.col("b").isNotNull() & F.col("texture").isNotNull()
     rows = stats.select(F.col(shot).alias("shot"), F.col(frame).alias("frame"), F.col(region).alias("region"), *[v.cast("double").alias(k) for k, v in x.items()], ok.alias("ok"))
-    now = saved(rows.withColumns({"keep": F.col("ok"), "score": F.lit(None).cast("double"), "stopped": F.lit(False)}))
-    half = F.lit(0.5)
+    short, long = by_size(rows.where(F.col("region").isNotNull()), "shot")
+    found = _deviations(short.repartition("shot"), list(x), on, colour_floor, texture_floor, passes, _beside, lambda df: df)
+    if long is not None:
+        found = found.unionByName(_deviations(long, list(x), on, colour_floor, texture_floor, passes, _joined, saved))
+    score = F.when(F.col("ok"), F.col("score")).alias("score")
+    return found.select(F.col("shot").alias(shot), F.col("frame").alias(frame), F.col("region").alias(region), score)
+
+
+def _beside(df: DataFrame, keys: list[str], statistics: dict[str, Column]) -> DataFrame:
+    """``df`` with statistics of its groups, by windows; null where a key is null."""
+    there = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+    return df.withColumns({n: F.when(there, v.over(Window.partitionBy(*keys))) for n, v in statistics.items()})
+
+
+def _joined(df: DataFrame, keys: list[str], statistics: dict[str, Column]) -> DataFrame:
+    """As ``_beside``, by an aggregate and a join."""
+    return df.join(df.groupBy(*keys).agg(*[v.alias(n) for n, v in statistics.items()]), keys, "left")
+
+
+def _deviations(
+    rows: DataFrame, x: list[str], on: float, colour_floor: float, texture_floor: float, passes: int,
+    over: Callable[[DataFrame, list[str], dict[str, Column]], DataFrame], held: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """The passes of ``region_deviation`` over ``shot, frame, region, ok`` and measures ``x``; ``over`` adds statistics of groups, ``held`` cuts the lineage."""
+    now = held(rows.withColumns({"keep": F.col("ok"), "score": F.lit(None).cast("double"), "stopped": F.lit(False)}))
+    half, place = F.lit(0.5), ["shot", "region"]
+    kept = lambda c: F.when(F.col("keep"), c)
     for _ in range(passes):
-        kept = lambda c: F.when(F.col("keep"), F.col(c))
-        normal = now.groupBy("shot", "region").agg(*[F.percentile(kept(c), half).alias(f"m{c}") for c in x])
-        off = now.join(normal, ["shot", "region"]).withColumns({f"d{c}": F.col(c) - F.col(f"m{c}") for c in x})
+        off = over(now, place, {f"m{c}": F.percentile(kept(F.col(c)), half) for c in x})
+        off = off.withColumns({f"d{c}": F.col(c) - F.col(f"m{c}") for c in x})
         size = F.sqrt(F.col("dx0") ** 2 + F.col("dx1") ** 2 + F.col("dx2") ** 2)
-        calm = off.where("keep").select("shot", "frame", "region", *[f"d{c}" for c in x], F.row_number().over(Window.partitionBy("shot", "frame").orderBy(F.round(size, 9), "region")).alias("i"))
-        common = calm.where(F.col("i") <= COMMON_REGIONS).groupBy("shot", "frame").agg(*[F.percentile(f"d{c}", half).alias(f"c{c}") for c in x])
+        calmest = F.row_number().over(Window.partitionBy("shot", "frame").orderBy(F.desc("keep"), F.round(size, 9), "region"))
+        off = off.withColumn("calm", F.col("keep") & (calmest <= COMMON_REGIONS))
+        off = over(off, ["shot", "frame"], {f"c{c}": F.percentile(F.when(F.col("calm"), F.col(f"d{c}")), half) for c in x})
         e = {c: F.col(f"d{c}") - F.coalesce(f"c{c}", F.lit(0.0)) for c in x}
-        away = off.join(common, ["shot", "frame"], "left").select(
+        away = off.select(
             "shot", "frame", "region", *x, "ok", "keep", F.col("score").alias("old"), "stopped",
             F.sqrt(e["x0"] ** 2 + e["x1"] ** 2 + e["x2"] ** 2).alias("dev_c"), F.abs(e["x3"]).alias("dev_t"),
         )
-        away = saved(away)
-        middle = away.groupBy("shot", "region").agg(F.percentile(kept("dev_c"), half).alias("mc"), F.percentile(kept("dev_t"), half).alias("mt"), F.count_if("keep").alias("n"))
-        near = away.join(middle, ["shot", "region"])
-        mads = near.groupBy("shot", "region").agg(
-            F.percentile(F.when(F.col("keep"), F.abs(F.col("dev_c") - F.col("mc"))), half).alias("sc"), F.percentile(F.when(F.col("keep"), F.abs(F.col("dev_t") - F.col("mt"))), half).alias("st")
-        )
+        middle = {"mc": F.percentile(kept(F.col("dev_c")), half), "mt": F.percentile(kept(F.col("dev_t")), half), "n": F.count(kept(F.lit(1)))}
+        near = over(held(away), place, middle)
+        mads = {s: F.percentile(kept(F.abs(F.col(d) - F.col(m))), half) for s, d, m in (("sc", "dev_c", "mc"), ("st", "dev_t", "mt"))}
         spread = lambda c, floor: F.greatest(1.4826 * F.col(c), F.lit(floor))
         found = F.greatest(F.col("dev_c") / spread("sc", colour_floor), F.col("dev_t") / spread("st", texture_floor))
         new = F.when(F.col("stopped"), F.col("old")).when(F.col("n") < 3, F.col("old")).otherwise(found)
-        scored = near.join(mads, ["shot", "region"]).withColumn("score", new)
-        still = F.col("ok") & (F.coalesce("score", F.lit(float("inf"))) < on)
-        few = scored.groupBy("shot", "region").agg(F.count_if(still).alias("n")).groupBy("shot").agg((F.min("n") < 3).alias("few"))
-        after = scored.join(few, "shot").withColumn("stopped", F.col("stopped") | F.col("few"))
-        now = saved(after.select("shot", "frame", "region", *x, "ok", F.when(F.col("stopped"), F.col("keep")).otherwise(still).alias("keep"), "score", "stopped"))
-    score = F.when(F.col("ok"), F.col("score")).alias("score")
-    return now.select(F.col("shot").alias(shot), F.col("frame").alias(frame), F.col("region").alias(region), score)
+        scored = over(near, place, mads).withColumn("score", new)
+        scored = scored.withColumn("still", F.col("ok") & (F.coalesce("score", F.lit(float("inf"))) < on))
+        least = over(over(scored, place, {"left": F.count(F.when(F.col("still"), 1))}), ["shot"], {"least": F.min("left")})
+        after = least.withColumn("stopped", F.col("stopped") | (F.col("least") < 3))
+        now = held(after.select("shot", "frame", "region", *x, "ok", F.when(F.col("stopped"), F.col("keep")).otherwise(F.col("still")).alias("keep"), "score", "stopped"))
+    return now

@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.operators import ordered, temporal, tracks
+from framelake import storage
+from framelake.operators import ordered, robust, temporal, tracks
 
 
 def brute_euro(points, min_cutoff, beta, d_cutoff):
@@ -125,3 +126,20 @@ def test_region_that_changes_alone_scores(spark):
     high = {k for k, v in got.items() if v > 8}
     assert high == {(f, 2) for f in range(40, 46)}
     assert tracks.region_deviation(df.where("f < 2"), "shot", "f", "r", 6.0).where("score is not null").count() == 0
+
+
+def test_region_deviation_moves_a_shot_once(spark, monkeypatch):
+    rng = random.Random(3)
+    lengths = {"a": 12, "b": 3, "c": 40}
+    rows = [(s, f, r, rng.random() + 0.1, rng.gauss(0, 1), rng.gauss(0, 1), rng.random() + 0.1) for s, n in lengths.items() for f in range(n) for r in range(4)]
+    rows += [("c", 40, 0, None, 0.0, 0.0, 0.1), ("c", None, 1, 0.4, 0.0, 0.0, 0.1), ("c", None, 2, 0.4, 1.0, 0.0, 0.1), (None, 1, 1, 0.4, 0.0, 0.0, 0.1), ("a", 1, None, 0.4, 0.0, 0.0, 0.1)]
+    df = spark.createDataFrame(rows, "shot string, f long, r long, light double, a double, b double, texture double").repartition(3)
+    steps = []
+    for module in (robust, tracks):
+        monkeypatch.setattr(module, "saved", lambda d: steps.append(1) or storage.saved(d))
+    scores = lambda: sorted(map(tuple, tracks.region_deviation(df, "shot", "f", "r", 1.4).collect()), key=str)
+    near = scores()
+    assert len(steps) == 1 and len(near) == len(rows) - 2  # the keys of long shots alone
+    for most in (20, 1):  # some shots, or all of them, are too long to be gathered
+        monkeypatch.setattr(robust, "MOST_GATHERED", most)
+        assert scores() == near
