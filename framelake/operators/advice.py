@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import colour
 from ..storage import saved
-from .robust import MOST_BROADCAST, order_statistics
+from .robust import by_size, order_statistics
 
 #: Fixed values of the hue gate: mean and 95th percentile in degrees, share of the median chroma, least chroma, least pixels.
 HUE_MEAN, HUE_P95, CHROMA_SHARE, LEAST_CHROMA, LEAST_PIXELS = 6.0, 20.0, 0.5, 1.0, 100
@@ -53,28 +55,51 @@ def colour_drift(pixels: DataFrame, image: str, before: tuple[str, str, str], af
     """``image, status, delta_e, hue_mean, hue_p95, kept, score`` of pixels with L*, a*, b* before and after an edit.
 
     Hue counts only where both colours have at least half of the image's median chroma before (and at least 1). The gate flags a mean shift over 6 degrees or a
-    95th percentile over 20; with under 100 such pixels it is not-run. Medians and percentiles are exact and don't gather an image in one place.
+    95th percentile over 20; with under 100 such pixels it is not-run. Medians and percentiles are exact. An image of up to ``robust.MOST_GATHERED`` pixels is moved to one
+    task, once; larger ones are not gathered in one place: their percentiles go by value ranges.
     """
-    l0, a0, b0, l1, a1, b1 = (F.col(c) for c in (*before, *after))
-    chroma = lambda a, b: F.sqrt(a * a + b * b)
-    turn = F.degrees(F.atan2(b1, a1)) - F.degrees(F.atan2(b0, a0))
-    shift = F.abs(F.pmod(turn + 180, F.lit(360.0)) - 180)
-    there = saved(pixels.dropna(subset=[*before, *after]).select(image, *before, *after))  # read several times
-    rows = there.select(image, colour.delta_e_2000((l0, a0, b0), (l1, a1, b1)).alias("de"), chroma(a0, b0).alias("c0"), F.least(chroma(a0, b0), chroma(a1, b1)).alias("c"), shift.alias("dh"))
-    middle = saved(order_statistics(rows, [image], "c0", (0.5,)).select(image, F.greatest(F.col("__p")[0] * CHROMA_SHARE, F.lit(LEAST_CHROMA)).alias("floor")))
-    small = middle.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    gated = rows.join(F.broadcast(middle) if small else middle, image).withColumn("dh", F.when(F.col("c") >= F.col("floor"), F.col("dh")))
-    sums = gated.groupBy(image).agg(F.avg("de").alias("delta_e"), F.avg("dh").alias("mean"), F.count("dh").alias("k"), F.count(F.lit(1)).alias("n"))
-    tail = order_statistics(gated, [image], "dh", (0.95,)).select(image, F.col("__p")[0].alias("p95"))
+    small, large = by_size(pixels.select(image, *before, *after), image)
+    shifts = _shifts(small.repartition(image), image, before, after)
+    floor = F.greatest(F.percentile("c0", F.lit(0.5)).over(Window.partitionBy(image)) * CHROMA_SHARE, F.lit(LEAST_CHROMA))
+    gated = _gated(shifts.withColumn("floor", floor))
+    found = gated.groupBy(image).agg(*_sums(), F.percentile("dh", F.lit(0.95)).alias("p95"))
+    if large is not None:
+        shifts = _shifts(saved(large), image, before, after)  # read several times
+        middle = saved(order_statistics(shifts, [image], "c0", (0.5,)).select(image, F.greatest(F.col("__p")[0] * CHROMA_SHARE, F.lit(LEAST_CHROMA)).alias("floor")))
+        gated = _gated(shifts.join(F.broadcast(middle), image, "left"))
+        tail = order_statistics(gated, [image], "dh", (0.95,)).select(image, F.col("__p")[0].alias("p95"))
+        found = found.unionByName(gated.groupBy(image).agg(*_sums()).join(tail, image, "left"))
     run = F.col("k") >= LEAST_PIXELS
     over = (F.col("mean") > HUE_MEAN) | (F.col("p95") > HUE_P95)
     score = F.least(F.lit(1.0), F.greatest(F.col("p95") / (2 * HUE_P95), F.col("mean") / (2 * HUE_MEAN)))
-    return sums.join(tail, image, "left").select(
+    return found.where("n > 0").select(
         image, F.when(~run, "not-run").when(over, "checked-flagged").otherwise("checked-pass").alias("status"), "delta_e",
         F.when(run, F.col("mean")).alias("hue_mean"), F.when(run, F.col("p95")).alias("hue_p95"), (F.col("k") / F.col("n")).alias("kept"), F.when(run, score).alias("score"),
     )
 
 
+def _shifts(pixels: DataFrame, image: str, before: tuple[str, str, str], after: tuple[str, str, str]) -> DataFrame:
+    """``image, de, c0, c, dh``: colour difference, chroma before, the lesser chroma and the turn of hue of each pixel.
+
+    All are null where a value is missing. Such pixels are not filtered: a filter would be pushed down to where the values are made, and make them once for each use.
+    """
+    there = reduce(Column.__and__, [F.col(c).isNotNull() & ~F.isnan(c) for c in (*before, *after)])
+    l0, a0, b0, l1, a1, b1 = (F.col(c) for c in (*before, *after))
+    chroma = lambda a, b: F.sqrt(a * a + b * b)
+    turn = F.degrees(F.atan2(b1, a1)) - F.degrees(F.atan2(b0, a0))
+    shift = F.abs(F.pmod(turn + 180, F.lit(360.0)) - 180)
+    found = {"de": colour.delta_e_2000((l0, a0, b0), (l1, a1, b1)), "c0": chroma(a0, b0), "c": F.least(chroma(a0, b0), chroma(a1, b1)), "dh": shift}
+    return pixels.select(image, *[F.when(there, v).alias(n) for n, v in found.items()])
+
+
+def _gated(shifts: DataFrame) -> DataFrame:
+    return shifts.withColumn("dh", F.when(F.col("c") >= F.col("floor"), F.col("dh")))
+
+
+def _sums() -> list[Column]:
+    return [F.avg("de").alias("delta_e"), F.avg("dh").alias("mean"), F.count("dh").alias("k"), F.count("c0").alias("n")]
+
+
 def evidence(jobs: DataFrame, results: DataFrame, job: str, detectors: list[str]) -> DataFrame:
     """``job, detector, status, score`` for every job and every one of the ``detectors``, so that a check that passed, one that failed itself and one that never ran are told apart.
 

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.operators import advice, jobs
+from framelake import storage
+from framelake.operators import advice, jobs, robust
 
 
 def test_safe_auto(spark):
@@ -36,6 +37,23 @@ def test_colour_drift(spark):
     assert got["grey"].kept == 0 and got["grey"].score is None and got["few"].kept == pytest.approx(1.0)
 
 
+def test_colour_drift_moves_an_image_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, *map(float, rng.uniform(20, 60, 6))) for i, n in ((1, 150), (2, 700), (3, 90)) for _ in range(n)] + [(None, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0), (2, None, 1.0, 1.0, 1.0, 1.0, 1.0), (2, 1.0, 1.0, 1.0, 1.0, float("nan"), 1.0), (4, 1.0, 1.0, 1.0, None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "image int, l0 double, a0 double, b0 double, l1 double, a1 double, b1 double").repartition(3)
+    steps = []
+    for module in (robust, advice):
+        monkeypatch.setattr(module, "saved", lambda d: steps.append(1) or storage.saved(d))
+    drifts = lambda: [[pytest.approx(v, abs=1e-9) if isinstance(v, float) else v for v in r] for r in advice.colour_drift(df, "image", ("l0", "a0", "b0"), ("l1", "a1", "b1")).orderBy("image").collect()]
+    near = drifts()
+    assert len(steps) == 1 and [r[0] for r in near] == [1, 2, 3]  # the keys of large images alone
+    assert [r[-2] for r in near] == [1.0, 1.0, 1.0]  # incomplete pixels are not counted
+    plain = [[getattr(v, "expected", v) for v in r] for r in near]
+    for most in (500, 1):  # some images, or all of them, are too large to be gathered
+        monkeypatch.setattr(robust, "MOST_GATHERED", most)
+        assert plain == drifts()
+
+
 def test_evidence_is_complete(spark):
     known = spark.createDataFrame([(1,), (2,)], "job long")
     rows = [(1, "seam", True, True, True, 0.7, 2), (1, "seam", True, True, False, 0.1, 1), (1, "drift", False, True, False, 0.2, 1), (2, "drift", None, None, None, 0.3, 1), (2, "seam", True, False, True, 0.9, 1), (9, "seam", True, True, True, 1.0, 1)]
