@@ -74,3 +74,49 @@ def test_outputs_meet_their_attempts(spark, tmp_path):
     stream = spark.readStream.schema(spark.createDataFrame([], SCHEMA).schema).parquet(str(tmp_path / "e.parquet"))
     found = jobs.verified(stream.where("event = 'finish'"), stream.where("event = 'output'"), "job", "ts", "30 seconds", "1 minute")
     assert [(r.job, r.finish_id, r.output_id, r.size) for r in events.drain(found, "append").collect()] == [("a", 1, 2, 5)]
+
+
+class Calls:
+    """Stands for a handle and its state variables; counts what would go to the JVM."""
+
+    def __init__(self):
+        self.n, self.kept = 0, {}
+
+    def getValueState(self, name, schema):  # noqa: N802
+        one = type("State", (), {"get": lambda _: self.called(self.kept.get(name)), "exists": lambda _: self.called(name in self.kept), "update": lambda _, v: self.called(self.kept.update({name: v}))})
+        return one()
+
+    def getMapState(self, name, key, value):  # noqa: N802
+        held = self.kept.setdefault(name, {})
+        return type("State", (), {"iterator": lambda _: self.called(iter(held.items())), "updateValue": lambda _, k, v: self.called(held.update({k: v})), "removeKey": lambda _, k: self.called(held.pop(k))})()
+
+    def called(self, found=None):
+        self.n += 1
+        return found
+
+    def registerTimer(self, at):  # noqa: N802
+        self.called(self.kept.update(timer=at))
+
+    def deleteTimer(self, at):  # noqa: N802
+        assert self.called(self.kept.pop("timer")) == at
+
+    def listTimers(self):  # noqa: N802
+        return self.called([self.kept["timer"]] if "timer" in self.kept else [])
+
+
+def test_calls_to_the_state_do_not_grow_with_events():
+    from pyspark.sql import Row
+
+    handle, machine = Calls(), jobs.JobMachine(50_000_000, 10**12, "job", "string")
+    machine.init(handle)
+    event = lambda i, kind: Row(event_id=i, at=i * 1_000_000, event=kind, size=1)
+    first = [event(0, "queue"), event(1, "start"), *[event(i, "output") for i in range(2, 200)], event(0, "queue")]
+    assert [r.asDict() for r in machine.handleInputRows(("a",), iter(first), None)] == [{"job": "a", "status": "queued", "attempts": 1, "error_code": "worker_lost", "version": 3}]
+    assert handle.n <= 8 and "timer" not in handle.kept
+    handle.n = 0
+    again = [event(200, "start"), event(199, "output"), event(201, "output")]
+    assert [(r.status, r.attempts, r.version) for r in machine.handleInputRows(("a",), iter(again), None)] == [("processing", 2, 4)]
+    assert handle.n <= 8 and handle.kept["timer"] == 250_000
+    assert list(machine.handleInputRows(("a",), iter(again), None)) == []  # delivered again
+    list(machine.handleInputRows(("a",), iter([event(202, "finish")]), None))
+    assert handle.kept["job"][0] == "done" and "timer" not in handle.kept
