@@ -142,22 +142,34 @@ def palette(pixels: DataFrame, channels: list[str], k: int = 5, cells: int = CEL
     """``image, cluster, weight`` and channel means of ``k`` colours an image: weighted k-means over colour cells.
 
     Pixels are merged into cells once (``cells`` a channel, so at most ``cells`` cubed rows an image); the fullest cells are the first centres
-    (ties: the lower cell), and each round moves all images' centres in one join and one aggregate. Cells go to the nearest centre (distances rounded to
-    six digits, ties: the lower cluster); a centre without cells stays. Images with fewer cells have fewer colours.
+    (ties: the lower cell). Cells are saved by image, and no round moves them again: it reads them beside their centres, one row an image. Cells go to the nearest
+    centre (distances rounded to six digits, ties: the lower cluster); a centre without cells stays. Images with fewer cells have fewer colours.
     """
     counts = colour_cells(pixels, channels, cells)
-    held = saved(counts.select("image", "cell", "n", *[(F.col(c) / F.col("n")).alias(c) for c in channels]))
-    first = held.withColumn("cluster", F.row_number().over(Window.partitionBy("image").orderBy(F.desc("n"), "cell")) - 1).where(F.col("cluster") < k)
-    centres = first.select("image", "cluster", F.lit(0.0).alias("weight"), *channels)
+    held = counts.select("image", "cell", "n", *[(F.col(c) / F.col("n")).alias(c) for c in channels])
+    held = saved(held.repartition("image").sortWithinPartitions("image"))
+    at = F.row_number().over(Window.partitionBy("image").orderBy(F.desc("n"), "cell")) - 1
+    centre = [(j, c, f"__{c}_{j}") for j in range(k) for c in channels]
+    first = held.withColumn("__at", at).where(F.col("__at") < k).groupBy("image")
+    now = first.agg(*[F.max(F.when(F.col("__at") == j, F.col(c))).alias(name) for j, c, name in centre]).withColumns({f"__w_{j}": F.lit(0.0) for j in range(k)})
     for _ in range(rounds):
-        listed = centres.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("cluster", *channels))).alias("__centres"))
-        away = lambda x: F.round(sum(((x[c] - F.col(c)) ** 2 for c in channels), F.lit(0.0)), 6)
-        nearest = F.array_min(F.transform("__centres", lambda x: F.struct(away(x).alias("d"), x["cluster"].alias("cluster"))))["cluster"]
-        moved = held.join(listed, "image").withColumn("cluster", nearest).groupBy("image", "cluster")
-        means = moved.agg(F.sum("n").cast("double").alias("w"), *[(F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(f"m_{c}") for c in channels])
-        kept = centres.join(means, ["image", "cluster"], "left")
-        centres = saved(kept.select("image", "cluster", F.coalesce("w", F.lit(0.0)).alias("weight"), *[F.coalesce(f"m_{c}", c).alias(c) for c in channels]))
-    return centres
+        met = held.join(now, "image", "right").withColumns({f"__d_{j}": sum(((F.col(f"__{c}_{j}") - F.col(c)) ** 2 for c in channels), F.lit(0.0)) for j in range(k)})
+        sums = met.withColumn("cluster", _nearest([F.col(f"__d_{j}") for j in range(k)])).groupBy("image")
+        of = lambda j, v: F.sum(F.when(F.col("cluster") == j, v))
+        means = [F.coalesce(of(j, F.col("n") * F.col(c)) / of(j, F.col("n")), F.first(name)).alias(name) for j, c, name in centre]
+        now = sums.agg(*means, *[F.coalesce(of(j, F.col("n")).cast("double"), F.lit(0.0)).alias(f"__w_{j}") for j in range(k)])
+    each = [F.struct(F.lit(j).alias("cluster"), F.col(f"__w_{j}").alias("weight"), *[F.col(f"__{c}_{j}").alias(c) for c in channels]) for j in range(k)]
+    return now.select("image", F.explode(F.array(*each)).alias("x")).select("image", "x.*").where(F.col(channels[0]).isNotNull())
+
+
+def _nearest(away: list[Column]) -> Column:
+    """The number of the least distance when rounded to six digits (ties: the first). Rounding is slow and only done where distances are close enough for it to matter."""
+    if len(away) == 1:
+        return F.lit(0)
+    first_at = lambda values, least: F.coalesce(*[F.when(v == least, j) for j, v in enumerate(values)])
+    least, exact = F.least(*away), [F.round(v, 6) for v in away]
+    near = sum((F.when(v <= least + 2e-6, 1).otherwise(0) for v in away), F.lit(0))
+    return F.when(near == 1, first_at(away, least)).otherwise(first_at(exact, F.least(*exact)))
 
 
 def _determinant(m: list[list[Column]]) -> Column:

@@ -83,6 +83,18 @@ def test_palette_and_dominant_colours(spark):
     assert [(r["rank"], r.n, r.r, r.g, r.b) for r in top] == [(1, 1, 224, 224, 224)]
 
 
+def test_palette_moves_cells_once(spark, monkeypatch):
+    from framelake import storage
+
+    steps = []
+    monkeypatch.setattr(raster, "saved", lambda d: steps.append(1) or storage.saved(d))
+    df = spark.createDataFrame([(i, 9.0 * j, 7.0 * (j % 5), 3.0 * j) for i in range(3) for j in range(25)], "image long, r double, g double, b double").repartition(3)
+    found = raster.palette(df, ["r", "g", "b"], k=3, cells=16, rounds=5)
+    assert len(steps) == 1 and found.groupBy("image").agg(F.sum("weight").alias("w")).where("w = 25").count() == 3
+    away = spark.createDataFrame([(1.0, 2.0, 3.0), (2.0, 1.0000004, 1.0), (5.0, 4.0, 4.0), (3.0, 2.0, 1.9999), (None, None, 1.0)], "a double, b double, c double")
+    assert [r[0] for r in away.select(raster._nearest([F.col(c) for c in "abc"])).collect()] == [0, 1, 1, 2, 2]
+
+
 @pytest.mark.parametrize("angle", [0.3, 2.0, 4.4])
 def test_light_plane(spark, angle):
     h, w = 24, 30
