@@ -11,6 +11,8 @@ from ..storage import release, saved
 from .ordered import SLICE_ROWS, numbered, walked
 
 MOST_ROUNDS = 60
+#: A saved step follows each pointer through so many more: joins cost less than steps.
+HOPS = 3
 #: Fixed value: the part of a batch that is kept for housekeeping.
 HOUSEKEEPING_SHARE = 0.30
 
@@ -74,68 +76,128 @@ def _spread(edges: DataFrame, marks: DataFrame, mark: str) -> DataFrame:
             return held.select("node", mark)
 
 
-def _drained(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What nodes with one way out settle: ``node`` of those on a cycle, and ``node`` of those that need no further look (saved). Edges: distinct ``u, v``, no loops.
+def _counted(rows: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
+    """``rows``, saved, and their number (or what ``what`` counts), taken as they are written."""
+    seen = Observation()
+    held = saved(rows.observe(seen, (F.count(F.lit(1)) if what is None else F.count_if(what)).alias("n")))
+    return held, seen.get["n"]
+
+
+def _followed(ways: DataFrame, further: DataFrame, how: str) -> DataFrame:
+    """``u, p, more``: the pointers of ``ways`` followed through ``HOPS`` of ``further`` (both ``u, p``, a row a node). A pointer that leads nowhere drops out (``how``:
+    inner) or stays where it ends (left); ``more``: the last hop moved it."""
+    after = further.select(F.col("u").alias("p"), F.col("p").alias("q"))
+    for _ in range(HOPS):
+        ways = ways.join(after, "p", how).select("u", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("more"))
+    return ways
+
 
-    Pointers along the only ways out are doubled until what they point at stops shrinking, in as many saved steps as the logarithm of the
-    longest such way. Then a pointer ends at a node with several ways out, at a dead end, or on a cycle that nothing leaves. Nodes that lead to
-    dead ends or to such cycles alone lie on no other cycle.
+def _circling(ways: DataFrame) -> DataFrame:
+    """``node`` (saved) for every node that its pointers lead back to. Ways: ``u, p``, a row a node.
+
+    Nodes that no pointer reaches and pointers that lead nowhere drop out while the rest is followed, in as many saved steps as the logarithm of the longest way. When
+    none drops out any more, the pointers permute what is left, so all of that is on cycles.
     """
-    outs = saved(edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("p")))
-    start = outs.where("n = 1").select("u", "p")
-    now, size = start, None
+    now, n, first = ways, None, True
     while True:
-        ends = saved(now.groupBy("p").agg(F.count(F.lit(1)).alias("n")).select(F.col("p").alias("node")))
-        before, size = size, ends.count()
-        if size == before or not size:
-            break
-        release(ends)
-        further = now.select(F.col("u").alias("p"), F.col("p").alias("q"))
-        last, now = now, saved(now.join(further, "p", "left").select("u", F.coalesce("q", "p").alias("p")))
-        if last is not start:
+        reached = now.select(F.col("p").alias("u")).distinct()
+        last, before = now, n
+        now, n = _counted(_followed(now.join(reached, "u", "left_semi"), now, "inner").select("u", "p"))
+        if not first:
             release(last)
-    round_ = ends.join(start.select(F.col("u").alias("node")), "node", "left_semi")
+        first = False
+        if not n or n == before:
+            return now.select(F.col("u").alias("node"))
+
+
+def _ended(ways: DataFrame) -> DataFrame:
+    """``ways`` (``u, p``, a row a node, nothing circles), saved, with each pointer followed to where it ends."""
+    held, more = saved(ways), 1
+    while more:
+        now, last = held.select("u", "p"), held
+        held, more = _counted(_followed(now, now, "left"), F.col("more"))
+        release(last)
+    return held.select("u", "p")
+
+
+def _without(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """Edges with no end among ``gone`` (``node``)."""
+    for end in ("u", "v"):
+        edges = edges.join(gone.withColumnRenamed("node", end), end, "left_anti")
+    return edges.select("u", "v")
+
+
+def _drained(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """What nodes with one way out settle: ``node`` of those on a cycle, and ``node`` of those that need no further look (saved; None: all).
+    Edges: distinct ``u, v``, no loops.
+
+    The only ways out are pointers. Those that lead back are cycles that nothing leaves (``_circling``); the others end at a node with several ways out, at a dead end, or
+    on such a cycle. Nodes that lead to dead ends or to such cycles alone lie on no other cycle: without nodes of several ways out, that holds of all.
+    """
+    outs, forks = _counted(edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("p")), F.col("n") > 1)
+    ways = outs.where("n = 1").select("u", "p")
+    round_ = _circling(ways)
+    if not forks:
+        return round_, None
     dead = edges.select(F.col("v").alias("node")).distinct().join(outs.select(F.col("u").alias("node")), "node", "left_anti")
     over = saved(round_.unionByName(dead))
-    settled = now.join(over.withColumnRenamed("node", "p"), "p", "left_semi").select(F.col("u").alias("node"))
-    return saved(round_), saved(settled.unionByName(dead).distinct())
+    ends = _ended(ways.join(round_.withColumnRenamed("node", "u"), "u", "left_anti"))
+    settled = ends.join(over.withColumnRenamed("node", "p"), "p", "left_semi").select(F.col("u").alias("node"))
+    return round_, saved(settled.unionByName(over).distinct())
+
+
+def _trimmed(edges: DataFrame, n: int, least_share: float = 0.25) -> tuple[DataFrame, int]:
+    """Of ``n`` saved edges those from nodes that an edge leads to, to nodes that one leaves; the rest is on no cycle. Again, as long as a step takes ``least_share`` away. Saved, with their number."""
+    while True:
+        reached, left = edges.select(F.col("v").alias("u")).distinct(), edges.select(F.col("u").alias("v")).distinct()
+        last, before = edges, n
+        edges, n = _counted(edges.join(reached, "u", "left_semi").join(left, "v", "left_semi").select("u", "v"))
+        release(last)
+        if not n or before - n < least_share * before:
+            return edges, n
 
 
-def _thinned(edges: DataFrame, least_share: float = 0.01) -> tuple[list[DataFrame], DataFrame]:
-    """Frames of ``node`` on cycles, and the edges that are left (saved): ``_drained`` along the edges and against them, until that takes
+def _thinned(edges: DataFrame, n: int, least_share: float = 0.01) -> tuple[list[DataFrame], DataFrame | None]:
+    """Frames of ``node`` on cycles, and those of ``n`` saved edges that are left (saved; None: none): trimmed, then ``_drained`` along the edges and against them, until that takes
     nothing or under ``least_share`` of the edges away."""
     found: list[DataFrame] = []
-    n = edges.count()
     while n:
+        edges, n = _trimmed(edges, n)
         before = n
         for u, v in (("u", "v"), ("v", "u")):
+            if not n:
+                break
             on, gone = _drained(edges.select(F.col(u).alias("u"), F.col(v).alias("v")))
             found.append(on)
             last = edges
-            edges = saved(edges.join(gone.withColumnRenamed("node", "u"), "u", "left_anti").join(gone.withColumnRenamed("node", "v"), "v", "left_anti").select("u", "v"))
-            release(last)
-            n = edges.count()
-            if not n:
-                break
-        if before - n <= least_share * before:
-            break
-    return found, edges
+            edges, n = (edges, 0) if gone is None else _counted(_without(edges, gone))
+            if last is not edges:
+                release(last)
+        if n and before - n <= least_share * before:
+            return found, edges
+    return found, None
 
 
 def cycle_nodes(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``node`` for every node that lies on a directed cycle, a loop at itself included. Null ends are dropped.
 
-    What nodes with one way out or one way in settle is taken out first (``_thinned``). Then each round colours a node by the largest node that leads to it; a node that keeps its own
+    If no node has several ways out (loops aside), following these settles it (``_circling``). Else what no cycle can hold and what nodes with one way out or one way in settle is taken out
+    first (``_thinned``). Then each round colours a node by the largest node that leads to it; a node that keeps its own
     number is the pivot of its colour, and what leads back to it within the colour is its strongly connected piece, on cycles if
     it has two nodes. Pieces are taken out, edges between colours are on no cycle, and the rest goes on, thinned again. State is one row a node; the steps of a
     round grow with the longest of the shortest ways between nodes that are left.
     """
-    ends = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("u"), F.col(b).alias("v")).distinct()
-    ends = saved(ends)
-    found = [ends.where("u = v").select(F.col("u").alias("node"))]
-    on, now = _thinned(saved(ends.where("u != v")))
+    ends = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("u"), F.col(b).alias("v"))
+    other = F.when(F.col("u") != F.col("v"), F.col("v"))
+    outs = ends.groupBy("u").agg(F.min(other).alias("p"), F.max(other).alias("q"), F.bool_or(F.col("u") == F.col("v")).alias("loop"))
+    outs, forks = _counted(outs, F.col("p") != F.col("q"))
+    found = [outs.where("loop").select(F.col("u").alias("node"))]
+    if not forks:
+        found.append(_circling(outs.where("p is not null").select("u", "p")))
+        return reduce(DataFrame.unionByName, found).distinct()
+    on, now = _thinned(*_counted(ends.where("u != v").distinct()))
     found += on
-    while not now.isEmpty():
+    while now is not None:
         nodes = now.select(F.col("u").alias("node")).unionByName(now.select(F.col("v").alias("node"))).distinct()
         colours = _spread(now, nodes.withColumn("colour", F.col("node")), "colour")
         of = lambda end: colours.select(F.col("node").alias(end), F.col("colour").alias(f"c{end}"))  # noqa: B023, E731
@@ -145,19 +207,17 @@ def cycle_nodes(edges: DataFrame, a: str, b: str) -> DataFrame:
         piece = saved(reached.join(colours, "node"))
         sizes = piece.groupBy("colour").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         found.append(saved(piece.join(sizes, "colour", "left_semi").select("node")))
-        gone = piece.select("node")
-        left = inside.join(gone.withColumnRenamed("node", "u"), "u", "left_anti").join(gone.withColumnRenamed("node", "v"), "v", "left_anti").select("u", "v")
-        on, now = _thinned(saved(left))
+        on, now = _thinned(*_counted(_without(inside, piece.select("node"))))
         found += on
     return reduce(DataFrame.unionByName, found).distinct()
 
 
 def graph_problems(nodes: DataFrame, edges: DataFrame, key: str, needs: str) -> DataFrame:
-    """``node, problem, detail``: dependencies that don't exist, and nodes on a cycle."""
-    lost = edges.join(nodes.select(F.col(key).alias(needs)), needs, "left_anti")
-    lost = lost.select(F.col(key).alias("node"), F.lit("missing_dependency").alias("problem"), F.col(needs).cast("string").alias("detail"))
-    there = edges.join(nodes.select(F.col(key).alias(needs)), needs, "left_semi")
-    return lost.unionByName(cycle_nodes(there, key, needs).select("node", F.lit("cycle").alias("problem"), F.lit(None).cast("string").alias("detail")))
+    """``node, problem, detail``: dependencies that don't exist, and nodes on a cycle. Nodes are many and thin: they are never broadcast."""
+    known = nodes.select(F.col(key).alias(needs)).distinct().withColumn("__there", F.lit(True))
+    met = saved(edges.select(key, needs).join(known.hint("merge"), needs, "left"))
+    lost = met.where("__there is null").select(F.col(key).alias("node"), F.lit("missing_dependency").alias("problem"), F.col(needs).cast("string").alias("detail"))
+    return lost.unionByName(cycle_nodes(met.where("__there"), key, needs).select("node", F.lit("cycle").alias("problem"), F.lit(None).cast("string").alias("detail")))
 
 
 def leases(tasks: DataFrame, modes: Column, now: Column, hours: float) -> DataFrame:

@@ -343,7 +343,7 @@ CYCLE_SQL = EDGES_SQL.replace("with n", "with recursive n", 1) + """
 @query(CYCLE_SQL + "select id node from y")
 def cycle_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _tasks(spark, sf_dir)
-    return graph.cycle_nodes(edges.join(nodes.withColumnRenamed("id", "needs"), "needs", "left_semi"), "id", "needs")
+    return graph.cycle_nodes(edges.join(nodes.withColumnRenamed("id", "needs").hint("merge"), "needs", "left_semi"), "id", "needs")
 
 
 @query(CYCLE_SQL + "select id node, 'missing_dependency' problem, needs::varchar detail from e where needs not in (select id from n) union all select id, 'cycle', null from y")

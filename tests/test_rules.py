@@ -99,6 +99,43 @@ def test_graph_problems_behind_a_long_way(spark, monkeypatch):
     assert len(steps) < 60
 
 
+def test_graph_problems_of_single_ways_take_few_steps(spark, monkeypatch):
+    steps = []
+    monkeypatch.setattr(graph, "saved", lambda df: steps.append(1) or storage.saved(df))
+    nodes = spark.range(400)
+    needs = F.when(F.col("id") % 10 == 3, F.col("id") + 4).when(F.col("id") % 10 == 7, F.col("id") - 4).when(F.col("id") == 250, 10**6).when(F.col("id") >= 300, F.col("id") - 1)
+    edges = nodes.select("id", F.coalesce(needs, F.col("id").cast("double") / 2).cast("long").alias("needs")).where("id % 10 != 5")
+    cycles = [(i, "cycle", None) for i in range(400) if i == 0 or i % 10 in (3, 7)]
+    for given in (edges, edges.unionByName(edges)):  # repeated edges are not several ways out
+        steps.clear()
+        assert rows(graph.graph_problems(nodes, given, "id", "needs").distinct()) == sorted(cycles + [(250, "missing_dependency", "1000000")], key=repr)
+        assert len(steps) <= 6  # two steps a doubling before
+
+
+def test_cycles_with_few_or_no_forks(spark):
+    ways = {
+        "one way out": [(i, (7 * i * i + 3) % 211) for i in range(211)],
+        "a chain into a cycle, loops on it": [(i, i + 1) for i in range(90)] + [(90, 70), (80, 80), (5, 5), (90, None), (None, 1)],
+        "two ways at one node": [(i, i // 2) for i in range(1, 200)] + [(1, 150)],
+        "layers, no cycle": [(10 * i + j, 10 * i + 10 + (3 * j + k) % 10) for i in range(6) for j in range(10) for k in (0, 1)],
+    }
+    for name, edges in ways.items():
+        after = {}
+        for u, v in edges:
+            if u is not None and v is not None:
+                after.setdefault(u, set()).add(v)
+
+        def leads_back(u):
+            seen, more = set(), set(after[u])  # noqa: B023
+            while more - seen:
+                seen |= more
+                more = set().union(*(after.get(v, set()) for v in more))  # noqa: B023
+            return u in seen
+
+        got = [r.node for r in graph.cycle_nodes(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()]
+        assert sorted(got) == sorted(u for u in after if leads_back(u)), name
+
+
 def test_batch_plan(spark):
     tasks = spark.createDataFrame(
         [("q", 3, 0, ["io"]), ("q", 1, 0, ["io"]), ("q", 2, 0, []), ("q", 4, 1, ["db"]), ("q", 5, 2, ["net"]), ("z", 9, 0, [])], "queue string, id int, priority int, exclusive array<string>"
