@@ -1,5 +1,6 @@
 """Jobs, recipes, corpora, graphs, faces and grades on small tables: ties, nulls, empty tables, odd values."""
 
+import math
 import time
 
 import numpy as np
@@ -268,6 +269,38 @@ def test_jaccard_moves_prefixes_only(spark):
         assert {(r.left_id, r.right_id) for r in found.collect()} == want
 
 
+def test_jaccard_of_long_sets(spark):
+    """Long sets are cut into parts by the hashes of their tokens; pairs on both sides of a step meet, and unlike sets that share rare tokens are no candidates."""
+    rng = np.random.default_rng(5)
+    common = [f"c{i}" for i in range(500)]
+    sets: dict[int, list[str]] = {}
+    for k, n in enumerate([*range(52, 68, 4), *range(215, 300, 12), *range(850, 1200, 50), 1500]):
+        own = [f"r{k % 3}", *rng.choice(common, n // 3, replace=False).tolist(), *(f"w{w}" for w in rng.integers(0, 1 << 40, n - n // 3 - 1))]
+        sets[10 * k] = sorted(own)
+        for i, share in enumerate((0.99, 0.9, 0.8, 0.76, 0.74)):
+            sets[10 * k + i + 1] = sorted(rng.choice(own, math.ceil(share * n), replace=False).tolist())
+        sets[10 * k + 6] = sorted({*own[n // 8 :], *(f"x{i}" for i in range(n // 8))})
+    df = spark.createDataFrame(list(sets.items()), "class_id long, tokens array<string>")
+    share = lambda a, b: len(a & b) / len(a | b)
+    as_sets = {k: set(t) for k, t in sets.items()}
+    want = {(i, j): share(as_sets[i], as_sets[j]) for i in sets for j in sets if i < j}
+    want = {pair: s for pair, s in want.items() if s >= 0.75}
+    met = {(r.left_id, r.right_id) for r in similarity.jaccard_candidates(df.select(F.col("class_id").alias("k"), F.col("tokens").alias("t")), 0.75).collect()}
+    assert want.keys() <= met and all(i // 10 == j // 10 for i, j in met)
+    assert {(r.left_id, r.right_id): r.jaccard for r in similarity.jaccard_join(df, 0.75).collect()} == want
+
+
+def test_jaccard_of_a_crowd(spark):
+    """The tokens of near sets move about once, not once a pair; tiles of a crowd lose no pair."""
+    base = [f"w{i}" for i in range(40)]
+    sets = [(k, sorted([*base, f"own{k}"])) for k in range(600)]
+    df = spark.createDataFrame(sets, "class_id long, tokens array<string>")
+    found = similarity.jaccard_join(df, 0.75)
+    assert "array_intersect" not in found._jdf.queryExecution().optimizedPlan().toString()  # a join of pairs with the tokens of both sides
+    assert found.distinct().count() == found.count() == 600 * 599 // 2
+    assert [r.jaccard for r in found.select("jaccard").distinct().collect()] == [40 / 42]
+
+
 def test_documents(spark):
     texts = spark.createDataFrame([("a", '{"name": "x", "params": {"p": 1.5}}'), ("b", "{oops"), ("c", '{"params": {}}'), ("d", '{"name": "known"}'), ("e", '{"name": "y", "extends": "gone"}'), ("f", None)], "path string, text string")
     good, bad = documents.imported_recipes(texts, spark.createDataFrame([("known",)], "recipe string"))
