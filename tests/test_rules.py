@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from framelake import storage
 from framelake.functions import colour, folds, grading, names
 from framelake.operators import corpus, faces, graph, jobs, planning, ranking, recipes, review, robust, similarity, temporal
+from framelake.plans import catalogue
 from framelake.sources import documents
 
 
@@ -301,6 +302,29 @@ def test_jaccard_of_a_crowd(spark):
     assert [r.jaccard for r in found.select("jaccard").distinct().collect()] == [40 / 42]
 
 
+def test_linkage_moves_a_crowd_once(spark, tmp_path):
+    """The tokens of near documents are not moved for each of their pairs."""
+    rng = np.random.default_rng(11)
+    words = [f"w{w}" for w in rng.integers(0, 1 << 40, 4000)]
+    texts = [(k, " ".join([*rng.choice(words, 3960, replace=False), f"own{k}"])) for k in range(40)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    context = spark.sparkContext
+    no = context._jvm.java.util.ArrayList()
+
+    def stages():
+        every = context._jsc.sc().statusStore().stageList(no, False, False, context._gateway.new_array(context._jvm.double, 0), no)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in map(every.apply, range(every.size()))}
+
+    before, limit = stages(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with tables of more than a few rows
+        found = rows(catalogue.linkage_groups(spark, str(tmp_path)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert found == sorted(((0, r[1], r[2]) for r in found), key=repr) and sorted(r[1] for r in found) == list(range(40))
+    assert sum(n for s, n in stages().items() if s not in before) < 20_000_000  # a join of the pairs with the tokens of both sides moved 54 million
+
+
 def test_documents(spark):
     texts = spark.createDataFrame([("a", '{"name": "x", "params": {"p": 1.5}}'), ("b", "{oops"), ("c", '{"params": {}}'), ("d", '{"name": "known"}'), ("e", '{"name": "y", "extends": "gone"}'), ("f", None)], "path string, text string")
     good, bad = documents.imported_recipes(texts, spark.createDataFrame([("known",)], "recipe string"))
